@@ -6,7 +6,9 @@ import functools
 import os
 import re
 import tempfile
+import unicodedata
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -102,56 +104,55 @@ class Memo(dict):
         return [k for k in keys.difference(self) if k not in self.old]
 
 
+class Computed(Memo):
+    """A memo that computes what it does not hold."""
+
+    def __init__(self, size: int, compute):
+        super().__init__(size)
+        self.compute = compute
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """Token ids of a text (as little-endian bytes) from independent chunks, each distinct chunk encoded once.
 
     ``fast`` cuts a text without double white space, ``slow`` any other; both cut only where the tokenizer's own
     pre-tokenizer cuts whatever stands on either side. Texts with separators on which Python and the tokenizer
-    disagree are encoded whole. New chunks are encoded together, joined by ``sep``, whose id tells them apart.
+    disagree are encoded whole. ``plain`` gives the one pre-token that an all-letter chunk becomes, as the tokenizer's
+    model spells it, or None; such chunks go to the model directly, others through the whole tokenizer.
     """
 
-    def __init__(self, tokenizer, fast, slow, sep: str, dtype: str, memo: int = 400_000):
-        self.tk, self.fast, self.slow, self.sep, self.dtype = tokenizer, fast, slow, sep, dtype
-        self.sep_id = tokenizer.encode(sep.strip(" "), add_special_tokens=False).ids
-        assert len(self.sep_id) == 1
-        self.mark = sep.strip(" ")
-        self.known = Memo(memo)
-
-    def _learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if c.strip() and self.mark not in c and not c[-1].isspace() and not c[c[0] == " "].isspace()]
-        odd = set(chunks).difference(plain)
-        for c in odd:
-            self.known[c] = np.array(self.tk.encode(c, add_special_tokens=False).ids, self.dtype).tobytes()
-        step = 1000
-        groups = [plain[i : i + step] for i in range(0, len(plain), step)]
-        width = np.dtype(self.dtype).itemsize
-        for g, e in zip(groups, self.tk.encode_batch_fast([self.sep.join(g) for g in groups], add_special_tokens=False)):
-            ids = np.array(e.ids, self.dtype)
-            cut = np.flatnonzero(ids == self.sep_id[0]).tolist()
-            assert len(cut) == len(g) - 1
-            raw = ids.tobytes()
-            for c, s, t in zip(g, [0, *(x + 1 for x in cut)], [*cut, len(ids)]):
-                self.known[c] = raw[width * s : width * t]
+    def __init__(self, tokenizer, fast, slow, plain, dtype: str, memo: int = 400_000):
+        self.tk, self.model, self.fast, self.slow, self.plain, self.dtype = tokenizer, tokenizer.model, fast, slow, plain, dtype
+        self.code = {"<u2": "H", "<u4": "I"}[dtype]
+        self.known = Computed(memo, self._ids)
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def _ids(self, chunk: str) -> bytes:
+        if len(chunk) > 2 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
+            return self.known[chunk[:-1]] + self.known[chunk[-1]]
+        spelled = self.plain(chunk)
+        if spelled is None:
+            return self._whole(chunk)
+        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.known.turn()
-        cut, new = [], set()
+        get, out = self.known.__getitem__, []
         for t in texts:
             if any(c in t for c in UNSAFE):
-                cut.append(None)
-                continue
-            parts = self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t)
-            cut.append(parts)
-            new.update(parts)
-        fresh = self.known.unknown(new)
-        if fresh:
-            self._learn(fresh)
-        get = self.known.__getitem__
-        return [
-            b"".join(map(get, parts)) if parts is not None
-            else np.array(self.tk.encode(t, add_special_tokens=False).ids, self.dtype).tobytes()
-            for t, parts in zip(texts, cut)
-        ]
+                out.append(self._whole(t))
+            else:
+                out.append(b"".join(map(get, self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t))))
+        return out
 
 
 #: Separators that Python takes for white space and the tokenizers do not.
@@ -165,14 +166,40 @@ def _cut_before_space(t: str) -> list[str]:
     return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
 
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others
+    counted up from 256."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+_LETTERS = _byte_letters()
+
+
+def _spelled(word: str) -> str:
+    return word.encode().decode("latin-1").translate(_LETTERS)
+
+
+def _plain_cased(chunk: str) -> str | None:
+    return _spelled(chunk) if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else None
+
+
+def _plain_lower(chunk: str) -> str | None:
+    if not chunk.isalpha() or "\u03a3" in chunk or "\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk):
+        return None
+    low = chunk.lower()
+    return _spelled(low) if low.isalpha() else None
+
+
 @functools.lru_cache(maxsize=4)
 def byte_level_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For byte-level BPE whose pre-tokenizer keeps one leading space with a word."""
-    return ChunkEncoder(load_tokenizer(path), _cut_before_space, _BYTE_LEVEL.findall, "\n", dtype)
+    return ChunkEncoder(load_tokenizer(path), _cut_before_space, _BYTE_LEVEL.findall, _plain_cased, dtype)
 
 
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For BPE that lower-cases and drops white space: runs of ASCII white space are safe cuts."""
     split = lambda t: [c for c in _ASCII_WS.split(t) if c]
-    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, " \x01 ", dtype)
+    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, dtype)
