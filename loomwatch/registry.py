@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwatch.plans import detection
+from loomwatch.plans import detection, incident, ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (detection,):
+for module in (detection, incident, ingest):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -36,5 +36,6 @@ def ship(spark: SparkSession) -> None:
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")  # zone-less stamps are UTC everywhere
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)

@@ -212,10 +212,14 @@ def register(name: str, parser: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def ingest(lines: DataFrame, formats: DataFrame) -> DataFrame:
-    """Records of all runs, each by the parser of its sniffed format. ``formats`` has one row per run."""
+    """Records of all runs, each by the parser of its sniffed format. ``formats`` has one row per run; only the names of
+    the formats that occur reach the driver, and only their parsers are planned."""
     out: DataFrame | None = None
+    present = {r["format"] for r in formats.select("format").distinct().collect()}
     tagged = lines.join(formats.withColumnRenamed("format", "_format"), "run_id")
     for name, parser in PARSERS.items():
+        if name not in present and (out is not None or name != "unknown"):
+            continue
         one = parser(tagged.filter(F.col("_format") == name)).select(*RECORD)
         out = one if out is None else out.unionByName(one)
     return out

@@ -60,7 +60,7 @@ SNIFFERS: list[tuple[str, str, float]] = [
     ("auth_csv", r"(?i)^[^,]*time[^,]*,.*(ip_address|src_ip|source_ip|client_ip).*status.*$", 0.0),
     ("logcat", P.LOGCAT, 2 / 3),
     ("rfc5424", P.RFC5424, 0.5),
-    ("iso8601", P.ISO_SYSLOG, 0.5),
+    ("iso8601", P.ISO_SYSLOG.replace(r")\s+(\S+)\s+(.*)$", rf")\s+(?!(?:{P.LEVEL_WORDS})\s)(\S+)\s+(.*)$"), 0.5),
     ("jsonlog", r"^\s*\{.*\}\s*$", 0.6),
     ("apache", P.APACHE, 0.6),
     ("zookeeper", P.ZOOKEEPER, 0.6),
