@@ -354,7 +354,7 @@ def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32) -> Data
         F.explode(
             F.filter(F.sequence("ulo", "uhi"), lambda o: ~F.exists("ivs", lambda v: (v["lo"] <= o) & (o <= v["hi"])))
         ).alias("o"),
-    )
+    ).distinct()  # combined before the shuffle: a hot gram sends each offset once per task
     asked = opened.groupBy("kh").agg(F.collect_set("o").alias("os"))  # at most ``length`` offsets
     shown = keyed.join(asked, "kh").select(
         "kh", *ids, F.filter("os", lambda o: (o >= F.col("ulo")) & (o <= F.col("uhi"))).alias("os")
