@@ -37,5 +37,7 @@ def ship(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # zone-less stamps are UTC everywhere
+    # batches to Python are bounded by bytes, so that long texts don't fill a worker or the JVM's direct memory
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     if root not in known.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
