@@ -8,31 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from loomwatch.llm import exact_dedup, near_dup, packing, quality, substring_dedup
 from loomwatch.llm.common import shared_dir, vocabulary
+from loomwatch.session import ship
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    ship(spark)
     labels = spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
     return quality.keep_good(docs, labels)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that differ in white space only, one stays."""
+    ship(spark)
     return exact_dedup.keep_distinct(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, 0.8), one stays."""
+    ship(spark)
     return near_dup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 400-byte strings that occur more than once go from the text; n_chars follows."""
+    ship(spark)
     return substring_dedup.cut_repeats(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in packed sequences."""
+    ship(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"), 1, 4096)
 
 
