@@ -122,7 +122,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 400, rate: float = 0.02, decay: float = 1e-4, seed: int = 3) -> Model:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 400, rate: float = 0.02, decay: float = 1e-2, seed: int = 3) -> Model:
     """Non-negative PU risk with the sigmoid loss l(z) = sigmoid(-z), minimised by Adam."""
     m = Model(unlabelled, hidden, np.random.default_rng(seed))
     first, second = [np.zeros_like(p) for p in m.p], [np.zeros_like(p) for p in m.p]
