@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwatch.plans import detection, incident, ingest, stream
+from loomwatch.plans import context, detection, incident, ingest, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (detection, incident, ingest, stream):
+for module in (detection, incident, ingest, context, stream):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES
