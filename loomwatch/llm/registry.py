@@ -67,6 +67,8 @@ QUERIES = {
     )
 }
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 ORACLES = {
     "op6_exact_dedup": r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -74,5 +76,25 @@ WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS points,
 g AS (SELECT text_sha256, count(*) AS group_size, (array_agg(doc_id ORDER BY points DESC, doc_id))[1] AS keep_id
       FROM d GROUP BY text_sha256)
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.text_sha256
-FROM d JOIN g USING (text_sha256)"""
+FROM d JOIN g USING (text_sha256)""",
+    "op7_ngram_jaccard": rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, chr(31))]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], chr(31))) END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(30) ORDER BY s)) AS h FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY 1), k AS (SELECT a AS doc_id, count(*) AS n FROM e GROUP BY 1), g AS (SELECT h, count(*) AS n FROM n GROUP BY 1)
+SELECT d.doc_id, least(d.doc_id, coalesce(m.c, d.doc_id)) AS class_id, coalesce(k.n, 0) AS n_links, coalesce(g.n, 1) AS n_copies, least(d.doc_id, coalesce(m.c, d.doc_id)) = d.doc_id AS kept
+FROM documents d LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN g USING (h)""",
+    "op8_vector_near_dup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT * FROM v WHERE label IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE list_cosine_similarity(a.x, b.x) >= 0.93),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
+SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(m.c, v.vec_id)) AS component_id, least(v.vec_id, coalesce(m.c, v.vec_id)) = v.vec_id AS kept
+FROM v LEFT JOIN m USING (vec_id) LEFT JOIN k USING (vec_id)""",
 }
