@@ -83,9 +83,9 @@ def cells(classes: DataFrame, cosine: float, block_dims: int, grid: int, seed: i
                             ["rep", "copies", "vec", "label", "dim", "blk", "cell", "home"],
                         )
 
-    label = classes.schema["label"].dataType.simpleString()
+    label, kind = (classes.schema[c].dataType.simpleString() for c in ("label", "vec"))
     return classes.mapInArrow(
-        run, f"rep long, copies long, vec array<double>, label {label}, dim int, blk int, cell long, home boolean"
+        run, f"rep long, copies long, vec {kind}, label {label}, dim int, blk int, cell long, home boolean"
     )
 
 
@@ -147,16 +147,18 @@ def _distance(a: np.ndarray, b: np.ndarray, part: slice) -> np.ndarray:
 
 
 def vector_duplicates(
-    vectors: DataFrame, cosine: float = 0.93, block_dims: int = 16, grid: int = 3, seed: int = 11, block: int = 2048,
+    vectors: DataFrame, cosine: float = 0.93, block_dims: int = 16, grid: int = 2, seed: int = 11, block: int = 2048,
     id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast("array<double>").alias("vec"), F.col(label_col).alias("label"))
+    # 32-bit components travel as they are and are widened where they are compared
+    kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
+    v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).alias("label"))
     v = v.filter("vec_id is not null")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     # minus zero equals zero
-    v = v.withColumn("ok", usable).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    v = v.withColumn("ok", usable).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind[6:-1])))
     v = materialise(v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.sha1(F.to_json(F.struct("vec")))))
     same = ["label", "h1", "h2"]
     classes = v.filter("ok").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
