@@ -112,3 +112,29 @@ def address_class(ip: Column) -> Column:
     private = (a == 10) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168))
     kind = F.when(a == 127, "loopback").when((a == 169) & (b == 254), "link-local").when(private, "private").otherwise("public")
     return F.when(ip.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), kind)
+
+
+def provider_verdict(responses: DataFrame) -> DataFrame:
+    """Score and verdict from saved provider answers: pulses count ten each up to a hundred; a confidence is its own score."""
+    pulses, trust = F.col("pulses"), F.col("confidence")
+    score = F.when(trust.isNotNull(), trust.cast("double")).otherwise(F.least(F.lit(100.0), F.coalesce(pulses, F.lit(0)) * 10.0))
+    bad = F.when(trust.isNotNull(), trust >= 50).otherwise(pulses >= 5)
+    return responses.withColumn("score", score).withColumn("verdict", F.when(bad, "malicious").when(score > 0, "suspicious").otherwise("clean"))
+
+
+def nse_verdict(text: Column) -> Column:
+    """(vulnerable, severity) of a scan script's output: explicit negatives first, then positives, then severity words."""
+    low = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    some = lambda words: F.greatest(*(low.contains(w) for w in words)) if len(words) > 1 else low.contains(words[0])
+    hit = low.rlike("(?s)" + "|".join(f"(?:{p})" for p in P.NSE_POSITIVE)) | some(P.NSE_WORDS)
+    sev = None
+    for name, words in P.NSE_SEVERITY:
+        sev = F.when(some(words), name) if sev is None else sev.when(some(words), name)
+    bad = hit & ~some(P.NSE_NEGATIVE)
+    return F.struct(bad.alias("vulnerable"), F.when(bad, sev.otherwise("high")).otherwise("info").alias("severity"))
+
+
+def inside_patterns(values: DataFrame, indicators: DataFrame) -> DataFrame:
+    """(value, indicator): values that are one of the quoted literals of an indicator's pattern, as an equi-join."""
+    lit = indicators.select(F.col("id").alias("indicator"), F.explode(F.regexp_extract_all("pattern", F.lit("'([^']+)'"), F.lit(1))).alias("value"))
+    return values.select("value").distinct().join(lit.distinct(), "value")

@@ -48,3 +48,19 @@ def redact(rows: DataFrame, scope: str, order: str, text: str) -> DataFrame:
 
     d = rows.join(maps.withColumnRenamed("scope", scope), scope, "left")
     return d.withColumn("redacted", apply(clean(F.col(text)), F.col("_map"))).drop("_map")
+
+
+def remap(rows: DataFrame, text: str, mapping: dict[str, str]) -> DataFrame:
+    """Replaces whole tokens in one pass, the longest first; what was put in is not replaced again."""
+    import re
+
+    rx = "|".join(rf"(?<![\w.]){re.escape(k)}(?![\w])" for k in sorted(mapping, key=len, reverse=True))
+
+    @F.pandas_udf("string")
+    def apply(s: pd.Series) -> pd.Series:
+        import re
+
+        one = re.compile(rx)
+        return s.map(lambda t: t if t is None else one.sub(lambda m: mapping[m.group(0)], t))
+
+    return rows.withColumn(text, apply(F.col(text))) if mapping else rows

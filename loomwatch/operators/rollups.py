@@ -88,3 +88,11 @@ def store_query(rows: DataFrame, exact: dict[str, str], text: str | None = None,
             any_ = any_ | F.contains(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(text.lower()))
         rows = rows.filter(any_)
     return rows
+
+
+def run_header(findings: DataFrame) -> DataFrame:
+    """Per run: time window, hosts that were derived from lines, rule and model counts."""
+    return findings.groupBy("run_id").agg(
+        F.min("ts").alias("first"), F.max("ts").alias("last"), F.array_sort(F.collect_set(F.when(F.col("host_derived"), F.col("host")))).alias("hosts"),
+        F.count_if(F.col("source") == "model").alias("model"), F.count_if(F.col("source") != "model").alias("rules"),
+    )

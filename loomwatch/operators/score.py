@@ -62,3 +62,34 @@ def chunks(findings: DataFrame, line: str, keys: list[str], size: int = 25) -> D
     """Which chunks of lines hold findings, how many and which lines."""
     d = findings.withColumn("chunk", F.floor((F.col(line) - 1) / size))
     return d.groupBy(*keys, "chunk").agg(F.count("*").alias("findings"), F.min(line).alias("first_line"), F.max(line).alias("last_line"))
+
+
+def merged_recall(scorecards: DataFrame) -> DataFrame:
+    """Recall per rule and in total (rule_id null) over many scorecards, from summed pairs (hit, expected)."""
+    d = scorecards.rollup("rule_id").agg(F.sum("hit").alias("hit"), F.sum("expected").alias("expected"))
+    return d.withColumn("recall", ratio(F.col("hit"), F.col("expected")))
+
+
+def dropped_true(findings: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Findings that cite a labelled line and that a decision (finding, kept) dropped."""
+    return findings.join(decisions.filter(~F.col("kept")), "finding").filter("hits > 0")
+
+
+def inventory(lines: DataFrame, text: str, key: str) -> DataFrame:
+    """(key, value): addresses and quoted user names of each log set."""
+    from loomwatch.functions import patterns as P
+
+    each = F.concat(F.regexp_extract_all(text, F.lit(P.IOC_IP), F.lit(0)), F.regexp_extract_all(text, F.lit("user '([^']+)'"), F.lit(1)))
+    return lines.select(key, F.explode(each).alias("value")).distinct()
+
+
+def shared_values(inventories: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    """Values that both sets hold; disjoint sets have none."""
+    side = lambda k: inventories.filter(F.col(key) == k).select("value")
+    return side(a).intersect(side(b))
+
+
+def severity_mismatch(found: DataFrame, expected: DataFrame) -> DataFrame:
+    """Findings that agree in rule and entity but not in severity."""
+    a, b = found.select("rule", "entity", F.col("severity").alias("found")), expected.select(F.col("rule").alias("_r"), F.col("entity").alias("_e"), F.col("severity").alias("expected"))
+    return a.join(b, (F.col("rule") == F.col("_r")) & F.col("entity").eqNullSafe(F.col("_e"))).filter(F.lower("found") != F.lower("expected")).drop("_r", "_e")

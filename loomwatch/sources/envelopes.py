@@ -199,11 +199,42 @@ def generic(lines: DataFrame) -> DataFrame:
     return finish(d, "generic", ts, level_from_text(F.col("raw")), F.lit(None).cast("string"), F.col("raw"))
 
 
+def forwarded(lines: DataFrame, base_year: Column | int = 1970) -> DataFrame:
+    """Forwarded syslog with a ``|PRI|`` envelope: a date inside the message wins over the header's, a level word over PRI."""
+    d = lines.filter(F.col("raw").rlike(P.FORWARDED)).withColumn("_m", month_number(F.regexp_extract("raw", P.FORWARDED, 2)))
+    d = with_year(d.filter("_m is not null"), F.lit(base_year) if isinstance(base_year, int) else base_year, "_m")
+    g = {k: F.regexp_extract("raw", P.FORWARDED, k) for k in range(1, 7)}
+    proc, pid, msg = process_parts(g[6])
+    inside = F.try_to_timestamp(F.concat(F.regexp_extract(msg, P.EMBEDDED_TIME, 1), F.lit(" "), F.regexp_extract(msg, P.EMBEDDED_TIME, 2)))
+    word = F.nullif(F.regexp_extract(msg, P.LEVEL_TOKEN, 1), F.lit(""))
+    named = F.when(word.rlike("^(EMERG|ALERT|CRIT|FATAL)"), "CRIT").when(word.startswith("ERR"), "ERROR").when(word.startswith("WARN"), "WARN").when(word.isin("NOTICE") | word.startswith("INFO"), "INFO").when(word == "DEBUG", "DEBUG")
+    pri = g[1].cast("int")
+    by_pri = F.when(pri <= 191, lookup(dict(enumerate(P.FORWARDED_LEVELS)), F.pmod(pri, F.lit(8)))).otherwise("UNKNOWN")
+    return finish(d, "forwarded", F.coalesce(inside, stamp(F.col("_year"), F.col("_m"), g[3], g[4])), F.coalesce(named, by_pri), g[5], msg, proc, pid)
+
+
+def datagram(text: Column, sender: Column) -> Column:
+    """(pri, facility, severity, host, host_given, message) of one syslog datagram in either format; without a host the
+    sender stands in and ``host_given`` is false. For batch and streaming frames alike."""
+    has = text.rlike(r"^<\d{1,3}>")
+    pri = F.when(has, F.regexp_extract(text, r"^<(\d{1,3})>", 1).cast("int"))
+    body = F.regexp_replace(text, r"^<\d{1,3}>", "")
+    new = r"^\d\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(\S+)\s+(?:-|(?:\[[^\]]*\])+)\s*(.*)$"
+    given = F.nullif(F.when(body.rlike(new), F.regexp_extract(body, new, 2)).when(body.rlike(P.RFC3164), F.regexp_extract(body, P.RFC3164, 4)), F.lit("-"))
+    msg = F.when(body.rlike(new), F.regexp_extract(body, new, 6)).when(body.rlike(P.RFC3164), F.regexp_extract(body, P.RFC3164, 5)).otherwise(body)
+    known = pri <= 191
+    return F.struct(
+        pri.alias("pri"), F.when(known, lookup(dict(enumerate(P.SYSLOG_FACILITIES)), F.floor(pri / 8).cast("int"))).alias("facility"),
+        F.when(known, lookup(dict(enumerate(P.SYSLOG_SEVERITIES)), F.pmod(pri, F.lit(8)))).alias("severity"),
+        F.coalesce(given, sender).alias("host"), given.isNotNull().alias("host_given"), msg.alias("message"),
+    )
+
+
 #: name -> parser; extend with register().
 PARSERS: dict[str, Callable[[DataFrame], DataFrame]] = {
     "canonical": canonical, "rfc3164": rfc3164, "iso8601": iso8601, "rfc5424": rfc5424, "jsonlog": jsonlog, "logcat": logcat,
     "apache": apache, "zookeeper": log4j, "hadoop": log4j, "spark": log4j, "hdfs": log4j, "openstack": log4j, "bgl": bgl,
-    "thunderbird": thunderbird, "proxifier": proxifier, "windows_cbs": windows_cbs, "unknown": generic,
+    "forwarded": forwarded, "thunderbird": thunderbird, "proxifier": proxifier, "windows_cbs": windows_cbs, "unknown": generic,
 }
 
 

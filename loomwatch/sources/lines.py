@@ -58,6 +58,7 @@ def file_encodings(spark: SparkSession, path: str, prefix: int = 65_536) -> Data
 #: (format, what a line looks like, least share of the first lines), in order of priority.
 SNIFFERS: list[tuple[str, str, float]] = [
     ("auth_csv", r"(?i)^[^,]*time[^,]*,.*(ip_address|src_ip|source_ip|client_ip).*status.*$", 0.0),
+    ("forwarded", P.FORWARDED, 0.5),
     ("logcat", P.LOGCAT, 2 / 3),
     ("rfc5424", P.RFC5424, 0.5),
     ("iso8601", P.ISO_SYSLOG.replace(r")\s+(\S+)\s+(.*)$", rf")\s+(?!(?:{P.LEVEL_WORDS})\s)(\S+)\s+(.*)$"), 0.5),
@@ -94,6 +95,19 @@ def sniff(lines: DataFrame, probe: int = 50) -> DataFrame:
     )
 
 
+def universal_format(files: DataFrame, head: str = "head") -> DataFrame:
+    """(run_id, format) by suffix, then by what the first kilobytes look like. In: (run_id, head)."""
+    path, t = F.lower("run_id"), F.trim(head)
+    lines = F.size(F.regexp_extract_all(t, F.lit(r"(?m)^\s*\{.*\}\s*$"), F.lit(0)))
+    by_text = (
+        F.when(t.rlike(r"(?is)^(<\?xml[^>]*>\s*)?<(events?|event)\b"), "evtx_xml").when(t.rlike(r"(?is)^<(!doctype\s+html|html)\b"), "html").when(t.startswith("<"), "xml")
+        .when(lines >= 2, "jsonl").when(t.rlike(r"^[\[{]"), "json").when(t.rlike(r"(?im)^\s*EventCode\s*="), "windows_text").when(t.rlike("(?m)" + P.WINDOWS_CBS.replace("(?i)", "(?i)")), "windows_cbs")
+        .when(t.rlike(r"^[^\n,;\t|]+([,;\t|][^\n,;\t|]+){2,}\n"), "csv").otherwise("text")
+    )
+    by_suffix = F.when(path.endswith(".evtx"), "evtx").when(path.rlike(r"\.html?$"), "html").when(path.rlike(r"\.(jsonl|ndjson)$"), "jsonl").when(path.endswith(".csv"), "csv").when(path.endswith(".tsv"), "csv")
+    return files.select("run_id", F.when(t == "", "empty").otherwise(F.coalesce(by_suffix, by_text)).alias("format"))
+
+
 def accept_native(native: DataFrame, universal: DataFrame, coverage: DataFrame, least: float = 0.6) -> DataFrame:
     """Native records of runs whose parsed share reaches ``least``, the universal parser's for the others."""
     good = coverage.filter((F.col("total") > 0) & (F.col("parsed") >= F.col("total") * least)).select("run_id")

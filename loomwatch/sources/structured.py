@@ -197,3 +197,23 @@ def saved_runs(spark: SparkSession, path: str) -> DataFrame:
 
 def message_level(rows: DataFrame) -> DataFrame:
     return rows.withColumn("level", level_from_text(F.coalesce("msg", F.lit(""))))
+
+
+def vendor_events(rows: DataFrame, column: str = "json") -> DataFrame:
+    """A row per event of vendor payloads (under ``events``, ``data`` or ``items``, or the payload itself): raw with sorted keys."""
+    lists = [F.from_json(F.get_json_object(column, f"$.{w}"), "array<string>") for w in ("events", "data", "items")]
+    keep = [c for c in rows.columns if c != column]
+    d = rows.select(*keep, F.explode(F.coalesce(*lists, F.array(F.col(column)))).alias("_e"))
+    entries = F.array_sort(F.map_entries(F.from_json("_e", "map<string,string>")))
+    return d.select(*keep, F.to_json(F.map_from_entries(entries)).alias("raw"), F.from_json("_e", "map<string,string>").alias("fields"))
+
+
+def splunk_export(lines: DataFrame) -> DataFrame:
+    """(run_id, n, raw, fields) of exported search results: the object under ``result`` if there is one."""
+    inner = F.coalesce(F.get_json_object("raw", "$.result"), F.col("raw"))
+    return lines.select("run_id", "n", "raw", F.from_json(inner, "map<string,string>").alias("fields")).filter("fields is not null")
+
+
+def xml_entries(spark: SparkSession, path: str, schema: str, tag: str = "entry") -> DataFrame:
+    """Flat entries of a vendor's XML log export."""
+    return spark.read.schema(schema).format("xml").option("rowTag", tag).load(path)

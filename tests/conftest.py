@@ -1,5 +1,10 @@
+import os
+import sys
+
 import pytest
 
+sys.path.insert(0, os.path.dirname(__file__))
+
 from loomwatch.session import get_session
 
 
