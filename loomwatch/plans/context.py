@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwatch.functions import patterns as P
-from loomwatch.operators import enrich, incidents as I, infra, intel, investigate, retrieval, score, triage
+from loomwatch.operators import enrich, infra, intel, investigate, retrieval, score, triage
 from loomwatch.plans.ingest import _events, _rx
 from loomwatch.session import table
 from loomwatch.sources.envelopes import lookup
