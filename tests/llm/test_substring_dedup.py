@@ -69,3 +69,16 @@ def test_loser_tree_never_breaks_order():
         assert [(k, t, i) for _, k, t, i in got] == sorted(rows)
         for (_, x, _, _), (h, y, _, _) in zip(got, got[1:]):
             assert h == sd.common_prefix(x, y)
+
+
+def test_cut_repeats_keeps_columns_and_characters(spark):
+    rng = random.Random(11)
+    docs = corpus(rng, 30, "abcdé ", ["".join(rng.choice("abcdé ") for _ in range(90))])
+    rows = [(k, t, len(t), "s") for k, t in docs] + [(99, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, source string").repartition(3)
+    got = {r.doc_id: r for r in sd.cut_repeats(df, 40, 8).collect()}
+    want = {r.doc_id: r for r in sd.substring_dedup(df, 40, 8, with_text=True).collect()}
+    assert len(got) == len(rows) and got[99].text is None
+    for k, t, n, s in rows[:-1]:
+        assert (got[k].text, got[k].n_chars, got[k].source) == (want[k].kept, len(want[k].kept), s)
+    assert sum(r.n_removed for r in want.values()) > 500
