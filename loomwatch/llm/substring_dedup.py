@@ -97,12 +97,14 @@ def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
         for b in text_slices(batches, 2 << 20):
             doc, *cols = anchors_of(*text_bytes(b.column("text")), length, gram)
             pick = pa.array(doc)
+            _, inverse, count = np.unique(cols[0], return_inverse=True, return_counts=True)
+            multi = count[inverse] > 1 if len(doc) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
-                [b.column("dk").take(pick), b.column("uid").take(pick), *(pa.array(c) for c in cols)],
-                ["dk", "uid", "kh", "a", "w1", "w2"],
+                [b.column("dk").take(pick), b.column("uid").take(pick), *(pa.array(c) for c in cols), pa.array(multi)],
+                ["dk", "uid", "kh", "a", "w1", "w2", "multi"],
             )
 
-    return docs.select("dk", "uid", "text").mapInArrow(run, "dk long, uid long, kh long, a long, w1 long, w2 long")
+    return docs.select("dk", "uid", "text").mapInArrow(run, "dk long, uid long, kh long, a long, w1 long, w2 long, multi boolean")
 
 
 def contexts(docs: DataFrame, kept: DataFrame, length: int) -> DataFrame:
@@ -323,7 +325,9 @@ def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32) -> Data
     parts = partitions_for(spark)
     found = materialise(anchors(docs, length, gram))
     twice = found.groupBy("kh").agg(F.count("*").alias("_n")).filter("_n > 1").select("kh")
-    ctx = materialise(contexts(docs, found.join(twice, "kh"), length))
+    # a gram met twice in one slice is known to repeat; only the others look it up, at most one row a slice and gram
+    kept = found.filter("multi").unionByName(found.filter("not multi").join(twice, "kh")).drop("multi")
+    ctx = materialise(contexts(docs, kept, length))
     ids = ["dk", "uid", "a", "w1", "w2"]
     by_right = merge_sort(ctx.select(F.col("right").alias("key"), F.col("left").alias("tie"), *ids), parts)
     grams = F.substring("right", 1, gram)
