@@ -39,6 +39,15 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The rows, each with a number of its own, and the name of its column. They are written once: every later read meets the
+    same numbers, also where ids repeat or are null."""
+    name, taken = "_row", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id())), name
+
+
 def text_or_empty(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) of every row; a null text counts as empty. Other columns are left behind."""
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -1,6 +1,6 @@
 """Near duplicates by word-shingle Jaccard similarity: MinHash LSH forest, then exact verification.
 
-1. Texts with equal sets of five-word shingles form a class; only its smallest doc_id goes on.
+1. Texts with equal sets of five-word shingles form a class; only its first row goes on.
 2. Every class gets L trees of MinHash prefixes. A forest matches on the longest prefixes first and shortens them
    until the expected recall at the threshold reaches the target: a pair of similarity s is met at depth d with
    probability 1 - (1 - s^d)^L, so the depth is the largest d whose recall still reaches the target, and all
@@ -15,8 +15,8 @@ Words are runs of bytes outside ``[\\x20\\x09-\\x0D]`` with A-Z lowered; shingle
 
 Defined results: null counts as empty; a text without words has no shingles, links with nothing and is its own
 class; a text of one to four words has one shingle, all its words; equal texts are linked; a tie goes to the
-smallest doc_id; repeated rows of a doc_id count as copies; rows with a null doc_id are left out; an empty table
-gives no rows; extra columns are ignored (``near_duplicates``) or passed through (``keep_one``).
+smallest doc_id (null last), then to the first row; rows are told apart by a number of their own, so rows of a repeated or null
+doc_id are compared like any others and exactly one row of a class is kept; an empty table gives no rows; extra columns are ignored (``near_duplicates``) or passed through (``keep_one``).
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomwatch.llm.common import materialise, text_or_empty, text_slices
+from loomwatch.llm.common import materialise, text_slices, with_rows
 from loomwatch.llm.graph import connected_components, spanning_edges
 from loomwatch.llm.groups import in_blocks, map_groups
 from loomwatch.llm.words import mix, shingle_sets, text_bytes
@@ -42,7 +42,7 @@ def depth_for(threshold: float, trees: int, recall: float, deepest: int = 16) ->
 
 
 def signatures(docs: DataFrame, size: int, trees: int, depth: int, seed: int) -> DataFrame:
-    """doc_id, n (distinct shingles), h1, h2 (of the set), keys (one bucket per tree), sig (bytes of uint32)."""
+    """doc_id, row, n (distinct shingles), h1, h2 (of the set), keys (one bucket per tree), sig (bytes of uint32)."""
     width = trees * depth
     rng = np.random.default_rng(seed)
     mul = (rng.integers(0, 1 << 32, width, dtype=np.uint64) | 1).astype(np.uint32)
@@ -69,28 +69,26 @@ def signatures(docs: DataFrame, size: int, trees: int, depth: int, seed: int) ->
             rows = np.arange(b.num_rows + 1, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
-                    b.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
+                    b.column("doc_id"), b.column("row"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(rows * trees, pa.int32()), flat),
                     pa.array([r.tobytes() for r in sig], pa.binary()),
                 ],
-                ["doc_id", "n", "h1", "h2", "keys", "sig"],
+                ["doc_id", "row", "n", "h1", "h2", "keys", "sig"],
             )
 
-    return text_or_empty(docs).filter("doc_id is not null").mapInArrow(
-        run, "doc_id long, n long, h1 long, h2 long, keys array<long>, sig binary"
-    )
+    return docs.mapInArrow(run, "doc_id long, row long, n long, h1 long, h2 long, keys array<long>, sig binary")
 
 
 def shingles_of(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, set (bytes of sorted uint64)."""
+    """row, set (bytes of sorted uint64)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
             bounds, h = shingle_sets(*text_bytes(b.column("text")), size)
             sets = [h[s:e].tobytes() for s, e in zip(bounds[:-1], bounds[1:])]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(sets, pa.binary())], ["row", "set"])
 
-    return docs.mapInArrow(run, "doc_id long, set binary")
+    return docs.mapInArrow(run, "row long, set binary")
 
 
 def _sides(t: pa.Table) -> tuple[np.ndarray, int, int]:
@@ -184,16 +182,27 @@ def near_duplicates(
     block: int = 512,
 ) -> DataFrame:
     """One row per row: doc_id, class_id (smallest doc_id reachable by links), n_links, n_copies, kept."""
+    rows, row = with_rows(docs.select("doc_id", "text"))
+    return verdicts(rows, row, threshold, size, trees, recall, seed, block).drop("row")
+
+
+def verdicts(
+    rows: DataFrame, row: str, threshold: float = 0.8, size: int = 5, trees: int = 32, recall: float = 0.9999, seed: int = 7,
+    block: int = 512,
+) -> DataFrame:
+    """The rows of ``near_duplicates`` with their number, named ``row``, which the written ``rows`` hold in the column ``row``."""
+    docs = rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col(row).alias("row"))
     depth = depth_for(threshold, trees, recall)
     sig = materialise(signatures(docs, size, trees, depth, seed))
     has = sig.filter("n > 0")
     same = ["n", "h1", "h2"]
-    classes = materialise(has.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    one = sig.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").filter("n > 0").dropDuplicates(["doc_id"])
-    buckets = one.select(F.col("doc_id").alias("rep"), F.explode("keys").alias("key"))
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
+    classes = materialise(has.groupBy(*same).agg(F.min("row").alias("rep"), best, F.count("*").alias("copies")))
+    one = sig.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    buckets = one.select(F.col("row").alias("rep"), F.explode("keys").alias("key"))
     held = buckets.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("members")).filter("m > 1")
     held = held.groupBy("m", "members").agg(F.min("key").alias("key"))
-    cand = buckets.join(held.select("key", "m"), "key").join(one.select(F.col("doc_id").alias("rep"), "sig"), "rep")
+    cand = buckets.join(held.select("key", "m"), "key").join(one.select(F.col("row").alias("rep"), "sig"), "rep")
     deviation = (threshold * (1 - threshold) / (trees * depth)) ** 0.5
     near = map_groups(
         in_blocks(cand, ["key"], "m", "rep", block), ["key", "_i", "_j"], _estimate(max(0.0, threshold - 7 * deviation)), "a long, b long"
@@ -201,28 +210,32 @@ def near_duplicates(
     comp = materialise(connected_components(near))
     counted = comp.groupBy("component").agg(F.count("*").alias("m"))
     wanted = comp.join(counted, "component").join(classes.select(F.col("rep").alias("id"), "copies"), "id")
-    texts = text_or_empty(docs).join(comp.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = shingles_of(texts, size).join(wanted.withColumnRenamed("id", "doc_id"), "doc_id").withColumnRenamed("doc_id", "rep")
+    texts = docs.join(comp.select(F.col("id").alias("row")), "row", "left_semi")
+    sets = shingles_of(texts, size).join(wanted.withColumnRenamed("id", "row"), "row").withColumnRenamed("row", "rep")
     found = materialise(
         map_groups(in_blocks(sets, ["component"], "m", "rep", block), ["component", "_i", "_j"], _verify(threshold), "rep long, links long, root long")
     )
     final = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    member = final.select(F.col("id").alias("rep"), "component")
+    heads = classes.join(member, "rep").groupBy("component").agg(F.min("best").alias("head"))
     by_class = (
         classes.join(links, "rep", "left")
-        .join(final.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select(*same, F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+        .join(member.join(heads, "component").select("rep", "head"), "rep", "left")
+        .select(*same, F.coalesce("head", "best").alias("head"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     )
-    return sig.select("doc_id", *same).join(by_class, same, "left").select(
+    return sig.select("doc_id", "row", *same).join(by_class, same, "left").select(
         "doc_id",
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n") > 0, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
-        F.coalesce(F.col("class_id") == F.col("doc_id"), F.lit(True)).alias("kept"),
+        F.coalesce(F.col("head.row") == F.col("row"), F.lit(True)).alias("kept"),
+        "row",
     )
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` with the smallest doc_id of each near-duplicate class; rows with a null id stay."""
-    gone = near_duplicates(docs, **options).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of ``docs`` of each near-duplicate class, that of the smallest doc_id, with all its columns."""
+    rows, row = with_rows(docs)
+    gone = verdicts(rows, row, **options).filter("not kept").select(F.col("row").alias("_gone"))
+    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)

@@ -11,7 +11,7 @@ hash; this bounds what reaches the driver. Every document is scored, in whole. I
 
 Defined results: null counts as empty; an empty text has all features zero and is scored like any other; repeated rows get
 equal scores; without labels of both kinds every score is the prior (0.5 if there are no labels); an empty table
-gives no rows; extra columns are ignored (``score_documents``) or passed through (``keep_good``).
+gives no rows; rows are judged by their own text, whatever their ids; extra columns are ignored (``score_documents``) or passed through (``keep_good``).
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from loomwatch.llm.common import materialise, text_slices
+from loomwatch.llm.common import text_slices
 from loomwatch.llm.words import Words, text_bytes
 
 _CLASS = np.zeros(256, np.int64)  # 0 other
@@ -208,6 +209,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
-    """The rows that the classifier accepts, with all their columns; rows of a null doc_id stay."""
-    bad = score_documents(docs, labels, threshold, **options).filter("predicted = 0").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(materialise(bad), docs["doc_id"] == F.col("_gone"), "left_anti")
+    """The rows that the classifier accepts, with all their columns, in one pass."""
+    model, prior = train(docs, labels, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, 2 << 20):
+            s = model.score(features(*text_bytes(pc.fill_null(b.column("text"), "")))) if model else np.full(b.num_rows, prior)
+            yield b.filter(pa.array(s >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
