@@ -39,12 +39,28 @@ def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def squeeze(a: np.ndarray) -> bytes:
+    """The array's bytes, compressed, behind their length."""
+    raw = a.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def restore(b: bytes, dtype: str) -> np.ndarray:
+    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), dtype)
+
+
 def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """The rows, each with a number of its own, and the name of its column. They are written once: every later read meets the
     same numbers, also where ids repeat or are null."""
-    name, taken = "_row", {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
+    name = free_name(docs, "_row")
     return materialise(docs.withColumn(name, F.monotonically_increasing_id())), name
 
 

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from loomwatch.llm.common import materialise, partitions_for, text_slices
+from loomwatch.llm.common import materialise, partitions_for, restore, squeeze, text_slices
 from loomwatch.llm.groups import by_group
 from loomwatch.llm.words import _LOWER, Words, mix, text_bytes
 
@@ -43,16 +43,6 @@ ROWS = (
 WORD, CONTEXT, LOW, TEXTS = 0, 1, 2, 3  # kinds of rows
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    """The array's bytes, compressed, behind their length."""
-    raw = a.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
-
-
-def restore(b: bytes, dtype: str) -> np.ndarray:
-    return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), dtype)
-
-
 def steps(a: np.ndarray, dtype: str) -> bytes:
     """An array as differences (they wrap), which ascending numbers make small."""
     a = a.astype(dtype)

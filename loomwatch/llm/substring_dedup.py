@@ -5,55 +5,77 @@ leftmost of its ``gram``-byte strings with the smallest hash; equal windows have
 anchor whose gram occurs once in the corpus answers for windows that occur once, and only anchors with a repeated
 gram go on, with the text to their right and left that their windows cover.
 
-Sort: tasks sort runs of anchor suffixes, cut them at splitters, and exchange them front-coded (common prefix
-length with the row before, then the rest). The receiver merges the runs of its range with a loser tree that keeps for
-each run the common prefix with the last row put out, compares only from there on, and yields every row with its
-common prefix. Rows of one hot string are ordered by what follows, and at last by row, so that splitters divide
-them. The first and last row of a range meet their neighbours in a pass over one pair of rows per range.
+Sort: tasks sort runs of anchor suffixes and exchange them front-coded (common prefix length with the row before, then
+the rest). Suffixes are ordered by the hash of their gram, then by their bytes, so that ranges of equal width hold equally many
+grams and their number follows from the row count. The receiver merges the runs of its range with a loser tree that keeps for
+each run the common prefix with the last row put out, compares only from there on, and yields every row with its common prefix.
 
-The right contexts are sorted, then the reversed left contexts. A neighbour in either order gives pairs of
-extensions (left, right) that prove windows repeated, and the largest extensions bound what can be. Where proof
-and bound differ, the windows between are settled by counting their 128-bit hashes.
+A window at offset o before its anchor is repeated if another anchor of the gram agrees with it on o bytes to the left and
+``length`` - o to the right. The receiver settles this from the order alone: neighbouring ranges of a gram are united by falling
+common prefix, and where a row of the smaller range falls into the left order of the larger one, the two beside it
+give the pairs (left, right) of extensions that no other pair exceeds. Nothing but runs of repeated windows leaves the task.
+
+Grams with more than ``hot`` anchors do not meet in one task. Their rows are sorted as ranges cut at splitters, once by the
+right and once by the left; neighbours prove windows repeated and bound what can be. What proof and bound leave open is
+settled by counting 128-bit digests, which a row shows only where it differs from the row before it in right order.
 
 Defined results: null counts as empty; texts shorter than ``length`` keep everything; overlapping copies count, in one
-text too; repeated rows are copies of each other; rows with null doc_ids take part; an empty table gives no rows; extra
-columns are ignored (``repeated_spans``) or passed through (``cut_repeats``).
+text too; repeated rows are copies of each other; rows with null doc_ids take part; a very long text is hashed in chunks and
+its anchors travel like any others; an empty table gives no rows; extra columns, whatever their names, are ignored
+(``repeated_spans``) or passed through (``cut_repeats``).
 """
 
 from __future__ import annotations
 
 import bisect
 import hashlib
-import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomwatch.llm.common import materialise, partitions_for, text_slices
+from loomwatch.llm.common import free_name, materialise, partitions_for, restore, shared_dir, squeeze, text_slices
 from loomwatch.llm.words import mix, text_bytes
 
-POS_BITS = 28
+POS_BITS = 18
+CHUNK = (1 << 17) - 1024
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
-def with_uid(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and (dk, uid), a key that only equal rows share."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return d.withColumn("dk", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long"))).withColumn("uid", F.xxhash64("doc_id", "text"))
+def numbered(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a number of their own, written once, in buckets by it: joins by the number move no text."""
+    spark = docs.sparkSession
+    n = max(partitions_for(spark), -(-docs.count() // 16_000))
+    name = f"loomwatch_{uuid.uuid4().hex}"
+    (
+        docs.withColumn(row, F.monotonically_increasing_id())
+        .repartition(n, row)
+        .write.bucketBy(n, row)
+        .option("path", f"{shared_dir(spark).rstrip('/')}/{name}")
+        .option("compression", "zstd")
+        .saveAsTable(name)
+    )
+    return spark.table(name)
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on (a power of two), by doubling."""
-    h = mix(data.astype(np.uint64) + np.uint64(1))
+    h = _BYTES[data]
     step, mul = 1, np.uint64(0x9E3779B97F4A7C15)
     while step < gram:
         if len(h) <= step:
             return np.zeros(0, np.uint64)
-        h = h[:-step] * mul + h[step:]
+        left = h[:-step] * mul
+        left += h[step:]
+        h = left
         mul = mul * mul * np.uint64(0x2545F4914F6CDD1D)
         step *= 2
-    return mix(h)
+    h = h ^ (h >> np.uint64(29))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
@@ -66,72 +88,71 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text index, gram hash, anchor, first window, last window), positions within the text."""
-    none = (np.zeros(0, np.int64),) * 5
-    if len(data) < length:
-        return none
-    h = gram_hashes(data, gram)
+    """(text index, gram hash, anchor within the text, its smallest and its largest offset in a window), chunk by chunk."""
     low = np.uint64((1 << POS_BITS) - 1)
-    v = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    at = (sliding_min(v, length - gram + 1) & low).astype(np.int64)
     sizes = np.diff(offsets)
-    valid = np.zeros(len(at) + 1, np.int64)
+    valid = np.zeros(len(data) + 1, np.int32)  # windows that lie in one text
     ok = sizes >= length
     np.add.at(valid, offsets[:-1][ok], 1)
     np.add.at(valid, offsets[1:][ok] - length + 1, -1)
-    win = np.flatnonzero(valid[:-1].cumsum() > 0)
-    if not len(win):
-        return none
-    a = at[win]
-    new = np.ones(len(win), bool)
-    new[1:] = (a[1:] != a[:-1]) | (win[1:] != win[:-1] + 1)
+    valid = valid.cumsum()[:-1] > 0 if len(data) else valid[:0]
+    found: list[list[np.ndarray]] = [[], [], [], []]
+    at0 = np.arange(CHUNK + length, dtype=np.uint64)
+    for s in range(0, len(data) - length + 1, CHUNK):
+        h = gram_hashes(data[s : s + CHUNK + length - 1], gram)
+        v = (h & ~low) | at0[: len(h)]
+        at = (sliding_min(v, length - gram + 1) & low).astype(np.int64)
+        win = np.flatnonzero(valid[s : s + len(at)])
+        if not len(win):
+            continue
+        a = at[win]
+        new = np.ones(len(win), bool)
+        new[1:] = (a[1:] != a[:-1]) | (win[1:] != win[:-1] + 1)
+        starts = np.flatnonzero(new)
+        first, last, a = win[starts], win[np.append(starts[1:], len(win)) - 1], a[starts]
+        for col, x in zip(found, (h[a], a + s, first + s, last + s)):
+            col.append(x)
+    if not found[0]:
+        return (np.zeros(0, np.int64),) * 5
+    kh, a, first, last = (np.concatenate(c) for c in found)
+    new = np.ones(len(a), bool)  # an anchor whose windows lie in two chunks is one
+    new[1:] = (a[1:] != a[:-1]) | (first[1:] != last[:-1] + 1)
     starts = np.flatnonzero(new)
-    first, last, a = win[starts], win[np.append(starts[1:], len(win)) - 1], a[starts]
+    kh, a, first, last = kh[starts], a[starts], first[starts], last[np.append(starts[1:], len(a)) - 1]
     doc = np.searchsorted(offsets, first, "right") - 1
-    doc_start = offsets[doc]
-    return doc, h[a].view(np.int64), a - doc_start, first - doc_start, last - doc_start
+    return doc, kh.view(np.int64), a - offsets[doc], a - last, a - first
 
 
 def anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """row, kh, a, o1, o2, multi (met again in the same slice of texts)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 2 << 20):
-            doc, *cols = anchors_of(*text_bytes(b.column("text")), length, gram)
-            pick = pa.array(doc)
-            _, inverse, count = np.unique(cols[0], return_inverse=True, return_counts=True)
+        for b in text_slices(batches, 8 << 20):
+            doc, kh, *cols = anchors_of(*text_bytes(b.column("text")), length, gram)
+            _, inverse, count = np.unique(kh, return_inverse=True, return_counts=True)
             multi = count[inverse] > 1 if len(doc) else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays(
-                [b.column("dk").take(pick), b.column("uid").take(pick), *(pa.array(c) for c in cols), pa.array(multi)],
-                ["dk", "uid", "kh", "a", "w1", "w2", "multi"],
+                [b.column("row").take(pa.array(doc)), pa.array(kh), *(pa.array(c.astype(np.int32)) for c in cols), pa.array(multi)],
+                ["row", "kh", "a", "o1", "o2", "multi"],
             )
 
-    return docs.select("dk", "uid", "text").mapInArrow(run, "dk long, uid long, kh long, a long, w1 long, w2 long, multi boolean")
+    return docs.select("row", "text").mapInArrow(run, "row long, kh long, a int, o1 int, o2 int, multi boolean")
 
 
-def contexts(docs: DataFrame, kept: DataFrame, length: int) -> DataFrame:
-    """Anchors with the text to their left (reversed) and right that their windows cover."""
-    lists = kept.groupBy("dk", "uid").agg(F.collect_list(F.struct("kh", "a", "w1", "w2")).alias("xs"))
+def with_anchors(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """row, text, xs: documents that hold such anchors. Only the anchors move: the texts lie in buckets by row."""
+    return docs.select("row", "text").join(kept.groupBy("row").agg(F.collect_list(F.struct("kh", "a", "o1", "o2")).alias("xs")), "row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                out: list[list] = [[] for _ in range(8)]
-                for dk, uid, text, xs in zip(*(b.column(c).to_pylist() for c in ("dk", "uid", "text", "xs"))):
-                    data = text.encode()
-                    for x in {(x["kh"], x["a"], x["w1"], x["w2"]) for x in xs}:
-                        kh, a, w1, w2 = x
-                        for col, v in zip(out, (dk, uid, kh, a, w1, w2, data[a : w2 + length], data[w1:a][::-1])):
-                            col.append(v)
-                kinds = [pa.int64()] * 6 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["dk", "uid", "kh", "a", "w1", "w2", "right", "left"])
-
-    return docs.select("dk", "uid", "text").join(lists, ["dk", "uid"]).mapInArrow(
-        run, "dk long, uid long, kh long, a long, w1 long, w2 long, right binary, left binary"
-    )
 
+def context_rows(b: pa.RecordBatch, length: int) -> Iterator[tuple[bytes, bytes, tuple[int, ...], int]]:
+    """(text to the right of each anchor, to its left (reversed), (row, a, o1, o2), gram hash)."""
+    for k in range(b.num_rows):
+        data, row, xs = b.column("text")[k].as_py().encode(), b.column("row")[k].as_py(), b.column("xs")[k].values
+        for kh, a, o1, o2 in zip(*(xs.field(c).to_pylist() for c in ("kh", "a", "o1", "o2"))):
+            yield data[a : a - o1 + length], data[a - o2 : a][::-1], (row, a, o1, o2), kh
 
-# --- the merge sort -------------------------------------------------------------------------------------------
 
-ROW = struct.Struct("<HHH5q")  # common prefix, rest of key, rest of tie; dk, uid, a, w1, w2
+# --- the merge sort -------------------------------------------------------------------------------------------
 
 
 def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
@@ -150,35 +171,48 @@ def common_prefix(a: bytes, b: bytes, at: int = 0) -> int:
 
 
 def front_code(rows: list[tuple[bytes, bytes, tuple]]) -> bytes:
-    """Sorted (key, tie, ids) rows: each key without the prefix that it shares with the key before."""
-    out, before = [], b""
+    """Sorted (key, tie, ids) rows: each key without the prefix that it shares with the key before, and likewise a tie
+    where the keys are equal. Numbers and bytes lie apart, compressed."""
+    numbers, keys, ties = [], [], []
+    before, last = b"", b""
     for key, tie, ids in rows:
         p = common_prefix(before, key)
-        out.append(ROW.pack(p, len(key) - p, len(tie), *ids))
-        out.append(key[p:])
-        out.append(tie)
-        before = key
-    return b"".join(out)
+        t = common_prefix(last, tie) if key == before else 0
+        numbers.append((p, len(key) - p, t, len(tie) - t, *ids))
+        keys.append(key[p:])
+        ties.append(tie[t:])
+        before, last = key, tie
+    parts = [squeeze(np.array(c, "<i8")) for c in zip(*numbers)] + [squeeze(np.frombuffer(b"".join(x), "u1")) for x in (keys, ties)]
+    return b"".join(len(p).to_bytes(8, "little") + p for p in parts)
 
 
 class Run:
     """Reads a front-coded run row by row; ``h`` is the common prefix of the row with the row read before."""
 
-    __slots__ = ("data", "at", "key", "tie", "ids", "h", "done")
+    __slots__ = ("numbers", "keys", "ties", "at", "ties_at", "key", "tie", "ids", "h", "done")
 
     def __init__(self, data: bytes):
-        self.data, self.at, self.key, self.done, self.tie, self.ids = data, 0, b"", False, b"", ()
+        parts, at = [], 0
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 8], "little")
+            parts.append(data[at + 8 : at + 8 + n])
+            at += 8 + n
+        self.numbers = zip(*(restore(p, "<i8").tolist() for p in parts[:-2]))
+        self.keys, self.ties = (restore(p, "u1").tobytes() for p in parts[-2:])
+        self.at = self.ties_at = 0
+        self.key, self.tie, self.ids, self.done = b"", b"", (), False
         self.step()
 
     def step(self) -> None:
-        if self.at >= len(self.data):
+        got = next(self.numbers, None)
+        if got is None:
             self.done = True
             return
-        p, rest, tie, *ids = ROW.unpack_from(self.data, self.at)
-        s = self.at + ROW.size
-        self.key = self.key[:p] + self.data[s : s + rest]
-        self.tie = self.data[s + rest : s + rest + tie]
-        self.ids, self.h, self.at = tuple(ids), p, s + rest + tie
+        p, rest, t, tie, *ids = got
+        s, e = self.at, self.ties_at
+        self.key = self.key[:p] + self.keys[s : s + rest]
+        self.tie = self.tie[:t] + self.ties[e : e + tie]
+        self.ids, self.h, self.at, self.ties_at = tuple(ids), p, s + rest, e + tie
 
 
 def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, tuple]]:
@@ -230,23 +264,163 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, bytes, tuple]]:
         tree[0] = w
 
 
-SORT_OUT = "part int, edge int, lcp int, dk long, uid long, a long, w1 long, w2 long, tie_lcp int, key binary, tie binary"
+def by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[Run]]]:
+    """The runs of one range at a time, from batches sorted by part."""
+    part, runs = None, []
+    for b in batches:
+        for p, r in zip(b.column("part").to_pylist(), b.column("run").to_pylist()):
+            if p != part:
+                if runs:
+                    yield part, runs
+                part, runs = p, []
+            runs.append(Run(r))
+    if runs:
+        yield part, runs
+
+
+# --- what the order says ----------------------------------------------------------------------------------------
+
+
+def settle_gram(rows: list[tuple[int, bytes, bytes, tuple]], length: int) -> Iterator[tuple[int, int, int]]:
+    """(row, first window, last window) of every run of repeated windows of one gram, whose rows (common prefix with the one
+    before, text to the right, text to the left, (row, a, o1, o2)) come in order."""
+    same: list[list[tuple]] = []  # rows with equal text on both sides
+    lcp, rights, lefts = [], [], []
+    for h, right, left, ids in rows:
+        if same and right == rights[-1] and left == lefts[-1]:
+            same[-1].append(ids)
+            continue
+        lcp.append(h)
+        rights.append(right)
+        lefts.append(left)
+        same.append([ids])
+    m = len(same)
+    met: list[list[tuple[int, int]]] = [[] for _ in range(m)]
+
+    def pair(x: int, y: int, r: int) -> None:
+        if r + len(lefts[x]) >= length and r + len(lefts[y]) >= length:
+            e = common_prefix(lefts[x], lefts[y])
+            if r + e >= length:
+                met[x].append((length - r, e))
+                met[y].append((length - r, e))
+
+    if m == 2:
+        pair(0, 1, lcp[1])
+    elif m > 2:
+        order = sorted(range(m), key=lefts.__getitem__)
+        place = [0] * m
+        for k, x in enumerate(order):
+            place[x] = k
+        root = list(range(m))
+        parts = [[k] for k in place]
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k in sorted(range(1, m), key=lambda k: -lcp[k]):
+            x, y, r = find(k - 1), find(k), lcp[k]
+            if len(parts[x]) > len(parts[y]):
+                x, y = y, x
+            small, large = parts[x], parts[y]
+            for p in small:
+                at = bisect.bisect_left(large, p)
+                if at:
+                    pair(order[p], order[large[at - 1]], r)
+                if at < len(large):
+                    pair(order[p], order[large[at]], r)
+            large += small
+            large.sort()
+            parts[x] = []
+            root[x] = y
+    for ids, ivs in zip(same, met):
+        for row, a, o1, o2 in ids:
+            if len(ids) > 1:
+                yield row, a - o2, a - o1
+                continue
+            end = o1 - 1
+            for lo, hi in sorted(ivs):
+                lo, hi = max(lo, end + 1), min(hi, o2)
+                if lo <= hi:
+                    yield row, a - hi, a - lo
+                    end = hi
+
+
+def cold_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, run_bytes: int = 32 << 20) -> DataFrame:
+    """row, lo, hi: runs of repeated windows at anchors whose grams meet in one task."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list = []
+
+        def out() -> pa.RecordBatch:
+            held.sort()
+            # the gram's hash leads the key: the range follows from it
+            cuts = [bisect.bisect_left(held, ((p << 64) // parts).to_bytes(9, "big")[1:], key=lambda x: x[0]) for p in range(parts)] + [len(held)]
+            runs = [(p, front_code(held[s:e])) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+            held.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], ["part", "run"]
+            )
+
+        size = 0
+        for b in batches:
+            for right, left, ids, kh in context_rows(b, length):
+                held.append(((kh & (1 << 64) - 1).to_bytes(8, "big") + right, left, ids))
+                size += len(right) + len(left) + 200
+                if size >= run_bytes:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[int, int, int]] = []
+
+        def out() -> pa.RecordBatch:
+            cols = np.array(got, np.int64).T if got else np.zeros((3, 0), np.int64)
+            got.clear()
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), *(pa.array(c.astype(np.int32)) for c in cols[1:])], ["row", "lo", "hi"])
+
+        for _, runs in by_part(batches):
+            gram: list = []
+            for h, key, left, ids in merge(runs):
+                if h < 8:
+                    if len(gram) > 1:
+                        got.extend(settle_gram(gram, length))
+                        if len(got) >= 50_000:
+                            yield out()
+                    gram = []
+                gram.append((h - 8, key[8:], left, ids))
+            if len(gram) > 1:
+                got.extend(settle_gram(gram, length))
+        yield out()
+
+    sent = with_anchors(docs, kept).mapInArrow(send, "part int, run binary")
+    return sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, "row long, lo int, hi int")
+
+
+# --- grams too frequent for one task -------------------------------------------------------------------------------
+
+IDS = ["row", "a", "o1", "o2"]
+ID_TYPES = "row long, a int, o1 int, o2 int"
+SORT_OUT = f"part int, edge int, lcp int, {ID_TYPES}, tie_lcp int, before boolean, key binary, tie binary"
 
 
 def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int = 4000) -> DataFrame:
-    """Sorts (key, tie, dk, uid, a, w1, w2) rows by key, tie and ids over ``parts`` ranges.
+    """Sorts (key, tie, row, a, o1, o2) rows by key, tie and ids over ``parts`` ranges.
 
-    Out, for every row twice at most, once for each neighbour: lcp (common prefix of the keys) and tie_lcp (of the ties).
-    A sample of at most ``sample`` rows, taken by hash, gives the splitters; it bounds what reaches the driver."""
-    names = ["dk", "uid", "a", "w1", "w2"]
+    Out, for every row twice at most, once for each neighbour: lcp (common prefix of the keys), tie_lcp (of the ties) and
+    before (the neighbour comes before it). The first and last row of a range meet their neighbours in a pass over one pair of rows
+    a range. A sample of at most ``sample`` rows, taken by hash, gives the splitters; it bounds what reaches the driver."""
     total = rows.count()
     share = max(1, -(-total // sample))
     picked = (
-        rows.filter(F.pmod(F.xxhash64("uid", "a", "w1"), F.lit(share)) == 0).select("key", "tie", *names).limit(2 * sample).collect()
+        rows.filter(F.pmod(F.xxhash64("row", "a", "o1"), F.lit(share)) == 0).select("key", "tie", *IDS).limit(2 * sample).collect()
         if parts > 1 and total
         else []
     )
-    order = sorted((bytes(r["key"]), bytes(r["tie"]), tuple(r[n] for n in names)) for r in picked)
+    order = sorted((bytes(r["key"]), bytes(r["tie"]), tuple(r[n] for n in IDS)) for r in picked)
     cuts = sorted({order[len(order) * k // parts] for k in range(1, parts)}) if order else []
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,7 +434,7 @@ def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int
 
         held: list = []
         for b in batches:
-            cols = [b.column(n).to_pylist() for n in ("key", "tie", *names)]
+            cols = [b.column(n).to_pylist() for n in ("key", "tie", *IDS)]
             held += zip(cols[0], cols[1], zip(*cols[2:]))
             if len(held) >= run_rows:
                 yield out(held)
@@ -269,41 +443,35 @@ def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int
             yield out(held)
 
     def receive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, runs = None, []
-        for b in batches:
-            for p, r in zip(b.column("part").to_pylist(), b.column("run").to_pylist()):
-                if p != part:
-                    yield from merged(part, runs)
-                    part, runs = p, []
-                runs.append(Run(r))
-        yield from merged(part, runs)
-
-    def merged(part: int | None, runs: list[Run]) -> Iterator[pa.RecordBatch]:
+        for part, runs in by_part(batches):
+            yield from merged(part, runs)
+
+    def merged(part: int, runs: list[Run]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
-        before = None
+        last = None
 
         def flush() -> pa.RecordBatch:
-            kinds = [pa.int32(), pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.int32(), pa.binary(), pa.binary()]
+            kinds = [pa.int32()] * 3 + [pa.int64()] + [pa.int32()] * 4 + [pa.bool_(), pa.binary(), pa.binary()]
             cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
             rows.clear()
             return pa.RecordBatch.from_arrays(cols, [x.split()[0] for x in SORT_OUT.split(", ")])
 
         for lcp, key, tie, ids in merge(runs):
-            if before is None:
-                rows.append((part, 1, 0, *ids, 0, key, tie))
+            if last is None:
+                rows.append((part, 1, 0, *ids, 0, True, key, tie))
             elif lcp:
-                t = common_prefix(before[0], tie)
-                rows.append((part, 0, lcp, *ids, t, None, None))
-                rows.append((part, 0, lcp, *before[1], t, None, None))
-            before = tie, ids, key
+                t = common_prefix(last[0], tie)
+                rows.append((part, 0, lcp, *ids, t, True, None, None))
+                rows.append((part, 0, lcp, *last[1], t, False, None, None))
+            last = tie, ids, key
             if len(rows) >= 20_000:
                 yield flush()
-        if before:
-            rows.append((part, 2, 0, *before[1], 0, before[2], before[0]))
+        if last:
+            rows.append((part, 2, 0, *last[1], 0, False, last[2], last[0]))
         if rows:
             yield flush()
 
-    sent = rows.mapInArrow(send, "part int, run binary")
+    sent = rows.select("key", "tie", *IDS).mapInArrow(send, "part int, run binary")
     done = materialise(sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(receive, SORT_OUT))
     ends = sorted(done.filter("edge > 0").collect(), key=lambda r: (r["part"], r["edge"]))  # two rows for each range
     extra = []
@@ -311,85 +479,98 @@ def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int
         if x["edge"] == 2 and y["edge"] == 1:
             lcp = common_prefix(bytes(x["key"]), bytes(y["key"]))
             t = common_prefix(bytes(x["tie"]), bytes(y["tie"]))
-            extra += [(lcp, t, *(r[n] for n in names)) for r in (x, y) if lcp]
-    cols = ["lcp", "tie_lcp", *names]
-    met = done.filter("edge = 0").select(*cols)
+            extra += [(lcp, t, r is y, *(r[n] for n in IDS)) for r in (x, y) if lcp]
+    met = done.filter("edge = 0").select("lcp", "tie_lcp", "before", *IDS)
     if extra:
-        met = met.unionByName(rows.sparkSession.createDataFrame(extra, "lcp int, tie_lcp int, dk long, uid long, a long, w1 long, w2 long"))
+        met = met.unionByName(rows.sparkSession.createDataFrame(extra, f"lcp int, tie_lcp int, before boolean, {ID_TYPES}"))
     return met
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
-    """dk, uid, lo, hi: runs of window starts whose ``length`` bytes also start anywhere else."""
-    spark = docs.sparkSession
-    parts = partitions_for(spark)
-    found = materialise(anchors(docs, length, gram))
-    twice = found.groupBy("kh").agg(F.count("*").alias("_n")).filter("_n > 1").select("kh")
-    # a gram met twice in one slice is known to repeat; only the others look it up, at most one row a slice and gram
-    kept = found.filter("multi").unionByName(found.filter("not multi").join(twice, "kh")).drop("multi")
-    ctx = materialise(contexts(docs, kept, length))
-    ids = ["dk", "uid", "a", "w1", "w2"]
-    by_right = merge_sort(ctx.select(F.col("right").alias("key"), F.col("left").alias("tie"), *ids), parts)
-    grams = F.substring("right", 1, gram)
-    by_left = merge_sort(
-        ctx.select(F.concat(grams, F.col("left")).alias("key"), F.substring("right", gram + 1, length).alias("tie"), *ids), parts
-    )
-    both = by_right.filter(F.col("lcp") >= gram).select(*ids, F.col("lcp").alias("rext"), F.col("tie_lcp").alias("lext")).unionByName(
-        by_left.filter(F.col("lcp") >= gram).select(*ids, (F.col("tie_lcp") + gram).alias("rext"), (F.col("lcp") - gram).alias("lext"))
+def hot_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, gram: int) -> DataFrame:
+    """row, lo, hi: runs of repeated windows at anchors of grams of any frequency."""
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.binary()] * 2 + [pa.int64()] + [pa.int32()] * 3 + [pa.int64()]
+        for whole in batches:
+            for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
+                rows = [(r, x, *ids, kh) for r, x, ids, kh in context_rows(b, length)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["right", "left", *IDS, "kh"])
+
+    ctx = materialise(with_anchors(docs, kept).mapInArrow(contexts, f"right binary, left binary, {ID_TYPES}, kh long"))
+    by_right = merge_sort(ctx.select(F.col("right").alias("key"), F.col("left").alias("tie"), *IDS), parts)
+    key = F.concat(F.substring("right", 1, gram), F.col("left"))
+    by_left = merge_sort(ctx.select(key.alias("key"), F.substring("right", gram + 1, length).alias("tie"), *IDS), parts)
+    both = by_right.filter(F.col("lcp") >= gram).select(*IDS, "before", F.col("lcp").alias("rext"), F.col("tie_lcp").alias("lext")).unionByName(
+        by_left.filter(F.col("lcp") >= gram).select(*IDS, F.lit(False).alias("before"), (F.col("tie_lcp") + gram).alias("rext"), (F.col("lcp") - gram).alias("lext"))
     )
-    # window offsets o = a - start: repeated with this neighbour for length - rext <= o <= lext
-    o1, o2 = F.col("a") - F.col("w2"), F.col("a") - F.col("w1")
-    lo, hi = F.greatest(o1, length - F.col("rext")), F.least(o2, F.col("lext").cast("long"))
+    # window offsets o: repeated with this neighbour for length - rext <= o <= lext
+    lo, hi = F.greatest(F.col("o1"), length - F.col("rext")), F.least("o2", "lext")
     both = both.withColumn("iv", F.when(lo <= hi, F.struct(lo.alias("lo"), hi.alias("hi"))))
     per = materialise(
-        both.groupBy(*ids)
-        .agg(F.max("rext").alias("rmax"), F.max("lext").alias("lmax"), F.collect_set("iv").alias("ivs"))
-        .withColumn("ulo", F.greatest(o1, length - F.col("rmax")))
-        .withColumn("uhi", F.least(o2, F.col("lmax").cast("long")))
-        .withColumn("whole", F.exists("ivs", lambda v: (v["lo"] <= F.col("ulo")) & (v["hi"] >= F.col("uhi"))))
+        both.groupBy(*IDS)
+        .agg(F.max("rext").alias("rmax"), F.max("lext").alias("lmax"), F.collect_set("iv").alias("ivs"), F.max(F.when(F.col("before"), F.col("iv"))).alias("prev"))
+        .withColumn("ulo", F.greatest(F.col("o1"), length - F.col("rmax")))
+        .withColumn("uhi", F.least("o2", "lmax"))
     )
-    proven = per.select("dk", "uid", "a", F.explode("ivs").alias("v")).select(
-        "dk", "uid", (F.col("a") - F.col("v.hi")).alias("lo"), (F.col("a") - F.col("v.lo")).alias("hi")
+    proven = per.select("row", "a", F.explode("ivs").alias("v")).select("row", (F.col("a") - F.col("v.hi")).alias("lo"), (F.col("a") - F.col("v.lo")).alias("hi"))
+    # open: offsets between bound and proof. A row shows its windows at offsets that rows of its gram ask for, but for those
+    # that equal the windows of the row before it in right order, which that row or one before it shows
+    keyed = per.filter("ulo <= uhi").join(ctx.select("kh", *IDS), IDS).withColumn(
+        "open", F.filter(F.sequence("ulo", "uhi"), lambda o: ~F.exists("ivs", lambda v: (v["lo"] <= o) & (o <= v["hi"])))
     )
-    # open: offsets between bound and proof; every anchor of the same gram shows its windows at those offsets
-    keyed = per.filter("ulo <= uhi").join(ctx.select("kh", *ids).distinct(), ids)
-    opened = keyed.filter(~F.col("whole")).select(
-        "kh",
-        F.explode(
-            F.filter(F.sequence("ulo", "uhi"), lambda o: ~F.exists("ivs", lambda v: (v["lo"] <= o) & (o <= v["hi"])))
-        ).alias("o"),
-    ).distinct()  # combined before the shuffle: a hot gram sends each offset once per task
-    asked = opened.groupBy("kh").agg(F.collect_set("o").alias("os"))  # at most ``length`` offsets
-    shown = keyed.join(asked, "kh").select(
-        "kh", *ids, F.filter("os", lambda o: (o >= F.col("ulo")) & (o <= F.col("uhi"))).alias("os")
-    ).filter(F.size("os") > 0)
-
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    asked = keyed.select("kh", F.explode("open").alias("o")).distinct().groupBy("kh").agg(F.collect_set("o").alias("os"))  # at most ``length`` offsets
+    new = F.filter("os", lambda o: (o >= F.col("ulo")) & (o <= F.col("uhi")) & ~F.coalesce((F.col("prev.lo") <= o) & (o <= F.col("prev.hi")), F.lit(False)))
+    shown = keyed.join(asked, "kh").select(*IDS, "open", new.alias("os")).filter(F.size("os") > 0)
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                out: list[list] = [[], [], [], []]
-                for dk, uid, a, os, right, left in zip(*(b.column(c).to_pylist() for c in ("dk", "uid", "a", "os", "right", "left"))):
-                    back = left[::-1]
+                rows = []
+                for row, a, os, asks, right, left in zip(*(b.column(c).to_pylist() for c in ("row", "a", "os", "open", "right", "left"))):
+                    back, asks = left[::-1], set(asks)
                     for o in os:
                         w = back[len(back) - o :] + right[: length - o]
-                        for col, v in zip(out, (dk, uid, a - o, hashlib.blake2b(w, digest_size=16).digest())):
-                            col.append(v)
-                kinds = [pa.int64()] * 3 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["dk", "uid", "lo", "w"])
-
-    # equal rows of the table are separate rows of ctx: they count twice, as they should
-    windows = materialise(shown.join(ctx.drop("kh"), ids).mapInArrow(hashes, "dk long, uid long, lo long, w binary"))
-    again = windows.groupBy("w").agg(F.count("*").alias("_n")).filter("_n > 1").select("w")
-    settled = windows.join(again, "w").select("dk", "uid", "lo", F.col("lo").alias("hi"))
+                        rows.append((row, a - o, o in asks, hashlib.blake2b(w, digest_size=16).digest()))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "lo", "asks", "w"])
+
+    windows = materialise(shown.join(ctx.drop("kh"), IDS).mapInArrow(digests, "row long, lo int, asks boolean, w binary"))
+    again = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
+    settled = windows.filter("asks").join(again, "w", "left_semi").select("row", "lo", F.col("lo").alias("hi"))
     return proven.unionByName(settled)
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
-    """doc_id, text, r: ascending, possibly overlapping runs (lo, hi) of repeated bytes, null if there are none."""
-    d = with_uid(docs)
-    runs = repeated_windows(d, length, gram).withColumn("hi", F.col("hi") + length)
-    lists = runs.groupBy("dk", "uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("r"))
-    return d.join(lists, ["dk", "uid"], "left").select("doc_id", "text", "r")
+def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 4096) -> DataFrame:
+    """row, lo, hi: runs of window starts whose ``length`` bytes also start anywhere else in the texts of the numbered rows."""
+    found = materialise(anchors(docs, length, gram))
+    counts = materialise(found.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1"))
+    # a gram met twice in one slice is known to repeat; only the others look it up, at most one row a slice and gram
+    kept = found.filter("multi").unionByName(found.filter("not multi").join(counts.select("kh"), "kh", "left_semi")).drop("multi")
+    size = counts.agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    parts = max(partitions_for(docs.sparkSession), -(-(size["n"] or 0) // 60_000))
+    if (size["most"] or 0) <= hot:
+        return cold_windows(docs, kept, parts, length)
+    often = counts.filter(F.col("n") > hot).select("kh")
+    cold = cold_windows(docs, kept.join(often, "kh", "left_anti"), parts, length)
+    return cold.unionByName(hot_windows(docs, kept.join(often, "kh", "left_semi"), parts, length, gram))
+
+
+def with_runs(rows: DataFrame, row: str, text: str = "text", **options) -> DataFrame:
+    """The numbered rows with ``_r``: ascending, possibly overlapping runs (lo, hi) of repeated bytes, null if there are none."""
+    length = options.get("length", 400)
+    d = rows.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    runs = repeated_windows(d, **options).select("row", "lo", (F.col("hi") + length).alias("hi"))
+    name = free_name(rows, "_r")
+    lists = runs.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias(name)).withColumnRenamed("row", row)
+    return rows.join(lists, row, "left")
+
+
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 4096) -> DataFrame:
+    """doc_id, text, _r: ascending, possibly overlapping runs (lo, hi) of repeated bytes, null if there are none."""
+    rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
+    return with_runs(rows, "row", length=length, gram=gram, hot=hot).drop("row")
 
 
 def _merge_runs(r: list | None) -> list[tuple[int, int]]:
@@ -410,13 +591,13 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip(ends, starts))
 
 
-def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False, hot: int = 4096) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: text without bytes of characters cut in two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 4 << 20):
             cols: list[list] = [[], [], [], [], []]
-            for text, r in zip(b.column("text").to_pylist(), b.column("r").to_pylist()):
+            for text, r in zip(b.column("text").to_pylist(), b.column("_r").to_pylist()):
                 data, spans = text.encode(), _merge_runs(r)
                 left = cut(data, spans)
                 for c, v in zip(cols, (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)):
@@ -428,25 +609,31 @@ def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_tex
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: n + 1],
             )
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
-    return repeated_spans(docs, length, gram).mapInArrow(run, schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    return repeated_spans(docs, length, gram, hot).mapInArrow(run, schema)
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32, min_words: int = 0, hot: int = 4096) -> DataFrame:
     """Every row and column of ``docs``, the text without repeated bytes (and without what is left of a character cut in
-    two); n_chars, if there, follows the text. Null texts stay null."""
-    key = docs.select("*", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")).alias("_dk"), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("_uid"))
-    d = with_uid(docs)
-    runs = repeated_windows(d, length, gram).withColumn("hi", F.col("hi") + length)
-    lists = runs.groupBy("dk", "uid").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("_r"))
-    joined = key.join(lists.withColumnsRenamed({"dk": "_dk", "uid": "_uid"}), ["_dk", "_uid"], "left")
+    two); n_chars, if there, follows the text. Null texts stay null. Runs of fewer than ``min_words`` words stay."""
+    row = free_name(docs, "_row")
+    joined = with_runs(numbered(docs, row), row, length=length, gram=gram, hot=hot)
+    r = next(c for c in joined.columns if c not in docs.columns and c != row)
+
+    def without_runs(t: str | None, x) -> str | None:
+        if t is None or x is None or not len(x):
+            return t
+        data = t.encode()
+        spans = [(s, e) for s, e in _merge_runs(list(x)) if not min_words or len(data[s:e].split()) >= min_words]
+        return cut(data, spans).decode("utf-8", "ignore")
 
     @F.pandas_udf("string")
-    def without(text, r):
-        return text.combine(r, lambda t, x: t if t is None or x is None or not len(x) else cut(t.encode(), _merge_runs(list(x))).decode("utf-8", "ignore"))
+    def without(text, runs):
+        return text.combine(runs, without_runs)
 
-    new = joined.withColumn("text", F.when(F.col("_r").isNull(), F.col("text")).otherwise(without("text", "_r")))
+    new = joined.withColumn("text", F.when(F.col(r).isNull(), F.col("text")).otherwise(without("text", r)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        new = new.withColumn("n_chars", F.when(F.col("_r").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
+        new = new.withColumn("n_chars", F.when(F.col(r).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
     return new.select(*docs.columns)
