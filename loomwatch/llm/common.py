@@ -8,8 +8,8 @@ import re
 import tempfile
 import unicodedata
 import uuid
-from array import array
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,22 +19,30 @@ WS = "[\\x20\\x09-\\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share. Only a session without one (a test) gets a new one."""
+    """The folder that the driver and all executors share, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if jvm_dir.isDefined():
-            return jvm_dir.get()
-        found = "file://" + tempfile.mkdtemp(prefix="loomwatch-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
+    if found:
+        return found
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get()
+    if spark.sparkContext.master.startswith("local["):  # one machine: its folders are shared
+        made = "file://" + tempfile.mkdtemp(prefix="loomwatch-")
+        spark.sparkContext.setCheckpointDir(made)
+        return made
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+def new_path(spark: SparkSession) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/loomwatch-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """Writes the rows as Parquet to the shared folder and reads them back: lineage ends here, and a lost
     executor costs no recomputation of what came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/loomwatch-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -129,59 +137,81 @@ class Memo(dict):
         return [k for k in keys.difference(self) if k not in self.old]
 
 
-class Computed(Memo):
-    """A memo that computes what it does not hold."""
-
-    def __init__(self, size: int, compute):
-        super().__init__(size)
-        self.compute = compute
-
-    def __missing__(self, key):
-        value = self.old.get(key)
-        if value is None:
-            value = self.compute(key)
-        self[key] = value
-        return value
-
-
 class ChunkEncoder:
     """Token ids of a text (as little-endian bytes) from independent chunks, each distinct chunk encoded once.
 
     ``fast`` cuts a text without double white space, ``slow`` any other; both cut only where the tokenizer's own
     pre-tokenizer cuts whatever stands on either side. Texts with separators on which Python and the tokenizer
-    disagree are encoded whole. ``plain`` gives the one pre-token that an all-letter chunk becomes, as the tokenizer's
-    model spells it, or None; such chunks go to the model directly, others through the whole tokenizer.
+    disagree are encoded whole. ``plain`` gives the letters of the one pre-token that an all-letter chunk becomes, or None;
+    Unknown chunks of this kind go to the tokenizer many at a time;
+    the letters of the tokens that come back say which chunk they belong to. Others go one by one.
     """
 
-    def __init__(self, tokenizer, fast, slow, plain, dtype: str, memo: int = 400_000):
-        self.tk, self.model, self.fast, self.slow, self.plain, self.dtype = tokenizer, tokenizer.model, fast, slow, plain, dtype
-        self.code = {"<u2": "H", "<u4": "I"}[dtype]
-        self.known = Computed(memo, self._ids)
+    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 600_000, together: int = 256):
+        """``glue``: white space that parts two chunks, and the letters that it becomes; ``lead``: what a chunk that needs none begins with."""
+        self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = tokenizer, fast, slow, plain, lead, glue, dtype
+        self.width, self.together = np.dtype(dtype).itemsize, together
+        self.known = Memo(memo)
+        size = tokenizer.get_vocab_size(with_added_tokens=False)
+        self.letters = np.array([len(tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _ids(self, chunk: str) -> bytes:
-        if len(chunk) > 2 and chunk[-1] in ".,;:!?" and chunk[-2].isalpha():
-            return self.known[chunk[:-1]] + self.known[chunk[-1]]
-        spelled = self.plain(chunk)
-        if spelled is None:
-            return self._whole(chunk)
-        return array(self.code, [t.id for t in self.model.tokenize(spelled)]).tobytes()
+    def learn(self, chunks: list[str]) -> None:
+        """Encodes chunks that the memo does not hold."""
+        plain, known, bases, rest = self.plain, self.known, {}, []
+        led, bare, marked = [], [], []
+        for c in chunks:
+            if (n := plain(c)) is not None:
+                bases[c] = n
+            elif len(c) > 2 and c[-1] in MARKS and (n := plain(c[:-1])) is not None:
+                marked.append(c)
+                if c[:-1] not in known and c[:-1] not in known.old:
+                    bases[c[:-1]] = n
+            else:
+                rest.append(c)
+        for c, n in bases.items():
+            if c[0] == self.lead:
+                led.append((c, n))
+            else:
+                bare += ((c, n), self.glue)
+        todo = led + bare
+        lots = [todo[k : k + self.together] for k in range(0, len(todo), self.together)]
+        for lot, e in zip(lots, self.tk.encode_batch_fast(["".join(c for c, _ in x) for x in lots], add_special_tokens=False)):
+            ids = np.array(e.ids, self.dtype)
+            ends = np.cumsum(self.letters[ids])
+            lot = [x for x in lot if x[1]]
+            want = np.cumsum([n for _, n in lot])
+            at = np.searchsorted(ends, want)
+            if not len(ends) or ends[-1] != want[-1] or (ends[np.minimum(at, len(ends) - 1)] != want).any():
+                rest += [c for c, _ in lot]  # not cut where expected
+                continue
+            raw, before = ids.tobytes(), 0
+            for (c, _), x in zip(lot, ((at + 1) * self.width).tolist()):
+                known[c] = raw[before:x]
+                before = x
+        for c in rest:
+            known[c] = self._whole(c)
+        for c in MARKS if marked else ():
+            if c not in known:
+                known[c] = self._whole(c)
+        for c in marked:
+            known[c] = known[c[:-1]] + known[c[-1]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         self.known.turn()
-        get, out = self.known.__getitem__, []
-        for t in texts:
-            if any(c in t for c in UNSAFE):
-                out.append(self._whole(t))
-            else:
-                out.append(b"".join(map(get, self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t))))
-        return out
+        cut = [
+            None if any(c in t for c in UNSAFE) else self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t) for t in texts
+        ]
+        self.learn(self.known.unknown(set(chain.from_iterable(filter(None, cut)))))
+        get = self.known.__getitem__
+        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
 
 
 #: Separators that Python takes for white space and the tokenizers do not.
 UNSAFE = ("\x1c", "\x1d", "\x1e", "\x1f")
+MARKS = ".,;:!?"
 _RUN = re.compile(r"\n\s").search
 _BYTE_LEVEL = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 _ASCII_WS = re.compile(r"[\x20\t-\r]+")
@@ -191,40 +221,29 @@ def _cut_before_space(t: str) -> list[str]:
     return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
 
 
-def _byte_letters() -> dict[int, str]:
-    """The character that stands for each byte in byte-level vocabularies: printable ones for themselves, the others
-    counted up from 256."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
-
-
-_LETTERS = _byte_letters()
-
+def _plain_cased(chunk: str) -> int | None:
+    return len(chunk.encode()) if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else None
 
-def _spelled(word: str) -> str:
-    return word.encode().decode("latin-1").translate(_LETTERS)
 
-
-def _plain_cased(chunk: str) -> str | None:
-    return _spelled(chunk) if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else None
-
-
-def _plain_lower(chunk: str) -> str | None:
-    if not chunk.isalpha() or "\u03a3" in chunk or "\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk):
+def _plain_lower(chunk: str) -> int | None:
+    if not chunk.isalpha():
+        return None
+    if chunk.isascii():
+        return len(chunk)
+    if "\u03a3" in chunk or "\u0130" in chunk or not unicodedata.is_normalized("NFC", chunk):
         return None
     low = chunk.lower()
-    return _spelled(low) if low.isalpha() else None
+    return len(low.encode()) if low.isalpha() else None
 
 
 @functools.lru_cache(maxsize=4)
 def byte_level_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For byte-level BPE whose pre-tokenizer keeps one leading space with a word."""
-    return ChunkEncoder(load_tokenizer(path), _cut_before_space, _BYTE_LEVEL.findall, _plain_cased, dtype)
+    return ChunkEncoder(load_tokenizer(path), _cut_before_space, _BYTE_LEVEL.findall, _plain_cased, " ", ("\n", 1), dtype)
 
 
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For BPE that lower-cases and drops white space: runs of ASCII white space are safe cuts."""
     split = lambda t: [c for c in _ASCII_WS.split(t) if c]
-    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, dtype)
+    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, "", (" ", 0), dtype)

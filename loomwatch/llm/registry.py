@@ -55,8 +55,8 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, lengths = token_files.write_token_files(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
-    return token_files.read_token_files(files, lengths)
+    path = token_files.write_token_files(read(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2)
+    return token_files.read_token_files(spark, path)
 
 
 QUERIES = {

@@ -4,15 +4,16 @@ One code book is made for the whole corpus from global id counts (at most one co
 reaches the driver) by package-merge under a limit on the code length, and made canonical, so that the lengths
 alone restore it. A segment holds consecutive documents in ascending doc_id order::
 
-    "LWH1" | limit u8 | block u32 | documents u32 | tokens u64 | first position u64 | stream bytes u64
+    "LWH2" | limit u8 | block u32 | documents u32 | tokens u64 | first position u64 | stream bytes u64
     | checkpoints: one u64 bit offset for each block of ``block`` tokens | tokens of each document u32
-    | stream: codes, most significant bit first, padded with 8 zero bytes
+    | doc_ids i64 | null flags of the doc_ids u8 | stream: codes, most significant bit first, padded with 8 zero bytes
 
 Each block can be decoded alone from its checkpoint; the reader decodes all blocks of a segment in step through
-one table of 2^limit entries. Segments are rows of a table in the shared folder, beside their doc_ids.
+one table of 2^limit entries. A folder holds the segments (``segments``, one a row) and the code lengths (``book``); it
+is all that the reader needs.
 
 Defined results: null or empty text is the end id alone; equal doc_ids stand next to each other, in any order; null
-doc_ids come first; an empty table gives no rows; extra columns are ignored.
+doc_ids come first; a very long text is a segment of its own; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwatch.llm.common import byte_level_encoder, materialise, partitions_for, text_or_empty, text_slices
+from loomwatch.llm.common import byte_level_encoder, materialise, new_path, partitions_for, text_or_empty, text_slices
 
-MAGIC = b"LWH1"
+MAGIC = b"LWH2"
 HEAD = struct.Struct("<4sBIIQQQ")
 
 
@@ -91,7 +92,9 @@ def decode_table(lengths: np.ndarray, limit: int) -> np.ndarray:
     return np.concatenate((table, np.zeros((1 << limit) - len(table), np.uint32)))
 
 
-def pack_segment(ids: np.ndarray, doc_lengths: np.ndarray, first: int, lengths: np.ndarray, codes: np.ndarray, limit: int, block: int) -> bytes:
+def pack_segment(
+    ids: np.ndarray, doc_ids: pa.Array, doc_lengths: np.ndarray, first: int, lengths: np.ndarray, codes: np.ndarray, limit: int, block: int
+) -> bytes:
     n = lengths[ids].astype(np.int64)
     end = n.cumsum()
     at = end - n
@@ -102,11 +105,13 @@ def pack_segment(ids: np.ndarray, doc_lengths: np.ndarray, first: int, lengths:
     low = np.bincount(word + 1, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), words + 1)
     stream = (high + low[:words]).astype(np.uint64).astype(">u4").tobytes() + b"\0" * 8
     head = HEAD.pack(MAGIC, limit, block, len(doc_lengths), len(ids), first, len(stream))
-    return head + at[::block].astype("<u8").tobytes() + doc_lengths.astype("<u4").tobytes() + stream
+    names = doc_ids.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes()
+    nulls = doc_ids.is_null().to_numpy(zero_copy_only=False).astype("u1").tobytes()
+    return b"".join((head, at[::block].astype("<u8").tobytes(), doc_lengths.astype("<u4").tobytes(), names, nulls, stream))
 
 
-def unpack_segment(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """(ids, tokens of each document, first position): all blocks decoded in step, each from its checkpoint."""
+def unpack_segment(data: bytes, table: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, int]:
+    """(ids, doc_ids, tokens of each document, first position): all blocks decoded in step, each from its checkpoint."""
     magic, limit, block, docs, tokens, first, size = HEAD.unpack_from(data)
     if magic != MAGIC or len(table) != 1 << limit:
         raise ValueError("not a segment of this code book")
@@ -115,7 +120,9 @@ def unpack_segment(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
     pos = np.frombuffer(data, "<u8", blocks, at).astype(np.int64)
     at += 8 * blocks
     doc_lengths = np.frombuffer(data, "<u4", docs, at)
-    stream = np.frombuffer(data, np.uint8, size, at + 4 * docs)
+    at += 4 * docs
+    doc_ids = pa.array(np.frombuffer(data, "<i8", docs, at), mask=np.frombuffer(data, "u1", docs, at + 8 * docs).astype(bool))
+    stream = np.frombuffer(data, np.uint8, size, at + 9 * docs)
     out = np.empty((block, blocks), np.uint32)
     last = tokens - (blocks - 1) * block if blocks else 0
     shift = np.int64(32 - limit)
@@ -130,7 +137,7 @@ def unpack_segment(data: bytes, table: np.ndarray) -> tuple[np.ndarray, np.ndarr
         got = table[(w32[pos >> 3] >> (shift - (pos & 7))) & mask]
         out[k, : len(pos)] = got >> 5
         pos = pos + (got & 31)
-    return out.T.reshape(-1)[:tokens] if blocks else np.zeros(0, np.uint32), doc_lengths, first
+    return out.T.reshape(-1)[:tokens] if blocks else np.zeros(0, np.uint32), doc_ids, doc_lengths, first
 
 
 def tokenise_sorted(docs: DataFrame, vocab: str, end_id: int, dtype: str) -> DataFrame:
@@ -148,16 +155,18 @@ def tokenise_sorted(docs: DataFrame, vocab: str, end_id: int, dtype: str) -> Dat
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["part", "local_start", "doc_ids", "lengths", "ids", "n"])
             start += n
 
-    src = text_or_empty(docs)
+    # rows of one doc_id (or none) are told apart by their number, so that they do not meet in one task
+    src = text_or_empty(docs).withColumn("_n", F.monotonically_increasing_id())
     n = partitions_for(docs.sparkSession)
-    return src.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id").mapInArrow(
+    return src.repartitionByRange(n, "doc_id", "_n").sortWithinPartitions("doc_id").drop("_n").mapInArrow(
         run, "part int, local_start long, doc_ids array<long>, lengths array<int>, ids binary, n long"
     )
 
 
-def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = 18, block: int = 256, vocab_size: int = 50_257) -> tuple[DataFrame, np.ndarray]:
-    """Writes all segments to the shared folder; returns the table of segments (part, first, doc_ids, segment) and
-    the code lengths by id. ``vocab_size`` bounds what reaches the driver."""
+def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, limit: int = 18, block: int = 256, vocab_size: int = 50_257) -> str:
+    """Writes code book and segments to a new folder below the shared one and returns its path. ``vocab_size`` bounds what
+    reaches the driver."""
+    spark, path = docs.sparkSession, new_path(docs.sparkSession)
     size = max(vocab_size, end_id + 1)
     dtype = "<u2" if size <= 1 << 16 else "<u4"
     runs = materialise(tokenise_sorted(docs, vocab, end_id, dtype))
@@ -187,34 +196,38 @@ def write_token_files(docs: DataFrame, vocab: str, end_id: int = 2, limit: int =
                 first = base[part] + b.column("local_start")[k].as_py()
                 ids = np.frombuffer(b.column("ids")[k].as_buffer(), dtype)
                 docs_n = b.column("lengths")[k].values.to_numpy()
-                data = pack_segment(ids, docs_n, first, lengths, codes, limit, block)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part], pa.int32()), pa.array([first], pa.int64()), b.column("doc_ids").slice(k, 1), pa.array([data], pa.binary())],
-                    ["part", "first", "doc_ids", "segment"],
-                )
+                data = pack_segment(ids, b.column("doc_ids")[k].values, docs_n, first, lengths, codes, limit, block)
+                yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([data], pa.binary())], ["first", "segment"])
 
-    files = runs.mapInArrow(pack, "part int, first long, doc_ids array<long>, segment binary")
-    return materialise(files, "uncompressed"), lengths
+    some = [(int(k), int(lengths[k])) for k in np.flatnonzero(lengths)]
+    spark.createDataFrame(some, "id int, bits int").coalesce(1).write.parquet(f"{path}/book")
+    runs.mapInArrow(pack, "first long, segment binary").write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    return path
 
 
-def read_token_files(files: DataFrame, lengths: np.ndarray, limit: int = 18, with_ids: bool = False) -> DataFrame:
-    """Per document, from the segments alone: doc_id, start, n_tokens, ids_crc32 (, ids)."""
+def read_token_files(spark: SparkSession, path: str, limit: int = 18, with_ids: bool = False) -> DataFrame:
+    """Per document, from the folder alone: doc_id, start, n_tokens, ids_crc32 (, ids)."""
+    book = spark.read.schema("id int, bits int").parquet(f"{path}/book").collect()  # one row for each id of the vocabulary at most
+    lengths = np.zeros(max((r["id"] for r in book), default=0) + 1, np.uint8)
+    for r in book:
+        lengths[r["id"]] = r["bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths, limit)
         for b in batches:
             for k in range(b.num_rows):
-                ids, sizes, first = unpack_segment(b.column("segment")[k].as_buffer().to_pybytes(), table)
+                ids, doc_ids, sizes, first = unpack_segment(b.column("segment")[k].as_buffer().to_pybytes(), table)
                 ids = ids.astype("<u4")
                 ends = sizes.astype(np.int64).cumsum()
                 starts = ends - sizes
                 view = memoryview(ids).cast("B")
                 crc = [zlib.crc32(view[4 * s : 4 * e]) for s, e in zip(starts.tolist(), ends.tolist())]
-                cols = [b.column("doc_ids")[k].values, pa.array(starts + first), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())]
+                cols = [doc_ids, pa.array(starts + first), pa.array(sizes.astype(np.int64)), pa.array(crc, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:
                     cols.append(pa.array([ids[s:e].astype("i4") for s, e in zip(starts, ends)], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
+    files = spark.read.schema("first long, segment binary").parquet(f"{path}/segments").select("segment")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else ""))

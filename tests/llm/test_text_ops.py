@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
@@ -108,18 +110,37 @@ def test_bins_keep_every_constraint(score):
     assert placed == hist and len(load) == bins and all(a <= 50 and d <= 6 and c <= 2500 for a, d, c in load.values())
 
 
+READER = """
+import sys, zlib, glob, numpy as np, pyarrow.parquet as pq
+from loomwatch.llm.token_files import decode_table, unpack_segment
+book = pq.read_table(sys.argv[1] + "/book")
+lengths = np.zeros(max(book["id"].to_pylist()) + 1, np.uint8)
+lengths[book["id"].to_numpy()] = book["bits"].to_numpy()
+table = decode_table(lengths, 18)
+for seg in pq.read_table(sys.argv[1] + "/segments").sort_by("first")["segment"].to_pylist():
+    ids, doc_ids, sizes, first = unpack_segment(seg, table)
+    for d, part in zip(doc_ids.to_pylist(), np.split(ids, np.cumsum(sizes)[:-1])):
+        print(f"{d}:{zlib.crc32(part.astype('<u4').tobytes())}")
+"""
+
+
 def test_token_files_round_trip(spark):
     tk = common.load_tokenizer(BYTE)
     texts = [*odd_texts(), None, "word " * 2000]
-    files, lengths = token_files.write_token_files(docs(spark, texts), BYTE, 2, block=16)
-    got = token_files.read_token_files(files, lengths, with_ids=True).orderBy("doc_id").collect()
+    path = token_files.write_token_files(docs(spark, texts), BYTE, 2, block=16)
+    got = token_files.read_token_files(spark, path, with_ids=True).orderBy("doc_id").collect()
     at = 0
     for r, t in zip(got, texts, strict=True):
         ids = [*tk.encode(t or "", add_special_tokens=False).ids, 2]
         assert r.ids == ids and (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
-    files, lengths = token_files.write_token_files(docs(spark, []), BYTE, 2)
-    assert token_files.read_token_files(files, lengths).collect() == []
+    again = subprocess.run([sys.executable, "-c", READER, path.removeprefix("file:")], capture_output=True, text=True, timeout=300)
+    assert again.stdout.split() == [f"{r.doc_id}:{r.ids_crc32}" for r in got], again.stderr  # a process that wrote nothing
+    path = token_files.write_token_files(docs(spark, []), BYTE, 2)
+    assert token_files.read_token_files(spark, path).collect() == []
+    rows = [(None, "a"), (7, "b c"), (None, "a"), (7, "b c"), (3, None)]
+    path = token_files.write_token_files(spark.createDataFrame(rows, "doc_id long, text string"), BYTE, 2)
+    assert [r.doc_id for r in token_files.read_token_files(spark, path).orderBy("start").collect()] == [None, None, 3, 7, 7]
 
 
 def test_code_lengths_are_optimal_and_limited():
