@@ -81,6 +81,14 @@ def partitions_for(spark: SparkSession, least: int = 1) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def one_key_each(spark: SparkSession, n: int) -> list[int]:
+    """n whole numbers of which ``repartition(n, key)`` sends each to a task of its own."""
+    tried = spark.range(24 * n).select(F.col("id").cast("int").alias("k"))
+    found = {r["p"]: r["k"] for r in tried.groupBy(F.pmod(F.hash("k"), F.lit(n)).alias("p")).agg(F.min("k").alias("k")).collect()}
+    spare = iter(range(24 * n, 25 * n))
+    return [found[p] if p in found else next(spare) for p in range(n)]
+
+
 @functools.lru_cache(maxsize=4)
 def load_tokenizer(path: str):
     """One tokenizer per Python worker; strings of special tokens in a text are ordinary text."""

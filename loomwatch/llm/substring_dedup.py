@@ -15,7 +15,7 @@ A window at offset o before its anchor is repeated if another anchor of the gram
 common prefix, and where a row of the smaller range falls into the left order of the larger one, the two beside it
 give the pairs (left, right) of extensions that no other pair exceeds. Nothing but runs of repeated windows leaves the task.
 
-Grams with more than ``hot`` anchors do not meet in one task. Their rows are sorted as ranges cut at splitters, once by the
+Grams with more than ``hot`` anchors (some 60 MB of text) do not meet in one task. Their rows are sorted as ranges cut at splitters, once by the
 right and once by the left; neighbours prove windows repeated and bound what can be. What proof and bound leave open is
 settled by counting 128-bit digests, which a row shows only where it differs from the row before it in right order.
 
@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loomwatch.llm.common import free_name, materialise, partitions_for, restore, shared_dir, squeeze, text_slices
+from loomwatch.llm.common import free_name, materialise, one_key_each, partitions_for, restore, shared_dir, squeeze, text_slices
 from loomwatch.llm.words import mix, text_bytes
 
 POS_BITS = 18
@@ -110,7 +110,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
         new[1:] = (a[1:] != a[:-1]) | (win[1:] != win[:-1] + 1)
         starts = np.flatnonzero(new)
         first, last, a = win[starts], win[np.append(starts[1:], len(win)) - 1], a[starts]
-        for col, x in zip(found, (h[a], a + s, first + s, last + s)):
+        for col, x in zip(found, (mix(h[a]), a + s, first + s, last + s)):  # mixed again: the smallest hashes are no even sample
             col.append(x)
     if not found[0]:
         return (np.zeros(0, np.int64),) * 5
@@ -350,6 +350,8 @@ def settle_gram(rows: list[tuple[int, bytes, bytes, tuple]], length: int) -> Ite
 def cold_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, run_bytes: int = 32 << 20) -> DataFrame:
     """row, lo, hi: runs of repeated windows at anchors whose grams meet in one task."""
 
+    deal = one_key_each(docs.sparkSession, parts)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
 
@@ -357,7 +359,7 @@ def cold_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, run_
             held.sort()
             # the gram's hash leads the key: the range follows from it
             cuts = [bisect.bisect_left(held, ((p << 64) // parts).to_bytes(9, "big")[1:], key=lambda x: x[0]) for p in range(parts)] + [len(held)]
-            runs = [(p, front_code(held[s:e])) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
+            runs = [(deal[p], front_code(held[s:e])) for p, (s, e) in enumerate(zip(cuts[:-1], cuts[1:])) if e > s]
             held.clear()
             return pa.RecordBatch.from_arrays(
                 [pa.array([p for p, _ in runs], pa.int32()), pa.array([r for _, r in runs], pa.binary())], ["part", "run"]
@@ -542,7 +544,7 @@ def hot_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, gram:
     return proven.unionByName(settled)
 
 
-def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 4096) -> DataFrame:
+def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 65_536) -> DataFrame:
     """row, lo, hi: runs of window starts whose ``length`` bytes also start anywhere else in the texts of the numbered rows."""
     found = materialise(anchors(docs, length, gram))
     counts = materialise(found.groupBy("kh").agg(F.count("*").alias("n")).filter("n > 1"))
@@ -567,7 +569,7 @@ def with_runs(rows: DataFrame, row: str, text: str = "text", **options) -> DataF
     return rows.join(lists, row, "left")
 
 
-def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 4096) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 65_536) -> DataFrame:
     """doc_id, text, _r: ascending, possibly overlapping runs (lo, hi) of repeated bytes, null if there are none."""
     rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
     return with_runs(rows, "row", length=length, gram=gram, hot=hot).drop("row")
@@ -591,7 +593,7 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip(ends, starts))
 
 
-def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False, hot: int = 4096) -> DataFrame:
+def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False, hot: int = 65_536) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: text without bytes of characters cut in two)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -614,7 +616,7 @@ def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_tex
     return repeated_spans(docs, length, gram, hot).mapInArrow(run, schema)
 
 
-def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32, min_words: int = 0, hot: int = 4096) -> DataFrame:
+def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32, min_words: int = 0, hot: int = 65_536) -> DataFrame:
     """Every row and column of ``docs``, the text without repeated bytes (and without what is left of a character cut in
     two); n_chars, if there, follows the text. Null texts stay null. Runs of fewer than ``min_words`` words stay."""
     row = free_name(docs, "_row")

@@ -39,7 +39,7 @@ def corpus(rng, n, alphabet, passages):
 def check(spark, docs, length, gram):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = brute([(d, (t or "").encode()) for d, t in docs], length)
-    for hot in (4096, 3, 1):  # all grams in one task each; the frequent ones as ranges; every gram as ranges
+    for hot in (65_536, 3, 1):  # all grams in one task each; the frequent ones as ranges; every gram as ranges
         got = sorted(tuple(r) for r in sd.substring_dedup(df, length, gram, hot=hot).collect())
         assert got == want, hot
 
