@@ -1,21 +1,24 @@
 """Document scores by prediction by partial matching over byte contexts, with a word-count base line.
 
-A text is its words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) and one end. The model codes each word byte by byte and a
-closing symbol, the end by a symbol of its own, each under the preceding bytes of the word (padded at its start): contexts of
-order ``order`` down to 0, then all unseen symbols alike. Escapes are estimated by method C (distinct / (total +
-distinct)), and symbols of a longer context are excluded below it. Because a longer context's symbols
-are among a shorter one's, what is excluded is a sum per trie node, so a whole group of nodes is scored by
-vector operations. The trie is pretrained on the training documents.
+A text is its words (``[^\\x20\\x09-\\x0D]+``, A-Z lowered) and one end. The longest context of a word reaches back over the two
+words before it (or the document's start): where it was met in training it predicts all bytes of the word with its closing symbol
+at once, or escapes. Below it each word is coded byte by byte with a closing symbol, the end by a symbol of its own, each
+under the preceding bytes of the word (padded at its start): contexts of order ``order`` down to 0, then all unseen symbols
+alike. Escapes are estimated by method C (distinct / (total + distinct)), and symbols of a longer byte context are excluded
+below it. Because a longer context's symbols are among a shorter one's, what is excluded is a sum per trie node, so a whole group
+of nodes is scored by vector operations. The trie is pretrained on the training documents.
 
 No table of the corpus is broadcast but the counts of order 0 and 1 (256 x 256 numbers). Texts stay in blocks; a block
-sends each distinct word and each distinct (context, symbol) once, packed by destination: words by their hash, the trie by
-the two nearest context bytes. A destination counts its share over all blocks and answers each block, which sums by document.
-A key reaches its destination at most once from each block, so a frequent word is no hot key. Destinations follow the
-session's shuffle partitions.
+sends each distinct word, each distinct (byte context, symbol) and each distinct (two words, word) once, packed by destination: words
+by their hash, the trie by the two nearest context bytes, word contexts by their hash. A destination counts its share over all
+blocks and answers each block, which sums by document. A key reaches its destination at most once from each block, so a
+frequent word is no hot key. Destinations follow the session's shuffle partitions.
 
 Defined results: null text counts as empty: the end alone; rows with a null doc_id are learnt from and scored; repeated
-rows count again; without training documents counts are zero and every symbol has the same probability; an empty
-table gives no rows; extra columns are ignored. Words are told apart by a 64-bit hash.
+rows count again; without training documents counts are zero and every symbol has the same probability; a very long text makes a
+block of its own; an empty table gives no rows; extra columns are ignored. Words are told apart by a 64-bit hash, word contexts and
+the words after them by fewer bits (``word_context_bits``), which grow with the destinations: an accidental match costs
+precision of the estimate, nothing else.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ ROWS = (
     "kind int, dest int, block long, slots binary, keys binary, n binary, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, "
     "words binary, lengths binary"
 )
-WORD, CONTEXT, LOW, TEXTS = 0, 1, 2, 3  # kinds of rows
+WORD, CONTEXT, PAIR, LOW, TEXTS = 0, 1, 2, 3, 4  # kinds of rows
+NEXT_BITS = 14  # of the word after a word context
 
 
 def steps(a: np.ndarray, dtype: str) -> bytes:
@@ -53,12 +57,58 @@ def sums(b: bytes, dtype: str) -> np.ndarray:
     return np.cumsum(restore(b, dtype), dtype=dtype)
 
 
+def numbers_out(a: np.ndarray) -> bytes:
+    """An array by its distinct values and their numbers; columns of a table one after the other."""
+    table, code = np.unique(a.T.reshape(-1), return_inverse=True)
+    head = squeeze(table)
+    return len(head).to_bytes(8, "little") + head + squeeze(code.astype("<u4"))
+
+
+def numbers_in(b: bytes, dtype: str, columns: int = 1) -> np.ndarray:
+    at = 8 + int.from_bytes(b[:8], "little")
+    a = restore(b[8:at], dtype)[restore(b[at:], "<u4")]
+    return a if columns == 1 else a.reshape(columns, -1).T
+
+
 def destination(kind: int, keys: np.ndarray, dests: int) -> np.ndarray:
     if kind == CONTEXT:
         keys = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))
+    elif kind == PAIR:
+        keys = keys >> np.uint64(NEXT_BITS)
     return (keys % np.uint64(dests)).astype(np.int64)
 
 
+def word_context_bits(dests: int) -> int:
+    return min(64 - NEXT_BITS, 26 + max(1, dests).bit_length())
+
+
+def word_contexts(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+    """A key (two words before, the word) for every word and the end of every document; documents lie end to end."""
+    total = counts + 1
+    ends = total.cumsum()
+    h = np.full(int(ends[-1]) if len(ends) else 0, END_KEY)
+    body = np.ones(len(h), bool)
+    body[ends - 1] = False
+    h[body] = hashes
+    place = np.arange(len(h)) - np.repeat(ends - total, total)
+    context = np.zeros(len(h), np.uint64)
+    for back, mul in ((1, np.uint64(0x9E3779B97F4A7C15)), (2, np.uint64(0xC2B2AE3D27D4EB4F))):
+        before = np.zeros(len(h), np.uint64)
+        before[back:] = h[:-back]
+        before[place < back] = np.uint64(back)  # before the start
+        context = (context + before) * mul
+    return ((mix(context) >> np.uint64(64 - bits)) << np.uint64(NEXT_BITS)) | (mix(h) >> np.uint64(64 - NEXT_BITS))
+
+
+def hashes_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each word, which are given end to end."""
+    out = np.full(len(words) + len(lengths), CLOSE, np.uint8)
+    body = np.ones(len(out), bool)
+    body[(lengths + 1).cumsum() - 1] = False
+    out[body] = words
+    return Words(out, np.array([0, len(out)])).hashes()
+
+
 def contexts_of(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys (context bytes, nearest lowest, then the symbol in the lowest byte) of every symbol of the words, which
     are given end to end, and the number of symbols of each word; the end follows as a last word."""
@@ -125,10 +175,12 @@ def blocks(docs: DataFrame, order: int, block_bytes: int, dests: int) -> DataFra
             weight = np.repeat(np.append(learnt, ends_learnt), sizes)
             ctx, inv = np.unique(key, return_inverse=True)
             ctx_n = np.bincount(inv, weight, len(ctx)).astype(np.int64)
+            pairs, inv = np.unique(word_contexts(tokens, counts, word_context_bits(dests)), return_inverse=True)
+            pair_n = np.bincount(inv, np.repeat(~gone, counts + 1), len(pairs)).astype(np.int64)
             names = [x.split()[0] for x in ROWS.split(", ")]
             types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
             rows = []
-            for kind, keys, n in ((WORD, np.append(seen, END_KEY), np.append(learnt, ends_learnt)), (CONTEXT, ctx, ctx_n)):
+            for kind, keys, n in ((WORD, np.append(seen, END_KEY), np.append(learnt, ends_learnt)), (CONTEXT, ctx, ctx_n), (PAIR, pairs, pair_n)):
                 to = destination(kind, keys, dests)
                 by = np.argsort(to, kind="stable")
                 cuts = np.searchsorted(to[by], np.arange(dests + 1))
@@ -179,8 +231,9 @@ def low_orders(sent: DataFrame) -> np.ndarray:
 
 
 def answers_of(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
-    """(block, kind, slots, values): for each word its training count, for each (context, symbol) its log10 probability. A
-    row of kind TEXTS per destination and kind of key holds (training tokens, distinct ones)."""
+    """(block, kind, slots, values): for each word its training count, for each (byte context, symbol) its log10 probability, for each
+    (word context, word) the count, the context's total and its distinct words. A row of kind TEXTS per destination holds
+    (training tokens, distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["kind", "dest"]):
@@ -188,16 +241,20 @@ def answers_of(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
             keys = [sums(x, "<u8") for x in t["keys"].to_pylist()]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([restore(x, "<u4") for x in t["n"].to_pylist()]), len(distinct))
-            value = (n.astype("<i8") if kind == WORD else chain(distinct, n, low, order).astype("<f4"))[inverse]
+            if kind == PAIR:
+                node, at = np.unique(distinct >> np.uint64(NEXT_BITS), return_inverse=True)
+                value = np.stack((n, np.bincount(at, n)[at], np.bincount(at, n > 0)[at]), axis=1).astype("<u4")[inverse]
+            else:
+                value = (n.astype("<i8") if kind == WORD else chain(distinct, n, low, order))[inverse]
             cuts = np.cumsum([0, *map(len, keys)])
-            rows = [(b, kind, s, squeeze(value[i:j])) for b, s, i, j in zip(t["block"].to_pylist(), t["slots"].to_pylist(), cuts[:-1], cuts[1:])]
+            rows = [(b, kind, s, numbers_out(value[i:j])) for b, s, i, j in zip(t["block"].to_pylist(), t["slots"].to_pylist(), cuts[:-1], cuts[1:])]
             if kind == WORD:
                 rows.append((None, TEXTS, None, np.array([n.sum(), (n > 0).sum()], float).tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "slots", "values"]
             )
 
-    s = sent.filter(F.col("kind") <= CONTEXT).select("kind", "dest", "block", "slots", "keys", "n")
+    s = sent.filter(F.col("kind") <= PAIR).select("kind", "dest", "block", "slots", "keys", "n")
     return s.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, "block long, kind int, slots binary, values binary")
 
 
@@ -240,8 +297,10 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int =
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(fold == held, F.lit(False)).alias("held"))
-    t = materialise(blocks(d, order, block_bytes, partitions_for(docs.sparkSession, 16)))
+    dests = partitions_for(docs.sparkSession, 16)
+    t = materialise(blocks(d, order, block_bytes, dests))
     answers = materialise(answers_of(t, low_orders(t), order))
+    bits = word_context_bits(dests)
     tokens = kinds = 0
     for r in answers.filter(F.col("kind") == TEXTS).select("values").collect():  # one row for each destination
         a, b = np.frombuffer(r["values"], float).astype(np.int64).tolist()
@@ -249,32 +308,44 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int =
 
     def settle(key, rows: pa.Table, values: pa.Table) -> pa.Table:
         got: dict[int, np.ndarray] = {}
-        for k in (WORD, CONTEXT):
+        for k, kind, columns in ((WORD, "<i8", 1), (CONTEXT, "<f8", 1), (PAIR, "<u4", 3)):
             part = values.filter(pc.equal(values["kind"], k))
             slot = np.concatenate([sums(x, "<u4") for x in part["slots"].to_pylist()])
-            got[k] = np.zeros(len(slot))
-            got[k][slot] = np.concatenate([restore(x, "<i8" if k == WORD else "<f4") for x in part["values"].to_pylist()])
+            got[k] = np.zeros(len(slot) if columns == 1 else (len(slot), columns))
+            got[k][slot] = np.concatenate([numbers_in(x, kind, columns) for x in part["values"].to_pylist()])
         c, logp = got[WORD], got[CONTEXT]
         out: list[list] = [[], [], [], [], [], [], []]
         for r in rows.to_pylist():
-            sizes, local = restore(r["sizes"], "<u4").astype(np.int64), restore(r["tokens"], "<u4")
-            keys, n = contexts_of(restore(r["words"], "u1"), restore(r["lengths"], "<u4").astype(np.int64), order)
+            sizes, local = restore(r["sizes"], "<u4").astype(np.int64), restore(r["tokens"], "<u4").astype(np.int64)
+            spelled, lengths = restore(r["words"], "u1"), restore(r["lengths"], "<u4").astype(np.int64)
+            keys, n = contexts_of(spelled, lengths, order)
             inv = np.unique(keys, return_inverse=True)[1]
             of_word = np.bincount(np.repeat(np.arange(len(n)), n), logp[inv], len(n))
             base = np.log10((c + 1) / (tokens + kinds + 1))
-            doc = np.repeat(np.arange(len(sizes)), sizes)
+            with_end = sizes + 1
+            word = np.full(int(with_end.sum()), len(lengths), np.int64)  # the end is the last
+            body = np.ones(len(word), bool)
+            body[with_end.cumsum() - 1] = False
+            word[body] = local
+            inv = np.unique(word_contexts(hashes_of(spelled, lengths)[local], sizes, bits), return_inverse=True)[1]
+            count, total, distinct = got[PAIR][inv].T
+            with np.errstate(divide="ignore", invalid="ignore"):
+                met = np.log10(count / (total + distinct))
+                escaped = np.log10(distinct / (total + distinct)) + of_word[word]
+            cost = np.where(count > 0, met, np.where(total > 0, escaped, of_word[word]))
+            doc = np.repeat(np.arange(len(sizes)), with_end)
 
             def by_doc(x: np.ndarray) -> np.ndarray:
-                return np.bincount(doc, x[local], len(sizes)) + x[-1]
+                return np.bincount(doc, x, len(sizes))
 
-            for col, v in zip(out, (r["doc_ids"], r["held"], sizes + 1, by_doc((c > 0).astype(float)).astype(np.int64), np.full(len(sizes), tokens), by_doc(base), by_doc(of_word))):
+            for col, v in zip(out, (r["doc_ids"], r["held"], with_end, by_doc(c[word] > 0).astype(np.int64), np.full(len(sizes), tokens), by_doc(base[word]), by_doc(cost))):
                 col.extend(v)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(out, types)], names)
 
     whole = t.filter(F.col("kind") == TEXTS).drop("kind", "dest", "slots", "keys", "n")
-    back = answers.filter(F.col("kind") <= CONTEXT).withColumnRenamed("block", "at")
+    back = answers.filter(F.col("kind") <= PAIR).withColumnRenamed("block", "at")
     return whole.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(
         settle, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -208,19 +208,33 @@ def ppm_plain(train, word, order):
 
 def test_ppm_against_dictionaries(spark):
     rng = random.Random(8)
-    texts = [" ".join("".join(rng.choice("abcAé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 30))) for _ in range(40)] + ["", None, "zzz\x0bZZZ"]
+    texts = [" ".join("".join(rng.choice("abcAé") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(0, 30))) for _ in range(40)]
+    texts += ["", None, "zzz\x0bZZZ", *texts[:9], *(t[: len(t) // 2] + " zz" for t in texts[9:20])]  # phrases that come again
     got = {r.doc_id: r for r in ppm.score_documents(docs(spark, texts), order=3, block_bytes=300).collect()}
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     toks = {k: [*(w.encode() for w in re.findall("[^\x20\x09-\x0d]+", (t or "").translate(low))), None] for k, t in enumerate(texts)}
     held = {k: zlib.crc32(str(k).encode()) % 7 == 2 for k in toks}
     c = Counter(w for k, ws in toks.items() if not held[k] for w in ws)
     n, v = sum(c.values()), len(c)
+    after = defaultdict(Counter)
+    for k, ws in toks.items():
+        for a, b, w in zip([2, 1, *ws], [1, *ws], ws):
+            after[a, b][w] += not held[k]
+
+    def total(ws):
+        out = 0.0
+        for a, b, w in zip([2, 1, *ws], [1, *ws], ws):
+            seen = +after[a, b]
+            t, d = sum(seen.values()), len(seen)
+            out += math.log10(seen[w] / (t + d)) if seen[w] else cost[w] + (math.log10(d / (t + d)) if d else 0)
+        return out
+
     cost = {w: ppm_plain(c, w, 3) for w in {w for ws in toks.values() for w in ws}}
     for k, ws in toks.items():
         r = got[k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[k], len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in ws))
-        assert r.score == pytest.approx(sum(cost[w] for w in ws))
+        assert r.score == pytest.approx(total(ws))
     assert ppm.score_documents(docs(spark, [])).collect() == []
 
 
