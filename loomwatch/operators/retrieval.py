@@ -5,36 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
+from loomwatch.sources.envelopes import lookup
 
 
-def precedents(tokens: DataFrame, queries: DataFrame | None = None, limit: int = 10) -> DataFrame:
+def precedents(tokens: DataFrame, queries: DataFrame | None = None, limit: int = 10, dims: list[str] | None = None) -> DataFrame:
     """(id, other, overlap, dimensions): items that share at least one (dim, value) token, best first, at most ``limit``.
 
     In: (id, dim, value). Scored through the shared tokens only, as an equi-join; a value in very many items is a skewed key
-    that adaptive execution splits. ``queries`` (id) bounds the left side."""
+    that adaptive execution splits. ``queries`` (id) bounds the left side. ``dims`` names the dimensions (62 at most): they are then
+    counted as bits, in the same partial aggregation as the overlap."""
     t = tokens.distinct()
     left = t.join(queries, "id", "left_semi") if queries is not None else t
     other = t.withColumnRenamed("id", "other")
     both = left.join(other, ["dim", "value"]).filter(F.col("id") != F.col("other"))
-    scored = both.groupBy("id", "other").agg(F.count("*").alias("overlap"), F.count_distinct("dim").alias("dimensions"))
+    if dims:
+        bit = lookup({d: 1 << k for k, d in enumerate(dims)}, F.col("dim")).cast("long")
+        seen = F.bit_count(F.bit_or(bit)).cast("long")
+    else:
+        seen = F.count_distinct("dim")
+    scored = both.groupBy("id", "other").agg(F.count("*").alias("overlap"), seen.alias("dimensions"))
     k = F.row_number().over(W.partitionBy("id").orderBy(F.desc("overlap"), F.desc("dimensions"), "other"))
     return scored.withColumn("rank", k).filter(F.col("rank") <= limit)
 
 
+#: Distinct query terms up to which they are sent to every task; beyond, terms meet by a shuffle.
+SENT_TERMS = 200_000
+
+
+def terms(rows: DataFrame, ident: str, text: str) -> DataFrame:
+    """(id, words): each text's words in order."""
+    return rows.select(F.col(ident).alias("id"), F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)).alias("words"))
+
+
 def words(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.select(F.col(ident).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
-    """(query, doc, score, coverage). In: docs (id, term), queries (id, term), a row for each occurrence; repeated query terms
-    count again. Corpus totals are one row; document lengths and frequencies are grouped, never collected."""
-    tf = docs.groupBy("id", "term").agg(F.count("*").alias("tf"))
-    size = docs.groupBy("id").agg(F.count("*").alias("len"))
+    """(query, doc, score, coverage). In: docs (id, words), queries (id, term), a row for each occurrence; repeated query terms
+    count again. Lengths are array sizes; only words that a query asks for leave the scan. Corpus totals are one row; document
+    frequencies are grouped, never collected."""
+    size = docs.select("id", F.size("words").alias("len")).filter("len > 0")
     corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     q = queries.groupBy(F.col("id").alias("query"), "term").agg(F.count("*").alias("qtf"))
+    wanted = q.select("term").distinct()
+    if wanted.count() <= SENT_TERMS:
+        wanted = F.broadcast(wanted)
+    tf = docs.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
+    tf = tf.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
     asked = q.groupBy("query").agg(F.count("*").alias("terms"))
-    hit = q.join(df, "term").join(tf, "term").join(size, "id").crossJoin(F.broadcast(corpus))
+    hit = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(corpus))  # one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / norm
@@ -43,6 +64,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = P.BM25_K1, b: float =
 
 
 def cite(scored: DataFrame, least_score: float = P.CITE_SCORE, least_coverage: float = P.CITE_COVERAGE) -> DataFrame:
-    """The best document of each query that passes both bars."""
-    k = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc"))
+    """The best document of each query that passes both bars. Scores that agree to nine places are a tie: the order in which a sum was
+    taken decides nothing."""
+    k = F.row_number().over(W.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "doc"))
     return scored.withColumn("_k", k).filter((F.col("_k") == 1) & (F.col("score") >= least_score) & (F.col("coverage") >= least_coverage)).drop("_k")

@@ -60,15 +60,24 @@ def disk_pressure(records: DataFrame) -> DataFrame:
 def error_bursts(events: DataFrame, window_us: int = 60_000_000, least: int = 5) -> DataFrame:
     """(run_id, start_n, end_n, count): forward windows with enough events, picked greedily without overlap of line numbers.
 
-    In: (run_id, n, us). Windows never cross a gap longer than themselves; such islands are folded alone."""
-    part_ = W.partitionBy("run_id").orderBy("us", "n")
-    ahead = W.partitionBy("run_id").orderBy("us").rangeBetween(0, window_us)
-    peers = W.partitionBy("run_id", "us").orderBy("n")
-    d = events.filter("us is not null").withColumn("_before", F.row_number().over(peers) - 1)
+    In: (run_id, n, us). Every event also visits the time buckets beside its own, so that a bucket, never a run, is what a window
+    sorts. Windows never cross a gap longer than themselves; such islands are numbered by prefix sums over blocks of buckets and
+    folded alone."""
+    own = F.floor(F.col("us") / window_us)
+    e = events.filter("us is not null").select("run_id", "n", "us", own.alias("_own"), F.explode(F.array(own - 1, own, own + 1)).alias("_b"))
+    bucket = W.partitionBy("run_id", "_b")
+    ahead = bucket.orderBy("us").rangeBetween(0, window_us)
+    peers = W.partitionBy("run_id", "_b", "us").orderBy("n")
+    d = e.withColumn("_before", F.row_number().over(peers) - 1)
     d = d.withColumn("count", F.count("*").over(ahead) - F.col("_before"))
     d = d.withColumn("end_n", F.max_by("n", F.struct("us", "n")).over(ahead))
-    new = F.coalesce(F.col("us") - F.lag("us").over(part_) > window_us, F.lit(True)).cast("int")
-    d = d.withColumn("_new", new).withColumn("_island", F.sum("_new").over(part_)).filter(F.col("count") >= least)
+    d = d.withColumn("_new", F.coalesce(F.col("us") - F.lag("us").over(bucket.orderBy("us", "n")) > window_us, F.lit(True)).cast("int"))
+    d = d.filter("_b = _own").withColumn("_block", F.floor(F.col("_own") / 1000))
+    starts = d.groupBy("run_id", "_block").agg(F.sum("_new").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy("run_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum("_new").over(W.partitionBy("run_id", "_block").orderBy("us", "n"))
+    d = d.withColumn("_inside", inside).join(starts.withColumn("_base", before).drop("_s"), ["run_id", "_block"])
+    d = d.withColumn("_island", F.col("_base") + F.col("_inside")).filter(F.col("count") >= least)
     per = d.groupBy("run_id", "_island").agg(F.array_sort(F.collect_list(F.struct("us", "n", "end_n", "count"))).alias("_c"))
     zero = F.struct(F.lit(None).cast("long").alias("upto"), F.array().cast("array<struct<us:bigint,n:bigint,end_n:bigint,count:bigint>>").alias("got"))
 

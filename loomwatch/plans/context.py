@@ -17,7 +17,7 @@ ZK_TEXT = {
 
 
 def _zk(spark, sf_dir):
-    e = _events(spark, sf_dir).filter("user_id % 4 = 0")
+    e = _events(spark, sf_dir)
     return infra.zookeeper(e.select("run_id", "n", lookup(ZK_TEXT, F.col("event_type")).alias("raw")))
 
 
@@ -57,7 +57,7 @@ def username_spray(spark, sf_dir):
 
 def hydrated_evidence(spark, sf_dir):
     """Findings citing order lines, hydrated with the lines' text and the first host."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 5 = 0").dropDuplicates(["l_orderkey", "l_linenumber"])
+    li = table(spark, sf_dir, "lineitem").dropDuplicates(["l_orderkey", "l_linenumber"])
     ev = li.select(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").cast("long").alias("n"), F.col("l_linenumber").cast("string").alias("raw"), F.when(F.col("l_linenumber") >= 2, F.concat(F.lit("h"), F.col("l_linenumber").cast("string"))).alias("host"))
     cites = ev.select("run_id", F.lit("f").alias("finding"), F.col("n").alias("line"))
     d = enrich.hydrate(cites, ev, 3)
@@ -113,17 +113,18 @@ def confusion(spark, sf_dir):
 
 
 def vulnerability_bands(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
+    li = table(spark, sf_dir, "lineitem")
     text = F.format_string("found CVE-20%02d-%04d %.1f and CVE-2001-1234", F.pmod("l_partkey", F.lit(20)), F.col("l_suppkey") + 1000, F.pmod("l_orderkey", F.lit(100)) / 10)
     v = intel.vulnerabilities(li.select(F.col("l_orderkey").alias("ip"), text.alias("output")))
     return v.groupBy("band").agg(F.count("*").alias("n"), F.round(F.max("cvss"), 1).alias("worst"))
 
 
 def finding_overlap(spark, sf_dir):
-    """Two sets of findings matched through any shared part or supplier."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
-    per = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set("l_partkey").alias("parts"), F.collect_set("l_suppkey").alias("supps"))
-    d = score.overlap_match(per.filter("id % 100 = 0"), per.filter("id % 100 <> 0"), ["parts", "supps"])
+    """Orders of even and of odd number matched through a part in equal quantity or a supplier on the same day."""
+    li = table(spark, sf_dir, "lineitem")
+    part, day = F.concat_ws("-", "l_partkey", F.col("l_quantity").cast("int")), F.concat_ws("-", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd"))
+    per = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(part).alias("parts"), F.collect_set(day).alias("supps"))
+    d = score.overlap_match(per.filter("id % 2 = 0"), per.filter("id % 2 = 1"), ["parts", "supps"])
     return d.groupBy("left_id").agg(F.count("*").alias("matches"), F.sum("right_id").alias("sum_right"))
 
 
@@ -140,7 +141,7 @@ QUERIES = {f.__name__: f for f in (
 
 _DAY = "'day-' || strftime(ts, '%Y-%m-%d')"
 _ZK = f"""WITH z AS (SELECT {_DAY} AS run_id, event_id AS n, CASE event_type WHEN 'error' THEN 'zookeeper_connection_broken' WHEN 'click' THEN 'zookeeper_sendworker_exit'
-  WHEN 'view' THEN 'zookeeper_sendworker_interrupt' WHEN 'purchase' THEN 'zookeeper_sendworker_interrupted' ELSE 'zookeeper_socket_closed' END AS rule FROM events WHERE user_id % 4 = 0),
+  WHEN 'view' THEN 'zookeeper_sendworker_interrupt' WHEN 'purchase' THEN 'zookeeper_sendworker_interrupted' ELSE 'zookeeper_socket_closed' END AS rule FROM events),
 g AS (SELECT run_id, rule, count(*) AS hits, min(n) AS first_n, max(n) AS last_n FROM z GROUP BY 1, 2)"""
 _ZKSEV = "CASE " + " ".join(f"WHEN rule = '{r}' AND hits >= {least} THEN '{s}'" for r, _, steps in P.ZOOKEEPER_RULES for least, s in steps) + " END"
 
@@ -172,7 +173,7 @@ WITH f AS (SELECT '10.0.0.' || (user_id % 20) AS source, 'u' || (event_id % 7) A
 k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n, u) AS k FROM f)
 SELECT source, count(*) AS distinct_usernames, string_agg(CASE WHEN k <= 4 THEN u END, ',' ORDER BY k) AS sample FROM k GROUP BY source""",
     "hydrated_evidence": """
-WITH l AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS n FROM lineitem WHERE l_orderkey % 5 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n) AS k FROM l)
+WITH l AS (SELECT DISTINCT l_orderkey AS run_id, l_linenumber AS n FROM lineitem), k AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY n) AS k FROM l)
 SELECT run_id, string_agg(CAST(n AS VARCHAR), '|' ORDER BY n) AS evidence, 'h' || min(CASE WHEN n >= 2 THEN n END) AS host FROM k WHERE k <= 3 GROUP BY run_id""",
     "case_links": """
 SELECT 'linked' AS kind, count(*) AS n FROM orders WHERE o_custkey % 3 = 0 UNION ALL SELECT 'orphans', count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 3 = 0
@@ -192,7 +193,7 @@ g AS (SELECT user_id, day, bool_or(event_type = 'error') AS a, bool_or(event_typ
 SELECT user_id, day, CAST(a AS DOUBLE) AS family_auth, CAST(c AS DOUBLE) AS family_scan, CAST(w AND NOT a AND NOT c AND NOT (o AND FALSE) AND NOT o AS DOUBLE) AS family_windows,
   CAST(NOT a AND NOT c AND NOT (w AND NOT o) AS DOUBLE) AS family_other, CAST(CAST(a AS INT) + CAST(c AS INT) + CAST(w AS INT) + CAST(o AS INT) AS DOUBLE) AS rules, CAST(ips AS DOUBLE) AS ips,
   CAST(n AS DOUBLE) AS occurrences, round(CASE WHEN n >= 2 THEN span ELSE 0 END, 3) AS span_s, round(CASE WHEN n >= 2 AND span > 0 THEN n / (span / 60.0) ELSE 0 END, 6) AS per_minute,
-  CAST(n >= 2 AS DOUBLE) AS timed, CASE WHEN user_id % 2 = 0 THEN 2.0 ELSE 1.0 END AS criticality FROM g""",
+  CAST(n >= 2 AS DOUBLE) AS timed, CAST(CASE WHEN user_id % 2 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS criticality FROM g""",
     "triage_folds": """
 WITH c AS (SELECT quality AS label, count(*) AS n FROM labels GROUP BY 1), t AS (SELECT sum(n) AS t, count(*) AS k FROM c)
 SELECT label, CAST(f AS INTEGER) AS fold, CAST(n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END AS BIGINT) AS n, round(t / (k * n), 9) AS weight FROM c, t, range(5) r(f) WHERE n // 5 + CASE WHEN f < n % 5 THEN 1 ELSE 0 END > 0""",
@@ -201,13 +202,13 @@ WITH x AS (SELECT toxic AS a, CAST(regexp_matches(text, '(?i)\b(idiot|moron|path
 c AS (SELECT k, count(*) FILTER (WHERE a = k AND b = k) AS tp, count(*) FILTER (WHERE a <> k AND b = k) AS fp, count(*) FILTER (WHERE a = k AND b <> k) AS fn FROM x, (VALUES (0), (1)) v(k) GROUP BY k)
 SELECT round(sum(CASE WHEN a = b THEN 1 ELSE 0 END) / count(*), 4) AS accuracy, count(*) AS "rows", (SELECT round(avg(2 * tp / (2 * tp + fp + fn)), 4) FROM c) AS macro_f1 FROM x""",
     "vulnerability_bands": """
-WITH l AS (SELECT DISTINCT l_orderkey AS ip, 'CVE-20' || lpad(CAST(l_partkey % 20 AS VARCHAR), 2, '0') || '-' || (l_suppkey + 1000) AS cve, (l_orderkey % 100) / 10 AS cvss FROM lineitem WHERE l_orderkey % 10 = 0
- UNION SELECT l_orderkey, 'CVE-2001-1234', NULL FROM lineitem WHERE l_orderkey % 10 = 0),
+WITH l AS (SELECT DISTINCT l_orderkey AS ip, 'CVE-20' || lpad(CAST(l_partkey % 20 AS VARCHAR), 2, '0') || '-' || (l_suppkey + 1000) AS cve, (l_orderkey % 100) / 10 AS cvss FROM lineitem
+ UNION SELECT l_orderkey, 'CVE-2001-1234', NULL FROM lineitem),
 m AS (SELECT ip, cve, max(cvss) AS cvss FROM l GROUP BY 1, 2)
 SELECT CASE WHEN cvss >= 9 THEN 'CRITICAL' WHEN cvss >= 7 THEN 'HIGH' WHEN cvss >= 4 THEN 'MEDIUM' WHEN cvss > 0 THEN 'LOW' ELSE 'INFO' END AS band, count(*) AS n, round(max(cvss), 1) AS worst FROM m GROUP BY 1""",
     "finding_overlap": """
-WITH l AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_orderkey % 50 = 0),
-m AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM l a JOIN l b ON a.id % 100 = 0 AND b.id % 100 <> 0 AND (a.p = b.p OR a.s = b.s))
+WITH l AS (SELECT DISTINCT l_orderkey AS id, 'p' || l_partkey || '-' || CAST(l_quantity AS INTEGER) AS k FROM lineitem UNION SELECT l_orderkey, 's' || l_suppkey || '-' || strftime(l_shipdate, '%Y-%m-%d') FROM lineitem),
+m AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM l a JOIN l b ON a.k = b.k AND a.id % 2 = 0 AND b.id % 2 = 1)
 SELECT left_id, count(*) AS matches, CAST(sum(right_id) AS BIGINT) AS sum_right FROM m GROUP BY left_id""",
     "page_terms": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '[a-z0-9]+')) AS term FROM pages) GROUP BY term ORDER BY n DESC, term LIMIT 25",
 }

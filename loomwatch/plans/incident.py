@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from loomwatch.functions import patterns as P
 from loomwatch.operators import incidents as I, investigate, ledger, redact, retrieval, rollups, rules, runbooks, score
 from loomwatch.session import table
+from loomwatch.sources import sinks
 from loomwatch.sources.envelopes import lookup
 
 HOUR = 3_600_000_000
@@ -24,7 +25,7 @@ def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def error_burst(spark, sf_dir):
-    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.lit("r").alias("run_id"), F.col("event_id").alias("n"), F.unix_micros("ts").alias("us"))
+    e = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.lit("all").alias("run_id"), F.col("event_id").alias("n"), F.unix_micros("ts").alias("us"))
     return rules.error_bursts(e, HOUR // 2, 5).select("start_n", "end_n", "count")
 
 
@@ -44,8 +45,8 @@ def incident_priority(spark, sf_dir):
 def attacker_phase(spark, sf_dir):
     f = _findings(spark, sf_dir)
     tactic = lookup({"error": "Credential Access", "purchase": "Impact", "click": "Discovery", "view": "Reconnaissance", "signup": "Initial Access"}, F.col("type"))
-    per = f.withColumn("tactic", tactic).filter("seq % 40 = 0").groupBy("entity").agg(F.collect_set("tactic").alias("t"))
-    return per.select("entity", I.phase(F.col("t")).alias("phase"))
+    per = f.withColumn("tactic", tactic).groupBy("entity", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.collect_set("tactic").alias("t"))
+    return per.select("entity", "day", I.phase(F.col("t")).alias("phase"))
 
 
 def severity_donut(spark, sf_dir):
@@ -102,17 +103,16 @@ def store_query(spark, sf_dir):
 
 
 def bm25(spark, sf_dir):
-    """Documents ranked for the first eight words of each benchmark passage: the best one that passes the bars."""
-    docs = retrieval.words(table(spark, sf_dir, "documents"), "doc_id", "text")
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 8), " ").alias("text"))
-    d = retrieval.cite(retrieval.bm25(docs, retrieval.words(b, "item_id", "text")))
+    """Documents ranked for each benchmark passage: the best one that passes the bars."""
+    docs = retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
+    d = retrieval.cite(retrieval.bm25(docs, retrieval.words(table(spark, sf_dir, "benchmark"), "item_id", "text")))
     return d.select("query", "doc", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
 def precedents(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     t = p.select(F.col("p_partkey").alias("id"), F.explode(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))).alias("dim", "value"))
-    d = retrieval.precedents(t, p.select(F.col("p_partkey").alias("id")).filter("id % 20 = 0"), 10)
+    d = retrieval.precedents(t, p.select(F.col("p_partkey").alias("id")).filter("id % 20 = 0"), 10, ["brand", "type", "size"])
     return d.select("id", "other", "overlap", "dimensions", "rank")
 
 
@@ -148,15 +148,16 @@ def hash_chain(spark, sf_dir):
 def lifecycle_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     to = lookup({"click": "acknowledged", "purchase": "resolved", "error": "reopened", "signup": "open"}, F.col("event_type"))
-    t = e.select(F.col("user_id").alias("incident"), F.col("event_id").alias("seq"), to.alias("to"), F.unix_seconds("ts").alias("at")).filter("to is not null and seq % 3 = 0")
+    t = e.select(F.col("user_id").alias("incident"), F.col("event_id").alias("seq"), to.alias("to"), F.unix_seconds("ts").alias("at")).filter("to is not null")
     return I.lifecycle(t)
 
 
 def runbook_eligibility(spark, sf_dir):
-    f = _findings(spark, sf_dir).filter("seq % 5 = 0")
-    per = f.groupBy(F.col("entity").alias("incident")).agg(
+    """A user's day is an incident."""
+    f = _findings(spark, sf_dir)
+    per = f.groupBy((F.col("entity") * 100_000 + F.unix_date(F.to_date("ts"))).alias("incident")).agg(
         F.collect_set("type").alias("types"), F.min_by("severity", I.severity_rank(F.col("severity"))).alias("severity"),
-        F.array_compact(F.array(F.when(F.count("*") >= 15, "many"), F.when(F.count_if(F.col("type") == "error") >= 3, "errors"))).alias("evidence"),
+        F.array_compact(F.array(F.when(F.count("*") >= 5, "many"), F.when(F.count_if(F.col("type") == "error") >= 2, "errors"))).alias("evidence"),
     )
     per = per.withColumn("entity_kind", F.when(F.col("incident") % 2 == 0, "user").otherwise("host"))
     books = spark.createDataFrame([("rb-user", ["error"], ["user"], ["errors"], "HIGH"), ("rb-any", ["signup", "error"], ["user", "host"], ["errors", "many"], "MEDIUM")], runbooks.RUNBOOK)
@@ -170,7 +171,7 @@ def redaction(spark, sf_dir):
 
 def redaction_tokens(spark, sf_dir):
     """Addresses per source, numbered by first appearance."""
-    return redact.token_table(table(spark, sf_dir, "documents").withColumn("text", F.substring("text", 1, 2000)), "source", "doc_id", "text").filter(F.col("kind") == "IP").select("scope", "value", "token")
+    return redact.token_table(table(spark, sf_dir, "documents"), "source", "doc_id", "text").filter(F.col("kind") == "IP").select("scope", "value", "token")
 
 
 def milestones(spark, sf_dir):
@@ -191,9 +192,9 @@ def event_hash_dedupe(spark, sf_dir):
     """Rows that the store does not hold yet, by hash; the store holds every third order."""
     o = table(spark, sf_dir, "orders")
     h = F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderpriority"), 256)
-    new = o.unionByName(o.filter("o_orderkey % 7 = 0")).withColumn("event_hash", h).dropDuplicates(["event_hash"])
+    new = o.unionByName(o.filter("o_orderkey % 7 = 0")).withColumn("event_hash", h)
     held = o.filter("o_orderkey % 3 = 0").select(h.alias("event_hash"))
-    return new.join(held, "event_hash", "left_anti").groupBy("o_orderpriority").agg(F.count("*").alias("new_rows"))
+    return sinks.new_rows(new, held, "event_hash", ["o_orderkey"]).groupBy("o_orderpriority").agg(F.count("*").alias("new_rows"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -227,8 +228,8 @@ SELECT severity, CASE severity WHEN 'CRITICAL' THEN CASE c WHEN 0 THEN 'P2' ELSE
   WHEN 'MEDIUM' THEN CASE c WHEN 2 THEN 'P2' WHEN 1 THEN 'P3' ELSE 'P4' END WHEN 'LOW' THEN CASE c WHEN 2 THEN 'P3' ELSE 'P4' END WHEN 'INFO' THEN 'P4' END AS priority, count(*) AS n
 FROM d GROUP BY 1, 2""",
     "attacker_phase": """
-WITH f AS (SELECT user_id AS entity, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 0 ELSE 1 END AS p FROM events WHERE event_id % 40 = 0)
-SELECT entity, CASE max(p) WHEN 0 THEN 'Planning / Probing' WHEN 1 THEN 'Breaking In' WHEN 2 THEN 'Spreading Inside' ELSE 'Damaging / Stealing' END AS phase FROM f GROUP BY entity""",
+WITH f AS (SELECT user_id AS entity, strftime(ts, '%Y-%m-%d') AS day, CASE event_type WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'click' THEN 2 WHEN 'view' THEN 0 ELSE 1 END AS p FROM events)
+SELECT entity, day, CASE max(p) WHEN 0 THEN 'Planning / Probing' WHEN 1 THEN 'Breaking In' WHEN 2 THEN 'Spreading Inside' ELSE 'Damaging / Stealing' END AS phase FROM f GROUP BY entity, day""",
     "severity_donut": f"""
 WITH f AS (SELECT strftime(ts, '%Y-%m-%d') AS day, {_SEV} AS severity FROM events),
 s(severity) AS (VALUES ('CRITICAL'), ('HIGH'), ('MEDIUM'), ('LOW'), ('INFO')),
@@ -262,12 +263,12 @@ SELECT CASE event_type WHEN 'error' THEN 'T1110' WHEN 'purchase' THEN 'T1046' WH
     "store_query": """SELECT event_id, user_id, props FROM events WHERE event_type = 'error' AND contains(lower(props), '"k": 7') ORDER BY ts DESC, event_id DESC LIMIT 50 OFFSET 10""",
     "bm25": """
 WITH d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
-q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:8], ' ')), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1, 2),
+q AS (SELECT item_id AS query, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY 1, 2),
 tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY 1, 2), sz AS (SELECT id, count(*) AS len FROM d GROUP BY 1), c AS (SELECT count(*) AS n, avg(len) AS a FROM sz),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 s AS (SELECT query, id AS doc, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score, count(*) AS m
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (id), c GROUP BY 1, 2),
-t AS (SELECT query, doc, score, m / (SELECT count(*) FROM q x WHERE x.query = s.query) AS coverage, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc) AS k FROM s)
+t AS (SELECT query, doc, score, m / (SELECT count(*) FROM q x WHERE x.query = s.query) AS coverage, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM s)
 SELECT query, doc, round(score, 6) AS score, round(coverage, 6) AS coverage FROM t WHERE k = 1 AND score >= 1.0 AND coverage >= 0.5""",
     "precedents": """
 WITH t AS (SELECT p_partkey AS id, 'brand' AS dim, p_brand AS value FROM part UNION SELECT p_partkey, 'type', p_type FROM part UNION SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part),
@@ -291,7 +292,7 @@ WITH o AS (SELECT o_custkey AS ledger, o_orderkey AS seq, o_orderkey % 100 = 3 A
 SELECT ledger, count(*) AS entries, count(*) FILTER (WHERE bad) = 0 AS ok, min(seq) FILTER (WHERE bad) AS first_break, CASE WHEN bool_or(bad) THEN 'hash mismatch' END AS reason FROM o GROUP BY ledger""",
     "lifecycle_fold": """
 WITH RECURSIVE t AS (SELECT user_id AS incident, event_id AS seq, CASE event_type WHEN 'click' THEN 'acknowledged' WHEN 'purchase' THEN 'resolved' WHEN 'error' THEN 'reopened' WHEN 'signup' THEN 'open' END AS "to",
-  CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at" FROM events WHERE event_type <> 'view' AND event_id % 3 = 0),
+  CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS "at" FROM events WHERE event_type <> 'view'),
 r AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY seq) AS k FROM t),
 g AS (SELECT DISTINCT incident, CAST(0 AS BIGINT) AS k, 'open' AS state, CAST(0 AS BIGINT) AS accepted, CAST(0 AS BIGINT) AS rejected, CAST(NULL AS BIGINT) AS ack, CAST(NULL AS BIGINT) AS res FROM r
  UNION ALL SELECT incident, k, CASE WHEN ok THEN "to" ELSE state END, accepted + CAST(ok AS INTEGER), rejected + CAST(NOT ok AS INTEGER),
@@ -300,13 +301,13 @@ g AS (SELECT DISTINCT incident, CAST(0 AS BIGINT) AS k, 'open' AS state, CAST(0
    OR (g.state = 'resolved' AND r."to" = 'reopened') OR (g.state = 'reopened' AND r."to" IN ('acknowledged', 'resolved')) AS ok FROM g JOIN r ON r.incident = g.incident AND r.k = g.k + 1))
 SELECT incident, state, accepted, rejected, ack AS acknowledged_at, res AS resolved_at FROM g WHERE k = (SELECT max(k) FROM r WHERE r.incident = g.incident)""",
     "runbook_eligibility": f"""
-WITH f AS (SELECT user_id AS incident, event_type, {_SEV} AS s FROM events WHERE event_id % 5 = 0),
-i AS (SELECT incident, bool_or(event_type = 'error') AS e, bool_or(event_type = 'signup') AS g, min({_RANK.format('s')}) AS r, count(*) >= 15 AS many, count(*) FILTER (WHERE event_type = 'error') >= 3 AS errors FROM f GROUP BY 1),
+WITH f AS (SELECT user_id * 100000 + date_diff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS incident, event_type, {_SEV} AS s FROM events),
+i AS (SELECT incident, bool_or(event_type = 'error') AS e, bool_or(event_type = 'signup') AS g, min({_RANK.format('s')}) AS r, count(*) >= 5 AS many, count(*) FILTER (WHERE event_type = 'error') >= 2 AS errors FROM f GROUP BY 1),
 b AS (SELECT incident, 'rb-user' AS runbook, [CASE WHEN NOT e THEN 'rule' END, CASE WHEN incident % 2 <> 0 THEN 'entity' END, CASE WHEN r > 1 THEN 'severity' END, CASE WHEN NOT errors THEN 'evidence:errors' END] AS m FROM i
  UNION ALL SELECT incident, 'rb-any', [CASE WHEN NOT (e OR g) THEN 'rule' END, CASE WHEN r > 2 THEN 'severity' END, CASE WHEN NOT errors THEN 'evidence:errors' END, CASE WHEN NOT many THEN 'evidence:many' END] FROM i)
 SELECT incident, runbook, array_to_string(list_filter(m, lambda x: x IS NOT NULL), ',') AS missing, len(list_filter(m, lambda x: x IS NOT NULL)) = 0 AS eligible FROM b""",
     "redaction_tokens": f"""
-WITH x AS (SELECT source, doc_id, regexp_extract_all(substr(text, 1, 2000), '{P.IOC_IP}') AS a FROM documents),
+WITH x AS (SELECT source, doc_id, regexp_extract_all(text, '{P.IOC_IP}') AS a FROM documents),
 y AS (SELECT source, doc_id, unnest(range(len(a))) AS p, unnest(a) AS value FROM x),
 f AS (SELECT source, value, min(doc_id * 100000 + p) AS k FROM y GROUP BY 1, 2)
 SELECT source AS scope, value, '[IP-' || row_number() OVER (PARTITION BY source ORDER BY k, value) || ']' AS token FROM f""",

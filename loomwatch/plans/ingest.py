@@ -183,8 +183,8 @@ def ioc_observed(spark, sf_dir):
 def ioc_match(spark, sf_dir):
     """Addresses in documents against addresses in web pages."""
     docs = intel.observed(table(spark, sf_dir, "documents"), "text", ["doc_id"]).filter("ioc_type = 'ipv4'")
-    feed = intel.observed(table(spark, sf_dir, "documents").filter("lang = 'en'"), "text", ["source"]).filter("ioc_type = 'ipv4'")
-    feed = feed.groupBy("ioc_type", "value").agg(F.count_distinct("source").alias("feeds"))
+    feed = intel.observed(table(spark, sf_dir, "pages"), "html", ["page_id"]).filter("ioc_type = 'ipv4'")
+    feed = feed.groupBy("ioc_type", "value").agg(F.count_distinct("page_id").alias("feeds"))
     m = intel.match(docs, feed)
     return m.groupBy("value").agg(F.count_distinct("doc_id").alias("docs"), F.max("feeds").alias("feeds"))
 
@@ -273,7 +273,8 @@ WITH x AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '{P.IOC_
 SELECT doc_id, array_to_string(i, ',') AS ips, CAST(h AS INTEGER) AS hashes, context FROM x WHERE len(i) > 0 OR h > 0""",
     "ioc_match": f"""
 WITH x AS (SELECT DISTINCT doc_id, source, lang, unnest(regexp_extract_all(t, '{P.IOC_IP}')) AS value FROM {_T}),
-f AS (SELECT value, count(DISTINCT source) AS feeds FROM x WHERE lang = 'en' GROUP BY value)
+p AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(coalesce(html, ''), '{P.IOC_IP}')) AS value FROM pages),
+f AS (SELECT value, count(*) AS feeds FROM p GROUP BY value)
 SELECT value, count(DISTINCT doc_id) AS docs, max(feeds) AS feeds FROM x JOIN f USING (value) GROUP BY value""",
     "device_types": "SELECT " + _first([(p, k) for k, p in P.DEVICES.items()], "'unknown'")
     # a word boundary beside an accented letter: RE2 sees one, Spark and the rules do not

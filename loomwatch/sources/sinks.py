@@ -9,13 +9,27 @@ def event_hash(*columns: str) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
 
 
-def append_new(events: DataFrame, path: str, ts: str = "ts", keys: tuple[str, ...] = ("ts", "source", "raw")) -> DataFrame:
-    """Appends events that the store does not hold, partitioned by day; returns them. Hash equality decides; a store that
-    does not exist yet holds nothing."""
+def first_of(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with equal keys the first in ``order`` stays, whole. Combined before the shuffle; no key is gathered."""
+    kept = rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first"))
+    return kept.select("_first.*")
+
+
+def new_rows(rows: DataFrame, held: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Rows whose key the store does not hold, the first of each key."""
+    return first_of(rows, [key], order).join(held.select(key), key, "left_anti")
+
+
+def append_new(events: DataFrame, path: str, ts: str = "ts", keys: tuple[str, ...] = ("ts", "source", "raw"), order: list[str] | None = None) -> DataFrame:
+    """Appends events that the store does not hold, partitioned by day; returns them. Hash equality decides, of equal events the
+    first in ``order`` (time, then the other keys) stays; a store that does not exist yet holds nothing."""
     spark = events.sparkSession
-    d = events.withColumn("event_hash", event_hash(*keys)).dropDuplicates(["event_hash"]).withColumn("day", F.to_date(ts))
+    d = events.withColumn("event_hash", event_hash(*keys))
     if exists(spark, path):
-        d = d.join(spark.read.parquet(path).select("event_hash"), "event_hash", "left_anti")
+        d = new_rows(d, spark.read.parquet(path), "event_hash", order or [ts, *keys])
+    else:
+        d = first_of(d, ["event_hash"], order or [ts, *keys])
+    d = d.withColumn("day", F.to_date(ts))
     d.write.mode("append").partitionBy("day").parquet(path)
     return d
 

@@ -93,7 +93,7 @@ def test_scores_are_null_without_a_base(spark):
 def test_bm25_prefers_the_rare_term(spark):
     d = spark.createDataFrame([(1, "ssh brute force ssh"), (2, "disk full disk"), (3, "brute disk")], "id int, t string")
     q = spark.createDataFrame([(9, "ssh brute")], "id int, t string")
-    r = retrieval.bm25(retrieval.words(d, "id", "t"), retrieval.words(q, "id", "t")).orderBy(F.desc("score")).collect()
+    r = retrieval.bm25(retrieval.terms(d, "id", "t"), retrieval.words(q, "id", "t")).orderBy(F.desc("score")).collect()
     assert [x.doc for x in r] == [1, 3] and r[0].coverage == 1.0
     t = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (3, "b", "y"), (3, "a", "x")], "id int, dim string, value string")
     assert [(r.other, r.overlap) for r in retrieval.precedents(t).filter("id = 1").orderBy("rank").collect()] == [(3, 2), (2, 1)]
