@@ -31,6 +31,7 @@ import bisect
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -63,14 +64,14 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
     """A 64-bit hash of the ``gram`` bytes from each position on (a power of two), by doubling."""
     h = _BYTES[data]
-    step, mul = 1, np.uint64(0x9E3779B97F4A7C15)
+    step, mul = 1, 0x9E3779B97F4A7C15
     while step < gram:
         if len(h) <= step:
             return np.zeros(0, np.uint64)
-        left = h[:-step] * mul
+        left = h[:-step] * np.uint64(mul)
         left += h[step:]
         h = left
-        mul = mul * mul * np.uint64(0x2545F4914F6CDD1D)
+        mul = mul * mul * 0x2545F4914F6CDD1D % (1 << 64)
         step *= 2
     h = h ^ (h >> np.uint64(29))
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -406,10 +407,16 @@ def cold_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, run_
 
 IDS = ["row", "a", "o1", "o2"]
 ID_TYPES = "row long, a int, o1 int, o2 int"
+def in_portions(rows: Iterator[tuple], kinds: list, names: list[str], most: int = 4000) -> Iterator[pa.RecordBatch]:
+    """Record batches of at most ``most`` rows, so that neither side of the exchange with Python holds many."""
+    while held := list(islice(rows, most)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names)
+
+
 SORT_OUT = f"part int, edge int, lcp int, {ID_TYPES}, tie_lcp int, before boolean, key binary, tie binary"
 
 
-def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int = 4000) -> DataFrame:
+def merge_sort(rows: DataFrame, parts: int, run_rows: int = 10_000, sample: int = 4000) -> DataFrame:
     """Sorts (key, tie, row, a, o1, o2) rows by key, tie and ids over ``parts`` ranges.
 
     Out, for every row twice at most, once for each neighbour: lcp (common prefix of the keys), tie_lcp (of the ties) and
@@ -466,7 +473,7 @@ def merge_sort(rows: DataFrame, parts: int, run_rows: int = 20_000, sample: int
                 rows.append((part, 0, lcp, *ids, t, True, None, None))
                 rows.append((part, 0, lcp, *last[1], t, False, None, None))
             last = tie, ids, key
-            if len(rows) >= 20_000:
+            if len(rows) >= 8_000:
                 yield flush()
         if last:
             rows.append((part, 2, 0, *last[1], 0, False, last[2], last[0]))
@@ -492,12 +499,11 @@ def hot_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, gram:
     """row, lo, hi: runs of repeated windows at anchors of grams of any frequency."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.binary()] * 2 + [pa.int64()] + [pa.int32()] * 3 + [pa.int64()]
-        for whole in batches:
-            for b in (whole.slice(i, 64) for i in range(0, whole.num_rows, 64)):
-                rows = [(r, x, *ids, kh) for r, x, ids, kh in context_rows(b, length)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["right", "left", *IDS, "kh"])
+        for b in batches:
+            yield from in_portions(
+                ((r, x, *ids, kh) for r, x, ids, kh in context_rows(b, length)),
+                [pa.binary()] * 2 + [pa.int64()] + [pa.int32()] * 3 + [pa.int64()], ["right", "left", *IDS, "kh"],
+            )
 
     ctx = materialise(with_anchors(docs, kept).mapInArrow(contexts, f"right binary, left binary, {ID_TYPES}, kh long"))
     by_right = merge_sort(ctx.select(F.col("right").alias("key"), F.col("left").alias("tie"), *IDS), parts)
@@ -514,29 +520,29 @@ def hot_windows(docs: DataFrame, kept: DataFrame, parts: int, length: int, gram:
         .agg(F.max("rext").alias("rmax"), F.max("lext").alias("lmax"), F.collect_set("iv").alias("ivs"), F.max(F.when(F.col("before"), F.col("iv"))).alias("prev"))
         .withColumn("ulo", F.greatest(F.col("o1"), length - F.col("rmax")))
         .withColumn("uhi", F.least("o2", "lmax"))
+        .withColumn("open", F.when(F.col("ulo") <= F.col("uhi"), F.filter(F.sequence("ulo", "uhi"), lambda o: ~F.exists("ivs", lambda v: (v["lo"] <= o) & (o <= v["hi"])))))
     )
     proven = per.select("row", "a", F.explode("ivs").alias("v")).select("row", (F.col("a") - F.col("v.hi")).alias("lo"), (F.col("a") - F.col("v.lo")).alias("hi"))
     # open: offsets between bound and proof. A row shows its windows at offsets that rows of its gram ask for, but for those
     # that equal the windows of the row before it in right order, which that row or one before it shows
-    keyed = per.filter("ulo <= uhi").join(ctx.select("kh", *IDS), IDS).withColumn(
-        "open", F.filter(F.sequence("ulo", "uhi"), lambda o: ~F.exists("ivs", lambda v: (v["lo"] <= o) & (o <= v["hi"])))
-    )
+    if not per.filter(F.size("open") > 0).limit(1).count():
+        return proven
+    keyed = per.filter("ulo <= uhi").join(ctx.select("kh", *IDS), IDS)
     asked = keyed.select("kh", F.explode("open").alias("o")).distinct().groupBy("kh").agg(F.collect_set("o").alias("os"))  # at most ``length`` offsets
     new = F.filter("os", lambda o: (o >= F.col("ulo")) & (o <= F.col("uhi")) & ~F.coalesce((F.col("prev.lo") <= o) & (o <= F.col("prev.hi")), F.lit(False)))
     shown = keyed.join(asked, "kh").select(*IDS, "open", new.alias("os")).filter(F.size("os") > 0)
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary()]
+        def rows(b: pa.RecordBatch) -> Iterator[tuple]:
+            for row, a, os, asks, right, left in zip(*(b.column(c).to_pylist() for c in ("row", "a", "os", "open", "right", "left"))):
+                back, asks = left[::-1], set(asks)
+                for o in os:
+                    w = back[len(back) - o :] + right[: length - o]
+                    yield row, a - o, o in asks, hashlib.blake2b(w, digest_size=16).digest()
+
         for whole in batches:
             for b in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
-                rows = []
-                for row, a, os, asks, right, left in zip(*(b.column(c).to_pylist() for c in ("row", "a", "os", "open", "right", "left"))):
-                    back, asks = left[::-1], set(asks)
-                    for o in os:
-                        w = back[len(back) - o :] + right[: length - o]
-                        rows.append((row, a - o, o in asks, hashlib.blake2b(w, digest_size=16).digest()))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["row", "lo", "asks", "w"])
+                yield from in_portions(rows(b), [pa.int64(), pa.int32(), pa.bool_(), pa.binary()], ["row", "lo", "asks", "w"])
 
     windows = materialise(shown.join(ctx.drop("kh"), IDS).mapInArrow(digests, "row long, lo int, asks boolean, w binary"))
     again = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
