@@ -8,11 +8,12 @@ alike. Escapes are estimated by method C (distinct / (total + distinct)), and sy
 below it. Because a longer context's symbols are among a shorter one's, what is excluded is a sum per trie node, so a whole group
 of nodes is scored by vector operations. The trie is pretrained on the training documents.
 
-No table of the corpus is broadcast but the counts of order 0 and 1 (256 x 256 numbers). Texts stay in blocks; a block
-sends each distinct word, each distinct (byte context, symbol) and each distinct (two words, word) once, packed by destination: words
-by their hash, the trie by the two nearest context bytes, word contexts by their hash. A destination counts its share over all
-blocks and answers each block, which sums by document. A key reaches its destination at most once from each block, so a
-frequent word is no hot key. Destinations follow the session's shuffle partitions.
+No table of the corpus is broadcast but the counts of order 0 and 1 (256 x 256 numbers). A block of texts sends each distinct
+word, each distinct (byte context, symbol) and each distinct (two words, word) once, packed by destination: words and word
+contexts by their hash, the trie by the two nearest context bytes. A destination counts its share over all blocks and
+answers each block in the order in which it was asked. The block is then built
+from the input again, asks itself the same questions, and sums the answers by document. A key reaches its destination at most once from
+each block, so a frequent word is no hot key. Destinations follow the session's shuffle partitions.
 
 Defined results: null text counts as empty: the end alone; rows with a null doc_id are learnt from and scored; repeated
 rows count again; without training documents counts are zero and every symbol has the same probability; a very long text makes a
@@ -39,35 +40,44 @@ PAD, CLOSE, END = 0x20, 0x20, 0x0D  # bytes that no word holds
 END_KEY = np.uint64(0x1F3D5B79)
 ALPHABET = 256
 
-ROWS = (
-    "kind int, dest int, block long, slots binary, keys binary, n binary, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, "
-    "words binary, lengths binary"
-)
-WORD, CONTEXT, PAIR, LOW, TEXTS = 0, 1, 2, 3, 4  # kinds of rows
-NEXT_BITS = 14  # of the word after a word context
+ASKED = "kind int, dest int, block long, keys binary, n binary"
+TEXTS_OF = "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, lengths binary"
+WORD, CONTEXT, PAIR, TOTALS = 0, 1, 2, 3  # kinds of rows
+ESCAPED = 1000.0  # added to the log probability of an escape, to tell it from that of a word
+NEXT_BITS = 18  # of the word after a word context
+
+
+def planes(a: np.ndarray) -> bytes:
+    """An array's bytes, all lowest ones first and so on, compressed: numbers whose high bytes are alike become small."""
+    return squeeze(np.ascontiguousarray(a.view("u1").reshape(-1, a.itemsize).T))
+
+
+def whole(b: bytes, dtype: str) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(restore(b, "u1").reshape(size, -1).T).reshape(-1).view(dtype)
 
 
 def steps(a: np.ndarray, dtype: str) -> bytes:
     """An array as differences (they wrap), which ascending numbers make small."""
     a = a.astype(dtype)
-    return squeeze(np.diff(a, prepend=a.dtype.type(0)))
+    return planes(np.diff(a, prepend=a.dtype.type(0)))
 
 
 def sums(b: bytes, dtype: str) -> np.ndarray:
-    return np.cumsum(restore(b, dtype), dtype=dtype)
+    return np.cumsum(whole(b, dtype), dtype=dtype)
 
 
 def numbers_out(a: np.ndarray) -> bytes:
-    """An array by its distinct values and their numbers; columns of a table one after the other."""
-    table, code = np.unique(a.T.reshape(-1), return_inverse=True)
+    """An array by its distinct values and their numbers."""
+    table, code = np.unique(a, return_inverse=True)
+    width = 1 if len(table) <= 1 << 8 else 2 if len(table) <= 1 << 16 else 4
     head = squeeze(table)
-    return len(head).to_bytes(8, "little") + head + squeeze(code.astype("<u4"))
+    return bytes([width]) + len(head).to_bytes(8, "little") + head + planes(code.astype(f"<u{width}"))
 
 
-def numbers_in(b: bytes, dtype: str, columns: int = 1) -> np.ndarray:
-    at = 8 + int.from_bytes(b[:8], "little")
-    a = restore(b[8:at], dtype)[restore(b[at:], "<u4")]
-    return a if columns == 1 else a.reshape(columns, -1).T
+def numbers_in(b: bytes, dtype: str) -> np.ndarray:
+    at = 9 + int.from_bytes(b[1:9], "little")
+    return restore(b[9:at], dtype)[whole(b[at:], f"<u{b[0]}")]
 
 
 def destination(kind: int, keys: np.ndarray, dests: int) -> np.ndarray:
@@ -75,11 +85,12 @@ def destination(kind: int, keys: np.ndarray, dests: int) -> np.ndarray:
         keys = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))
     elif kind == PAIR:
         keys = keys >> np.uint64(NEXT_BITS)
+        return ((keys * np.uint64(dests)) >> np.uint64(word_context_bits(dests))).astype(np.int64)
     return (keys % np.uint64(dests)).astype(np.int64)
 
 
 def word_context_bits(dests: int) -> int:
-    return min(64 - NEXT_BITS, 26 + max(1, dests).bit_length())
+    return min(64 - NEXT_BITS, 24 + max(1, dests).bit_length())
 
 
 def word_contexts(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
@@ -136,27 +147,45 @@ def contexts_of(words: np.ndarray, lengths: np.ndarray, order: int) -> tuple[np.
     return key, np.append(size, 1)
 
 
-def blocks(docs: DataFrame, order: int, block_bytes: int, dests: int) -> DataFrame:
+class Block:
+    """The distinct words of some texts, in order of frequency, and what a block asks of the destinations."""
+
+    def __init__(self, words: np.ndarray, lengths: np.ndarray, sizes: np.ndarray, local: np.ndarray, order: int, dests: int):
+        """Words end to end, their lengths, the words of each document, and the number of each word."""
+        self.sizes, self.local, self.dests = sizes, local, dests
+        h = hashes_of(words, lengths)
+        self.contexts, self.symbols = contexts_of(words, lengths, order)
+        self.of = {WORD: np.append(h, END_KEY), CONTEXT: self.contexts, PAIR: word_contexts(h[local], sizes, word_context_bits(dests))}
+
+    def asks(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct keys by destination, where each destination's begin, the place of every key among them)."""
+        keys, inverse = np.unique(self.of[kind], return_inverse=True)
+        to = destination(kind, keys, self.dests)
+        by = np.argsort(to, kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        return keys[by], np.searchsorted(to[by], np.arange(self.dests + 1)), place[inverse]
+
+
+def texts_of(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Blocks of texts: distinct words in order of frequency, and the documents as word numbers."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
         size = 0
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             nonlocal number, held, size
             block = (part << 24) | number
             number += 1
             tokens = np.concatenate([h[0] for h in held])
             counts = np.concatenate([h[1] for h in held])
-            ids = [d for h in held for d in h[2]]
-            gone = np.concatenate([h[3] for h in held])
-            train = np.repeat(~gone, counts)
             seen, first, inverse, n = np.unique(tokens, return_index=True, return_inverse=True, return_counts=True)
             by = np.argsort(-n, kind="stable")  # frequent words get small numbers
             rank = np.empty(len(by), np.int64)
             rank[by] = np.arange(len(by))
-            seen, first, local = seen[by], first[by], rank[inverse]
-            learnt = np.bincount(local[train], minlength=len(seen))
+            first, local = first[by], rank[inverse]
             # bytes of each distinct word, from where it is met first
             edges = np.cumsum([0, *(len(h[0]) for h in held)])
             lengths = np.concatenate([h[5] for h in held])[first] if len(first) else np.zeros(0, np.int64)
@@ -169,33 +198,13 @@ def blocks(docs: DataFrame, order: int, block_bytes: int, dests: int) -> DataFra
                     ln = lengths[mine]
                     step = np.arange(int(ln.sum())) - np.repeat(ln.cumsum() - ln, ln)
                     spelled[np.repeat(to[mine], ln) + step] = h[6][np.repeat(h[4][first[mine] - edges[k]], ln) + step]
-            spelled = _LOWER[spelled]
-            key, sizes = contexts_of(spelled, lengths, order)
-            ends_learnt = int((~gone).sum())
-            weight = np.repeat(np.append(learnt, ends_learnt), sizes)
-            ctx, inv = np.unique(key, return_inverse=True)
-            ctx_n = np.bincount(inv, weight, len(ctx)).astype(np.int64)
-            pairs, inv = np.unique(word_contexts(tokens, counts, word_context_bits(dests)), return_inverse=True)
-            pair_n = np.bincount(inv, np.repeat(~gone, counts + 1), len(pairs)).astype(np.int64)
-            names = [x.split()[0] for x in ROWS.split(", ")]
-            types = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 3, pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
-            rows = []
-            for kind, keys, n in ((WORD, np.append(seen, END_KEY), np.append(learnt, ends_learnt)), (CONTEXT, ctx, ctx_n), (PAIR, pairs, pair_n)):
-                to = destination(kind, keys, dests)
-                by = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[by], np.arange(dests + 1))
-                for d in np.flatnonzero(np.diff(cuts)).tolist():
-                    mine = by[cuts[d] : cuts[d + 1]]
-                    rows.append([kind, d, block, steps(mine, "<u4"), steps(keys[mine], "<u8"), squeeze(n[mine].astype("<u4")), *[None] * 6])
-            low = np.bincount((ctx & np.uint64(0xFFFF)).astype(np.int64), ctx_n)
-            some = np.flatnonzero(low)
-            rows.append([LOW, -1, block, None, some.astype("<u8").tobytes(), low[some].astype("<u8").tobytes(), *[None] * 6])
-            rows.append([
-                TEXTS, -1, block, None, None, None, ids, gone.tolist(), squeeze(counts.astype("<u4")), squeeze(local.astype("<u4")),
-                squeeze(spelled), squeeze(lengths.astype("<u4")),
-            ])
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), types)], names)
+            row = [
+                block, [d for h in held for d in h[2]], np.concatenate([h[3] for h in held]).tolist(), squeeze(counts.astype("<u4")), planes(local.astype("<u4")),
+                squeeze(_LOWER[spelled]), squeeze(lengths.astype("<u4")),
+            ]
             held, size = [], 0
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in TEXTS_OF.split(", ")])
 
         for b in text_slices(batches, 2 << 20):
             data, offsets = text_bytes(b.column("text"))
@@ -206,56 +215,97 @@ def blocks(docs: DataFrame, order: int, block_bytes: int, dests: int) -> DataFra
             )
             size += len(data)
             if size >= block_bytes:
-                yield from out()
+                yield out()
         if held:
-            yield from out()
+            yield out()
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.mapInArrow(run, TEXTS_OF)
 
 
-def low_orders(sent: DataFrame) -> np.ndarray:
-    """Counts of (nearest byte, symbol): 256 x 256, all that order 0 and 1 need."""
+def block_of(row: dict, order: int, dests: int) -> Block:
+    sizes, local = restore(row["sizes"], "<u4").astype(np.int64), whole(row["tokens"], "<u4").astype(np.int64)
+    return Block(restore(row["words"], "u1"), restore(row["lengths"], "<u4").astype(np.int64), sizes, local, order, dests)
+
+
+def questions(texts: DataFrame, order: int, dests: int) -> DataFrame:
+    """(kind, dest, block, keys, n): distinct keys of a block and how often training documents hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                b = block_of(row, order, dests)
+                learns = ~np.array(row["held"], bool)
+                train = np.repeat(learns, b.sizes)
+                learnt = np.append(np.bincount(b.local[train], minlength=len(b.symbols) - 1), learns.sum())
+                weights = {WORD: learnt, CONTEXT: np.repeat(learnt, b.symbols), PAIR: np.repeat(learns, b.sizes + 1)}
+                for kind in (WORD, CONTEXT, PAIR):
+                    keys, cuts, place = b.asks(kind)
+                    n = np.bincount(place, weights[kind], len(keys)).astype("<u4")
+                    some = np.flatnonzero(np.diff(cuts)).tolist()
+                    rows = [(kind, d, row["block"], steps(keys[cuts[d] : cuts[d + 1]], "<u8"), squeeze(n[cuts[d] : cuts[d + 1]])) for d in some]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                        [x.split()[0] for x in ASKED.split(", ")],
+                    )
+
+    return texts.mapInArrow(run, ASKED)
+
+
+def low_orders(docs: DataFrame) -> np.ndarray:
+    """Counts of (nearest byte, symbol) in training documents: 256 x 256, all that order 0 and 1 need."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for b in batches:
-            for k, n in zip(b.column("keys").to_pylist(), b.column("n").to_pylist()):
-                total[np.frombuffer(k, "<u8").astype(np.int64)] += np.frombuffer(n, "<u8").astype(np.int64)
+        for b in text_slices(batches, 2 << 20):
+            data, offsets = text_bytes(b.column("text"))
+            w = Words(data, offsets)
+            low = _LOWER[data].astype(np.int64)
+            before = np.full(len(low), PAD)
+            before[1:] = low[:-1]
+            before[w.starts] = PAD
+            inside = np.zeros(len(low) + 1, np.int64)
+            inside[w.starts] += 1
+            inside[w.ends] -= 1
+            body = inside[:-1].cumsum() > 0
+            total += np.bincount(before[body] << 8 | low[body], minlength=1 << 16)
+            total += np.bincount(low[w.ends - 1] << 8 | CLOSE, minlength=1 << 16)
+            total[PAD << 8 | END] += b.num_rows
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
     low = np.zeros(1 << 16, np.int64)
-    for r in sent.filter(F.col("kind") == LOW).select("keys", "n").mapInArrow(add, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+    for r in docs.filter("not held").select("text").mapInArrow(add, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         low[r["k"]] = r["n"]
     return low.reshape(256, 256)
 
 
-def answers_of(sent: DataFrame, low: np.ndarray, order: int) -> DataFrame:
-    """(block, kind, slots, values): for each word its training count, for each (byte context, symbol) its log10 probability, for each
-    (word context, word) the count, the context's total and its distinct words. A row of kind TEXTS per destination holds
-    (training tokens, distinct ones)."""
+def answers_of(asked: DataFrame, low: np.ndarray, order: int) -> DataFrame:
+    """(block, kind, dest, values): for each word its training count, for each (byte context, symbol) its log10 probability, for
+    each (word context, word) the same, or that of its escape with ESCAPED added (0 where the context was not met). A row of kind TOTALS per destination
+    holds (training tokens, distinct ones)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in by_group(batches, ["kind", "dest"]):
-            kind = t["kind"][0].as_py()
+            kind, dest = t["kind"][0].as_py(), t["dest"][0].as_py()
             keys = [sums(x, "<u8") for x in t["keys"].to_pylist()]
             distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(inverse, np.concatenate([restore(x, "<u4") for x in t["n"].to_pylist()]), len(distinct))
             if kind == PAIR:
                 node, at = np.unique(distinct >> np.uint64(NEXT_BITS), return_inverse=True)
-                value = np.stack((n, np.bincount(at, n)[at], np.bincount(at, n > 0)[at]), axis=1).astype("<u4")[inverse]
+                total, kinds = np.bincount(at, n)[at], np.bincount(at, n > 0)[at]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    value = np.where(n > 0, np.log10(n / (total + kinds)), np.where(total > 0, np.log10(kinds / (total + kinds)) + ESCAPED, ESCAPED))
             else:
-                value = (n.astype("<i8") if kind == WORD else chain(distinct, n, low, order))[inverse]
+                value = n.astype("<i8") if kind == WORD else chain(distinct, n, low, order)
             cuts = np.cumsum([0, *map(len, keys)])
-            rows = [(b, kind, s, numbers_out(value[i:j])) for b, s, i, j in zip(t["block"].to_pylist(), t["slots"].to_pylist(), cuts[:-1], cuts[1:])]
+            rows = [(b, kind, dest, numbers_out(value[inverse[i:j]])) for b, i, j in zip(t["block"].to_pylist(), cuts[:-1], cuts[1:])]
             if kind == WORD:
-                rows.append((None, TEXTS, None, np.array([n.sum(), (n > 0).sum()], float).tobytes()))
+                rows.append((None, TOTALS, dest, np.array([n.sum(), (n > 0).sum()], float).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "kind", "slots", "values"]
+                [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "kind", "dest", "values"]
             )
 
-    s = sent.filter(F.col("kind") <= PAIR).select("kind", "dest", "block", "slots", "keys", "n")
-    return s.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, "block long, kind int, slots binary, values binary")
+    return asked.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, "block long, kind int, dest int, values binary")
 
 
 def chain(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.ndarray:
@@ -298,54 +348,48 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int =
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(fold == held, F.lit(False)).alias("held"))
     dests = partitions_for(docs.sparkSession, 16)
-    t = materialise(blocks(d, order, block_bytes, dests))
-    answers = materialise(answers_of(t, low_orders(t), order))
-    bits = word_context_bits(dests)
+    texts = texts_of(d, block_bytes)  # read twice; the blocks follow from the input's partitions and come out alike
+    answers = materialise(answers_of(questions(texts, order, dests), low_orders(d), order), "uncompressed")
     tokens = kinds = 0
-    for r in answers.filter(F.col("kind") == TEXTS).select("values").collect():  # one row for each destination
+    for r in answers.filter(F.col("kind") == TOTALS).select("values").collect():  # one row for each destination
         a, b = np.frombuffer(r["values"], float).astype(np.int64).tolist()
         tokens, kinds = tokens + a, kinds + b
 
     def settle(key, rows: pa.Table, values: pa.Table) -> pa.Table:
-        got: dict[int, np.ndarray] = {}
-        for k, kind, columns in ((WORD, "<i8", 1), (CONTEXT, "<f8", 1), (PAIR, "<u4", 3)):
-            part = values.filter(pc.equal(values["kind"], k))
-            slot = np.concatenate([sums(x, "<u4") for x in part["slots"].to_pylist()])
-            got[k] = np.zeros(len(slot) if columns == 1 else (len(slot), columns))
-            got[k][slot] = np.concatenate([numbers_in(x, kind, columns) for x in part["values"].to_pylist()])
-        c, logp = got[WORD], got[CONTEXT]
         out: list[list] = [[], [], [], [], [], [], []]
         for r in rows.to_pylist():
-            sizes, local = restore(r["sizes"], "<u4").astype(np.int64), restore(r["tokens"], "<u4").astype(np.int64)
-            spelled, lengths = restore(r["words"], "u1"), restore(r["lengths"], "<u4").astype(np.int64)
-            keys, n = contexts_of(spelled, lengths, order)
-            inv = np.unique(keys, return_inverse=True)[1]
-            of_word = np.bincount(np.repeat(np.arange(len(n)), n), logp[inv], len(n))
+            b = block_of(r, order, dests)
+
+            def answered(kind: int, dtype: str) -> np.ndarray:
+                _, cuts, place = b.asks(kind)
+                got = np.zeros(int(cuts[-1]))
+                part = values.filter(pc.equal(values["kind"], kind))
+                for dest, x in zip(part["dest"].to_pylist(), part["values"].to_pylist()):
+                    got[cuts[dest] : cuts[dest + 1]] = numbers_in(x, dtype)  # fails where the block were another one
+                return got[place]
+
+            c = answered(WORD, "<i8")
             base = np.log10((c + 1) / (tokens + kinds + 1))
-            with_end = sizes + 1
-            word = np.full(int(with_end.sum()), len(lengths), np.int64)  # the end is the last
+            of_word = np.bincount(np.repeat(np.arange(len(b.symbols)), b.symbols), answered(CONTEXT, "<f8"), len(b.symbols))
+            with_end = b.sizes + 1
+            word = np.full(int(with_end.sum()), len(b.symbols) - 1, np.int64)  # the end is the last
             body = np.ones(len(word), bool)
             body[with_end.cumsum() - 1] = False
-            word[body] = local
-            inv = np.unique(word_contexts(hashes_of(spelled, lengths)[local], sizes, bits), return_inverse=True)[1]
-            count, total, distinct = got[PAIR][inv].T
-            with np.errstate(divide="ignore", invalid="ignore"):
-                met = np.log10(count / (total + distinct))
-                escaped = np.log10(distinct / (total + distinct)) + of_word[word]
-            cost = np.where(count > 0, met, np.where(total > 0, escaped, of_word[word]))
-            doc = np.repeat(np.arange(len(sizes)), with_end)
+            word[body] = b.local
+            at_once = answered(PAIR, "<f8")
+            cost = np.where(at_once > ESCAPED / 2, at_once - ESCAPED + of_word[word], at_once)
+            doc = np.repeat(np.arange(len(b.sizes)), with_end)
 
             def by_doc(x: np.ndarray) -> np.ndarray:
-                return np.bincount(doc, x, len(sizes))
+                return np.bincount(doc, x, len(b.sizes))
 
-            for col, v in zip(out, (r["doc_ids"], r["held"], with_end, by_doc(c[word] > 0).astype(np.int64), np.full(len(sizes), tokens), by_doc(base[word]), by_doc(cost))):
+            for col, v in zip(out, (r["doc_ids"], r["held"], with_end, by_doc(c[word] > 0).astype(np.int64), np.full(len(b.sizes), tokens), by_doc(base[word]), by_doc(cost))):
                 col.extend(v)
         names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
         return pa.table([pa.array(x, k) for x, k in zip(out, types)], names)
 
-    whole = t.filter(F.col("kind") == TEXTS).drop("kind", "dest", "slots", "keys", "n")
-    back = answers.filter(F.col("kind") <= PAIR).withColumnRenamed("block", "at")
-    return whole.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(
+    back = answers.filter(F.col("kind") < TOTALS).withColumnRenamed("block", "at")
+    return texts.groupBy("block").cogroup(back.groupBy("at")).applyInArrow(
         settle, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
