@@ -31,9 +31,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of 400-byte strings that occur more than once go from the text; n_chars follows."""
+    """Passages of at least 50 words of whose bytes each lies in a 200-byte string that occurs more than once go from the text (fifty words
+    are hardly ever fewer bytes); n_chars follows."""
     ship(spark)
-    return substring_dedup.cut_repeats(docs)
+    return substring_dedup.cut_repeats(docs, length=200, min_words=50)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
