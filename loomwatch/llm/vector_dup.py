@@ -13,8 +13,9 @@ hot cell is spread over tasks; counts of links and spanning stars leave the task
 
 Defined results: only vectors of equal, non-null label are compared; vectors that are null, empty, zero or
 hold null or non-finite components link with nothing; vectors of different length never link; repeated vectors are
-linked with each other; repeated rows of a vec_id count as vectors of their own; rows with a null vec_id are
-left out; an empty table gives no rows; extra columns are ignored.
+linked with each other; rows are told apart by a number of their own, so repeated or null vec_ids are vectors like any others (the smallest
+vec_id that is not null names a component); very large and very small components are scaled before they are squared; an empty
+table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -53,6 +54,12 @@ def _probes(grid: int) -> list[tuple[int, ...]]:
     return [(0,) * grid, *steps]
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. The largest component is brought to one first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1)[:, None]
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
 def cells(classes: DataFrame, cosine: float, block_dims: int, grid: int, seed: int) -> DataFrame:
     """rep, copies, vec, label, dim, blk, cell (hash), home: each class once at home and once per probed cell."""
 
@@ -63,7 +70,7 @@ def cells(classes: DataFrame, cosine: float, block_dims: int, grid: int, seed: i
                 rows = np.flatnonzero(dims == dim)
                 part = b.take(pa.array(rows))
                 x = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
-                y = x / np.sqrt((x * x).sum(axis=1))[:, None] @ rotation(dim, seed)
+                y = unit(x) @ rotation(dim, seed)
                 budgets = block_budgets(dim, block_dims, cosine)
                 for k, s in enumerate(layout(dim, block_dims)):
                     g = min(grid, s.stop - s.start)
@@ -98,6 +105,7 @@ def _compare(cosine: float, block_dims: int, seed: int, chunk: int = 512):
             return None
         dim, k = t["dim"][0].as_py(), t["blk"][0].as_py()
         x = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+        x = x / np.abs(x).max(axis=1)[:, None]
         norm = np.sqrt((x * x).sum(axis=1))
         y = x / norm[:, None] @ rotation(dim, seed)
         budgets, parts = block_budgets(dim, block_dims, cosine), layout(dim, block_dims)
@@ -154,14 +162,16 @@ def vector_duplicates(
     # 32-bit components travel as they are and are widened where they are compared
     kind = "array<float>" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "array<double>"
     v = vectors.select(F.col(id_col).alias("vec_id"), F.col(vec_col).cast(kind).alias("vec"), F.col(label_col).alias("label"))
-    v = v.filter("vec_id is not null")
+    v = v.withColumn("row", F.monotonically_increasing_id())
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     usable = F.coalesce(F.col("label").isNotNull() & finite & F.exists("vec", lambda x: x != 0), F.lit(False))
     # minus zero equals zero
     v = v.withColumn("ok", usable).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind[6:-1])))
     v = materialise(v.withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.sha1(F.to_json(F.struct("vec")))))
     same = ["label", "h1", "h2"]
-    classes = v.filter("ok").groupBy(*same).agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
+    classes = v.filter("ok").groupBy(*same).agg(
+        F.min("row").alias("rep"), F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("vec").alias("vec")
+    )
     classes = materialise(classes)
     c = cells(classes.select("rep", "copies", "vec", "label"), cosine, block_dims, grid, seed)
     key = ["label", "dim", "blk", "cell"]
@@ -177,14 +187,16 @@ def vector_duplicates(
         map_groups(d, [*key, "_i", "_j"], _compare(cosine, block_dims, seed), "rep long, links long, root long")
     )
     comp = connected_components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    member = comp.select(F.col("id").alias("rep"), "component")
+    named = classes.join(member, "rep").groupBy("component").agg(F.min("least").alias("name"))
     by_class = (
-        classes.select(*same, "rep", "copies")
+        classes.select(*same, "rep", "least", "copies")
         .join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
-        .join(comp.withColumnRenamed("id", "rep"), "rep", "left")
-        .select(*same, F.coalesce("component", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        .join(member.join(named, "component").select("rep", "name"), "rep", "left")
+        .select(*same, F.coalesce("name", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     )
     alone = v.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return (
         v.filter("ok").join(by_class, same).select("vec_id", "n_links", "component_id").unionByName(alone)
-        .withColumn("kept", F.col("vec_id") == F.col("component_id"))
+        .withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.col("component_id").isNull()))
     )

@@ -77,3 +77,11 @@ def test_vectors_against_brute_force(spark):
         assert got == {i: (sum(i in x for x in links), want[i], want[i] == i) for i in ids}
     assert len(links) > 50
     assert vd.vector_duplicates(df.filter("false")).collect() == []
+
+
+def test_vectors_of_any_magnitude_and_without_ids(spark):
+    e = [(1, [1e200, 1e200], 1, 0), (2, [1e200, 1e200], 1, 0), (3, [1e-200, 1e-200], 1, 0), (None, [1.0, 1.0], 1, 0), (None, [5e-324, 5e-324], 1, 0)]
+    e += [(9, [1.0, -1.0], 1, 0), (9, [1e300, -1e300], 1, 0), (None, [0.0, 1.0], 2, 0), (11, None, 1, 0)]
+    df = spark.createDataFrame(e, "vec_id long, embedding array<double>, label int, row int").repartition(3)
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in vd.vector_duplicates(df).collect())
+    assert got == [(0, 0, 0, True), (0, 4, 1, False), (0, 4, 1, False), (1, 4, 1, True), (2, 4, 1, False), (3, 4, 1, False), (9, 1, 9, True), (9, 1, 9, True), (11, 0, 11, True)]
