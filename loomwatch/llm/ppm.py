@@ -167,8 +167,8 @@ class Block:
         return keys[by], np.searchsorted(to[by], np.arange(self.dests + 1)), place[inverse]
 
 
-def texts_of(docs: DataFrame, block_bytes: int) -> DataFrame:
-    """Blocks of texts: distinct words in order of frequency, and the documents as word numbers."""
+def in_blocks_of(block_bytes: int):
+    """Texts to blocks: distinct words in order of frequency, and the documents as word numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
@@ -219,7 +219,7 @@ def texts_of(docs: DataFrame, block_bytes: int) -> DataFrame:
         if held:
             yield out()
 
-    return docs.mapInArrow(run, TEXTS_OF)
+    return run
 
 
 def block_of(row: dict, order: int, dests: int) -> Block:
@@ -227,11 +227,11 @@ def block_of(row: dict, order: int, dests: int) -> Block:
     return Block(restore(row["words"], "u1"), restore(row["lengths"], "<u4").astype(np.int64), sizes, local, order, dests)
 
 
-def questions(texts: DataFrame, order: int, dests: int) -> DataFrame:
+def questions(docs: DataFrame, block_bytes: int, order: int, dests: int) -> DataFrame:
     """(kind, dest, block, keys, n): distinct keys of a block and how often training documents hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_blocks_of(block_bytes)(batches):
             for row in batch.to_pylist():
                 b = block_of(row, order, dests)
                 learns = ~np.array(row["held"], bool)
@@ -248,7 +248,7 @@ def questions(texts: DataFrame, order: int, dests: int) -> DataFrame:
                         [x.split()[0] for x in ASKED.split(", ")],
                     )
 
-    return texts.mapInArrow(run, ASKED)
+    return docs.mapInArrow(run, ASKED)
 
 
 def low_orders(docs: DataFrame) -> np.ndarray:
@@ -348,8 +348,8 @@ def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int =
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(fold == held, F.lit(False)).alias("held"))
     dests = partitions_for(docs.sparkSession, 16)
-    texts = texts_of(d, block_bytes)  # read twice; the blocks follow from the input's partitions and come out alike
-    answers = materialise(answers_of(questions(texts, order, dests), low_orders(d), order), "uncompressed")
+    answers = materialise(answers_of(questions(d, block_bytes, order, dests), low_orders(d), order), "uncompressed")
+    texts = d.mapInArrow(in_blocks_of(block_bytes), TEXTS_OF)  # the blocks follow from the input's partitions and come out as before
     tokens = kinds = 0
     for r in answers.filter(F.col("kind") == TOTALS).select("values").collect():  # one row for each destination
         a, b = np.frombuffer(r["values"], float).astype(np.int64).tolist()
