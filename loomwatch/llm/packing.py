@@ -8,11 +8,15 @@ groups that satisfy *every* constraint the one with the best score is filled fir
 weighted dot product of the piece's demand and the bin's residual, both as shares of capacity; the smallest
 product is the tightest fit) or ``norm`` (the smallest weighted norm of what would be left).
 
+With the default capacities (as many documents as tokens, the cost of one full piece) only tokens can bind: the squares of lengths
+that add up to ``max_tokens`` never exceed its square. A cap on documents, or a smaller cost where pieces are shorter, binds.
+
 Pieces meet their slots by rank within their length. The rank is counted in salted shards (length, shard) with
-shard offsets, so that a length held by a third of all rows does not meet in one task.
+shard offsets, whose number follows from the row count, so that a length held by a third of all rows does not meet in one task.
 
 Defined results: null or empty text is one piece that holds the end id alone; equal lengths are placed in
-(shard, doc_id, piece) order; an empty table gives no rows; extra columns are ignored.
+(shard, doc_id, piece) order; repeated rows are pieces of their own; a very long text is cut into as many pieces as it needs; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,35 +78,37 @@ def plan_bins(
     cost_cap = max_cost or max_tokens * max_tokens
     cap = np.array([max_tokens, docs_cap, cost_cap], float)
     wt = np.array(weights)
-    groups: list[list[int]] = []  # used tokens, used docs, used cost, first bin, bins
+    if score not in ("dot", "norm"):
+        raise ValueError(score)
+    # groups of bins in one state: used tokens, documents, cost; first bin, bins
+    state, at = np.zeros((64, 5), np.int64), 0
     runs, bins = [], 0
+
+    def add(group: tuple[int, ...]) -> None:
+        nonlocal state, at
+        if at == len(state):
+            state = np.concatenate((state, np.zeros_like(state)))
+        state[at] = group
+        at += 1
+
     for length in sorted(histogram, reverse=True):
         left, rank, cost = histogram[length], 0, length * length
         if length > max_tokens or cost > cost_cap:
             raise ValueError(f"a piece of {length} tokens exceeds an empty bin")
         need = np.array([length, 1, cost], float) / cap
         while left:
-            best, best_score = -1, None
-            if groups:
-                g = np.array([x[:3] for x in groups], float)
-                room = (cap - g) / cap
-                fits = (room >= need - 1e-12).all(axis=1)
-                if fits.any():
-                    if score == "dot":
-                        s = (room * need * wt).sum(axis=1)
-                    elif score == "norm":
-                        s = (((room - need) ** 2) * wt).sum(axis=1)
-                    else:
-                        raise ValueError(score)
-                    s[~fits] = np.inf
-                    best, best_score = int(s.argmin()), s.min()
-            if best < 0:  # as many new bins as the remaining pieces of this length need
+            room = (cap - state[:at, :3]) / cap
+            fits = np.flatnonzero((room >= need - 1e-12).all(axis=1))
+            if not len(fits):  # as many new bins as the remaining pieces of this length need
                 per = min(max_tokens // length, docs_cap, cost_cap // cost)
                 n = -(-left // per)
-                groups.append([0, 0, 0, bins, n])
+                add((0, 0, 0, bins, n))
                 bins += n
                 continue
-            used, docs, spent, first, n = groups[best]
+            room = room[fits]
+            s = (room * need * wt).sum(axis=1) if score == "dot" else (((room - need) ** 2) * wt).sum(axis=1)
+            best = int(fits[s.argmin()])
+            used, docs, spent, first, n = state[best].tolist()
             per = min((max_tokens - used) // length, docs_cap - docs, (cost_cap - spent) // cost)
             if left >= per * n:
                 filled, take = n, per
@@ -113,21 +119,25 @@ def plan_bins(
             runs.append((length, rank, filled * take, first, take, used))
             rank += filled * take
             left -= filled * take
-            state = [used + take * length, docs + take, spent + take * cost, first, filled]
             if filled == n:
-                groups.pop(best)
+                at -= 1
+                state[best] = state[at]
             else:
-                groups[best] = [used, docs, spent, first + filled, n - filled]
-            if state[0] < max_tokens and state[1] < docs_cap and state[2] < cost_cap:
-                groups.append(state)
+                state[best] = used, docs, spent, first + filled, n - filled
+            after = used + take * length, docs + take, spent + take * cost, first, filled
+            if after[0] < max_tokens and after[1] < docs_cap and after[2] < cost_cap:
+                add(after)
     return runs, bins
 
 
 def pack_pieces(pieces: DataFrame, max_tokens: int = 4096, max_docs: int | None = None, max_cost: int | None = None,
-                score: str = "dot", shards: int = 64) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). The input is materialised once."""
+                score: str = "dot", shard_rows: int = 50_000) -> DataFrame:
+    """Adds sequence_id and offset to pieces (doc_id, piece, length, ...). The input is materialised once. A length is ranked in as many
+    shards as hold about ``shard_rows`` pieces each if all pieces had that length."""
     spark = pieces.sparkSession
-    p = materialise(pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int")))
+    p = materialise(pieces)
+    shards = -(-max(1, p.count()) // shard_rows)
+    p = p.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
     counts = p.groupBy("length", "_shard").agg(F.count("*").alias("_n"))
     # at most max_tokens rows reach the driver, whatever the corpus
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}

@@ -1,16 +1,20 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are training documents labelled 1; the unlabelled set is a sample of all training documents, whatever
-their label. The class prior is estimated from the labels of the training rows. A small network is fitted to
-minimise  prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))  (sigmoid loss, full-batch Adam, fixed seed), the
-part in brackets being kept from going below zero by a gradient step the other way. A monotone calibration on training labels maps
-its output to 0..1.
-
-What is learnt comes from a sample of at most ``max_train`` labelled and ``max_train`` unlabelled documents, taken by
-hash; this bounds what reaches the driver. Every document is scored, in whole. Inputs are counts of the text alone.
+their label. Labels 0 are not used at all. The class prior is estimated from positives and unlabelled documents alone: a
+logistic model that tells one set from the other is fitted on one half of each, and on the other half the prior is the least
+ratio of unlabelled to positive documents above a score (best bin, with a confidence margin). A small network f is then
+fitted to minimise  prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])  with l the log loss (full-batch Adam, fixed seed); where the
+part in brackets falls below zero, the step goes the other way. The log loss makes sigmoid(f) the probability of label 1, so that no
+calibration on negatives is needed.
+
+What is learnt comes from a sample of at most ``max_positive`` positive and ``max_unlabelled`` unlabelled documents, taken by
+hash; the two parameters bound what reaches the driver. Every document is scored, in whole. Inputs are numbers of the text alone:
+lengths, classes of characters, each mark, repetition. (Hashed counts of trigrams and words beside them were tried and ranked
+held-out documents worse.)
 
 Defined results: null counts as empty; an empty text has all features zero and is scored like any other; repeated rows get
-equal scores; without labels of both kinds every score is the prior (0.5 if there are no labels); an empty table
+equal scores; without positive labels every score is 0.5; a very long text is a slice of its own; an empty table
 gives no rows; rows are judged by their own text, whatever their ids; extra columns are ignored (``score_documents``) or passed through (``keep_good``).
 """
 
@@ -35,7 +39,7 @@ _CLASS[[ord(c) for c in ".,;:?!"]] = 5
 _CLASS[[ord(c) for c in "*$%&#|<>{}[]\\^~=+_@/`"]] = 6
 _CLASS[[ord(c) for c in "-'\"()"]] = 7
 _CLASS[128:] = 8
-_MARKS = [ord(c) for c in "!.,*$%&#|\n:/@-"]
+_MARKS = [10, *(c for c in range(33, 127) if not chr(c).isalnum())]  # line feed and every ASCII mark
 FEATURES = 2 + 8 + len(_MARKS) + 12
 
 
@@ -46,7 +50,11 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     text = np.repeat(np.arange(n), np.diff(offsets))
     kinds = np.bincount(text * 9 + _CLASS[data], minlength=9 * n).reshape(n, 9).astype(float)
     some = np.maximum(size, 1)
-    marks = np.stack([np.bincount(text[data == m], minlength=n) for m in _MARKS], axis=1)
+    number = np.full(256, -1)
+    number[_MARKS] = np.arange(len(_MARKS))
+    which = number[data]
+    marked = which >= 0
+    marks = np.bincount(text[marked] * len(_MARKS) + which[marked], minlength=n * len(_MARKS)).reshape(n, len(_MARKS))
     w = Words(data, offsets)
     count = np.diff(w.bounds).astype(float)
     words = np.maximum(count, 1)
@@ -77,128 +85,158 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         mean / 10, np.sqrt(np.maximum(per_word(length**2) - mean**2, 0)) / 10, per_word(again),
         distinct(w.doc, h) / words, distinct(w.doc, pair) / words,
         per_word(np.isin(_CLASS[ends], (5,)).astype(float)), per_word((_CLASS[ends] == 6).astype(float)),
-        per_word((length == 1).astype(float)), per_word(first_upper.astype(float)), per_word((_CLASS[second] == 2).astype(float)),
+        per_word((length == 1).astype(float)), per_word(first_upper.astype(float)), per_word(((_CLASS[second] == 2) & (length > 1)).astype(float)),
         per_word((length > 20).astype(float)), (size == 0).astype(float),
     ]
     return np.stack(cols, axis=1)
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
-    """Every column but text, with the text's features as x (array<double>)."""
+    """Every column but text, with the text's features as x (bytes of float32)."""
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
-            x = features(*text_bytes(b.column("text")))
-            at = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * FEATURES)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.ListArray.from_arrays(at, pa.array(x.reshape(-1)))], [*rest, "x"])
+            x = features(*text_bytes(b.column("text"))).astype("<f4")
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([r.tobytes() for r in x], pa.binary())], [*rest, "x"])
 
     kinds = [f"{c} {docs.schema[c].dataType.simpleString()}" for c in rest]
-    return docs.mapInArrow(run, ", ".join([*kinds, "x array<double>"]))
+    return docs.mapInArrow(run, ", ".join([*kinds, "x binary"]))
 
 
 class Model:
-    """Standardised inputs, one hidden layer, and a calibrated logit."""
+    """Standardised inputs and one hidden layer; the score is the sigmoid of the output."""
 
     def __init__(self, x: np.ndarray, hidden: int, rng: np.random.Generator):
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-6
         d = x.shape[1]
         self.p = [rng.standard_normal((d, hidden)) / np.sqrt(d), np.zeros(hidden), rng.standard_normal(hidden) / np.sqrt(hidden), np.zeros(1)]
-        self.scale, self.shift = 1.0, 0.0
 
-    def forward(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        z = np.clip((x - self.mean) / self.std, -6, 6)
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.std, -6, 6)
+
+    def forward(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = np.tanh(z @ self.p[0] + self.p[1])
-        return z, h, h @ self.p[2] + self.p[3][0]
+        return h, h @ self.p[2] + self.p[3][0]
 
     def gradients(self, z: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
         back = g[:, None] * self.p[2] * (1 - h * h)
         return [z.T @ back, back.sum(axis=0), h.T @ g, np.array([g.sum()])]
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.forward(x)[2] + self.shift, -40, 40)))
+        return _sigmoid(self.forward(self.inputs(x))[1])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 24, steps: int = 400, rate: float = 0.02, decay: float = 1e-2, seed: int = 3) -> Model:
-    """Non-negative PU risk with the sigmoid loss l(z) = sigmoid(-z), minimised by Adam."""
+def _log_loss(x: np.ndarray) -> np.ndarray:
+    """Of an output x where the label is positive."""
+    return np.logaddexp(0, -x)
+
+
+def pu_risk(m: Model, zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float, list[np.ndarray]]:
+    """(positive part, negative part, gradients to step along). The risk is the first and the second if that is not below
+    zero; else the step undoes the negative part."""
+    (hp, fp), (hu, fu) = m.forward(zp), m.forward(zu)
+    positive = prior * _log_loss(fp).mean()
+    negative = _log_loss(-fu).mean() - prior * _log_loss(-fp).mean()
+    sp, su = _sigmoid(fp), _sigmoid(fu)
+    gp, gu = -prior * sp / len(sp), su / len(su)  # of the negative part
+    if negative >= 0:
+        gp = gp - prior * (1 - sp) / len(sp)
+    else:
+        gp, gu = -gp, -gu
+    return positive, negative, [a + b for a, b in zip(m.gradients(zp, hp, gp), m.gradients(zu, hu, gu))]
+
+
+def fit_pu(
+    positive: np.ndarray, unlabelled: np.ndarray, prior: float, hidden: int = 16, steps: int = 300, rate: float = 0.02, decay: float = 3e-4, seed: int = 3
+) -> Model:
+    """The non-negative PU risk, minimised by Adam."""
     m = Model(unlabelled, hidden, np.random.default_rng(seed))
+    zp, zu = m.inputs(positive), m.inputs(unlabelled)
     first, second = [np.zeros_like(p) for p in m.p], [np.zeros_like(p) for p in m.p]
     for t in range(1, steps + 1):
-        zp, hp, fp = m.forward(positive)
-        zu, hu, fu = m.forward(unlabelled)
-        sp, su = _sigmoid(fp), _sigmoid(fu)
-        dp, du = sp * (1 - sp) / len(sp), su * (1 - su) / len(su)  # of sigmoid(f), averaged
-        negative = su.mean() - prior * sp.mean()
-        gp, gu = -prior * dp, np.zeros_like(du)
-        if negative >= 0:
-            gp, gu = gp - prior * dp, du
-        else:  # the estimate of the negatives' risk fell below zero: step back from it
-            gp, gu = prior * dp, -du
-        grads = [a + b + decay * p for a, b, p in zip(m.gradients(zp, hp, gp), m.gradients(zu, hu, gu), m.p)]
-        for k, g in enumerate(grads):
+        for k, g in enumerate(pu_risk(m, zp, zu, prior)[2]):
+            g = g + decay * m.p[k]
             first[k] = 0.9 * first[k] + 0.1 * g
             second[k] = 0.999 * second[k] + 0.001 * g * g
             m.p[k] = m.p[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
     return m
 
 
-def calibrate(m: Model, x: np.ndarray, y: np.ndarray, steps: int = 60) -> None:
-    """Scale (kept positive) and shift of the logit by Newton steps on the log loss, with a light ridge."""
-    f = m.forward(x)[2]
-    sd = f.std() or 1.0
-    mid, u = f.mean(), np.array([1.0, 0.0])
-    z = np.stack(((f - mid) / sd, np.ones_like(f)), axis=1)
+def told_apart(a: np.ndarray, b: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Weights (the last for 1) of a logistic model that gives rows of a high, of b low outputs, by Newton steps; both sets weigh alike."""
+    x = np.concatenate((a, b))
+    x = np.concatenate((x, np.ones((len(x), 1))), axis=1)
+    y = np.repeat((1.0, 0.0), (len(a), len(b)))
+    weight = np.repeat((0.5 / len(a), 0.5 / len(b)), (len(a), len(b))) * len(x)
+    u = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = _sigmoid(z @ u)
-        hess = (z * (p * (1 - p))[:, None]).T @ z + 0.5 * np.eye(2)
-        step = np.linalg.solve(hess, z.T @ (y - p) - 0.5 * u)
+        p = _sigmoid(x @ u)
+        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(u))
+        step = np.linalg.solve(hess, x.T @ (weight * (y - p)) - ridge * u)
         u = u + step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-6:
             break
-    u[0] = max(u[0], 1e-3)
-    m.scale, m.shift = u[0] / sd, u[1] - u[0] * mid / sd
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_train: int = 8000, seed: int = 3) -> tuple[Model | None, float]:
-    """The fitted model and the class prior, from rows whose crc32(doc_id as text) mod ``folds`` is not ``held``."""
+    return u
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from these two sets alone. Above any score there are at least prior times as
+    many unlabelled as positive documents, and about as many where no negative scores as high: the least ratio, with a margin
+    for the size of the sample, is the estimate; the halves change places and the mean is taken."""
+    mean, std = unlabelled.mean(axis=0), unlabelled.std(axis=0) + 1e-6
+    p, u = (np.clip((x - mean) / std, -6, 6) for x in (positive, unlabelled))
+    found = []
+    for k in (0, 1):
+        if not len(p[k::2]) or not len(u[k::2]) or not len(p[1 - k :: 2]) or not len(u[1 - k :: 2]):
+            continue
+        w = told_apart(p[k::2], u[k::2])
+        sp, su = (np.sort(x[1 - k :: 2] @ w[:-1]) for x in (p, u))
+        tail = 1 - np.arange(len(sp)) / len(sp)  # of the positives at or above each of their scores
+        above = 1 - np.searchsorted(su, sp) / len(su)
+        margin = np.sqrt(np.log(4 / confidence) / 2) * (1 / np.sqrt(len(su)) + 1 / np.sqrt(len(sp)))
+        at = int(((above + margin) / tail).argmin())
+        found.append(above[at] / tail[at])
+    return float(min(max(np.mean(found), 0.01), 0.99)) if found else 0.5
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_positive: int = 8000, max_unlabelled: int = 8000, seed: int = 3
+) -> Model | None:
+    """The fitted model, from rows whose crc32(doc_id as text) mod ``folds`` is not ``held``; None without a positive."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).filter(F.coalesce(fold != held, F.lit(False)))
-    y = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).filter("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    total = d.count()
-    labelled = y.filter(F.coalesce(fold != held, F.lit(False)))
-    known = labelled.agg(F.count("*").alias("n"), F.avg("quality").alias("p")).first()
-    prior = float(known["p"]) if known["n"] else 0.5
-    if not total or not known["n"] or prior in (0.0, 1.0):
-        return None, prior
-
-    def share(n: int, salt: int):
-        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, max_train / max(n, 1)) * (1 << 30))
-
-    lab = d.join(labelled.filter(share(known["n"], 1)), "doc_id").select("doc_id", "text", "quality")
-    unl = d.filter(share(total, 2)).select("doc_id", "text", F.lit(-1).alias("quality"))
-    rows = feature_rows(lab.unionByName(unl)).select("doc_id", "quality", "x").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["quality"]))
-    x, q = np.array([r["x"] for r in rows]), np.array([r["quality"] for r in rows])
-    if not len(rows) or not (q == 1).any() or not (q == -1).any():
-        return None, prior
-    m = fit_pu(x[q == 1], x[q == -1], min(max(prior, 0.05), 0.95), seed=seed)
-    if (q == 0).any():
-        calibrate(m, x[q >= 0], q[q >= 0])
-    return m, prior
+    y = labels.filter("quality = 1").select("doc_id").distinct().filter(F.coalesce(fold != held, F.lit(False)))
+    total, known = d.count(), y.count()
+    if not total or not known:
+        return None
+
+    def share(n: int, most: int, salt: int):
+        return F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) < int(min(1.0, most / n) * (1 << 30))
+
+    lab = d.join(y.filter(share(known, max_positive, 1)), "doc_id", "left_semi").withColumn("trusted", F.lit(True))
+    unl = d.filter(share(total, max_unlabelled, 2)).withColumn("trusted", F.lit(False))
+    rows = feature_rows(lab.unionByName(unl)).select("doc_id", "trusted", "x").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["trusted"], bytes(r["x"])))
+    x = np.frombuffer(b"".join(bytes(r["x"]) for r in rows), "<f4").reshape(-1, FEATURES).astype(float)
+    q = np.array([r["trusted"] for r in rows], bool)
+    if not q.any() or q.all():
+        return None
+    return fit_pu(x[q], x[~q], estimate_prior(x[q], x[~q]), seed=seed)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, held: int = 0, **options) -> DataFrame:
     """doc_id, held_out, score, predicted of every row."""
-    model, prior = train(docs, labels, folds, held, **options)
+    model = train(docs, labels, folds, held, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
             x = features(*text_bytes(b.column("text")))
-            s = model.score(x) if model else np.full(b.num_rows, prior)
+            s = model.score(x) if model else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
 
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) == held, F.lit(False))
@@ -210,11 +248,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows that the classifier accepts, with all their columns, in one pass."""
-    model, prior = train(docs, labels, **options)
+    model = train(docs, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 2 << 20):
-            s = model.score(features(*text_bytes(pc.fill_null(b.column("text"), "")))) if model else np.full(b.num_rows, prior)
+            s = model.score(features(*text_bytes(pc.fill_null(b.column("text"), "")))) if model else np.full(b.num_rows, 0.5)
             yield b.filter(pa.array(s >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

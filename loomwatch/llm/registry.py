@@ -27,7 +27,8 @@ def op2_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, 4096)
+    """At most 512 documents share a sequence (their masks are a small table then)."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 1, 4096, max_docs=512)
 
 
 def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

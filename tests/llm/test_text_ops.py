@@ -124,6 +124,43 @@ for seg in pq.read_table(sys.argv[1] + "/segments").sort_by("first")["segment"].
 """
 
 
+def least_bins(lengths, cap, docs, cost):
+    """The optimum by trying every bin for every piece."""
+    best = len(lengths)
+
+    def place(k, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if k == len(lengths):
+            best = len(bins)
+            return
+        n, tried = lengths[k], set()
+        for i, b in enumerate(bins):
+            after = (b[0] + n, b[1] + 1, b[2] + n * n)
+            if b not in tried and after[0] <= cap and after[1] <= docs and after[2] <= cost:
+                tried.add(b)
+                place(k + 1, [*bins[:i], after, *bins[i + 1 :]])
+        place(k + 1, [*bins, (n, 1, n * n)])
+
+    place(0, [])
+    return best
+
+
+@pytest.mark.parametrize("score", ["dot", "norm"])
+def test_bins_are_near_the_optimum(score):
+    rng = random.Random(12)
+    over = 0
+    for _ in range(60):
+        lengths = sorted((rng.randint(1, 20) for _ in range(rng.randint(1, 9))), reverse=True)
+        cap, docs, cost = 20, rng.choice([2, 3, 20]), rng.choice([400, 430])
+        _, bins = packing.plan_bins(Counter(lengths), cap, docs, cost, score)
+        best = least_bins(lengths, cap, docs, cost)
+        assert best <= bins <= best + 1
+        over += bins > best
+    assert over <= 6
+
+
 def test_token_files_round_trip(spark):
     tk = common.load_tokenizer(BYTE)
     texts = [*odd_texts(), None, "word " * 2000]
@@ -262,6 +299,46 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.read_back(chat.format_chat(c.filter("false"), BYTE), BYTE)).collect() == []
 
 
+@pytest.mark.parametrize("prior", [0.3, 0.97])
+def test_pu_gradients_are_those_of_the_risk(prior):
+    rng = np.random.default_rng(6)
+    zp, zu = rng.standard_normal((30, 4)) + 1, rng.standard_normal((50, 4)) + (1.0 if prior > 0.5 else 0.0)
+    m = quality.Model(zu, 3, rng)
+    if prior > 0.5:
+        m.p[3][0] = -3.0  # all outputs low: the negative part is below zero
+    first, second, grads = quality.pu_risk(m, zp, zu, prior)
+    assert (second < 0) == (prior > 0.5)
+    for p, g in zip(m.p, grads):
+        for k in range(p.size):
+            at = p.reshape(-1)
+            keep, values = at[k], []
+            for step in (1e-5, -1e-5):
+                at[k] = keep + step
+                a, b, _ = quality.pu_risk(m, zp, zu, prior)
+                values.append(a + b if second >= 0 else -b)  # below zero the step undoes the negative part
+            at[k] = keep
+            assert (values[0] - values[1]) / 2e-5 == pytest.approx(g.reshape(-1)[k], abs=1e-6)
+
+
+def test_features_are_of_the_text_alone():
+    import pyarrow as pa
+
+    from loomwatch.llm.words import text_bytes
+
+    texts = [*odd_texts(60), "x A", "Za", "", "a 0", "Xx", "  b"]
+    together = quality.features(*text_bytes(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert np.abs(quality.features(*text_bytes(pa.array([t])))[0] - together[k]).max() < 1e-12
+    assert np.isfinite(together).all()
+
+
+def test_prior_comes_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    for prior in (0.3, 0.7, 0.9):
+        draw = lambda n, p: np.where(rng.random((n, 1)) < p, 2.5, -2.5) + rng.standard_normal((n, 3))
+        assert abs(quality.estimate_prior(draw(1500, 1.0), draw(3000, prior)) - prior) < 0.06
+
+
 def test_classifier_learns_and_defines_edges(spark):
     rng = random.Random(9)
     vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeio" for c in ("n", "ring", "le")]
