@@ -155,7 +155,7 @@ class ChunkEncoder:
     the letters of the tokens that come back say which chunk they belong to. Others go one by one.
     """
 
-    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 600_000, together: int = 256):
+    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 400_000, together: int = 256):
         """``glue``: white space that parts two chunks, and the letters that it becomes; ``lead``: what a chunk that needs none begins with."""
         self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = tokenizer, fast, slow, plain, lead, glue, dtype
         self.width, self.together = np.dtype(dtype).itemsize, together
