@@ -122,6 +122,11 @@ def union_pattern(rules: list[str]) -> str:
     return "(?is)" + "|".join(f"(?:{r})" for r in rules)
 
 
+def once(value: Column) -> Column:
+    """The value, worked out once a row: filter and projection of a dear expression do not each repeat it."""
+    return F.explode(F.array(value))
+
+
 def first_threat(text: Column) -> Column:
     """(severity, type) of the first threat pattern that matches, behind one union gate; null without a match."""
     out: Column | None = None
@@ -138,7 +143,7 @@ def indicators(text: Column, pattern: str) -> Column:
 
 
 def threats(records: DataFrame) -> DataFrame:
-    d = records.withColumn("_t", first_threat(F.col("raw"))).filter("_t is not null")
+    d = records.withColumn("_t", once(first_threat(F.col("raw")))).filter("_t is not null")
     host = F.coalesce("host", F.lit("unknown"))
     text = F.concat(F.initcap(F.replace("_t.type", F.lit("_"), F.lit(" "))), F.lit(" detected on "), host)
     return found(d, 6, F.col("_t.severity"), F.col("_t.type"), text, F.col("raw"), host, F.col("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from loomwatch.functions import patterns as P
 from loomwatch.operators import canonical as C
 from loomwatch.operators import intel, rules, sigma
-from loomwatch.sources import envelopes as E, lines as L
+from loomwatch.sources import envelopes as E, lines as L, structured as S
 from loomwatch.session import table
 
 LEVELS = {"error": "ERROR", "purchase": "WARN", "click": "INFO", "view": "DEBUG", "signup": "CRIT"}
@@ -169,9 +169,27 @@ def sigma_hits(spark, sf_dir):
     return f.select("rule_id", "rule_level", "hits", "first_n", F.array_join("hosts", ",").alias("hosts"), F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
+THREAT_LINES = [
+    "files encrypted on share", "confirmed breach, port scan", "beaconing to relay", "Trojan found", "scheduled task created", "sudoers modified", "psexec run",
+    "nmap scan", "password spray", "evil twin near", "data exfiltration", "ordinary line", "another line",
+]
+DEVICE_LINES = ["fortigate up", "bgp session", "spanning-tree change", "aruba joined", "iscsi login", "splunk restart", "forcepoint hit", "sshd ready", "eventid 7", "toaster on"]
+GENERIC_LINES = [
+    "FATAL stop", "oom-killer invoked", "no space left on device", "failed to start unit", "segfault at 0", "connection reset by peer", "certificate has expired",
+    "login failed", "permission denied", "checksum mismatch", "dropped packet", "HTTP/1.1 503", "database deadlock", "all is well",
+]
+
+
+def _in_turn(lines: list[str], k: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, lines)), (F.pmod(k, F.lit(len(lines))) + 1).cast("int"))
+
+
 def threat_patterns(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("t", rules.first_threat(F.coalesce("text", F.lit(""))))
-    return d.filter("t is not null").select("doc_id", F.col("t.severity").alias("severity"), F.col("t.type").alias("type"))
+    """Documents, and lines of every kind of threat; the first pattern that matches names it."""
+    d = table(spark, sf_dir, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("n"), F.coalesce("text", F.lit("")).alias("raw"))
+    e = _events(spark, sf_dir).select(F.lit("event").alias("kind"), "n", _in_turn(THREAT_LINES, F.col("n")).alias("raw"))
+    d = d.unionByName(e).select("kind", "n", rules.once(rules.first_threat(F.col("raw"))).alias("t"))
+    return d.filter("t is not null").select("kind", "n", F.col("t.severity").alias("severity"), F.col("t.type").alias("type"))
 
 
 def ioc_observed(spark, sf_dir):
@@ -190,23 +208,20 @@ def ioc_match(spark, sf_dir):
 
 
 def device_types(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    return d.groupBy(rules.device_type(F.coalesce("text", F.lit(""))).alias("device")).agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("t"))
+    e = _events(spark, sf_dir).select(_in_turn(DEVICE_LINES, F.col("n")).alias("t"))
+    return d.unionByName(e).groupBy(rules.device_type(F.col("t")).alias("device")).agg(F.count("*").alias("n"))
 
 
 def generic_rules(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("n"), F.coalesce("text", F.lit("")).alias("raw"))
-    some = [("has_license", "LOW", r"\blicen[sc]e\b"), ("has_insult", "MEDIUM", r"\b(idiot|moron|pathetic|worthless|stupid)\b")]
-    r = rules.counted_rules(d, some)
+    """The thirteen generic rules over lines of every kind, by day."""
+    r = rules.counted_rules(_events(spark, sf_dir).select("run_id", "n", _in_turn(GENERIC_LINES, F.col("n")).alias("raw")), P.GENERIC_RULES)
     return r.select("run_id", "rule", "hits", "first_n", "last_n", "severity", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
 
 
 def html_rows(spark, sf_dir):
     """Text rows of web pages: closing row, paragraph, division and item tags end a row; other tags go."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.coalesce("html", F.lit("")).alias("html"))
-    text = F.regexp_replace(F.regexp_replace("html", r"(?i)</(tr|p|div|li)\s*>", "\n"), r"<[^>]*>", " ")
-    rows = p.select("page_id", F.posexplode(F.split(text, "\n")).alias("k", "row")).withColumn("row", F.trim(F.regexp_replace("row", r"[ \t\r\n\f]+", " ")))
-    rows = rows.filter("row <> ''")
+    rows = S.html_rows(table(spark, sf_dir, "pages"))
     return rows.groupBy("page_id").agg(F.count("*").alias("rows"), F.sum(F.length("row")).alias("chars"), F.min_by("row", "k").alias("first_row"))
 
 
@@ -231,6 +246,10 @@ def _first(cases: list[tuple[str, str]], default: str) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(t, {_rx(p)}) THEN '{v}'" for p, v in cases) + f" ELSE {default} END"
 
 
+def _list(lines: list[str]) -> str:
+    return "([" + ", ".join("'" + x.replace("'", "''") + "'" for x in lines) + f"])[event_id % {len(lines)} + 1]"
+
+
 _T = "(SELECT *, coalesce(text, '') AS t FROM documents)"
 ORACLES = {
     "ingest_canonical": _ORACLE.format(level=_CASE, hosts=_HOSTS, ts=_SEC),
@@ -265,8 +284,8 @@ h AS (SELECT 's-license' AS rule_id, 'low' AS rule_level, doc_id, source FROM d
 k AS (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY doc_id) AS r FROM h)
 SELECT rule_id, rule_level, count(*) AS hits, min(doc_id) AS first_n, string_agg(DISTINCT source, ',' ORDER BY source) AS hosts,
        string_agg(CASE WHEN r <= 12 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS lines FROM k GROUP BY rule_id, rule_level""",
-    "threat_patterns": "WITH x AS (SELECT doc_id, " + _first([(p, f"{s}|{k}") for s, k, p in P.THREATS], "NULL")
-    + f" AS v FROM {_T}) SELECT doc_id, split_part(v, '|', 1) AS severity, split_part(v, '|', 2) AS type FROM x WHERE v IS NOT NULL",
+    "threat_patterns": "WITH x AS (SELECT kind, n, " + _first([(p, f"{s}|{k}") for s, k, p in P.THREATS], "NULL")
+    + f" AS v FROM (SELECT 'document' AS kind, doc_id AS n, t FROM {_T} UNION ALL SELECT 'event', event_id, {_list(THREAT_LINES)} FROM events)) SELECT kind, n, split_part(v, '|', 1) AS severity, split_part(v, '|', 2) AS type FROM x WHERE v IS NOT NULL",
     "ioc_observed": f"""
 WITH x AS (SELECT doc_id, list_sort(list_distinct(regexp_extract_all(t, '{P.IOC_IP}'))) AS i,
   len(list_distinct(regexp_extract_all(t, {_rx(P.IOC_HASH)}))) AS h, regexp_matches(t, {_rx(P.IOC_CONTEXT)}) AS context FROM {_T})
@@ -278,14 +297,13 @@ f AS (SELECT value, count(*) AS feeds FROM p GROUP BY value)
 SELECT value, count(DISTINCT doc_id) AS docs, max(feeds) AS feeds FROM x JOIN f USING (value) GROUP BY value""",
     "device_types": "SELECT " + _first([(p, k) for k, p in P.DEVICES.items()], "'unknown'")
     # a word boundary beside an accented letter: RE2 sees one, Spark and the rules do not
-    + r" AS device, count(*) AS n FROM (SELECT regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents) GROUP BY 1",
+    + r" AS device, count(*) AS n FROM (SELECT regexp_replace(coalesce(text, ''), '[^\x00-\x7F]', 'x', 'g') AS t FROM documents UNION ALL SELECT " + _list(DEVICE_LINES) + " FROM events) GROUP BY 1",
     "generic_rules": f"""
-WITH h AS (SELECT source, doc_id, 'has_license' AS rule, 'LOW' AS base FROM {_T} WHERE regexp_matches(t, '(?i)\\blicen[sc]e\\b')
- UNION ALL SELECT source, doc_id, 'has_insult', 'MEDIUM' FROM {_T} WHERE regexp_matches(t, '(?i)\\b(idiot|moron|pathetic|worthless|stupid)\\b')),
-k AS (SELECT *, row_number() OVER (PARTITION BY source, rule ORDER BY doc_id) AS r FROM h)
-SELECT source AS run_id, rule, count(*) AS hits, min(doc_id) AS first_n, max(doc_id) AS last_n,
-  CASE WHEN count(*) >= 10 THEN CASE base WHEN 'LOW' THEN 'MEDIUM' ELSE 'HIGH' END ELSE base END AS severity,
-  string_agg(CASE WHEN r <= 8 THEN CAST(doc_id AS VARCHAR) END, ',' ORDER BY doc_id) AS lines FROM k GROUP BY source, rule, base""",
+WITH h AS (SELECT 'day-' || strftime(ts, '%Y-%m-%d') AS run_id, event_id AS n, {_list([r for r, _, _ in P.GENERIC_RULES] + [""])} AS rule, {_list([b for _, b, _ in P.GENERIC_RULES] + [""])} AS base FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY run_id, rule ORDER BY n) AS r FROM h WHERE rule <> '')
+SELECT run_id, rule, count(*) AS hits, min(n) AS first_n, max(n) AS last_n,
+  CASE WHEN count(*) >= 10 THEN CASE base WHEN 'MEDIUM' THEN 'HIGH' ELSE 'CRITICAL' END ELSE base END AS severity,
+  string_agg(CASE WHEN r <= 8 THEN CAST(n AS VARCHAR) END, ',' ORDER BY n) AS lines FROM k GROUP BY run_id, rule, base""",
     "html_rows": r"""
 WITH p AS (SELECT page_id, string_split(regexp_replace(regexp_replace(coalesce(html, ''), '(?i)</(tr|p|div|li)\s*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS a FROM pages),
 r AS (SELECT page_id, unnest(range(len(a))) AS k, unnest(a) AS x FROM p),
