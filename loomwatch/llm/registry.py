@@ -19,7 +19,7 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-1, 0, "user", attack), (-1, 1, "assistant", attack)], "conv_id long, turn long, role string, text string")
     turns = read(spark, sf_dir, "conversations").select(*columns).unionByName(extra)
     vocab = vocabulary("byte_bpe_50k.json")
-    return chat.digest(chat.read_back(chat.format_chat(turns, vocab), vocab))
+    return chat.digest(chat.format_chat(turns, vocab), vocab)
 
 
 def op2_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
