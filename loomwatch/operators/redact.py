@@ -7,17 +7,23 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
 
-CAP = 2000
+LINE_CAP = 2000  # of a log line; longer ones are no log lines
 
 
-def clean(text):
-    """Control characters out, at most 2000 characters."""
-    return F.substring(F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), 1, CAP)
+def clean(text, cap: int | None = None):
+    """Control characters out; at most ``cap`` characters, if given (LINE_CAP for log lines)."""
+    t = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    return t if cap is None else F.substring(t, 1, cap)
 
 
-def token_table(rows: DataFrame, scope: str, order: str, text: str) -> DataFrame:
+def cut_off(text, cap: int = LINE_CAP):
+    """How many characters ``clean`` with this cap leaves out, to be reported."""
+    return F.greatest(F.length(clean(text)) - cap, F.lit(0))
+
+
+def token_table(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None) -> DataFrame:
     """(scope, kind, value, token): every address and user name of a scope, numbered by first appearance."""
-    t = clean(F.col(text))
+    t = clean(F.col(text), cap)
     ips = F.transform(F.regexp_extract_all(t, F.lit(P.IOC_IP), F.lit(0)), lambda v: F.struct(F.lit("IP").alias("kind"), v.alias("value")))
     users = [F.transform(F.regexp_extract_all(t, F.lit(rx), F.lit(1)), lambda v: F.struct(F.lit("USER").alias("kind"), v.alias("value"))) for rx in P.USER_NAMES]
     d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), F.posexplode(F.concat(ips, *users)).alias("_p", "_v")).select("scope", "_o", "_p", "_v.*")
@@ -26,10 +32,10 @@ def token_table(rows: DataFrame, scope: str, order: str, text: str) -> DataFrame
     return d.select("scope", "kind", "value", F.concat(F.lit("["), "kind", F.lit("-"), k.cast("string"), F.lit("]")).alias("token"))
 
 
-def redact(rows: DataFrame, scope: str, order: str, text: str) -> DataFrame:
+def redact(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None) -> DataFrame:
     """Adds ``redacted``. A scope's tokens travel with its rows; one pass per kind, longest value first, so that the outcome
     of one replacement is never replaced again."""
-    tokens = token_table(rows, scope, order, text)
+    tokens = token_table(rows, scope, order, text, cap)
     maps = tokens.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_map"))
 
     @F.pandas_udf("string")
@@ -47,7 +53,7 @@ def redact(rows: DataFrame, scope: str, order: str, text: str) -> DataFrame:
         return pd.Series(out)
 
     d = rows.join(maps.withColumnRenamed("scope", scope), scope, "left")
-    return d.withColumn("redacted", apply(clean(F.col(text)), F.col("_map"))).drop("_map")
+    return d.withColumn("redacted", apply(clean(F.col(text), cap), F.col("_map"))).drop("_map")
 
 
 def remap(rows: DataFrame, text: str, mapping: dict[str, str]) -> DataFrame:

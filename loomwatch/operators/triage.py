@@ -53,9 +53,15 @@ def class_weights(labelled: DataFrame, label: str = "label") -> DataFrame:
     return labelled.join(F.broadcast(w), label)
 
 
-def folds(labelled: DataFrame, k: int = 5, label: str = "label", order: str = "id") -> DataFrame:
-    """Adds fold: row numbers within each class, dealt in turn."""
-    return labelled.withColumn("fold", (F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(order), order)) - 1) % k)
+def folds(labelled: DataFrame, k: int = 5, label: str = "label", order: str = "id", buckets: int = 256) -> DataFrame:
+    """Adds fold: rows of each class dealt in turn. They are counted in hash buckets with bucket offsets, so that no class meets in
+    one task."""
+    d = labelled.withColumn("_b", F.pmod(F.xxhash64(order), F.lit(buckets)))
+    before = F.sum("_n").over(W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
+    base = d.groupBy(label, "_b").agg(F.count("*").alias("_n")).select(F.col(label).alias("_l"), F.col("_b").alias("_of"), F.coalesce(before, F.lit(0)).alias("_base"))
+    d = d.withColumn("_k", F.row_number().over(W.partitionBy(label, "_b").orderBy(order)) - 1)
+    j = d.join(base, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_of")))
+    return j.withColumn("fold", ((F.col("_base") + F.col("_k")) % k).cast("int")).drop("_b", "_k", "_l", "_of", "_base")
 
 
 def fit(train: DataFrame, label: str = "label", trees: int = 40, depth: int = 6, seed: int = 7):

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
+from loomwatch.functions.prefix import before_in_run, running_sum
 
 RECORD = ["run_id", "n", "ts", "level", "host", "msg", "raw", "proc", "pid", "format"]
 
@@ -43,9 +44,11 @@ def month_number(name: Column) -> Column:
 
 
 def with_year(df: DataFrame, base_year: Column, month: str) -> DataFrame:
-    w = W.partitionBy("run_id").orderBy("n")
-    jump = F.coalesce(F.col(month) < F.lag(month).over(w) - 6, F.lit(False)).cast("int")
-    return df.withColumn("_jump", jump).withColumn("_year", (base_year + F.sum("_jump").over(w)).cast("int"))
+    """Adds _year: the base year and one more whenever the months of a run's lines fall back by more than six."""
+    d = before_in_run(df, month, "_prev")
+    jump = F.coalesce(F.col(month) < F.col("_prev") - 6, F.lit(False)).cast("int")
+    d = running_sum(d, jump, "_jumps")
+    return d.withColumn("_year", (base_year + F.col("_jumps")).cast("int")).drop("_prev", "_jumps")
 
 
 def stamp(year: Column, month: Column, day: Column, hms: Column, fraction: Column | None = None) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
+from loomwatch.functions.prefix import running_sum
 from loomwatch.sources.envelopes import iso_time, level_from_text, lookup
 
 WRAPPERS = ["events", "results", "records", "logs", "items", "data"]
@@ -38,7 +39,8 @@ def csv_rows(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
     cols = [c for c in d.columns]
     fields = F.map_from_arrays(F.array(*(F.lit(c.strip().lower()) for c in cols)), F.array(*(F.col(f"`{c}`").cast("string") for c in cols)))
     d = d.select(F.col("_metadata.file_path").alias("run_id"), F.monotonically_increasing_id().alias("_m"), F.to_csv(F.struct(*(F.col(f"`{c}`") for c in cols))).alias("raw"), fields.alias("fields"))
-    return d.select("run_id", (F.row_number().over(W.partitionBy("run_id").orderBy("_m")) + 1).cast("long").alias("n"), "raw", "fields")
+    first = d.groupBy("run_id").agg(F.min("_m").alias("_first"))  # a file of multi-line rows is read in one piece
+    return d.join(first, "run_id").select("run_id", (F.col("_m") - F.col("_first") + 2).alias("n"), "raw", "fields")
 
 
 def pick(names: list[str], fields: str = "fields") -> Column:
@@ -70,8 +72,8 @@ WINDOWS_START = r"^\s*(\d{1,2}/\d{1,2}/\d{4}\s+\d{1,2}:\d{2}:\d{2}\s*(?:AM|PM))\
 
 def windows_text(lines: DataFrame) -> DataFrame:
     """A line with a time opens a record, ``key=value`` lines fill it, other lines belong to the last value."""
-    w = W.partitionBy("run_id").orderBy("n")
-    d = lines.withColumn("_s", F.col("raw").rlike(WINDOWS_START).cast("int")).withColumn("_r", F.sum("_s").over(w)).filter("_r > 0")
+    d = lines.withColumn("_s", F.col("raw").rlike(WINDOWS_START).cast("int"))
+    d = running_sum(d, F.col("_s"), "_r").filter("_r > 0")
     key = F.nullif(F.regexp_extract("raw", r"^\s*([A-Za-z][\w ]*?)=(.*)$", 1), F.lit(""))
     d = d.withColumn("_k", F.when(F.col("_s") == 0, key)).withColumn("_key", F.last("_k", ignorenulls=True).over(W.partitionBy("run_id", "_r").orderBy("n")))
     value = F.when(F.col("_k").isNotNull(), F.regexp_extract("raw", r"^\s*[A-Za-z][\w ]*?=(.*)$", 1)).otherwise(F.col("raw"))

@@ -130,3 +130,19 @@ def test_exports(spark, tmp_path):
         sinks.export_findings(f, str(tmp_path / fmt), fmt)
     assert spark.read.csv(str(tmp_path / "csv"), header=True).first().techniques == "T1; T2"
     assert spark.read.format("xml").option("rowTag", "finding").load(str(tmp_path / "xml")).first().id == 1
+
+
+def test_running_sums_in_blocks_equal_those_of_the_run(spark):
+    import random
+
+    from pyspark.sql import Window as W, functions as F
+
+    from loomwatch.functions.prefix import before_in_run, running_sum
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", "b", None]), n, rng.choice([1, 2, None])) for n in rng.sample(range(400), 120)]
+    df = spark.createDataFrame(rows, "run_id string, n long, v int")
+    w = W.partitionBy("run_id").orderBy("n")
+    want = sorted((r.run_id or "", r.n, r.s, r.p) for r in df.withColumn("s", F.sum(F.coalesce("v", F.lit(0))).over(w)).withColumn("p", F.lag("v").over(w)).collect())
+    got = before_in_run(running_sum(df, F.coalesce("v", F.lit(0)), "s", block=50), "v", "p", block=30)
+    assert sorted((r.run_id or "", r.n, r.s, r.p) for r in got.collect()) == want
