@@ -9,21 +9,21 @@ BLOCK = 100_000
 
 def running_sum(df: DataFrame, value: Column, out: str, run: str = "run_id", order: str = "n", block: int = BLOCK) -> DataFrame:
     """Adds ``out``: the sum of ``value`` over the run's rows up to each row."""
-    d = df.withColumn("_v", value).withColumn("_blk", F.floor(F.col(order) / block))
-    inside = F.sum("_v").over(W.partitionBy(run, "_blk").orderBy(order))
-    d = d.withColumn("_in", inside)
-    before = F.sum("_s").over(W.partitionBy(run).orderBy("_blk").rowsBetween(W.unboundedPreceding, -1))
-    totals = d.groupBy(run, "_blk").agg(F.sum("_v").alias("_s"))
-    base = totals.select(F.col(run).alias("_run"), F.col("_blk").alias("_of"), F.coalesce(before, F.lit(0)).alias("_base"))
-    joined = d.join(base, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_blk") == F.col("_of")))
-    return joined.withColumn(out, F.col("_base") + F.col("_in")).drop("_v", "_blk", "_in", "_run", "_of", "_base")
+    d = df.withColumn("_prefix_v", value).withColumn("_prefix_blk", F.floor(F.col(order) / block))
+    inside = F.sum("_prefix_v").over(W.partitionBy(run, "_prefix_blk").orderBy(order))
+    d = d.withColumn("_prefix_in", inside)
+    before = F.sum("_prefix_s").over(W.partitionBy(run).orderBy("_prefix_blk").rowsBetween(W.unboundedPreceding, -1))
+    totals = d.groupBy(run, "_prefix_blk").agg(F.sum("_prefix_v").alias("_prefix_s"))
+    base = totals.select(F.col(run).alias("_prefix_run"), F.col("_prefix_blk").alias("_prefix_of"), F.coalesce(before, F.lit(0)).alias("_prefix_base"))
+    joined = d.join(base, F.col(run).eqNullSafe(F.col("_prefix_run")) & (F.col("_prefix_blk") == F.col("_prefix_of")))
+    return joined.withColumn(out, F.col("_prefix_base") + F.col("_prefix_in")).drop("_prefix_v", "_prefix_blk", "_prefix_in", "_prefix_run", "_prefix_of", "_prefix_base")
 
 
 def before_in_run(df: DataFrame, value: str, out: str, run: str = "run_id", order: str = "n", block: int = BLOCK) -> DataFrame:
     """Adds ``out``: ``value`` of the run's row before, null for the first. Blocks hand on the value of their last row."""
-    d = df.withColumn("_blk", F.floor(F.col(order) / block))
-    d = d.withColumn("_lag", F.lag(F.struct(value)).over(W.partitionBy(run, "_blk").orderBy(order)))
-    last = d.groupBy(run, "_blk").agg(F.max_by(F.struct(value), order).alias("_last"))
-    handed = last.select(F.col(run).alias("_run"), F.col("_blk").alias("_of"), F.lag("_last").over(W.partitionBy(run).orderBy("_blk")).alias("_before"))
-    joined = d.join(handed, F.col(run).eqNullSafe(F.col("_run")) & (F.col("_blk") == F.col("_of")))
-    return joined.withColumn(out, F.coalesce("_lag", "_before")[value]).drop("_blk", "_lag", "_run", "_of", "_before")
+    d = df.withColumn("_prefix_blk", F.floor(F.col(order) / block))
+    d = d.withColumn("_prefix_lag", F.lag(F.struct(value)).over(W.partitionBy(run, "_prefix_blk").orderBy(order)))
+    last = d.groupBy(run, "_prefix_blk").agg(F.max_by(F.struct(value), order).alias("_prefix_last"))
+    handed = last.select(F.col(run).alias("_prefix_run"), F.col("_prefix_blk").alias("_prefix_of"), F.lag("_prefix_last").over(W.partitionBy(run).orderBy("_prefix_blk")).alias("_prefix_before"))
+    joined = d.join(handed, F.col(run).eqNullSafe(F.col("_prefix_run")) & (F.col("_prefix_blk") == F.col("_prefix_of")))
+    return joined.withColumn(out, F.coalesce("_prefix_lag", "_prefix_before")[value]).drop("_prefix_blk", "_prefix_lag", "_prefix_run", "_prefix_of", "_prefix_before")
