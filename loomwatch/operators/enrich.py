@@ -40,19 +40,24 @@ def around(text: Column, entity: Column) -> Column:
     return F.when(at > 0, cut).otherwise(whole)
 
 
-PREDICATES = {
-    "auth_bruteforce": "at least 5 failures from one source; high when 5 fall within 120 s",
-    "auth_bruteforce_success": "a success from the same source within 120 s of its last failure",
-    "error_rate_spike": "at least 5 ERROR or CRIT lines within 60 s",
-    "disk_pressure": "disk usage of 80 % or more; high from 90 %",
-    "suspicious_outbound": "a connection to one of the listed ports",
-    "critical_service_event": "a line at CRIT level",
-    "possible_break_in": "a reverse-DNS mismatch reported by the daemon",
-}
-
-
-def with_predicate(findings: DataFrame) -> DataFrame:
-    return findings.withColumn("predicate", lookup(PREDICATES, F.col("type"), F.concat(F.lit("rule "), F.col("type"), F.lit(" matched"))))
+def predicates(failures: int = 5, window_s: int = 120, burst: int = 5, burst_s: int = 60) -> dict[str, str]:
+    """What each rule asks for, in the thresholds that it runs with."""
+    return {
+        "auth_bruteforce": f"at least {failures} failures from one source; high when {failures} fall within {window_s} s",
+        "auth_bruteforce_success": f"a success from the same source within {window_s} s of its last failure",
+        "error_rate_spike": f"at least {burst} ERROR or CRIT lines within {burst_s} s",
+        "disk_pressure": f"disk usage of {P.DISK_WARN} % or more; high from {P.DISK_CRIT} %",
+        "suspicious_outbound": f"a connection to one of the ports {', '.join(map(str, P.SUSPICIOUS_PORTS))}",
+        "critical_service_event": "a line at CRIT level",
+        "possible_break_in": "a reverse-DNS mismatch reported by the daemon",
+    } | {kind: f"event id {', '.join(i for i, v in P.WINDOWS_EVENTS.items() if v[1] == kind)}: {sev}" for sev, kind in dict.fromkeys(P.WINDOWS_EVENTS.values())}
+
+
+def with_predicate(findings: DataFrame, **thresholds) -> DataFrame:
+    """Adds predicate; the threat and infrastructure families by their prefix, null for a type without one."""
+    kind = F.col("type")
+    family = F.when(kind.startswith("threat_"), "a registered threat pattern matched").when(kind.startswith("infra_"), "an infrastructure pattern matched or the vendor gave a severity")
+    return findings.withColumn("predicate", F.coalesce(lookup(predicates(**thresholds), kind), family))
 
 
 def technique_chain(matches: DataFrame, links: DataFrame, techniques: DataFrame) -> DataFrame:
