@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -30,6 +31,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in ntz}) if ntz else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share, as the session names it. A session on one machine without one (a test) gets
+    a new one; on a cluster that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    of_context = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if of_context.isDefined():
+        return of_context.get()
+    if spark.sparkContext.master.startswith("local["):
+        made = "file://" + tempfile.mkdtemp(prefix="loomwatch-")
+        spark.sparkContext.setCheckpointDir(made)
+        return made
+    raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it; a cluster without that path gets the package
     by its own means (a wheel, or spark.submit.pyFiles)."""
