@@ -79,5 +79,5 @@ def verdicts(d: DataFrame, levels: int = 6, fan_in: int = 3) -> DataFrame:
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, one of each group, with all their columns."""
     rows, row = with_rows(docs)
-    gone = verdicts(materialise(digests(rows, id_col, text_col, F.col(row)))).filter(~F.col("kept")).select(F.col("_row").alias("_gone"))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)
+    gone = verdicts(materialise(digests(rows, id_col, text_col, F.col(row)))).filter(~F.col("kept")).select(F.col("_row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)

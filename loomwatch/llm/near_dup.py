@@ -237,5 +237,5 @@ def verdicts(
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """One row of ``docs`` of each near-duplicate class, that of the smallest doc_id, with all its columns."""
     rows, row = with_rows(docs)
-    gone = verdicts(rows, row, **options).filter("not kept").select(F.col("row").alias("_gone"))
-    return rows.join(gone, rows[row] == F.col("_gone"), "left_anti").drop(row)
+    gone = verdicts(rows, row, **options).filter("not kept").select(F.col("row").alias(row))
+    return rows.join(gone, row, "left_anti").drop(row)
