@@ -141,7 +141,7 @@ class ChunkEncoder:
     the letters of the tokens that come back say which chunk they belong to. Others go one by one.
     """
 
-    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 400_000, together: int = 256):
+    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 300_000, together: int = 256):
         """``glue``: white space that parts two chunks, and the letters that it becomes; ``lead``: what a chunk that needs none begins with."""
         self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = tokenizer, fast, slow, plain, lead, glue, dtype
         self.width, self.together = np.dtype(dtype).itemsize, together
@@ -193,7 +193,18 @@ class ChunkEncoder:
         for c in marked:
             known[c] = known[c[:-1]] + known[c[-1]]
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def __call__(self, texts: list[str], lot_chars: int = 1 << 20) -> list[bytes]:
+        """Texts are taken in lots of about ``lot_chars``: the chunks of one lot are held at a time."""
+        out: list[bytes] = []
+        first = size = 0
+        for k, t in enumerate(texts):
+            size += len(t)
+            if size >= lot_chars or k + 1 == len(texts):
+                out += self._lot(texts[first : k + 1])
+                first, size = k + 1, 0
+        return out
+
+    def _lot(self, texts: list[str]) -> list[bytes]:
         self.known.turn()
         cut = [
             None if any(c in t for c in UNSAFE) else self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t) for t in texts
