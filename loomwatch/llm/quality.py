@@ -96,7 +96,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 20):
             x = features(*text_bytes(b.column("text"))).astype("<f4")
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array([r.tobytes() for r in x], pa.binary())], [*rest, "x"])
 
@@ -234,7 +234,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3,
     model = train(docs, labels, folds, held, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 20):
             x = features(*text_bytes(b.column("text")))
             s = model.score(x) if model else np.full(b.num_rows, 0.5)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(s)], ["doc_id", "score"])
@@ -251,7 +251,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **opti
     model = train(docs, labels, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 20):
             s = model.score(features(*text_bytes(pc.fill_null(b.column("text"), "")))) if model else np.full(b.num_rows, 0.5)
             yield b.filter(pa.array(s >= threshold))
 
