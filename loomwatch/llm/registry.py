@@ -36,7 +36,8 @@ def op4_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), 400)
+    """Besides the bytes of repeated 400-byte strings, repeated passages of at least 50 words are counted, which may be shorter."""
+    return substring_dedup.substring_dedup(read(spark, sf_dir, "documents"), 400, passages=(256, 50))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -565,14 +565,15 @@ def repeated_windows(docs: DataFrame, length: int = 400, gram: int = 32, hot: in
     return cold.unionByName(hot_windows(docs, kept.join(often, "kh", "left_semi"), parts, length, gram))
 
 
-def with_runs(rows: DataFrame, row: str, text: str = "text", **options) -> DataFrame:
-    """The numbered rows with ``_r``: ascending, possibly overlapping runs (lo, hi) of repeated bytes, null if there are none."""
-    length = options.get("length", 400)
-    d = rows.select(F.col(row).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    runs = repeated_windows(d, **options).select("row", "lo", (F.col("hi") + length).alias("hi"))
-    name = free_name(rows, "_r")
+def with_runs(rows: DataFrame, row: str, onto: DataFrame | None = None, length: int = 400, **options) -> DataFrame:
+    """The numbered rows (or ``onto``, which has their numbers) with one more column, the last: ascending, possibly overlapping runs
+    (lo, hi) of bytes repeated in the rows' texts, null if there are none."""
+    onto = rows if onto is None else onto
+    d = rows.select(F.col(row).alias("row"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    runs = repeated_windows(d, length, **options).select("row", "lo", (F.col("hi") + length).alias("hi"))
+    name = free_name(onto, "_r")
     lists = runs.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias(name)).withColumnRenamed("row", row)
-    return rows.join(lists, row, "left")
+    return onto.join(lists, row, "left")
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, gram: int = 32, hot: int = 65_536) -> DataFrame:
@@ -599,27 +600,43 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip(ends, starts))
 
 
-def substring_dedup(docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False, hot: int = 65_536) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: text without bytes of characters cut in two)."""
+def substring_dedup(
+    docs: DataFrame, length: int = 400, gram: int = 32, with_text: bool = False, hot: int = 65_536, passages: tuple[int, int] | None = None
+) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (, kept: text without bytes of characters cut in two) (, n_passages, passage_bytes).
+
+    ``passages`` (bytes, words) asks for shorter repeats too: runs of at least so many words of whose bytes each lies in a string of so many
+    bytes that starts anywhere else. They are counted, not removed."""
+    rows = numbered(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "row")
+    found = with_runs(rows, "row", length=length, gram=gram, hot=hot)
+    if passages:
+        found = with_runs(rows, "row", found, length=passages[0], gram=gram, hot=hot)
+    names = [c for c in found.columns if c not in ("row", "doc_id", "text")]
+    longs = ["n_bytes", "n_removed", "n_spans"]
+    extra = ["n_passages", "passage_bytes"] if passages else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, 4 << 20):
-            cols: list[list] = [[], [], [], [], []]
-            for text, r in zip(b.column("text").to_pylist(), b.column("_r").to_pylist()):
-                data, spans = text.encode(), _merge_runs(r)
+            cols: dict[str, list] = {c: [] for c in (*longs, "kept_sha256", "kept", *extra)}
+            lists = [b.column(c).to_pylist() for c in names]
+            for k, text in enumerate(b.column("text").to_pylist()):
+                data, spans = text.encode(), _merge_runs(lists[0][k])
                 left = cut(data, spans)
-                for c, v in zip(cols, (len(data), len(data) - len(left), len(spans), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if with_text else None)):
-                    c.append(v)
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2
-            n = 5 if with_text else 4
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols[:n], kinds))],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: n + 1],
-            )
+                row = {"n_bytes": len(data), "n_removed": len(data) - len(left), "n_spans": len(spans), "kept_sha256": hashlib.sha256(left).hexdigest()}
+                row["kept"] = left.decode("utf-8", "ignore") if with_text else None
+                if passages:
+                    whole = [(s, e) for s, e in _merge_runs(lists[1][k]) if len(data[s:e].split()) >= passages[1]]
+                    row |= {"n_passages": len(whole), "passage_bytes": sum(e - s for s, e in whole)}
+                for c, v in row.items():
+                    cols[c].append(v)
+            if not with_text:
+                del cols["kept"]
+            kinds = [pa.string() if c in ("kept_sha256", "kept") else pa.int64() for c in cols]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols.values(), kinds))], ["doc_id", *cols])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
-    return repeated_spans(docs, length, gram, hot).mapInArrow(run, schema)
+    schema = [f"doc_id {kind}", *(f"{c} long" for c in longs), "kept_sha256 string", *(["kept string"] if with_text else []), *(f"{c} long" for c in extra)]
+    return found.drop("row").mapInArrow(run, ", ".join(schema))
 
 
 def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32, min_words: int = 0, hot: int = 65_536) -> DataFrame:
@@ -627,7 +644,7 @@ def cut_repeats(docs: DataFrame, length: int = 400, gram: int = 32, min_words: i
     two); n_chars, if there, follows the text. Null texts stay null. Runs of fewer than ``min_words`` words stay."""
     row = free_name(docs, "_row")
     joined = with_runs(numbered(docs, row), row, length=length, gram=gram, hot=hot)
-    r = next(c for c in joined.columns if c not in docs.columns and c != row)
+    r = joined.columns[-1]
 
     def without_runs(t: str | None, x) -> str | None:
         if t is None or x is None or not len(x):

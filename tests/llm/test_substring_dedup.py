@@ -84,3 +84,14 @@ def test_cut_repeats_keeps_columns_and_characters(spark):
     for k, t, n, s in rows[:-1]:
         assert (got[k].text, got[k].n_chars, got[k].source) == (want[k].kept, len(want[k].kept), s)
     assert sum(r.n_removed for r in want.values()) > 500
+
+
+def test_passages_of_words_are_counted(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8))) for _ in range(n))
+    passage, line = words(60), words(30)
+    docs = [(0, words(80) + " " + passage + " " + words(40)), (1, words(10) + " " + passage), (2, words(90) + " " + line), (3, line + " " + words(50)), (4, words(200))]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in sd.substring_dedup(df, 400, passages=(128, 50)).collect()}
+    assert [got[k].n_passages for k in range(5)] == [1, 1, 0, 0, 0]
+    assert all(len(passage) <= got[k].passage_bytes <= len(passage) + 4 for k in (0, 1)) and got[4].passage_bytes == 0
