@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwatch.llm import chat, exact_dedup as exact, near_dup, packing, pieces, ppm, quality, substring_dedup, token_files, vector_dup
+from loomwatch.llm import (
+    chat, exact_dedup as exact, merkle, near_dup, packing, pieces, ppm, quality, substring_dedup, token_counts, token_files, vector_codes, vector_dup,
+)
 from loomwatch.llm.common import vocabulary
 
 
@@ -61,14 +63,54 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose crc32 of the doc_id is even are folded from a text without its line feeds."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    return merkle.manifest(docs, tampered, F.translate("text", "\n", ""))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 2048)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings"), 16, 64, 2)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_formatting, op2_ppm_scoring, op3_best_fit_packing, op4_sentencepiece_codec, op5_suffix_dedup, op6_exact_dedup,
-        op7_ngram_jaccard, op8_vector_near_dup, op9_quality_classifier, op10_token_files,
+        op7_ngram_jaccard, op8_vector_near_dup, op9_quality_classifier, op10_token_files, op11_merkle_manifest, op12_token_counts, op13_vector_codes,
     )
 }
 
+
+def _field(value: str) -> str:
+    """A field of a manifest leaf."""
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || {value}, '-')"
+
+
+#: One bit of a CRC-32 over the digits of doc_id; a digit is taken in at every eighth.
+_CRC_IN = "CASE WHEN j % 8 = 0 THEN xor(c, CAST(ascii(substr(CAST(doc_id AS VARCHAR), CAST(j // 8 + 1 AS BIGINT), 1)) AS BIGINT)) ELSE c END"
+_CRC_STEP = f"CASE WHEN ({_CRC_IN}) % 2 = 1 THEN xor(({_CRC_IN}) // 2, 3988292384) ELSE ({_CRC_IN}) // 2 END"
+
+
+def _nearest(book: str) -> str:
+    """Nearest entry k and squared distance d of every part."""
+    return f"""SELECT id, s, CAST(min(d * 64 + k) % 64 AS BIGINT) AS k, CAST(min(d * 64 + k) // 64 AS BIGINT) AS d FROM (SELECT p.id, p.s, k,
+      list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - e[i]) * (x[i] - e[i]))) AS d FROM p JOIN {book} USING (s)) GROUP BY id, s"""
+
+
+def _code_round(r: int) -> str:
+    """Codebooks b<r+1> from b<r>: floored means of the parts that are nearest to an entry."""
+    return f"""a{r} AS ({_nearest(f'b{r}')}),
+m{r} AS (SELECT s, k, list(CAST(floor_mean AS BIGINT) ORDER BY i) AS e FROM (SELECT s, k, i, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) AS floor_mean
+      FROM (SELECT s, k, unnest(x) AS x, unnest(range(len(x))) AS i FROM p JOIN a{r} USING (id, s)) GROUP BY s, k, i) GROUP BY s, k),
+b{r + 1} AS (SELECT s, k, coalesce(m{r}.e, b{r}.e) AS e FROM b{r} LEFT JOIN m{r} USING (s, k))"""
+
+
 _LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 ORACLES = {
@@ -99,4 +141,37 @@ r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
 m AS (SELECT a AS vec_id, min(b) AS c FROM r GROUP BY 1), k AS (SELECT a AS vec_id, count(*) AS n FROM e GROUP BY 1)
 SELECT v.vec_id, coalesce(k.n, 0) AS n_links, least(v.vec_id, coalesce(m.c, v.vec_id)) AS component_id, least(v.vec_id, coalesce(m.c, v.vec_id)) = v.vec_id AS kept
 FROM v LEFT JOIN m USING (vec_id) LEFT JOIN k USING (vec_id)""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, source, text, {_field('doc_id')} || {_field('source')} || {_field('lang')} || {_field('n_chars')} AS head,
+         list_reduce(range(0, 8 * len(CAST(doc_id AS VARCHAR))), lambda c, j: {_CRC_STEP}, CAST(4294967295 AS BIGINT)) AS crc FROM documents),
+h AS (SELECT doc_id, source, sha256(head || {_field('text')}) AS leaf,
+             CASE WHEN xor(crc, 4294967295) % 2 = 0 THEN sha256(head || {_field("replace(text, chr(10), '')")}) ELSE sha256(head || {_field('text')}) END AS alt FROM r),
+l AS (SELECT *, dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+             count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS id FROM h),
+t AS (SELECT g, 0 AS level, i, leaf AS d, n FROM l UNION ALL
+      SELECT g, level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM t WHERE n > 1 GROUP BY g, level, i // 3),
+s AS (SELECT g, d FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, g AS i, d, count(*) OVER () AS n FROM s UNION ALL
+      SELECT level + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (any_value(n) + 2) // 3 FROM u WHERE n > 1 GROUP BY level, i // 3),
+b AS (SELECT g, level, i, coalesce(string_agg(d, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS x,
+             coalesce(string_agg(d, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS y
+      FROM (SELECT g, level, i, d FROM t WHERE n > 1 UNION ALL SELECT -1, level, i, d FROM u WHERE n > 1) WINDOW w AS (PARTITION BY g, level, i // 3 ORDER BY i)),
+p AS (SELECT l.id, b.level AS step, x, y FROM l JOIN b ON b.g = l.g AND b.i = l.i // CAST(pow(3, b.level) AS BIGINT) UNION ALL
+      SELECT l.id, 1000 + b.level, x, y FROM l JOIN b ON b.g = -1 AND b.i = l.g // CAST(pow(3, b.level) AS BIGINT)),
+q AS (SELECT id, string_agg(x || y, '' ORDER BY step) AS proof, list(x || '|' || y ORDER BY step) AS steps FROM p GROUP BY id),
+o AS (SELECT l.*, s.d AS subroot, (SELECT d FROM u WHERE n = 1) AS root, coalesce(proof, '') AS proof,
+             list_reduce(coalesce(steps, []), lambda a, e: sha256(split_part(e, '|', 1) || a || split_part(e, '|', 2)), alt) AS folded
+      FROM l JOIN s USING (g) LEFT JOIN q USING (id))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM o""",
+    "op13_vector_codes": f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label,
+                  list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+p AS (SELECT id, s, x[s * (len(x) // 16) + 1 : (s + 1) * (len(x) // 16)] AS x FROM v, range(16) r(s)),
+b0 AS (SELECT s, id - 1 AS k, x AS e FROM p WHERE id <= 64), {_code_round(0)}, {_code_round(1)},
+a AS ({_nearest('b2')}),
+c AS (SELECT id, string_agg(printf('%02x', k), '' ORDER BY s) AS code, CAST(sum(d) AS BIGINT) AS error FROM a GROUP BY id),
+h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY s, k)) AS sha FROM b2)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM v JOIN c USING (id), h""",
 }
