@@ -64,39 +64,6 @@ def priority(incidents_: DataFrame, severity: str = "severity", criticality: str
     return incidents_.join(F.broadcast(dim), (F.upper(severity) == F.col("_s")) & (crit == F.col("_c")), "left").drop("_s", "_c")
 
 
-STATES = {"open": ["acknowledged", "resolved"], "acknowledged": ["resolved", "open"], "resolved": ["reopened"], "reopened": ["acknowledged", "resolved"]}
-
-
-def lifecycle(transitions: DataFrame, allowed: dict[str, list[str]] = STATES, start: str = "open") -> DataFrame:
-    """Folds each incident's transitions (incident, seq, to, at) in order. Out: state, accepted, rejected, acknowledged_at,
-    resolved_at (cleared when it is reopened)."""
-    ok = F.lit(False)
-    edges = [(a, b) for a, bs in allowed.items() for b in bs]
-
-    def valid(a: Column, b: Column) -> Column:
-        out = ok
-        for x, y in edges:
-            out = out | ((a == x) & (b == y))
-        return out
-
-    zero = F.struct(
-        F.lit(start).alias("state"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("rejected"),
-        F.lit(None).cast("long").alias("ack"), F.lit(None).cast("long").alias("res"),
-    )
-
-    def step(s, x):
-        good = valid(s["state"], x["to"])
-        ack = F.when(x["to"] == "acknowledged", x["at"]).when(x["to"] == "reopened", F.lit(None)).otherwise(s["ack"])
-        res = F.when(x["to"] == "resolved", x["at"]).when(x["to"] == "reopened", F.lit(None)).otherwise(s["res"])
-        moved = F.struct(x["to"].alias("state"), (s["accepted"] + 1).alias("accepted"), s["rejected"].alias("rejected"), ack.alias("ack"), res.alias("res"))
-        stayed = F.struct(s["state"].alias("state"), s["accepted"].alias("accepted"), (s["rejected"] + 1).alias("rejected"), s["ack"].alias("ack"), s["res"].alias("res"))
-        return F.when(good, moved).otherwise(stayed)
-
-    per = transitions.groupBy("incident").agg(F.array_sort(F.collect_list(F.struct("seq", "to", F.col("at").cast("long").alias("at")))).alias("_t"))
-    done = per.select("incident", F.aggregate("_t", zero, step).alias("s"))
-    return done.select("incident", "s.state", "s.accepted", "s.rejected", F.col("s.ack").alias("acknowledged_at"), F.col("s.res").alias("resolved_at"))
-
-
 def merge_stored(derived: DataFrame, stored: DataFrame, kept: list[str], key: str = "incident_id") -> DataFrame:
     """Derived incidents with the analyst's columns of the stored ones; stored ones that are not derived any more stay."""
     both = derived.select(key, *(c for c in derived.columns if c != key and c not in kept), F.lit(True).alias("_d")).join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
+from loomwatch.operators.containment import contained
 from loomwatch.operators.incidents import severity_rank
 
 
@@ -135,6 +136,6 @@ def nse_verdict(text: Column) -> Column:
 
 
 def inside_patterns(values: DataFrame, indicators: DataFrame) -> DataFrame:
-    """(value, indicator): values that are one of the quoted literals of an indicator's pattern, as an equi-join."""
-    lit = indicators.select(F.col("id").alias("indicator"), F.explode(F.regexp_extract_all("pattern", F.lit("'([^']+)'"), F.lit(1))).alias("value"))
-    return values.select("value").distinct().join(lit.distinct(), "value")
+    """(value, indicator): values that an indicator's pattern contains anywhere, found in one pass over the patterns."""
+    d = contained(indicators.select(F.col("id").alias("indicator"), "pattern"), values, "indicator", "pattern", "value")
+    return d.select("value", "indicator")

@@ -1,65 +1,193 @@
-"""Redaction with stable tokens per scope: addresses, then user names, numbered by first appearance."""
+"""Redaction with stable tokens per scope: addresses, then user names, then known users and hosts, numbered by first appearance.
+
+A text is marked once: what is to be masked stands between control characters (which redaction takes out first, so that none is left in a text), with a letter for
+its kind. What is marked is never looked at again, so kinds stay apart and nothing is replaced twice. Tokens are rows (scope, kind, value, token); they
+meet the marks of each distinct text of a scope by an equi-join, come back as one array a text, and the text is put together from its pieces: a scope of any
+number of tokens costs what its marks cost.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwatch.functions import patterns as P
+from loomwatch.functions.prefix import BLOCK
+from loomwatch.operators.containment import automaton
 
-LINE_CAP = 2000  # of a log line; longer ones are no log lines
+LINE_CAP = P.LINE_CHARS  # of a log line; longer ones are no log lines
+OPEN, CLOSE = "\x01", "\x02"
+KINDS = {"I": "IP", "U": "USER", "H": "HOST"}
+#: Known names up to which they go to every task; beyond, texts meet their scope's names in salted groups.
+SENT_NAMES = 200_000
+GROUP_TEXTS = 20_000
 
 
-def clean(text, cap: int | None = None):
+def clean(text: Column, cap: int | None = None) -> Column:
     """Control characters out; at most ``cap`` characters, if given (LINE_CAP for log lines)."""
-    t = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+    t = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F]", "")
     return t if cap is None else F.substring(t, 1, cap)
 
 
-def cut_off(text, cap: int = LINE_CAP):
-    """How many characters ``clean`` with this cap leaves out, to be reported."""
-    return F.greatest(F.length(clean(text)) - cap, F.lit(0))
-
-
-def token_table(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None) -> DataFrame:
-    """(scope, kind, value, token): every address and user name of a scope, numbered by first appearance."""
+def marked(text: Column) -> Column:
+    """The clean text with its addresses and user names between marks, in the order in which kinds are looked for."""
+    t = F.regexp_replace(text, P.IOC_IP, f"{OPEN}I$0{CLOSE}")
+    t = F.regexp_replace(t, P.IPV6, f"{OPEN}I$0{CLOSE}")
+    for rx in P.USER_NAMES:
+        before, name, after = re.fullmatch(r"(.*?)(\([^?].*?\))(\(\?=.*\))?", rx).groups()
+        name = name.replace("[^'", f"[^'{OPEN}{CLOSE}")
+        lead = before if before.startswith("(?<=") else f"({before})"
+        keep, pick = ("", "$1") if before.startswith("(?<=") else ("$1", "$2")
+        t = F.regexp_replace(t, f"{lead}{name}{after or ''}", f"{keep}{OPEN}U{pick}{CLOSE}")
+    return t
+
+
+def pieces(mark: Column) -> Column:
+    """Plain text at even places, kind letter and value at odd ones."""
+    return F.split(mark, f"[{OPEN}{CLOSE}]", -1)
+
+
+def _outside(text: str, names: dict[str, str], find) -> str:
+    """``text`` with known names between marks: whole words outside the marks that are there, users before hosts, the longest first."""
+    word = lambda c: c.isalnum() or c == "_"
+    parts = re.split(f"({OPEN}[^{CLOSE}]*{CLOSE})", text)
+    for k in range(0, len(parts), 2):
+        p, hits = parts[k], []
+        for end, n in find(p):
+            a, b = end + 1 - len(n), end + 1
+            if (word(p[a]) != (a > 0 and word(p[a - 1]))) and (word(p[b - 1]) != (b < len(p) and word(p[b]))):
+                hits.append((names[n] != "USER", -len(n), n, a, b))
+        taken: list[tuple[int, int, str]] = []
+        for _, _, n, a, b in sorted(hits):
+            if all(b <= x or y <= a for x, y, _ in taken):
+                taken.append((a, b, n))
+        for a, b, n in sorted(taken, reverse=True):
+            p = f"{p[:a]}{OPEN}{names[n][0]}{n}{CLOSE}{p[b:]}"
+        parts[k] = p
+    return "".join(parts)
+
+
+def _with_known(texts: DataFrame, known: DataFrame, sent: int) -> DataFrame:
+    """``texts`` (scope, mark) with names of their scope's list marked too. In: known (scope, kind, value); a null scope means every one."""
+    known = known.filter("value is not null and value not in ('', '—')").select("scope", "kind", "value").distinct()
+    kind, back = texts.schema["scope"].dataType, texts.columns
+
+    def finder(rows: list[tuple[str, str]]):
+        names: dict[str, str] = {}
+        for k, v in sorted(rows, key=lambda r: r[0] != "USER"):
+            names.setdefault(v, k)
+        words = tuple(sorted(names))
+        a = automaton(words) if words else None
+        return names, (lambda p: [(end, words[n]) for end, n in a.iter(p)]) if a is not None else (lambda p: [])
+
+    if known.count() <= sent:
+        lists: dict[object, list[tuple[str, str]]] = {}
+        for r in known.collect():
+            lists.setdefault(r["scope"], []).append((r["kind"], r["value"]))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[object, tuple] = {}
+            for b in batches:
+                out = []
+                for s, t in zip(b.column("scope").to_pylist(), b.column("mark").to_pylist()):
+                    s = s if s in lists else None
+                    if s not in made:
+                        if len(made) > 3:
+                            made.clear()
+                        made[s] = finder([*lists.get(None, []), *(lists[s] if s is not None else [])])
+                    out.append(None if t is None else _outside(t, *made[s]))
+                yield pa.RecordBatch.from_arrays([b.column("scope"), pa.array(out, pa.string())], ["scope", "mark"])
+
+        return texts.select("scope", "mark").mapInArrow(run, f"scope {kind.simpleString()}, mark string")
+    if known.filter("scope is null").head(1):
+        raise ValueError(f"more than {sent} known names need a scope each")
+    sizes = texts.groupBy("scope").agg(F.ceil(F.count("*") / GROUP_TEXTS).cast("int").alias("_salts"))
+    salted = texts.join(sizes, "scope", "left").withColumn("_salt", F.pmod(F.xxhash64("mark"), F.coalesce("_salts", F.lit(1)))).select(*back, "_salt")
+    copies = known.join(sizes, "scope").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - F.lit(1).cast("long")))).select("scope", "kind", "value", "_salt")
+
+    def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        names = finder(list(zip(right.column("kind").to_pylist(), right.column("value").to_pylist())))
+        out = [None if t is None else _outside(t, *names) for t in left.column("mark").to_pylist()]
+        return pa.table([left.column("scope").cast(to_arrow_type(kind)), pa.array(out, pa.string())], ["scope", "mark"])
+
+    return salted.groupBy("scope", "_salt").cogroup(copies.groupBy("scope", "_salt")).applyInArrow(group, f"scope {kind.simpleString()}, mark string")
+
+
+def _marks(rows: DataFrame, scope: str, order: str, text: str, cap: int | None, known: DataFrame | None, sent: int) -> DataFrame:
+    """Each distinct clean text of a scope, once: (scope, key, first, mark). ``key`` is the text's digest, ``first`` the order in which it comes first."""
     t = clean(F.col(text), cap)
-    ips = F.transform(F.regexp_extract_all(t, F.lit(P.IOC_IP), F.lit(0)), lambda v: F.struct(F.lit("IP").alias("kind"), v.alias("value")))
-    users = [F.transform(F.regexp_extract_all(t, F.lit(rx), F.lit(1)), lambda v: F.struct(F.lit("USER").alias("kind"), v.alias("value"))) for rx in P.USER_NAMES]
-    d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), F.posexplode(F.concat(ips, *users)).alias("_p", "_v")).select("scope", "_o", "_p", "_v.*")
-    d = d.filter(F.col("value") != "").groupBy("scope", "kind", "value").agg(F.min(F.struct("_o", "_p")).alias("_first"))
-    k = F.row_number().over(W.partitionBy("scope", "kind").orderBy("_first", "value"))
-    return d.select("scope", "kind", "value", F.concat(F.lit("["), "kind", F.lit("-"), k.cast("string"), F.lit("]")).alias("token"))
-
-
-def redact(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None) -> DataFrame:
-    """Adds ``redacted``. A scope's tokens travel with its rows; one pass per kind, longest value first, so that the outcome
-    of one replacement is never replaced again."""
-    tokens = token_table(rows, scope, order, text, cap)
-    maps = tokens.groupBy("scope").agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_map"))
-
-    @F.pandas_udf("string")
-    def apply(texts: pd.Series, tables: pd.Series) -> pd.Series:
-        import re
-
-        out = []
-        for t, table in zip(texts, tables):
-            table = dict(table) if table is not None else {}
-            if t is None or not table:
-                out.append(t)
-                continue
-            rx = re.compile("|".join(rf"(?<![\w.]){re.escape(v)}(?![\w])" for v in sorted(table, key=len, reverse=True)))
-            out.append(rx.sub(lambda m: table[m.group(0)], t))
-        return pd.Series(out)
-
-    d = rows.join(maps.withColumnRenamed("scope", scope), scope, "left")
-    return d.withColumn("redacted", apply(clean(F.col(text), cap), F.col("_map"))).drop("_map")
+    d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), t.alias("_t")).filter("_t is not null").withColumn("key", F.sha2("_t", 256))
+    firsts = d.groupBy("scope", "key").agg(F.min("_o").alias("first"), F.any_value("_t").alias("_t"))
+    if known is None:
+        return firsts.select("scope", "key", "first", marked(F.col("_t")).alias("mark"))
+    # the digest and the order ride in front of the text, behind a mark that no name can touch
+    carried = firsts.select("scope", F.concat(F.lit(f"{OPEN}K"), "key", F.lit(CLOSE), marked(F.col("_t"))).alias("mark"))
+    done = _with_known(carried, known, sent).select("scope", F.substring("mark", 3, 64).alias("key"), F.expr("substring(mark, 68)").alias("mark"))
+    done = done.select(F.col("scope").alias("_ts"), F.col("key").alias("_tk"), "mark")
+    return firsts.join(done, F.col("scope").eqNullSafe(F.col("_ts")) & (F.col("key") == F.col("_tk"))).select("scope", "key", "first", "mark")
+
+
+def _values(marks: DataFrame) -> DataFrame:
+    """(scope, key, first, at, kind, value) of every mark; ``at`` counts the marks of a text from 0."""
+    of = F.filter(F.transform(pieces(F.col("mark")), lambda p, k: F.when(k % 2 == 1, p)), lambda p: p.isNotNull())
+    d = marks.select("scope", "key", "first", F.posexplode(of).alias("at", "_v"))
+    kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
+    return d.select("scope", "key", "first", "at", F.element_at(kind, F.substring("_v", 1, 1)).alias("kind"), F.expr("substring(_v, 2)").alias("value"))
+
+
+def _numbered(values: DataFrame) -> DataFrame:
+    """(scope, kind, value, token) by first appearance. Ranks are counted in blocks of the order (where it is a number) that hand on their totals."""
+    d = values.groupBy("scope", "kind", "value").agg(F.min(F.struct("first", "at")).alias("_f"))
+    whole = values.schema["first"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
+    d = d.withColumn("_blk", F.expr(f"_f.first div {BLOCK}") if whole else F.lit(0))
+    inside = F.row_number().over(W.partitionBy("scope", "kind", "_blk").orderBy("_f", "value"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("scope", "kind").orderBy("_blk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    base = d.groupBy("scope", "kind", "_blk").agg(F.count("*").alias("_n")).select(F.col("scope").alias("_s"), F.col("kind").alias("_k"), F.col("_blk").alias("_b"), before.alias("_base"))
+    same = F.col("scope").eqNullSafe(F.col("_s")) & (F.col("kind") == F.col("_k")) & F.col("_blk").eqNullSafe(F.col("_b"))
+    j = d.withColumn("_in", inside).join(base, same)
+    return j.select("scope", "kind", "value", F.concat(F.lit("["), "kind", F.lit("-"), (F.col("_base") + F.col("_in")).cast("string"), F.lit("]")).alias("token"))
+
+
+def token_table(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None, known: DataFrame | None = None, sent: int = SENT_NAMES) -> DataFrame:
+    """(scope, kind, value, token): every address, user name and known name of a scope, numbered within its kind by first appearance."""
+    return _numbered(_values(_marks(rows, scope, order, text, cap, known, sent)))
+
+
+def redact(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None, known: DataFrame | None = None, sent: int = SENT_NAMES) -> DataFrame:
+    """Adds ``redacted``. ``known`` (scope, kind ``USER`` or ``HOST``, value) lists names that are masked wherever they stand as whole words, the longest first; a
+    null scope means every one. Null texts stay null; a null scope is a scope; a value that is both an address and a name is an address."""
+    marks = _marks(rows, scope, order, text, cap, known, sent)
+    values = _values(marks)
+    tokens = _numbered(values)
+    of = tokens.select(F.col("scope").alias("_ts"), F.col("kind").alias("_k"), F.col("value").alias("_v"), "token")
+    same = F.col("scope").eqNullSafe(F.col("_ts")) & (F.col("kind") == F.col("_k")) & (F.col("value") == F.col("_v"))
+    of_text = values.join(of, same).groupBy(F.col("scope").alias("_ts"), F.col("key").alias("_tk")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("at", "token"))), lambda x: x["token"]).alias("_tokens")
+    )
+    whole = marks.join(of_text, F.col("scope").eqNullSafe(F.col("_ts")) & (F.col("key") == F.col("_tk")), "left").drop("_ts", "_tk")
+    put = F.transform(pieces(F.col("mark")), lambda p, k: F.when(k % 2 == 1, F.get("_tokens", F.floor(k / 2).cast("int"))).otherwise(p))
+    done = whole.select(F.col("scope").alias("_ts"), F.col("key").alias("_tk"), F.array_join(put, "").alias("redacted"))
+    own = rows.withColumn("_key", F.sha2(clean(F.col(text), cap), 256))
+    return own.join(done, F.col(scope).eqNullSafe(F.col("_ts")) & (F.col("_key") == F.col("_tk")), "left").select(*rows.columns, "redacted")
+
+
+def seeds(findings: DataFrame, events: DataFrame) -> DataFrame:
+    """Known names of each run, as ``redact`` takes them: hosts of events and derived hosts of findings, users that rules named. In: findings (run_id, host,
+    host_derived, user, usernames), events (run_id, host)."""
+    row = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    users = F.transform(F.concat(F.array("user"), F.coalesce("usernames", F.array().cast("array<string>"))), lambda u: row("USER", u))
+    f = findings.select(F.col("run_id").alias("scope"), F.explode(F.concat(users, F.array(row("HOST", F.when(F.col("host_derived"), F.col("host")))))).alias("x"))
+    e = events.select(F.col("run_id").alias("scope"), row("HOST", F.col("host")).alias("x"))
+    return f.unionByName(e).select("scope", "x.*").filter("value is not null and value not in ('', '—')").distinct()
 
 
 def remap(rows: DataFrame, text: str, mapping: dict[str, str]) -> DataFrame:
     """Replaces whole tokens in one pass, the longest first; what was put in is not replaced again."""
-    import re
-
     rx = "|".join(rf"(?<![\w.]){re.escape(k)}(?![\w])" for k in sorted(mapping, key=len, reverse=True))
 
     @F.pandas_udf("string")

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from loomwatch.operators.containment import contained
+from loomwatch.operators.incidents import severity_rank
+from loomwatch.operators.ranges import range_join
 
 
 def ratio(a: Column, b: Column, places: int = 4) -> Column:
@@ -27,35 +31,76 @@ def set_score(found: DataFrame, expected: DataFrame, keys: list[str], by: list[s
     return s.withColumn("f1", f1(F.col("precision"), F.col("recall")))
 
 
-def cited_lines(findings: DataFrame, lo: str, hi: str) -> DataFrame:
-    """A row for every line of each finding's range."""
-    return findings.withColumn("line", F.explode(F.sequence(lo, hi)))
+def cited_hits(findings: DataFrame, labelled: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """(on, finding, line): labelled lines that a finding accounts for, once each: lines in its range, and lines that its evidence quotes verbatim.
+
+    In: findings (on, finding, lo, hi, evidence), labelled (on, line, raw); ``on`` names the columns of a run. A blank line is quoted by nothing."""
+    on = on or []
+    r = findings.select(*on, "finding", "lo", "hi").distinct()
+    by_range = range_join(labelled.select(*on, "line").distinct(), r, on, "line", "lo", "hi").select(*on, "finding", "line")
+    quoted = labelled.select(*on, "line", F.btrim("raw", F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
+    texts = findings.select("evidence").filter("evidence is not null").distinct()
+    inside = contained(texts.select("evidence", F.col("evidence").alias("_text")), quoted, "evidence", "_text", "raw")
+    verbatim = findings.select(*on, "finding", "evidence").join(inside, "evidence").join(quoted, [*on, "raw"]).select(*on, "finding", "line")
+    return by_range.unionByName(verbatim).distinct()
 
 
-def scorecard(cited: DataFrame, labelled: DataFrame) -> DataFrame:
+def scorecard(findings: DataFrame, hits: DataFrame, labelled: DataFrame) -> DataFrame:
     """Per rule and in total (rule_id null): findings, true findings, lines hit once each, recall over labelled lines.
 
-    In: cited (rule_id, finding, line), labelled (line)."""
-    lab = labelled.select("line", F.lit(1).alias("_l")).distinct()
-    total = F.broadcast(lab.agg(F.count("*").alias("labelled")))
-    j = cited.join(lab, "line", "left")
+    In: findings (rule_id, finding), hits (finding, line), labelled (line)."""
+    total = F.broadcast(labelled.select("line").distinct().agg(F.count("*").alias("labelled")))  # one row
+    j = findings.select("rule_id", "finding").distinct().join(hits.select("finding", "line"), "finding", "left")
     per = j.rollup("rule_id").agg(
-        F.count_distinct("finding").alias("findings"), F.count_distinct(F.when(F.col("_l") == 1, F.col("finding"))).alias("true_findings"),
-        F.count_distinct(F.when(F.col("_l") == 1, F.col("line"))).alias("lines_hit"),
+        F.count_distinct("finding").alias("findings"), F.count_distinct(F.when(F.col("line").isNotNull(), F.col("finding"))).alias("true_findings"), F.count_distinct("line").alias("lines_hit"),
     )
     d = per.crossJoin(total)
     return d.withColumn("precision", ratio(F.col("true_findings"), F.col("findings"))).withColumn("recall", ratio(F.col("lines_hit"), F.col("labelled")))
 
 
-def overlap_match(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    """(left id, right id) pairs of findings that share a value in any of the array columns ``keys``."""
-    out = None
-    for k in keys:
-        a = left.select(F.col("id").alias("left_id"), F.explode(k).alias("_v"))
-        b = right.select(F.col("id").alias("right_id"), F.explode(k).alias("_v"))
-        pairs = a.join(b, "_v").select("left_id", "right_id")
-        out = pairs if out is None else out.unionByName(pairs)
-    return out.distinct()
+def misses(findings: DataFrame, hits: DataFrame, labelled: DataFrame, by: str, keep: int) -> DataFrame:
+    """Where a scorecard loses: (by, kind, n, samples) for labelled lines that no finding hits (``miss``) and findings that hit none (``false positive``), by
+    format and in total (by null). ``samples``: the first ``keep`` of each group verbatim; ranks are limited before the shuffle, so a group is never gathered.
+
+    In: findings (by, finding, evidence), hits (finding, line), labelled (by, line, raw)."""
+    missed = labelled.join(hits.select("line").distinct(), "line", "left_anti").select(by, F.lit("miss").alias("kind"), F.col("line").alias("_at"), F.col("raw").alias("text"))
+    false = findings.join(hits.select("finding").distinct(), "finding", "left_anti").select(by, F.lit("false positive").alias("kind"), F.col("finding").alias("_at"), F.col("evidence").alias("text"))
+    d = missed.unionByName(false)
+    counted = d.groupingSets([["kind", by], ["kind"]], "kind", by).agg(F.count("*").alias("n"), F.grouping(by).alias("_all"))
+    both = d.withColumn("_all", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<byte>"))).withColumn(by, F.when(F.col("_all") == 0, F.col(by)))
+    rank = F.row_number().over(W.partitionBy("_all", "kind", by).orderBy("_at", "text"))
+    some = both.withColumn("_k", rank).filter(F.col("_k") <= keep).groupBy("_all", "kind", by)
+    listed = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "text"))), lambda x: x["text"]).alias("samples"))
+    same = (counted["_all"] == listed["_all"]) & (counted["kind"] == listed["kind"]) & counted[by].eqNullSafe(listed[by])
+    return counted.join(listed, same).select(counted[by], counted["kind"], "n", "samples")
+
+
+def align(rules: DataFrame, model: DataFrame, covered: bool = True) -> DataFrame:
+    """What a model alone made of each rule finding: (id, model_id, model_severity, delta).
+
+    A model finding matches on a shared address, a shared line, or the same host where not both cite lines; the most severe one (of equals the first)
+    counts. In: rules (id, severity, ips, host, lines), model (id, severity, ips, hosts, lines). Each value keeps its best model finding before
+    the join, so that rows follow the findings' values and never their pairs. No match is MISSED, or UNKNOWN where the model gave no usable
+    output (``covered`` false)."""
+    sev = F.upper(F.coalesce("severity", F.lit("INFO")))
+    rank = lambda c: F.least(severity_rank(c), F.lit(4))
+    none = lambda c: F.coalesce(F.size(c), F.lit(0)) < 1
+    m = model.select(F.struct(rank(sev).alias("rank"), F.col("id").alias("id"), sev.alias("sev")).alias("b"), "ips", "hosts", "lines")
+    r = rules.select(F.col("id"), sev.alias("severity"), "ips", "host", "lines")
+    best = F.min("b").alias("b")
+    parts = []
+    for k in ("ips", "lines"):
+        of_value = m.select("b", F.explode(F.array_distinct(k)).alias("v")).groupBy("v").agg(best)
+        parts.append(r.select("id", F.explode(F.array_distinct(k)).alias("v")).join(of_value, "v").select("id", "b"))
+    hosts = m.select("b", none("lines").alias("bare"), F.explode(F.array_distinct("hosts")).alias("host")).groupBy("host").agg(best, F.min(F.when(F.col("bare"), F.col("b"))).alias("bare"))
+    parts.append(r.select("id", "host", none("lines").alias("free")).join(hosts, "host").select("id", F.when(F.col("free"), F.col("b")).otherwise(F.col("bare")).alias("b")))
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(best)
+    d = r.select("id", "severity").join(found, "id", "left")
+    own, given = rank(F.col("severity")), F.coalesce(F.col("b.rank"), F.lit(5))
+    delta = F.when(given > own, "under-rated").when(given < own, "over-rated").otherwise("agree")
+    if not covered:
+        delta = F.when(F.col("b").isNull(), "unknown").otherwise(delta)
+    return d.select("id", F.col("b.id").alias("model_id"), F.coalesce("b.sev", F.lit("MISSED" if covered else "UNKNOWN")).alias("model_severity"), delta.alias("delta"))
 
 
 def chunks(findings: DataFrame, line: str, keys: list[str], size: int = 25) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
 from loomwatch.operators.incidents import severity_rank
+from loomwatch.operators.ranges import range_join
 from loomwatch.operators.score import ratio
 from loomwatch.sources.envelopes import _time_value, lookup
 
@@ -103,18 +104,46 @@ def report_chips(findings: DataFrame, report: DataFrame) -> DataFrame:
 
 
 def evidence_records(findings: DataFrame, records: DataFrame) -> DataFrame:
-    """Findings with the first record of their run that equals their evidence line; null where none does."""
-    first = records.groupBy("run_id", F.col("raw").alias("evidence")).agg(F.min_by(F.struct("n", "ts"), "n").alias("_r"))
+    """Findings with the first record of their run that equals their evidence line; null where none does. Lines meet by hash and are compared."""
+    cited = findings.select("run_id", "evidence").filter("evidence is not null").distinct().withColumn("_h", F.xxhash64("evidence"))
+    near = records.select("run_id", "n", "ts", "raw", F.xxhash64("raw").alias("_h")).join(cited, ["run_id", "_h"]).filter(F.col("raw") == F.col("evidence"))
+    first = near.groupBy("run_id", "_h", "evidence").agg(F.min(F.struct("n", "ts")).alias("_r")).drop("_h")
     return findings.join(first, ["run_id", "evidence"], "left").select(*findings.columns, F.col("_r.n").alias("n"), F.col("_r.ts").alias("ts"))
 
 
 def span_steps(ranges: DataFrame, records: DataFrame) -> DataFrame:
     """First and last record of each finding's range of lines. In: ranges (run_id, finding, lo, hi)."""
-    j = ranges.join(records.select("run_id", "n", "ts"), "run_id").filter(F.col("n").between(F.col("lo"), F.col("hi")))
+    j = range_join(records.select("run_id", "n", "ts"), ranges.select("run_id", "finding", "lo", "hi"), ["run_id"], "n", "lo", "hi")
     d = j.groupBy("run_id", "finding").agg(F.min(F.struct("n", "ts")).alias("a"), F.max(F.struct("n", "ts")).alias("b"), F.count("*").alias("records"))
     return d.select("run_id", "finding", F.col("a.n").alias("first_n"), F.col("a.ts").alias("first_ts"), F.col("b.n").alias("last_n"), F.col("b.ts").alias("last_ts"), "records")
 
 
+def timelines(findings: DataFrame, records: DataFrame, burst_s: int = 60) -> DataFrame:
+    """(run_id, finding, step, n, ts, label): what ties a finding to records, in steps from 1.
+
+    A burst opens and closes with the first and last line of its range; a break-in source has its first and last mismatch record (by time, those without one
+    last, then by line); any other finding has the first record of the run that is its evidence. In: findings (run_id, finding, type, evidence, lo, hi, ip, count,
+    summary), records (run_id, n, ts, raw)."""
+    kind = F.col("type")
+    step = lambda k, n, ts, label: F.struct(F.lit(k).alias("step"), n.alias("n"), ts.alias("ts"), label.alias("label"))
+    at = records.select("run_id", "n", "ts")
+    burst = findings.filter((kind == "error_rate_spike") & F.col("lo").isNotNull())
+    ends = burst.select("run_id", "finding", "count", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("n"), "lo").join(at, ["run_id", "n"])
+    closes = F.concat(F.lit("Event "), F.coalesce(F.col("count").cast("string"), F.lit("?")), F.lit(f" closes the {burst_s}s window"))
+    opened = F.col("n") == F.col("lo")
+    ends = ends.select("run_id", "finding", F.when(opened, 1).otherwise(2).alias("step"), "n", "ts", F.when(opened, "Burst window opens").otherwise(closes).alias("label"))
+    raw = records.filter(F.col("raw").rlike(P.BREAK_IN)).select("run_id", "n", "ts", F.explode(F.array_distinct(F.regexp_extract_all("raw", F.lit(P.IOC_IP), F.lit(0)))).alias("ip"))
+    order = F.struct(F.col("ts").isNull().alias("late"), "ts", "n")
+    per = raw.groupBy("run_id", "ip").agg(F.min(order).alias("a"), F.max(order).alias("b"), F.count("*").alias("hits"))
+    per = findings.filter(kind == "possible_break_in").select("run_id", "finding", "ip").join(per, ["run_id", "ip"])
+    first = step(1, F.col("a.n"), F.col("a.ts"), F.concat(F.lit("First reverse-DNS mismatch flagged from "), F.col("ip")))
+    last = step(2, F.col("b.n"), F.col("b.ts"), F.format_string("Mismatch %d from the same source", "hits"))
+    broke = per.select("run_id", "finding", F.explode(F.when(F.col("hits") > 1, F.array(first, last)).otherwise(F.array(first))).alias("s")).select("run_id", "finding", "s.*")
+    rest = findings.filter(~kind.isin("error_rate_spike", "possible_break_in", "auth_bruteforce", "auth_bruteforce_success"))
+    one = evidence_records(rest.select("run_id", "finding", "evidence", F.substring("summary", 1, 150).alias("label")), records).filter("n is not null")
+    return ends.unionByName(broke).unionByName(one.select("run_id", "finding", F.lit(1).alias("step"), "n", "ts", "label"))
+
+
 def member_facts(incidents: DataFrame, findings: DataFrame) -> DataFrame:
     """(incident, members, loaded, note, lines): an incident's findings joined back, their lines in one order."""
     each = incidents.select("incident", F.explode_outer("finding_ids").alias("finding"))

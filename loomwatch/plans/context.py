@@ -120,12 +120,16 @@ def vulnerability_bands(spark, sf_dir):
 
 
 def finding_overlap(spark, sf_dir):
-    """Orders of even and of odd number matched through a part in equal quantity or a supplier on the same day."""
-    li = table(spark, sf_dir, "lineitem")
-    part, day = F.concat_ws("-", "l_partkey", F.col("l_quantity").cast("int")), F.concat_ws("-", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    per = li.groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(part).alias("parts"), F.collect_set(day).alias("supps"))
-    d = score.overlap_match(per.filter("id % 2 = 0"), per.filter("id % 2 = 1"), ["parts", "supps"])
-    return d.groupBy("left_id").agg(F.count("*").alias("matches"), F.sum("right_id").alias("sum_right"))
+    """Orders of even number as rule findings, of odd number as a model's: a part in equal quantity is a shared address, a supplier on one day a shared line (every third
+    customer cites lines), the customer the host."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_custkey", F.upper(F.substring("o_orderpriority", 3, 20)).alias("p"))
+    li = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("id"))
+    line = F.when(F.pmod("o_custkey", F.lit(3)) == 0, F.concat_ws("-", "l_suppkey", F.date_format("l_shipdate", "yyyy-MM-dd")))
+    sev = F.when(F.col("p") == "URGENT", "CRITICAL").when(F.col("p") == "NOT SPECIFIED", "INFO").otherwise(F.col("p"))
+    per = li.groupBy("id", F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("host"), sev.alias("severity")).agg(
+        F.collect_set(F.concat_ws("-", "l_partkey", F.col("l_quantity").cast("int"))).alias("ips"), F.collect_set(line).alias("lines")
+    )
+    return score.align(per.filter("id % 2 = 0"), per.filter("id % 2 = 1").withColumn("hosts", F.array("host")))
 
 
 def page_terms(spark, sf_dir):
@@ -207,8 +211,12 @@ WITH l AS (SELECT DISTINCT l_orderkey AS ip, 'CVE-20' || lpad(CAST(l_partkey % 2
 m AS (SELECT ip, cve, max(cvss) AS cvss FROM l GROUP BY 1, 2)
 SELECT CASE WHEN cvss >= 9 THEN 'CRITICAL' WHEN cvss >= 7 THEN 'HIGH' WHEN cvss >= 4 THEN 'MEDIUM' WHEN cvss > 0 THEN 'LOW' ELSE 'INFO' END AS band, count(*) AS n, round(max(cvss), 1) AS worst FROM m GROUP BY 1""",
     "finding_overlap": """
-WITH l AS (SELECT DISTINCT l_orderkey AS id, 'p' || l_partkey || '-' || CAST(l_quantity AS INTEGER) AS k FROM lineitem UNION SELECT l_orderkey, 's' || l_suppkey || '-' || strftime(l_shipdate, '%Y-%m-%d') FROM lineitem),
-m AS (SELECT DISTINCT a.id AS left_id, b.id AS right_id FROM l a JOIN l b ON a.k = b.k AND a.id % 2 = 0 AND b.id % 2 = 1)
-SELECT left_id, count(*) AS matches, CAST(sum(right_id) AS BIGINT) AS sum_right FROM m GROUP BY left_id""",
+WITH l AS (SELECT l_orderkey AS id, o_custkey AS c, upper(substr(o_orderpriority, 3)) AS p, 'p' || l_partkey || '-' || CAST(l_quantity AS INTEGER) AS a, 's' || l_suppkey || '-' || strftime(l_shipdate, '%Y-%m-%d') AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+o AS (SELECT id, any_value(c) AS c, CASE any_value(p) WHEN 'URGENT' THEN 'CRITICAL' WHEN 'NOT SPECIFIED' THEN 'INFO' ELSE any_value(p) END AS sev, CASE any_value(p) WHEN 'URGENT' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 3 ELSE 4 END AS r FROM l GROUP BY id),
+v AS (SELECT DISTINCT id, a AS k FROM l UNION SELECT id, b FROM l WHERE c % 3 = 0),
+m AS (SELECT DISTINCT a.id, b.id AS mid FROM v a JOIN v b ON a.k = b.k AND a.id % 2 = 0 AND b.id % 2 = 1 UNION SELECT a.id, b.id FROM o a JOIN o b ON a.c = b.c AND a.id % 2 = 0 AND b.id % 2 = 1 WHERE a.c % 3 <> 0),
+k AS (SELECT m.id, min(o.r * 1000000000000 + o.id) AS k FROM m JOIN o ON o.id = m.mid GROUP BY 1)
+SELECT o.id, x.id AS model_id, coalesce(x.sev, 'MISSED') AS model_severity, CASE WHEN coalesce(x.r, 5) > o.r THEN 'under-rated' WHEN x.r < o.r THEN 'over-rated' ELSE 'agree' END AS delta
+FROM o LEFT JOIN k USING (id) LEFT JOIN o x ON x.id = k.k % 1000000000000 WHERE o.id % 2 = 0""",
     "page_terms": "SELECT term, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(html), '[a-z0-9]+')) AS term FROM pages) GROUP BY term ORDER BY n DESC, term LIMIT 25",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomwatch.functions import patterns as P
-from loomwatch.operators import canonical as C, enrich, incidents as I, infra, intel, investigate, ledger, redact, rollups, rules, runbooks, score, triage
+from loomwatch.operators import canonical as C, containment, enrich, incidents as I, infra, intel, investigate, ledger, redact, rollups, rules, runbooks, score, triage
 from loomwatch.plans.console import _F, _e
 from loomwatch.plans.ingest import _SEC, _list, _rx
 from loomwatch.session import table
@@ -107,12 +107,22 @@ def stix_chain(spark, sf_dir):
 
 
 def pattern_members(spark, sf_dir):
-    """Observed values that are a quoted literal of an indicator's pattern."""
-    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), F.pmod("s_suppkey", F.lit(40)).cast("string"), F.lit(".net")).alias("value"))
+    """Observed values that lie anywhere inside an indicator's pattern: h1 is inside 'h12.net' too."""
+    s = table(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), F.pmod("s_suppkey", F.lit(40)).cast("string")).alias("value"))
     d = intel.inside_patterns(s, _stix(spark, sf_dir).filter("type = 'indicator'"))
     return d.groupBy("value").agg(F.count("*").alias("indicators"))
 
 
+def contained_terms(spark, sf_dir):
+    """First words of benchmark passages, eight letters and more, wherever they stand in documents: more and less than can be sent as one automaton."""
+    docs = table(spark, sf_dir, "documents")
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0)), 1, 3)).alias("word"))
+    for sent, name in ((containment.SENT_CHARS, "sent"), (0, "met")):
+        d = containment.contained(docs, words, "doc_id", "text", "word", sent).groupBy("doc_id").agg(F.count("*").alias(name))
+        out = d if name == "sent" else out.join(d, "doc_id", "full_outer")
+    return out
+
+
 def restated_findings(spark, sf_dir):
     """Model findings (large quantities) that share no part with a rule's finding (flag R) of the order."""
     li = table(spark, sf_dir, "lineitem")
@@ -219,7 +229,7 @@ def infrastructure_events(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    universal_formats, accepted_native, json_lines, auth_csv, log360_csv, windows_text, rule_predicates, stix_chain, pattern_members, restated_findings, nse_verdicts,
+    universal_formats, accepted_native, json_lines, auth_csv, log360_csv, windows_text, rule_predicates, stix_chain, pattern_members, contained_terms, restated_findings, nse_verdicts,
     dropped_true, opinion_agreement, shared_entities, run_headers, runbook_scan, audit_index, severity_order, case_timeline, severity_mismatches, incident_ids, remapped_tokens,
     infrastructure_events,
 )}
@@ -257,7 +267,10 @@ FROM {_F} WHERE n % 11 <> 0 GROUP BY 1""",
 WITH s AS (SELECT DISTINCT '10.9.' || (user_id % 6) || '.' || (event_id % 9) AS value FROM events),
 m AS (SELECT value, s_suppkey, CASE WHEN s_suppkey % 4 <> 0 AND s_nationkey % 6 <> 0 THEN 'T' || s_nationkey END AS t FROM s JOIN supplier ON value = '10.9.' || (s_suppkey % 5) || '.' || (s_suppkey % 7))
 SELECT value, count(*) AS indicators, coalesce(string_agg(DISTINCT t, ',' ORDER BY t), '') AS techniques FROM m GROUP BY value""",
-    "pattern_members": "SELECT 'h' || s_suppkey || '.net' AS value, count(*) AS indicators FROM supplier WHERE s_suppkey IN (SELECT s_suppkey % 40 FROM supplier) GROUP BY 1",
+    "pattern_members": """SELECT 'h' || v AS value, count(*) AS indicators FROM (SELECT DISTINCT s_suppkey % 40 AS v FROM supplier), (SELECT DISTINCT s_suppkey AS k FROM supplier) WHERE contains('h' || k || '.net', 'h' || v) GROUP BY 1""",
+    "contained_terms": """
+WITH w AS (SELECT DISTINCT unnest(list_slice(regexp_extract_all(text, '[A-Za-z]{8,}'), 1, 3)) AS word FROM benchmark)
+SELECT doc_id, count(*) AS sent, count(*) AS met FROM documents JOIN w ON contains(text, word) GROUP BY doc_id""",
     "restated_findings": """
 WITH d AS (SELECT DISTINCT l_orderkey, l_partkey % 5 AS p FROM lineitem WHERE l_returnflag = 'R'), h AS (SELECT DISTINCT l.l_orderkey, l_linenumber FROM lineitem l JOIN d ON d.l_orderkey = l.l_orderkey AND p = l_partkey % 5 WHERE l_quantity > 30)
 SELECT count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS sum_run FROM lineitem l WHERE l_quantity > 30 AND NOT EXISTS (SELECT 1 FROM h WHERE h.l_orderkey = l.l_orderkey AND h.l_linenumber = l.l_linenumber)""",

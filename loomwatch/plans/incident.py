@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
-from loomwatch.operators import incidents as I, investigate, ledger, redact, retrieval, rollups, rules, runbooks, score
+from loomwatch.operators import incidents as I, investigate, ledger, lifecycle, redact, retrieval, rollups, rules, runbooks, score
 from loomwatch.session import table
 from loomwatch.sources import sinks
 from loomwatch.sources.envelopes import lookup
@@ -123,11 +123,26 @@ def set_score(spark, sf_dir):
     return score.set_score(hit, want, ["doc_id", "lang"], ["lang"])
 
 
-def scorecard(spark, sf_dir):
-    """Rules cite ranges of lines (order lines); labelled lines are those returned."""
+def _cited(spark, sf_dir):
+    """Rules cite ranges of lines (order lines) and quote one more verbatim; labelled lines are those returned."""
     li = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    f = li.filter("l_quantity > 45").select(F.col("l_linestatus").alias("rule_id"), F.col("line").alias("finding"), F.col("line").alias("lo"), (F.col("line") + 2).alias("hi"))
-    return score.scorecard(score.cited_lines(f, "lo", "hi"), li.filter("l_returnflag = 'R'").select("line"))
+    quote = F.format_string("seen: <order line %d> and more", F.col("line") + 5)
+    f = li.filter("l_quantity > 45").select(
+        F.col("l_linestatus").alias("rule_id"), F.col("l_linestatus").alias("format"), F.col("line").alias("finding"), F.col("line").alias("lo"), (F.col("line") + 2).alias("hi"), quote.alias("evidence")
+    )
+    return f, li.filter("l_returnflag = 'R'").select(F.col("l_linestatus").alias("format"), "line", F.format_string(" <order line %d>", "line").alias("raw"))
+
+
+def scorecard(spark, sf_dir):
+    f, lab = _cited(spark, sf_dir)
+    return score.scorecard(f, score.cited_hits(f, lab), lab)
+
+
+def score_misses(spark, sf_dir):
+    """What the scorecard's rules missed and what they flagged in vain, by line status and in total, the first three verbatim."""
+    f, lab = _cited(spark, sf_dir)
+    d = score.misses(f.select("format", "finding", "evidence").distinct(), score.cited_hits(f, lab), lab.distinct(), "format", 3)
+    return d.select("format", "kind", "n", F.array_join("samples", "|").alias("samples"))
 
 
 def chunk_findings(spark, sf_dir):
@@ -149,7 +164,7 @@ def lifecycle_fold(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     to = lookup({"click": "acknowledged", "purchase": "resolved", "error": "reopened", "signup": "open"}, F.col("event_type"))
     t = e.select(F.col("user_id").alias("incident"), F.col("event_id").alias("seq"), to.alias("to"), F.unix_seconds("ts").alias("at")).filter("to is not null")
-    return I.lifecycle(t)
+    return lifecycle.lifecycle(t)
 
 
 def runbook_eligibility(spark, sf_dir):
@@ -164,9 +179,23 @@ def runbook_eligibility(spark, sf_dir):
     return runbooks.eligibility(per, books).select("incident", "runbook", F.array_join("missing", ",").alias("missing"), "eligible")
 
 
+def _attacked(spark, sf_dir):
+    """Conversations as lines of an attack: each turn ends with addresses, one of them in a user name's place, and names."""
+    tail = F.format_string(" from 10.0.%d.%d by fe80:0:0:%d:a:b:c:d Failed password for invalid user 10.0.%d.9 port 22 user=%s", F.pmod("conv_id", F.lit(200)), "turn", "turn", F.pmod("conv_id", F.lit(7)), "role")
+    return table(spark, sf_dir, "conversations").withColumn("text", F.concat("text", tail))
+
+
 def redaction(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").withColumn("text", F.concat(F.col("text"), F.format_string(" from 10.0.%d.%d user=%s", F.pmod("conv_id", F.lit(200)), "turn", "role")))
-    return redact.redact(c, "conv_id", "turn", "text").select("conv_id", "turn", F.sha2("redacted", 256).alias("redacted_sha256"))
+    return redact.redact(_attacked(spark, sf_dir), "conv_id", "turn", "text").select("conv_id", "turn", "redacted")
+
+
+def redaction_known(spark, sf_dir):
+    """All events of a type are a scope; their hosts and some users are known by name, and masked wherever they stand."""
+    e = table(spark, sf_dir, "events")
+    line = F.format_string("db-%d.example app-%d started by svc_%d; app-%d.b see user=%d", F.pmod("user_id", F.lit(50)), F.pmod("event_id", F.lit(90)), F.pmod("event_id", F.lit(30)), F.pmod("event_id", F.lit(90)), "user_id")
+    lines = e.select(F.col("event_type").alias("run_id"), F.col("event_id").alias("n"), line.alias("text"), F.format_string("db-%d.example", F.pmod("user_id", F.lit(50))).alias("host"))
+    found = e.select(F.col("event_type").alias("run_id"), F.format_string("app-%d", F.pmod("event_id", F.lit(90))).alias("host"), F.lit(True).alias("host_derived"), F.format_string("svc_%d", F.pmod("event_id", F.lit(30))).alias("user"), F.lit(None).cast("array<string>").alias("usernames"))
+    return redact.redact(lines, "run_id", "n", "text", redact.LINE_CAP, redact.seeds(found, lines)).select("run_id", "n", "redacted")
 
 
 def redaction_tokens(spark, sf_dir):
@@ -199,11 +228,42 @@ def event_hash_dedupe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     error_burst, incident_sessions, incident_priority, attacker_phase, severity_donut, alerts_per_hour, runs_summary, run_delta, attempt_series, asset_risk,
-    mean_time, technique_frequency, store_query, bm25, precedents, set_score, scorecard, chunk_findings, hash_chain, lifecycle_fold, runbook_eligibility,
-    redaction, redaction_tokens, milestones, event_findings, event_hash_dedupe,
+    mean_time, technique_frequency, store_query, bm25, precedents, set_score, scorecard, score_misses, chunk_findings, hash_chain, lifecycle_fold, runbook_eligibility,
+    redaction, redaction_known, redaction_tokens, milestones, event_findings, event_hash_dedupe,
 )}
 
+_CITED = """l AS (SELECT *, l_orderkey * 10 + l_linenumber AS line FROM lineitem), lab AS (SELECT DISTINCT line FROM l WHERE l_returnflag = 'R'),
+c AS (SELECT l_linestatus AS rule_id, line AS finding, unnest([line, line + 1, line + 2, line + 5]) AS line FROM l WHERE l_quantity > 45),
+j AS (SELECT c.*, lab.line IS NOT NULL AS hit FROM c LEFT JOIN lab USING (line)),"""
+
+
+def _mark(text: str) -> str:
+    """Marks of ``text`` as redaction sets them, without look-around."""
+    put = lambda kind, k: f"'{k[0]}' || chr(1) || '{kind}{k[1]}' || chr(2) || '{k[2]}'"
+    out = f"regexp_replace({text}, '[\\x00-\\x08\\x0B-\\x1F\\x7F]', '', 'g')"
+    for rx in (P.IOC_IP, P.IPV6):
+        out = f"regexp_replace({out}, '({rx})', {put('I', ('', chr(92) + '1', ''))}, 'g')"
+    for rx in (r"(user '')([^''\x01\x02]+)('')", r"(for '')([^''\x01\x02]+)('')", r"(\b(?:Failed|Accepted)\s+\S+\s+for\s+(?:invalid user\s+)?)([A-Za-z0-9._$-]+)()",
+               r"(\bfor user\s+)([A-Za-z0-9._$-]+)()", r"(\buser=)([A-Za-z0-9._$-]+)()", r"(\binvalid user\s+)([A-Za-z0-9._$-]+)()"):
+        out = f"regexp_replace({out}, '{rx}', {put('U', (chr(92) + '1', chr(92) + '2', chr(92) + '3'))}, 'g')"
+    return out
+
+
+def _redacted(marks: str, scope: str, order: str) -> str:
+    """SQL of the redacted texts of ``marks`` (scope, order, m)."""
+    return f"""p AS (SELECT {scope}, {order}, unnest(string_split_regex(m, '[\\x01\\x02]')) AS p, unnest(range(len(string_split_regex(m, '[\\x01\\x02]')))) AS i FROM {marks}),
+v AS (SELECT {scope}, p, min({order} * 1000000 + i) AS k FROM p WHERE i % 2 = 1 GROUP BY 1, 2),
+t AS (SELECT {scope}, p, CASE p[1] WHEN 'I' THEN '[IP-' WHEN 'U' THEN '[USER-' ELSE '[HOST-' END || row_number() OVER (PARTITION BY {scope}, p[1] ORDER BY k, p) || ']' AS token FROM v)
+SELECT p.{scope}, p.{order}, string_agg(CASE WHEN i % 2 = 1 THEN token ELSE p.p END, '' ORDER BY i) AS redacted FROM p LEFT JOIN t ON t.{scope} = p.{scope} AND t.p = p.p AND i % 2 = 1 GROUP BY 1, 2"""
+
+
+_TURN = "text || ' from 10.0.' || (conv_id % 200) || '.' || turn || ' by fe80:0:0:' || turn || ':a:b:c:d Failed password for invalid user 10.0.' || (conv_id % 7) || '.9 port 22 user=' || role"
+
 ORACLES = {
+    "redaction": f"WITH m AS (SELECT conv_id, turn, {_mark(_TURN)} AS m FROM conversations), {_redacted('m', 'conv_id', 'turn')}",
+    "redaction_known": f"""
+WITH m AS (SELECT event_type AS run_id, event_id AS n, chr(1) || 'Hdb-' || (user_id % 50) || '.example' || chr(2) || ' ' || chr(1) || 'Happ-' || (event_id % 90) || chr(2) || ' started by ' || chr(1) || 'Usvc_' || (event_id % 30) || chr(2)
+  || '; ' || chr(1) || 'Happ-' || (event_id % 90) || chr(2) || '.b see user=' || chr(1) || 'U' || user_id || chr(2) AS m FROM events), {_redacted('m', 'run_id', 'n')}""",
     "error_burst": """
 WITH RECURSIVE e AS (SELECT event_id AS n, epoch_us(ts) AS us FROM events WHERE event_type = 'error'),
 c AS (SELECT n, us, (SELECT count(*) FROM e b WHERE b.us BETWEEN a.us AND a.us + 1800000000 AND (b.us > a.us OR b.n >= a.n)) AS c,
@@ -279,12 +339,17 @@ WITH x AS (SELECT lang, regexp_matches(text, '(?i)\b(idiot|moron|pathetic|worthl
 g AS (SELECT lang, count(*) FILTER (WHERE h AND w) AS tp, count(*) FILTER (WHERE h AND NOT w) AS fp, count(*) FILTER (WHERE w AND NOT h) AS fn FROM x WHERE h OR w GROUP BY lang),
 r AS (SELECT *, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall FROM g)
 SELECT *, round(2 * precision * recall / nullif(precision + recall, 0), 4) AS f1 FROM r""",
-    "scorecard": """
-WITH l AS (SELECT *, l_orderkey * 10 + l_linenumber AS line FROM lineitem), lab AS (SELECT DISTINCT line FROM l WHERE l_returnflag = 'R'),
-c AS (SELECT l_linestatus AS rule_id, line AS finding, unnest([line, line + 1, line + 2]) AS line FROM l WHERE l_quantity > 45),
-j AS (SELECT c.*, lab.line IS NOT NULL AS hit FROM c LEFT JOIN lab USING (line)),
+    "scorecard": f"""
+WITH {_CITED}
 g AS (SELECT rule_id, count(DISTINCT finding) AS findings, count(DISTINCT finding) FILTER (WHERE hit) AS true_findings, count(DISTINCT line) FILTER (WHERE hit) AS lines_hit FROM j GROUP BY ROLLUP (rule_id))
 SELECT *, (SELECT count(*) FROM lab) AS labelled, round(true_findings / nullif(findings, 0), 4) AS precision, round(lines_hit / nullif((SELECT count(*) FROM lab), 0), 4) AS recall FROM g""",
+    "score_misses": f"""
+WITH {_CITED}
+x AS (SELECT format, 'miss' AS kind, line AS pos, '<order line ' || line || '>' AS text FROM (SELECT DISTINCT l_linestatus AS format, line FROM l WHERE l_returnflag = 'R') WHERE line NOT IN (SELECT line FROM j WHERE hit)
+ UNION ALL SELECT rule_id, 'false positive', finding, 'seen: <order line ' || (finding + 5) || '> and more' FROM (SELECT DISTINCT rule_id, finding FROM c) WHERE finding NOT IN (SELECT finding FROM j WHERE hit)),
+y AS (SELECT format, kind, pos, text FROM x UNION ALL SELECT NULL, kind, pos, text FROM x),
+k AS (SELECT *, row_number() OVER (PARTITION BY format, kind ORDER BY pos, text) AS k FROM y)
+SELECT format, kind, count(*) AS n, string_agg(CASE WHEN kind = 'miss' THEN ' ' ELSE '' END || text, '|' ORDER BY k) FILTER (WHERE k <= 3) AS samples FROM k GROUP BY 1, 2""",
     "chunk_findings": """
 SELECT l_returnflag, CAST(floor((l_partkey - 1) / 25) AS BIGINT) AS chunk, count(*) AS findings, min(l_partkey) AS first_line, max(l_partkey) AS last_line FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2""",
     "hash_chain": """

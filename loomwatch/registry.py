@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomwatch.plans import console, context, detection, enrichment, incident, ingest, stream
+from loomwatch.plans import console, context, detection, enrichment, evidence, incident, ingest, stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for module in (detection, incident, ingest, context, console, enrichment, stream):
+for module in (detection, incident, ingest, context, console, enrichment, evidence, stream):
     QUERIES |= module.QUERIES
     ORACLES |= module.ORACLES

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from loomwatch.operators import incidents as I, intel, ledger, redact, retrieval, rollups, score, sigma
+from loomwatch.operators import incidents as I, intel, ledger, lifecycle, redact, retrieval, rollups, score, sigma
 
 
 def test_sigma_conditions(spark):
@@ -24,7 +24,7 @@ def test_sessions_and_rollup(spark):
 
 def test_lifecycle_rejects_and_reopens(spark):
     t = [(1, 1, "acknowledged", 10), (1, 2, "open", 11), (1, 3, "resolved", 12), (1, 4, "acknowledged", 13), (1, 5, "reopened", 14), (2, 1, "reopened", 1)]
-    r = {x.incident: x for x in I.lifecycle(spark.createDataFrame(t, "incident int, seq int, to string, at long")).collect()}
+    r = {x.incident: x for x in lifecycle.lifecycle(spark.createDataFrame(t, "incident int, seq int, to string, at long")).collect()}
     assert (r[1].state, r[1].accepted, r[1].rejected, r[1].acknowledged_at, r[1].resolved_at) == ("reopened", 4, 1, None, None)
     assert (r[2].state, r[2].rejected) == ("open", 1)
 
@@ -97,3 +97,24 @@ def test_bm25_prefers_the_rare_term(spark):
     assert [x.doc for x in r] == [1, 3] and r[0].coverage == 1.0
     t = spark.createDataFrame([(1, "a", "x"), (1, "b", "y"), (2, "a", "x"), (3, "b", "y"), (3, "a", "x")], "id int, dim string, value string")
     assert [(r.other, r.overlap) for r in retrieval.precedents(t).filter("id = 1").orderBy("rank").collect()] == [(3, 2), (2, 1)]
+
+
+def test_alignment_takes_the_most_severe(spark):
+    r = [(1, "HIGH", ["a"], "h", [5]), (2, "low", [], "h", []), (3, "CRITICAL", ["z"], None, None), (4, "HIGH", [], "h", [9]), (5, "MEDIUM", ["a"], None, None)]
+    m = [(10, "MEDIUM", ["a"], ["h"], []), (11, "CRITICAL", [], ["x"], [5]), (12, "HIGH", [], ["h"], [7]), (13, "MEDIUM", ["a"], None, None)]
+    rules = spark.createDataFrame(r, "id int, severity string, ips array<string>, host string, lines array<long>")
+    model = spark.createDataFrame(m, "id int, severity string, ips array<string>, hosts array<string>, lines array<long>")
+    got = {x.id: tuple(x)[1:] for x in score.align(rules, model).collect()}
+    assert got == {1: (11, "CRITICAL", "over-rated"), 2: (12, "HIGH", "over-rated"), 3: (None, "MISSED", "under-rated"), 4: (10, "MEDIUM", "under-rated"), 5: (10, "MEDIUM", "agree")}
+    assert {x.id: x.delta for x in score.align(rules, model.filter("false"), covered=False).collect()} == dict.fromkeys(range(1, 6), "unknown")
+
+
+def test_citations_by_range_and_verbatim(spark):
+    f = spark.createDataFrame([("r", "k", 1, 3, 5, None), ("r", "k", 2, None, None, "saw <bad line> twice"), ("q", "j", 3, 9, 8, "x")], "rule_id string, format string, finding int, lo long, hi long, evidence string")
+    lab = spark.createDataFrame([("k", 4, "four"), ("k", 8, " <bad line>\n"), ("j", 9, "  "), ("j", 10, "x y")], "format string, line long, raw string")
+    hits = score.cited_hits(f, lab)
+    assert sorted(tuple(r) for r in hits.collect()) == [(1, 4), (2, 8)]
+    card = {r.rule_id: (r.findings, r.true_findings, r.lines_hit, r.labelled, r.precision, r.recall) for r in score.scorecard(f, hits, lab).collect()}
+    assert card == {"r": (2, 2, 2, 4, 1.0, 0.5), "q": (1, 0, 0, 4, 0.0, 0.0), None: (3, 2, 2, 4, 0.6667, 0.5)}
+    lost = sorted((r.format or "", r.kind, r.n, r.samples) for r in score.misses(f, hits, lab, "format", 1).collect())
+    assert lost == [("", "false positive", 1, ["x"]), ("", "miss", 2, ["  "]), ("j", "false positive", 1, ["x"]), ("j", "miss", 2, ["  "])]
