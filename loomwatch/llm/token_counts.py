@@ -8,8 +8,8 @@ remembered.
 
 A text is a run of chunks between ASCII white space, which gives no tokens; each distinct chunk is worked out once in a worker and held as the changes of
 the count from one code point to the next. The table of a text is the concatenation of its chunks' changes, so that ``count_at`` and
-``longest_within`` answer for any prefix without encoding. Each chunk's last count is held against the tokenizer's own when it is learnt; a chunk on
-which they differ is counted prefix by prefix with the tokenizer.
+``longest_within`` answer for any prefix without encoding. The last count of a chunk that is not plain ASCII is held against the tokenizer's own when it is
+learnt; a chunk on which they differ (a letter of another Unicode version) is counted prefix by prefix with the tokenizer.
 
 A prefix counts as the tokenizer counts that prefix as a text: special strings are one token once they are complete, letters with combining marks
 are composed as far as the prefix goes, contractions end where they end in the prefix.
@@ -39,7 +39,6 @@ _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\
 #: Fixed: the words that the vocabulary's own pre-tokenizer cuts.
 WORD = regex.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[\\p{{L}}]+|[\\p{{N}}]|[^{_SPACE}\\p{{L}}\\p{{N}}]+")
 _LETTER = regex.compile("\\p{L}")
-_BLANK = str.maketrans("\t\n\x0b\x0c\r", "     ")
 
 
 def byte_letters() -> list[str]:
@@ -260,7 +259,7 @@ class PrefixCounter:
         if any(a != b and a in b for a in special for b in special) or any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in spec["added_tokens"]):
             raise ValueError("special strings that lie in one another, or stretch, are not supported")
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.known, self.met = Memo(memo), Memo(memo)  # chunks as they stand; lower-case words
+        self.known, self.met = Memo(memo), Memo(2 * memo)  # chunks as they stand; lower-case words
 
     def own(self, text: str) -> int:
         return len(self.tk.encode(text, add_special_tokens=False).ids)
@@ -370,25 +369,37 @@ class PrefixCounter:
                 known[c] = met[low] + met[mark] if mark else met[low]
             except KeyError:
                 rest.append(c)
+        slow = []
         for c in rest:
+            if c.isascii() and "'" not in c and "<" not in c:  # its words lie side by side, and none depends on where it is cut
+                try:
+                    known[c] = b"".join([met[w] for w in WORD.findall(c.lower())])
+                    continue
+                except KeyError:
+                    pass
+            slow.append(c)
+        for c in slow:
             try:
                 steps = np.diff(self.chunk(c))
             except KeyError:  # a letter that the vocabulary does not have
                 steps = np.full(len(c), -1)
             fits = not len(steps) or -128 <= steps.min() and steps.max() <= 127
             known[c] = steps.astype(np.int8).tobytes() if fits else tuple(steps.tolist())
+        # what is not plain ASCII is held against the tokenizer, many chunks at a time; white space parts them
+        doubtful = [c for c in chunks if not c.isascii()] + [c for c in slow if c.isascii()]
+        lots = [doubtful[s : s + lot] for s in range(0, len(doubtful), lot)]
         total = lambda c: int(np.frombuffer(known[c], np.int8).sum(dtype=np.int64)) if isinstance(known[c], bytes) else sum(known[c])
-        lots = [chunks[s : s + lot] for s in range(0, len(chunks), lot)]
         for some, e in zip(lots, self.tk.encode_batch_fast([" ".join(x) for x in lots], add_special_tokens=False)):
-            if int(np.frombuffer(b"".join([x for c in some if isinstance(x := known[c], bytes)]), np.int8).sum(dtype=np.int64)) == len(e.ids) and all(isinstance(known[c], bytes) for c in some):
-                continue
-            for c in some:
-                if total(c) != self.own(c):
-                    known[c] = tuple(np.diff([self.own(c[:k]) for k in range(len(c) + 1)]).tolist())
+            if sum(map(total, some)) != len(e.ids):
+                for c in some:
+                    if total(c) != self.own(c):
+                        known[c] = tuple(np.diff([self.own(c[:k]) for k in range(len(c) + 1)]).tolist())
 
     def steps(self, texts: list[str]) -> Iterator[np.ndarray]:
         """For each text the change of the count at each code point."""
-        cut = [t.translate(_BLANK).split(" ") for t in texts]
+        for blank in "\n\t\x0b\x0c\r":
+            texts = [t.replace(blank, " ") for t in texts]
+        cut = [t.split(" ") for t in texts]
         self.known.turn()
         new = self.known.unknown(set().union(*cut))
         if new:
