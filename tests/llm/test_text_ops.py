@@ -358,3 +358,8 @@ def test_classifier_learns_and_defines_edges(spark):
     assert quality.score_documents(docs(spark, []), labels).collect() == []
     none = quality.score_documents(docs(spark, ["a"]), labels.filter("false")).first()
     assert none.score == 0.5
+
+
+def test_tiny_texts_share_sequences():
+    assert packing.plan_bins({1: 4096})[1] == 1
+    assert packing.plan_bins({1: 40_960, 3000: 10})[1] == 18  # 40960 + 30000 tokens in sequences of 4096
