@@ -2,28 +2,40 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
-from loomwatch.sources.envelopes import lookup
-
-
-def precedents(tokens: DataFrame, queries: DataFrame | None = None, limit: int = 10, dims: list[str] | None = None) -> DataFrame:
-    """(id, other, overlap, dimensions): items that share at least one (dim, value) token, best first, at most ``limit``.
-
-    In: (id, dim, value). Scored through the shared tokens only, as an equi-join; a value in very many items is a skewed key
-    that adaptive execution splits. ``queries`` (id) bounds the left side. ``dims`` names the dimensions (62 at most): they are then
-    counted as bits, in the same partial aggregation as the overlap."""
-    t = tokens.distinct()
-    left = t.join(queries, "id", "left_semi") if queries is not None else t
-    other = t.withColumnRenamed("id", "other")
-    both = left.join(other, ["dim", "value"]).filter(F.col("id") != F.col("other"))
-    if dims:
-        bit = lookup({d: 1 << k for k, d in enumerate(dims)}, F.col("dim")).cast("long")
-        seen = F.bit_count(F.bit_or(bit)).cast("long")
+
+
+#: Tokens of an item up to which its sets of tokens are looked up (2^n - 1 of them) instead of every item that shares one.
+FEW_TOKENS = 6
+
+
+def precedents(tokens: DataFrame, queries: DataFrame | None = None, limit: int = 10, few: int = FEW_TOKENS) -> DataFrame:
+    """(id, other, overlap, dimensions, rank): items that share at least one (dim, value) token, best first, at most ``limit``: by shared tokens, shared
+    dimensions, then id.
+
+    In: (id, dim, value); null values are no tokens. ``queries`` (id) bounds the left side. Items of at most ``few`` tokens are looked up by their sets of tokens:
+    each set keeps its ``limit + 1`` smallest ids, limited before the shuffle, so a value that half of all items hold costs a query no more than any other. This
+    loses nothing: an item that is not among a set's smallest ids has ``limit`` others before it that share the set, or more, and have smaller ids. Where
+    some item has more tokens, all items that share a token are met."""
+    t = tokens.filter("dim is not null and value is not null").select("id", "dim", F.col("value").cast("string").alias("value")).distinct()
+    most = t.groupBy("id").agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 0
+    if most > few:
+        left = t.join(queries, "id", "left_semi") if queries is not None else t
+        both = left.join(t.withColumnRenamed("id", "other"), ["dim", "value"]).filter(F.col("id") != F.col("other"))
+        scored = both.groupBy("id", "other").agg(F.struct(F.count("*").alias("overlap"), F.count_distinct("dim").alias("dimensions")).alias("s"))
     else:
-        seen = F.count_distinct("dim")
-    scored = both.groupBy("id", "other").agg(F.count("*").alias("overlap"), seen.alias("dimensions"))
+        own = t.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("t"))
+        chosen = F.transform(F.expr("sequence(1, shiftleft(1, size(t)) - 1)"), lambda m: F.filter("t", lambda x, k: F.getbit(m, k) == 1))
+        sets = own.select("id", F.explode(chosen).alias("k"))
+        ids = F.row_number().over(W.partitionBy("k").orderBy("id"))
+        smallest = sets.withColumn("_k", ids).filter(F.col("_k") <= limit + 1).select("k", F.col("id").alias("other"))
+        asked = sets.join(queries, "id", "left_semi") if queries is not None else sets
+        share = F.struct(F.size("k").cast("long").alias("overlap"), F.size(F.array_distinct(F.transform("k", lambda x: x["dim"]))).cast("long").alias("dimensions"))
+        scored = asked.join(smallest, "k").filter(F.col("id") != F.col("other")).groupBy("id", "other").agg(F.max(share).alias("s"))
+    scored = scored.select("id", "other", "s.overlap", "s.dimensions")
     k = F.row_number().over(W.partitionBy("id").orderBy(F.desc("overlap"), F.desc("dimensions"), "other"))
     return scored.withColumn("rank", k).filter(F.col("rank") <= limit)
 
@@ -41,28 +53,70 @@ def words(rows: DataFrame, ident: str, text: str) -> DataFrame:
     return rows.select(F.col(ident).alias("id"), F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("term"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k1: float = P.BM25_K1, b: float = P.BM25_B) -> DataFrame:
-    """(query, doc, score, coverage). In: docs (id, words), queries (id, term), a row for each occurrence; repeated query terms
-    count again. Lengths are array sizes; only words that a query asks for leave the scan. Corpus totals are one row; document
-    frequencies are grouped, never collected."""
+def _postings(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Asked terms (query, term, qtf), postings of asked terms (term, id, part) and what every posting of a term is multiplied by (term, df, weight).
+
+    ``part`` lies between 0 and k1 + 1. Only words that a query asks for leave the scan."""
     size = docs.select("id", F.size("words").alias("len")).filter("len > 0")
-    corpus = size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl"))
+    corpus = F.broadcast(size.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")))  # one row
     q = queries.groupBy(F.col("id").alias("query"), "term").agg(F.count("*").alias("qtf"))
     wanted = q.select("term").distinct()
     if wanted.count() <= SENT_TERMS:
         wanted = F.broadcast(wanted)
     tf = docs.select("id", F.size("words").alias("len"), F.explode("words").alias("term")).join(wanted, "term", "left_semi")
     tf = tf.groupBy("id", "len", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    asked = q.groupBy("query").agg(F.count("*").alias("terms"))
-    hit = q.join(df, "term").join(tf, "term").crossJoin(F.broadcast(corpus))  # one row
+    norm = F.col("tf") + P.BM25_K1 * (1 - P.BM25_B + P.BM25_B * F.col("len") / F.col("avgdl"))
+    tf = tf.crossJoin(corpus).select("term", "id", "n", (F.col("tf") * (P.BM25_K1 + 1) / norm).alias("part"))
+    tf = tf.persist(StorageLevel.MEMORY_AND_DISK)  # read by each pass; only postings that are asked for
+    df = tf.groupBy("term").agg(F.count("*").alias("df"), F.first("n").alias("n"), F.max("part").alias("most"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl"))
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / norm
-    scored = hit.groupBy("query", F.col("id").alias("doc")).agg(F.sum(part).alias("score"), F.count("*").alias("matched"))
+    return q, tf.drop("n"), df.select("term", "df", idf.alias("weight"), "most")
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query, doc, score, coverage) of every document that holds a term of a query. In: docs (id, words), queries (id, term), a row for each occurrence;
+    repeated query terms count again. Lengths are array sizes. Corpus totals are one row; document frequencies are grouped, never collected."""
+    q, tf, df = _postings(docs, queries)
+    hit = q.join(df, "term").join(tf, "term")
+    asked = q.groupBy("query").agg(F.count("*").alias("terms"))
+    scored = hit.groupBy("query", F.col("id").alias("doc")).agg(F.sum(F.col("qtf") * F.col("weight") * F.col("part")).alias("score"), F.count("*").alias("matched"))
     return scored.join(asked, "query").select("query", "doc", "score", (F.col("matched") / F.col("terms")).alias("coverage"))
 
 
+def bm25_best(docs: DataFrame, queries: DataFrame, probe: int = 2_000) -> DataFrame:
+    """What ``bm25`` gives, for the documents that can be a query's best (and some others): the best of each query is always among them, with its whole score.
+
+    A first pass scores each query by its rarest terms alone, as many as have ``probe`` postings together; the best score found is a bound that the
+    query's best document reaches. Terms whose greatest possible shares do not add up to the bound cannot bring a document there by themselves: their postings, those of the
+    frequent words, are not met, only asked for documents that the other terms have found."""
+    q, tf, df = _postings(docs, queries)
+    q = q.join(df, "term").withColumn("share", F.col("qtf") * F.col("weight")).withColumn("top", F.col("share") * F.col("most"))
+    by_df = W.partitionBy("query").orderBy("df", "term")  # one row for each word of a query
+    rare = q.withColumn("_sum", F.sum("df").over(by_df)).withColumn("_k", F.row_number().over(by_df)).filter((F.col("_k") == 1) | (F.col("_sum") <= probe))
+    first = rare.join(tf, "term").groupBy("query", "id").agg(F.sum(F.col("share") * F.col("part")).alias("s")).groupBy("query").agg(F.max("s").alias("bound"))
+    low = F.sum("top").over(W.partitionBy("query").orderBy("top", "term").rowsBetween(W.unboundedPreceding, 0))
+    q = q.withColumn("_low", low).join(first, "query").withColumn("weak", F.col("_low") < F.col("bound") * (1 - 1e-9) - 1e-9)
+    strong = q.filter(~F.col("weak")).join(tf, "term").groupBy("query", "id").agg(F.sum(F.col("share") * F.col("part")).alias("s"), F.count("*").alias("m"), F.first("bound").alias("bound"))
+    rest = q.groupBy("query").agg(F.coalesce(F.max(F.when(F.col("weak"), F.col("_low"))), F.lit(0.0)).alias("rest"))
+    found = strong.join(rest, "query").filter(F.col("s") + F.col("rest") >= F.col("bound") * (1 - 1e-9) - 1e-9)
+    more = found.select("query", "id").join(q.filter("weak").select("query", "term", "share"), "query").join(tf, ["id", "term"])
+    more = more.select("query", "id", (F.col("share") * F.col("part")).alias("s"), F.lit(1).cast("long").alias("m"))
+    scored = found.select("query", "id", "s", "m").unionByName(more).groupBy("query", F.col("id").alias("doc")).agg(F.sum("s").alias("score"), F.sum("m").alias("matched"))
+    asked = queries.groupBy(F.col("id").alias("query")).agg(F.count_distinct("term").alias("terms"))
+    return scored.join(asked, "query").select("query", "doc", "score", (F.col("matched") / F.col("terms")).alias("coverage"))
+
+
+def passages(cited: DataFrame, docs: DataFrame, queries: DataFrame, text: str) -> DataFrame:
+    """Adds ``passage`` to citations (query, doc): the document's paragraph that holds most of the query's distinct words, verbatim, of equals the first. In: docs (id,
+    text), queries (id, term)."""
+    asked = queries.groupBy(F.col("id").alias("query")).agg(F.collect_set("term").alias("_q"))
+    d = cited.join(docs.select(F.col("id").alias("doc"), F.col(text).alias("_text")), "doc").join(asked, "query")
+    parts = F.filter(F.transform(F.split("_text", "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    hits = lambda p: F.size(F.array_intersect("_q", F.array_distinct(F.regexp_extract_all(F.lower(p), F.lit("[a-z0-9]+"), F.lit(0)))))
+    best = F.array_max(F.transform(parts, lambda p, k: F.struct(hits(p).alias("n"), (-k).alias("at"), p.alias("p"))))["p"]
+    return d.select(*cited.columns, best.alias("passage"))
+
+
 def cite(scored: DataFrame, least_score: float = P.CITE_SCORE, least_coverage: float = P.CITE_COVERAGE) -> DataFrame:
     """The best document of each query that passes both bars. Scores that agree to nine places are a tie: the order in which a sum was
     taken decides nothing."""

@@ -105,14 +105,22 @@ def store_query(spark, sf_dir):
 def bm25(spark, sf_dir):
     """Documents ranked for each benchmark passage: the best one that passes the bars."""
     docs = retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
-    d = retrieval.cite(retrieval.bm25(docs, retrieval.words(table(spark, sf_dir, "benchmark"), "item_id", "text")))
+    d = retrieval.cite(retrieval.bm25_best(docs, retrieval.words(table(spark, sf_dir, "benchmark"), "item_id", "text")))
     return d.select("query", "doc", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
+def cited_passages(spark, sf_dir):
+    """The best document of each benchmark passage's first twenty words, and its paragraph that holds most of them."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = retrieval.words(table(spark, sf_dir, "benchmark").withColumn("text", F.substring_index(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), " ", 20)), "item_id", "text")
+    best = retrieval.cite(retrieval.bm25_best(retrieval.terms(d, "id", "text"), q), 0.0, 0.0)
+    return retrieval.passages(best, d, q, "text").select("query", "doc", F.sha2("passage", 256).alias("passage_sha256"))
+
+
 def precedents(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     t = p.select(F.col("p_partkey").alias("id"), F.explode(F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type"), F.lit("size"), F.col("p_size").cast("string"))).alias("dim", "value"))
-    d = retrieval.precedents(t, p.select(F.col("p_partkey").alias("id")).filter("id % 20 = 0"), 10, ["brand", "type", "size"])
+    d = retrieval.precedents(t, p.select(F.col("p_partkey").alias("id")).filter("id % 20 = 0"), 10)
     return d.select("id", "other", "overlap", "dimensions", "rank")
 
 
@@ -228,7 +236,7 @@ def event_hash_dedupe(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     error_burst, incident_sessions, incident_priority, attacker_phase, severity_donut, alerts_per_hour, runs_summary, run_delta, attempt_series, asset_risk,
-    mean_time, technique_frequency, store_query, bm25, precedents, set_score, scorecard, score_misses, chunk_findings, hash_chain, lifecycle_fold, runbook_eligibility,
+    mean_time, technique_frequency, store_query, bm25, cited_passages, precedents, set_score, scorecard, score_misses, chunk_findings, hash_chain, lifecycle_fold, runbook_eligibility,
     redaction, redaction_known, redaction_tokens, milestones, event_findings, event_hash_dedupe,
 )}
 
@@ -330,6 +338,17 @@ s AS (SELECT query, id AS doc, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * t
   FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (id), c GROUP BY 1, 2),
 t AS (SELECT query, doc, score, m / (SELECT count(*) FROM q x WHERE x.query = s.query) AS coverage, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM s)
 SELECT query, doc, round(score, 6) AS score, round(coverage, 6) AS coverage FROM t WHERE k = 1 AND score >= 1.0 AND coverage >= 0.5""",
+    "cited_passages": """
+WITH d AS (SELECT doc_id AS id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+w AS (SELECT item_id, unnest(regexp_extract_all(lower(array_to_string(string_split(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g'), ' ')[1:20], ' ')), '[a-z0-9]+')) AS term FROM benchmark),
+q AS (SELECT item_id AS query, term, count(*) AS qtf FROM w GROUP BY 1, 2),
+tf AS (SELECT id, term, count(*) AS tf FROM d GROUP BY 1, 2), sz AS (SELECT id, count(*) AS len FROM d GROUP BY 1), c AS (SELECT count(*) AS n, avg(len) AS a FROM sz),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+s AS (SELECT query, id AS doc, sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS score FROM q JOIN df USING (term) JOIN tf USING (term) JOIN sz USING (id), c GROUP BY 1, 2),
+b AS (SELECT query, doc FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(score, 9) DESC, doc) AS k FROM s) WHERE k = 1),
+p AS (SELECT query, doc, unnest(string_split(text, chr(10) || chr(10))) AS p, unnest(range(len(string_split(text, chr(10) || chr(10))))) AS i FROM b JOIN documents ON doc_id = doc),
+h AS (SELECT query, doc, i, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS p, (SELECT count(*) FROM q WHERE q.query = p.query AND list_contains(regexp_extract_all(lower(p.p), '[a-z0-9]+'), q.term)) AS n FROM p WHERE trim(p, ' ' || chr(10) || chr(9) || chr(13)) <> '')
+SELECT query, doc, sha256(arg_max(p, n * 100000 - i)) AS passage_sha256 FROM h GROUP BY 1, 2""",
     "precedents": """
 WITH t AS (SELECT p_partkey AS id, 'brand' AS dim, p_brand AS value FROM part UNION SELECT p_partkey, 'type', p_type FROM part UNION SELECT p_partkey, 'size', CAST(p_size AS VARCHAR) FROM part),
 s AS (SELECT a.id, b.id AS other, count(*) AS overlap, count(DISTINCT a.dim) AS dimensions FROM t a JOIN t b ON a.dim = b.dim AND a.value = b.value AND a.id <> b.id WHERE a.id % 20 = 0 GROUP BY 1, 2),

@@ -118,3 +118,33 @@ def test_citations_by_range_and_verbatim(spark):
     assert card == {"r": (2, 2, 2, 4, 1.0, 0.5), "q": (1, 0, 0, 4, 0.0, 0.0), None: (3, 2, 2, 4, 0.6667, 0.5)}
     lost = sorted((r.format or "", r.kind, r.n, r.samples) for r in score.misses(f, hits, lab, "format", 1).collect())
     assert lost == [("", "false positive", 1, ["x"]), ("", "miss", 2, ["  "]), ("j", "false positive", 1, ["x"]), ("j", "miss", 2, ["  "])]
+
+
+def test_precedents_by_sets_equal_all_pairs(spark):
+    import random
+
+    rnd = random.Random(8)
+    rows = [(k, d, "hot" if rnd.random() < 0.5 else str(rnd.randint(0, 9))) for k in range(200) for d in "abc"] + [(k, "a", "second") for k in range(0, 200, 3)] + [(5, "b", None)]
+    t = spark.createDataFrame(rows, "id long, dim string, value string")
+    few, all_ = (sorted(map(tuple, retrieval.precedents(t, limit=4, few=n).collect())) for n in (6, 0))
+    assert few == all_ and len(few) == 800
+    assert retrieval.precedents(t.filter("false")).collect() == []
+
+
+def test_best_by_bound_equals_best_of_all(spark):
+    import random
+
+    rnd = random.Random(9)
+    word = lambda: "w" + str(min(rnd.randint(0, 60), rnd.randint(0, 60), rnd.randint(0, 60)))
+    docs = spark.createDataFrame([(k, " ".join(word() for _ in range(rnd.randint(0, 40)))) for k in range(150)], "id long, t string")
+    q = spark.createDataFrame([(k, " ".join(word() for _ in range(rnd.randint(1, 8)))) for k in range(40)] + [(99, "nowhere"), (98, "w0 w0 w1")], "id long, t string")
+    d, w = retrieval.terms(docs, "id", "t"), retrieval.words(q, "id", "t")
+    for probe in (0, 5, 10_000):
+        a, b = ({r.query: (r.doc, round(r.score, 9), r.coverage) for r in retrieval.cite(f, 0.0, 0.0).collect()} for f in (retrieval.bm25(d, w), retrieval.bm25_best(d, w, probe)))
+        assert a == b and len(a) >= 40
+
+
+def test_passage_is_the_best_paragraph(spark):
+    docs = spark.createDataFrame([(1, "# Title\n\nfirst about nothing\n\n alpha beta \n\nbeta alpha gamma\n\nalpha beta gamma")], "id long, t string")
+    cited, q = spark.createDataFrame([(7, 1)], "query long, doc long"), spark.createDataFrame([(7, "alpha"), (7, "gamma"), (7, "alpha")], "id long, term string")
+    assert retrieval.passages(cited, docs, q, "t").first().passage == "beta alpha gamma"
