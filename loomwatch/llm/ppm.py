@@ -17,9 +17,10 @@ each block, so a frequent word is no hot key. Destinations follow the session's
 
 Defined results: null text counts as empty: the end alone; rows with a null doc_id are learnt from and scored; repeated
 rows count again; without training documents counts are zero and every symbol has the same probability; a very long text makes a
-block of its own; an empty table gives no rows; extra columns are ignored. Words are told apart by a 64-bit hash, word contexts and
-the words after them by fewer bits (``word_context_bits``), which grow with the destinations: an accidental match costs
-precision of the estimate, nothing else.
+block of its own; an empty table gives no rows; extra columns are ignored. Words are told apart by a 64-bit hash, word contexts by
+44 bits of one and the words after a context by 20, at every size and under every setting: an accidental match costs precision of the
+estimate, nothing else. The input is read twice and has to give the same rows in the same partitions both times, as a scan of
+files does; where it does not, the job stops rather than score with another block's answers.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ ASKED = "kind int, dest int, block long, keys binary, n binary"
 TEXTS_OF = "block long, doc_ids array<long>, held array<boolean>, sizes binary, tokens binary, words binary, lengths binary"
 WORD, CONTEXT, PAIR, TOTALS = 0, 1, 2, 3  # kinds of rows
 ESCAPED = 1000.0  # added to the log probability of an escape, to tell it from that of a word
-NEXT_BITS = 18  # of the word after a word context
+CONTEXT_BITS, NEXT_BITS = 44, 20  # of a word context and of the word after it: 64 in all, whatever the session or the input
 
 
 def planes(a: np.ndarray) -> bytes:
@@ -85,15 +86,11 @@ def destination(kind: int, keys: np.ndarray, dests: int) -> np.ndarray:
         keys = mix((keys >> np.uint64(8)) & np.uint64(0xFFFF))
     elif kind == PAIR:
         keys = keys >> np.uint64(NEXT_BITS)
-        return ((keys * np.uint64(dests)) >> np.uint64(word_context_bits(dests))).astype(np.int64)
+        return ((keys * np.uint64(dests)) >> np.uint64(CONTEXT_BITS)).astype(np.int64)
     return (keys % np.uint64(dests)).astype(np.int64)
 
 
-def word_context_bits(dests: int) -> int:
-    return min(64 - NEXT_BITS, 24 + max(1, dests).bit_length())
-
-
-def word_contexts(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarray:
+def word_contexts(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """A key (two words before, the word) for every word and the end of every document; documents lie end to end."""
     total = counts + 1
     ends = total.cumsum()
@@ -108,7 +105,7 @@ def word_contexts(hashes: np.ndarray, counts: np.ndarray, bits: int) -> np.ndarr
         before[back:] = h[:-back]
         before[place < back] = np.uint64(back)  # before the start
         context = (context + before) * mul
-    return ((mix(context) >> np.uint64(64 - bits)) << np.uint64(NEXT_BITS)) | (mix(h) >> np.uint64(64 - NEXT_BITS))
+    return ((mix(context) >> np.uint64(64 - CONTEXT_BITS)) << np.uint64(NEXT_BITS)) | (mix(h) >> np.uint64(64 - NEXT_BITS))
 
 
 def hashes_of(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -155,7 +152,7 @@ class Block:
         self.sizes, self.local, self.dests = sizes, local, dests
         h = hashes_of(words, lengths)
         self.contexts, self.symbols = contexts_of(words, lengths, order)
-        self.of = {WORD: np.append(h, END_KEY), CONTEXT: self.contexts, PAIR: word_contexts(h[local], sizes, word_context_bits(dests))}
+        self.of = {WORD: np.append(h, END_KEY), CONTEXT: self.contexts, PAIR: word_contexts(h[local], sizes)}
 
     def asks(self, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(distinct keys by destination, where each destination's begin, the place of every key among them)."""
