@@ -14,7 +14,8 @@ lengths, classes of characters, each mark, repetition. (Hashed counts of trigram
 held-out documents worse.)
 
 Defined results: null counts as empty; an empty text has all features zero and is scored like any other; repeated rows get
-equal scores; without positive labels every score is 0.5; a very long text is a slice of its own; an empty table
+equal scores; without positive labels every score is 0.5; a very long text is counted in
+parts of ``PART`` bytes that end at white space, so that memory follows the part and its distinct words (and its longest word); an empty table
 gives no rows; rows are judged by their own text, whatever their ids; extra columns are ignored (``score_documents``) or passed through (``keep_good``).
 """
 
@@ -41,56 +42,100 @@ _CLASS[[ord(c) for c in "-'\"()"]] = 7
 _CLASS[128:] = 8
 _MARKS = [10, *(c for c in range(33, 127) if not chr(c).isalnum())]  # line feed and every ASCII mark
 FEATURES = 2 + 8 + len(_MARKS) + 12
+AGAIN = 12 + len(_MARKS)  # where the sums of a text count words like the one before
+PART = 1 << 18  # bytes of text whose numbers are held at a time
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """One row of numbers for each text, from vector operations over all bytes at once."""
+def sums_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, Words, np.ndarray]:
+    """What adds up over the parts of a text, a row for each text (bytes, classes, marks, words, sums over words), with its words and their hashes."""
     n = len(offsets) - 1
-    size = np.diff(offsets).astype(float)
-    text = np.repeat(np.arange(n), np.diff(offsets))
-    kinds = np.bincount(text * 9 + _CLASS[data], minlength=9 * n).reshape(n, 9).astype(float)
-    some = np.maximum(size, 1)
+    size = np.diff(offsets)
+    text = np.repeat(np.arange(n), size)
+    kinds = np.bincount(text * 9 + _CLASS[data], minlength=9 * n).reshape(n, 9)
     number = np.full(256, -1)
     number[_MARKS] = np.arange(len(_MARKS))
     which = number[data]
     marked = which >= 0
     marks = np.bincount(text[marked] * len(_MARKS) + which[marked], minlength=n * len(_MARKS)).reshape(n, len(_MARKS))
     w = Words(data, offsets)
-    count = np.diff(w.bounds).astype(float)
-    words = np.maximum(count, 1)
-    length = (w.ends - w.starts).astype(float)
     h = w.hashes()
-    ends = data[w.ends - 1] if len(w.ends) else np.zeros(0, np.uint8)
+    length = (w.ends - w.starts).astype(float)
+    first, last = (data[w.starts], data[w.ends - 1]) if len(h) else (data[:0], data[:0])
+    second = data[np.minimum(w.starts + 1, len(data) - 1)] if len(h) else data[:0]
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
+    of_words = [
+        length, length**2, again, _CLASS[last] == 5, _CLASS[last] == 6, length == 1, np.isin(_CLASS[first], (2, 8)),
+        (_CLASS[second] == 2) & (length > 1), length > 20,
+    ]
+    added = [np.bincount(w.doc, x, n) for x in of_words]
+    return np.column_stack([size, kinds[:, 1:], marks, np.diff(w.bounds), *added]).astype(float), w, h
 
-    def per_word(x: np.ndarray) -> np.ndarray:
-        return np.bincount(w.doc, x, n) / words
 
-    def distinct(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
-        order = np.lexsort((key, doc))
-        d, k = doc[order], key[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
-        return np.bincount(d[new], minlength=n)
+def pairs_of(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A hash of each word and the one before it (0: none)."""
+    return h * np.uint64(31) + before
 
-    again = np.zeros(len(h))
-    again[1:] = (h[1:] == h[:-1]) & (w.doc[1:] == w.doc[:-1])
-    pair = h.copy()
-    pair[1:] = h[1:] * np.uint64(31) + h[:-1]
-    mean = per_word(length)
-    first_upper = np.isin(_CLASS[data[w.starts]], (2, 8)) if len(h) else np.zeros(0)
-    second = data[np.minimum(w.starts + 1, len(data) - 1)] if len(h) else np.zeros(0, np.uint8)
+
+def ratios(sums: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """Features from a text's sums and its numbers of distinct words and pairs of words."""
+    size, shares, count, by_word = sums[:, 0], sums[:, 1 : 9 + len(_MARKS)], sums[:, 9 + len(_MARKS)], sums[:, 10 + len(_MARKS) :]
+    words = np.maximum(count, 1)
+    mean, square, again, *rest = (by_word / words[:, None]).T
     cols = [
-        np.log1p(size) / 10, np.log1p(count) / 10,
-        *(kinds[:, 1:] / some[:, None]).T, *(marks / some[:, None]).T,
-        mean / 10, np.sqrt(np.maximum(per_word(length**2) - mean**2, 0)) / 10, per_word(again),
-        distinct(w.doc, h) / words, distinct(w.doc, pair) / words,
-        per_word(np.isin(_CLASS[ends], (5,)).astype(float)), per_word((_CLASS[ends] == 6).astype(float)),
-        per_word((length == 1).astype(float)), per_word(first_upper.astype(float)), per_word(((_CLASS[second] == 2) & (length > 1)).astype(float)),
-        per_word((length > 20).astype(float)), (size == 0).astype(float),
+        np.log1p(size) / 10, np.log1p(count) / 10, *(shares / np.maximum(size, 1)[:, None]).T,
+        mean / 10, np.sqrt(np.maximum(square - mean**2, 0)) / 10, again, *(distinct / words[:, None]).T, *rest, (size == 0).astype(float),
     ]
     return np.stack(cols, axis=1)
 
 
+def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """One row of numbers for each text, from vector operations over the bytes of ``PART`` bytes of texts at a time."""
+    out, i, n = [np.zeros((0, FEATURES))], 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PART, "right")) - 1)
+        part, cuts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        out.append(_of_long(part) if len(part) > PART else _of_short(part, cuts))
+        i = j
+    return np.concatenate(out)
+
+
+def _of_short(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    sums, w, h = sums_of(data, offsets)
+    before = np.zeros(len(h), np.uint64)
+    before[1:] = np.where(w.doc[1:] == w.doc[:-1], h[:-1], np.uint64(0))
+
+    def distinct(key: np.ndarray) -> np.ndarray:
+        order = np.lexsort((key, w.doc))
+        d, k = w.doc[order], key[order]
+        new = np.ones(len(d), bool)
+        new[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1])
+        return np.bincount(d[new], minlength=len(sums))
+
+    return ratios(sums, np.column_stack([distinct(h), distinct(pairs_of(h, before))]))
+
+
+def _of_long(data: np.ndarray) -> np.ndarray:
+    """The row of one text, cut behind white space into parts whose sums are added up; what lies across a seam is carried over."""
+    total, last = 0.0, np.uint64(0)
+    seen = [np.zeros(0, np.uint64)] * 2
+    s = 0
+    while s < len(data):
+        e = s + PART
+        while e < len(data) and _CLASS[data[e - 1]] != 4:  # to the end of a word
+            space = np.flatnonzero(_CLASS[data[e : e + PART]] == 4)
+            e += int(space[0]) + 1 if len(space) else PART
+        e = min(e, len(data))
+        sums, _, h = sums_of(data[s:e], np.array([0, e - s]))
+        if len(h):
+            sums[0, AGAIN] += h[0] == last  # no word's hash is 0 but by accident
+            seen = [np.union1d(seen[0], h), np.union1d(seen[1], pairs_of(h, np.append(last, h[:-1])))]
+            last = h[-1]
+        total = total + sums
+        s = e
+    return ratios(total, np.array([[len(x) for x in seen]]))
+
+
 def feature_rows(docs: DataFrame) -> DataFrame:
     """Every column but text, with the text's features as x (bytes of float32)."""
     rest = [c for c in docs.columns if c != "text"]
