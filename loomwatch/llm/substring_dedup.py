@@ -42,13 +42,15 @@ from loomwatch.llm.words import mix, text_bytes
 
 POS_BITS = 18
 CHUNK = (1 << 17) - 1024
+MOST_BUCKETS = 50_000  # Spark allows 100000
 _BYTES = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def numbered(docs: DataFrame, row: str) -> DataFrame:
-    """The rows with a number of their own, written once, in buckets by it: joins by the number move no text."""
+    """The rows with a number of their own, written once, in buckets by it: joins by the number move no text. A bucket holds
+    some 16000 rows, above 800 million rows more. The table's name leaves the catalog at once; its files stay in the shared folder."""
     spark = docs.sparkSession
-    n = max(partitions_for(spark), -(-docs.count() // 16_000))
+    n = bucket_count(docs.count(), partitions_for(spark))
     name = f"loomwatch_{uuid.uuid4().hex}"
     (
         docs.withColumn(row, F.monotonically_increasing_id())
@@ -58,7 +60,13 @@ def numbered(docs: DataFrame, row: str) -> DataFrame:
         .option("compression", "zstd")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    rows = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return rows
+
+
+def bucket_count(rows: int, least: int) -> int:
+    return min(MOST_BUCKETS, max(least, -(-rows // 16_000)))
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:

@@ -57,6 +57,14 @@ def test_periodic_texts_and_repeated_rows(spark):
     check(spark, docs, 40, 8)
 
 
+def test_numbered_rows_of_any_count(spark):
+    assert sd.bucket_count(10**10, 8) <= 100_000 and sd.bucket_count(40_000, 2) == 3
+    before = spark.catalog.listTables()
+    rows = sd.numbered(spark.createDataFrame([(k, "t") for k in range(50)], "a long, text string"), "row")
+    assert spark.catalog.listTables() == before
+    assert sorted(r.a for r in rows.join(rows.select("row"), "row").collect()) == list(range(50))
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string, row string, a int")
     assert sd.substring_dedup(df).collect() == []
