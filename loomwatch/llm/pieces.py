@@ -7,7 +7,8 @@ line feed (checked when the model loads), so pieces never cross such a cut and e
 projected through the alignment to its span of original bytes.
 
 Defined results: null counts as empty; an empty text has no ids and decodes to the empty text; repeated rows give
-repeated results; an empty table gives no rows; extra columns are ignored.
+repeated results; an empty table gives no rows; extra columns are ignored; a very long text is encoded by parts cut where a chunk begins,
+and where the character map is empty its alignment is an array, whatever its runs of spaces.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark.sql import DataFrame
 from loomwatch.llm.common import Memo, text_or_empty, text_slices
 
 MARK = "▁"
+PART = 1 << 18  # characters of a long text that are encoded at a time
+_OPENS = re.compile(f"(?<!{MARK}){MARK}|\n")
 _CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
@@ -71,6 +74,10 @@ class Normaliser:
 
     def __call__(self, text: str) -> tuple[str, np.ndarray]:
         """(normalised, align): ``align`` has one entry per normalised byte and the source length at the end."""
+        if self.identity:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            source = np.repeat(np.arange(len(raw)), np.where(raw == 32, len(MARK.encode()), 1))
+            return self.escaped(text), np.concatenate((np.zeros(3 * (self.dummy and len(raw) > 0), np.int64), source, [len(raw)]))
         data, out, align, at = text.encode(), bytearray(), [], 0
         mark = MARK.encode()
         units: list[tuple[bytes, int, int]] = []
@@ -115,6 +122,13 @@ class Normaliser:
         return out.decode(), np.array(align, np.int64)
 
 
+    def escaped(self, text: str) -> str:
+        """The normalised text alone."""
+        if not self.identity:
+            return self(text)[0]
+        return (MARK * self.dummy if text else "") + text.replace(" ", MARK)
+
+
 class PieceCodec:
     """A loaded model: exact ids, spans of original bytes, and decoding."""
 
@@ -150,7 +164,9 @@ class PieceCodec:
             joined = "".join(group)
             ids = np.array(self.sp.encode((joined if lead else joined[1:]).replace(MARK, " ")), np.int64)[lead:]
             at = np.flatnonzero(self.opens[ids]).tolist()
-            assert len(at) == len(group)
+            if len(at) != len(group):  # not one opening piece a chunk: each by itself
+                rest.update(group)
+                continue
             self._keep(group, ids, at)
         for c in rest:
             body = c[1:].replace(MARK, " ") if c[0] == MARK else c
@@ -173,7 +189,25 @@ class PieceCodec:
             return []
         if self.normalise.identity and text[0] != " " and not any(c in text for c in ("  ", MARK, "\x1f")):
             return ("\x1f" + MARK + text.replace(" ", "\x1f" + MARK).replace("\n", "\x1f\n")).split("\x1f")[1:]
-        return _CHUNK.findall(self.normalise(text)[0])
+        return _CHUNK.findall(self.normalise.escaped(text))
+
+    def parts_of(self, texts: list[str]) -> Iterator[tuple[int, list[tuple]]]:
+        """(number of the text, what is known of a row of its chunks): a text above ``PART`` characters comes in several such rows."""
+        short = [k for k, t in enumerate(texts) if len(t) <= PART]
+        for k, chunks in zip(short, self.chunks_of([texts[k] for k in short])):
+            yield k, [self.known[x] for x in chunks]
+        for k in sorted(set(range(len(texts))).difference(short)):
+            whole, at = self.normalise.escaped(texts[k]), 0
+            while at < len(whole):
+                cut = _OPENS.search(whole, at + PART)
+                end = cut.start() if cut else len(whole)
+                chunks = _CHUNK.findall(whole[at:end])
+                self.known.turn()
+                new = self.known.unknown(set(chunks))
+                if new:
+                    self._learn(new)
+                yield k, [self.known[x] for x in chunks]
+                at = end
 
     def chunks_of(self, texts: list[str]) -> list[list[str]]:
         self.known.turn()
@@ -185,15 +219,18 @@ class PieceCodec:
 
     def spans(self, text: str, parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
         """Start and end byte in the original text of every piece."""
-        if not parts:
+        return self.spans_of(text, b"".join([p[3] for p in parts]), b"".join([p[4] for p in parts]))
+
+    def spans_of(self, text: str, size: bytes, own: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The same from each piece's number of escaped bytes and of bytes before escaping."""
+        if not size:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if self.normalise.identity and MARK not in text:
-            ends = np.frombuffer(b"".join(p[4] for p in parts), np.uint8).astype(np.int64).cumsum() - 1
-            starts = np.concatenate(([0], ends[:-1]))
+        plain = self.normalise.identity and MARK not in text
+        ends = np.frombuffer(own if plain else size, np.uint8).cumsum(dtype=np.int64) - plain
+        starts = np.concatenate(([0], ends[:-1]))
+        if plain:
             return np.maximum(starts, 0), np.maximum(ends, 0)
         align = self.normalise(text)[1]
-        ends = np.frombuffer(b"".join(p[3] for p in parts), np.uint8).astype(np.int64).cumsum()
-        starts = np.concatenate(([0], ends[:-1]))
         return align[starts], align[ends]
 
 
@@ -202,6 +239,26 @@ def codec(path: str) -> PieceCodec:
     return PieceCodec(path)
 
 
+class Digest:
+    """A text's result from the rows of its chunks, in order."""
+
+    def __init__(self):
+        self.n, self.ids, self.shown, self.size, self.own, self.first = 0, hashlib.sha256(), hashlib.sha256(), [], [], True
+
+    def add(self, parts: list[tuple]) -> None:
+        if parts:
+            self.ids.update(("" if self.first else ",").encode() + ",".join([p[1] for p in parts]).encode())
+            self.shown.update("".join([p[2] for p in parts])[self.first :].encode())
+            self.size.append(b"".join([p[3] for p in parts]))
+            self.own.append(b"".join([p[4] for p in parts]))
+            self.n, self.first = self.n + len(self.own[-1]), False
+
+    def result(self, c: PieceCodec, text: str) -> tuple:
+        s, e = c.spans_of(text, b"".join(self.size), b"".join(self.own))
+        aligned = bool((s[1:] == e[:-1]).all()) if self.n else True
+        return self.n, self.ids.hexdigest(), self.shown.hexdigest(), int(e[-1]) if self.n else 0, aligned
+
+
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, covered_bytes long, aligned boolean"
 
 
@@ -237,15 +294,10 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
         c = codec(model)
         for b in text_slices(batches):
             texts = b.column("text").to_pylist()
-            cols: list[list] = [[], [], [], [], []]
-            for t, chunks in zip(texts, c.chunks_of(texts)):
-                parts = [c.known[x] for x in chunks]
-                s, e = c.spans(t, parts)
-                cols[0].append(len(s))
-                cols[1].append(hashlib.sha256(",".join([p[1] for p in parts]).encode()).hexdigest())
-                cols[2].append(hashlib.sha256("".join([p[2] for p in parts])[1:].encode()).hexdigest())
-                cols[3].append(int(e[-1]) if len(e) else 0)
-                cols[4].append(bool((s[1:] == e[:-1]).all()) if len(e) else True)
+            rows = [Digest() for _ in texts]
+            for k, parts in c.parts_of(texts):
+                rows[k].add(parts)
+            cols = list(zip(*(r.result(c, t) for r, t in zip(rows, texts))))
             kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(x, k) for x, k in zip(cols, kinds))], [x.split()[0] for x in DIGEST_SCHEMA.split(", ")]

@@ -335,6 +335,52 @@ def test_features_are_of_the_text_alone():
     assert np.isfinite(together).all()
 
 
+def test_features_of_long_texts_add_up(monkeypatch):
+    import pyarrow as pa
+
+    from loomwatch.llm.words import text_bytes
+
+    rng = random.Random(12)
+    texts = [*odd_texts(40), "a a a", "a", "a a", "w" * 700, " " * 500, "".join(rng.choice("ab A.$\n\t") for _ in range(5000)), "no no " * 300]
+    whole = quality.features(*text_bytes(pa.array(texts)))
+    for part in (1, 7, 64, 1000):
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.abs(quality.features(*text_bytes(pa.array(texts))) - whole).max() < 1e-12
+    assert quality.features(np.zeros(0, np.uint8), np.zeros(1, np.int64)).shape == (0, quality.FEATURES)
+
+
+def test_ppm_scores_hold_under_other_partitions(spark):
+    rng = random.Random(21)
+    df = common.materialise(docs(spark, [" ".join(rng.choice(["ab", "cd", "Ef", "g", "hi"]) for _ in range(rng.randint(0, 40))) for _ in range(120)]))
+    got = []
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (4, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got.append(sorted(tuple(r) for r in ppm.score_documents(df).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [r[:5] for r in got[0]] == [r[:5] for r in got[1]]
+    assert all(a[6] == pytest.approx(b[6], abs=1e-9) for a, b in zip(*got))
+
+
+def test_long_texts_are_encoded_by_parts(monkeypatch):
+    import sentencepiece
+
+    sp, c = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.PieceCodec(PIECE)
+    rng = random.Random(3)
+    texts = [*odd_texts(80), "  two  spaces \n\n  and ▁ a mark▁▁ x ", *("".join(rng.choice("ab  \né▁") for _ in range(300)) for _ in range(30))]
+    for part in (1, 10, 1 << 18):
+        monkeypatch.setattr(pieces, "PART", part)
+        rows = [pieces.Digest() for _ in texts]
+        for k, parts in c.parts_of(texts):
+            rows[k].add(parts)
+        for r, t in zip(rows, texts):
+            ids = sp.encode(t)
+            want = len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+            assert r.result(c, t) == (*want, len(t.encode()), True)
+
+
 def test_prior_comes_from_positives_and_unlabelled():
     rng = np.random.default_rng(4)
     for prior in (0.3, 0.7, 0.9):
