@@ -115,10 +115,26 @@ def _of_short(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return ratios(sums, np.column_stack([distinct(h), distinct(pairs_of(h, before))]))
 
 
+class Distinct:
+    """Distinct keys of many parts; new ones are merged when they are as many as those known, so that each is sorted a few times only."""
+
+    def __init__(self):
+        self.known, self.new = np.zeros(0, np.uint64), []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(np.unique(keys))
+        if sum(map(len, self.new)) > len(self.known):
+            self.count()
+
+    def count(self) -> int:
+        self.known, self.new = np.unique(np.concatenate([self.known, *self.new])), []
+        return len(self.known)
+
+
 def _of_long(data: np.ndarray) -> np.ndarray:
     """The row of one text, cut behind white space into parts whose sums are added up; what lies across a seam is carried over."""
     total, last = 0.0, np.uint64(0)
-    seen = [np.zeros(0, np.uint64)] * 2
+    words, pairs = Distinct(), Distinct()
     s = 0
     while s < len(data):
         e = s + PART
@@ -129,11 +145,12 @@ def _of_long(data: np.ndarray) -> np.ndarray:
         sums, _, h = sums_of(data[s:e], np.array([0, e - s]))
         if len(h):
             sums[0, AGAIN] += h[0] == last  # no word's hash is 0 but by accident
-            seen = [np.union1d(seen[0], h), np.union1d(seen[1], pairs_of(h, np.append(last, h[:-1])))]
+            words.add(h)
+            pairs.add(pairs_of(h, np.append(last, h[:-1])))
             last = h[-1]
         total = total + sums
         s = e
-    return ratios(total, np.array([[len(x) for x in seen]]))
+    return ratios(total, np.array([[words.count(), pairs.count()]]))
 
 
 def feature_rows(docs: DataFrame) -> DataFrame:
