@@ -203,7 +203,7 @@ def in_blocks_of(block_bytes: int):
             types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), *[pa.binary()] * 4]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], [x.split()[0] for x in TEXTS_OF.split(", ")])
 
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 19):
             data, offsets = text_bytes(b.column("text"))
             w = Words(data, offsets)
             held.append(
@@ -215,6 +215,7 @@ def in_blocks_of(block_bytes: int):
                 yield out()
         if held:
             yield out()
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -253,7 +254,7 @@ def low_orders(docs: DataFrame) -> np.ndarray:
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
-        for b in text_slices(batches, 2 << 20):
+        for b in text_slices(batches, 1 << 18):
             data, offsets = text_bytes(b.column("text"))
             w = Words(data, offsets)
             low = _LOWER[data].astype(np.int64)
@@ -268,6 +269,7 @@ def low_orders(docs: DataFrame) -> np.ndarray:
             total += np.bincount(low[w.ends - 1] << 8 | CLOSE, minlength=1 << 16)
             total[PAD << 8 | END] += b.num_rows
         some = np.flatnonzero(total)
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["k", "n"])
 
     low = np.zeros(1 << 16, np.int64)
@@ -301,6 +303,8 @@ def answers_of(asked: DataFrame, low: np.ndarray, order: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["block", "kind", "dest", "values"]
             )
+            del t, keys, distinct, inverse, n, value, rows
+            pa.default_memory_pool().release_unused()
 
     return asked.repartition("kind", "dest").sortWithinPartitions("kind", "dest").mapInArrow(run, "block long, kind int, dest int, values binary")
 
@@ -340,7 +344,7 @@ def chain(keys: np.ndarray, n: np.ndarray, low: np.ndarray, order: int) -> np.nd
     return out
 
 
-def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 8 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
     d = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), F.coalesce(fold == held, F.lit(False)).alias("held"))
