@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -11,6 +14,22 @@ def canonical_json(columns: list[str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *(F.concat(F.lit(f'"{c}":'), quote(c)) for c in sorted(columns))), F.lit("}"))
 
 
+def canonical_text(text: Column) -> Column:
+    """A JSON text of any depth in the form that gets hashed: keys sorted by code point at every level, no spaces, characters as themselves, numbers as a
+    double or an integer of any size prints. Of equal keys the last wins; null and text that is not JSON give null. Arrow batches, a parse per row."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else json.dumps(json.loads(t), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+            except (ValueError, RecursionError):
+                return None
+
+        return texts.map(one)
+
+    return F.pandas_udf(run, "string")(text)
+
+
 def verify_chain(entries: DataFrame, ledger: str, seq: str, prev: str, entry: str, recomputed: Column) -> DataFrame:
     """Per ledger: entries, ok, first_break (its sequence number) and reason. Order is one per ledger, so the window is partitioned
     by ledger."""

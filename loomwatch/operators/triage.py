@@ -3,6 +3,10 @@ every severity; the opinion is advisory."""
 
 from __future__ import annotations
 
+import functools
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
@@ -94,6 +98,61 @@ def confusion_scores(predicted: DataFrame, label: str = "label", opinion: str =
     return acc.crossJoin(macro)
 
 
+def fold_scores(predicted: DataFrame, label: str = "label", opinion: str = "opinion") -> DataFrame:
+    """(fold, rows, accuracy, macro_f1) of all folds in one pass over counts per (fold, label, opinion)."""
+    c = predicted.groupBy("fold", F.col(label).alias("a"), F.col(opinion).alias("b")).agg(F.count("*").alias("n"))
+    sides = c.select("fold", "a", "b", "n", F.explode(F.array_distinct(F.array("a", "b"))).alias("c"))
+    right = F.col("a") == F.col("b")
+    per = sides.groupBy("fold", "c").agg(
+        F.sum(F.when(right, F.col("n")).otherwise(0)).alias("tp"), F.sum(F.when(~right & (F.col("b") == F.col("c")), F.col("n")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~right & (F.col("a") == F.col("c")), F.col("n")).otherwise(0)).alias("fn"),
+    )
+    f = F.coalesce(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)), F.lit(0.0))
+    acc = c.groupBy("fold").agg(F.sum("n").alias("rows"), ratio(F.sum(F.when(right, F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+    return acc.join(per.groupBy("fold").agg(F.round(F.avg(f), 4).alias("macro_f1")), "fold")
+
+
+def spread(scores: DataFrame, names: tuple[str, ...] = ("accuracy", "macro_f1")) -> DataFrame:
+    """(metric, min, max, mean) over folds."""
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names)))
+    d = scores.select(each.alias("_e")).select("_e.*")
+    return d.groupBy("metric").agg(F.min("v").alias("min"), F.max("v").alias("max"), F.round(F.avg("v"), 4).alias("mean"))
+
+
+def cross_validate(folded: DataFrame, k: int = 5, label: str = "label", at_once: int = 3, **settings) -> DataFrame:
+    """Every row of ``folded`` (features, label, fold) with the opinion of the model that did not see its fold. Fits run ``at_once`` side by side, as Spark's own
+    cross-validator does; the fold's rows are scored within one plan."""
+
+    def one(fold: int) -> DataFrame:
+        train, held = folded.filter(F.col("fold") != fold), folded.filter(F.col("fold") == fold)
+        return fit(train, label, **settings).transform(held.withColumn("weight", F.lit(1.0))).select(*folded.columns, "opinion")
+
+    with ThreadPool(min(at_once, k)) as pool:
+        parts = pool.map(inheritable_thread_target(one), range(k))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def importance(model, held: DataFrame, key: str, label: str = "label", rows_a_range: int = 10_000) -> DataFrame:
+    """(feature, accuracy, drop) by permutation, in one scoring pass: each row is scored as it is (feature null) and once for each feature with that feature's
+    value of another row, the next one in the order of a hash salted by the feature. That order is cut in ranges, the last row of a range takes
+    the value of its first, so that no task holds a whole column."""
+    names = vector_names()
+    ranges = 1 + held.count() // rows_a_range
+    cells = held.select(F.col(key).alias("_k"), F.posexplode(F.array(*(F.col(n).cast("double") for n in names))).alias("_f", "_v"))
+    cells = cells.withColumn("_h", F.xxhash64("_k", "_f")).withColumn("_r", F.pmod("_h", F.lit(ranges)))
+    w = W.partitionBy("_f", "_r").orderBy("_h", "_k")
+    first = F.first("_v").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = F.lead("_k").over(w).isNull()
+    other = cells.select("_k", "_f", F.when(last, first).otherwise(F.lead("_v").over(w)).alias("_v"))
+    each = held.join(other, F.col(key) == F.col("_k")).withColumns({n: F.when(F.col("_f") == k, F.col("_v")).otherwise(F.col(n)) for k, n in enumerate(names)})
+    plain = held.withColumn("_f", F.lit(-1))
+    scored = model.transform(each.select(*held.columns, "_f").unionByName(plain).withColumn("weight", F.lit(1.0)))
+    per = scored.groupBy("_f").agg(F.avg((F.col("opinion") == F.col(label).cast("string")).cast("double")).alias("accuracy"))
+    base = per.filter("_f = -1").select(F.col("accuracy").alias("_base"))
+    feature = F.when(F.col("_f") >= 0, F.try_element_at(F.array(*map(F.lit, names)), F.col("_f") + 1)).alias("feature")
+    return per.crossJoin(F.broadcast(base)).select(feature, "accuracy", (F.col("_base") - F.col("accuracy")).alias("drop"))  # one row a feature
+
+
 def agreement(predicted: DataFrame, severity: str = "severity", opinion: str = "opinion") -> DataFrame:
     """How often the opinion agrees with the rules, by severity."""
     return predicted.groupBy(F.upper(severity).alias("severity")).agg(

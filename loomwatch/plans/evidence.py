@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loomwatch.operators import lifecycle, ranges, views as V
+from loomwatch.operators import ledger, lifecycle, packs, ranges, triage, views as V
 from loomwatch.session import table
 from loomwatch.sources.envelopes import lookup
 
@@ -60,7 +60,31 @@ def rejected_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.rejects(_moves(spark, sf_dir), 500)
 
 
-QUERIES = {f.__name__: f for f in (range_totals, timeline_steps, incident_current, incident_history, rejected_moves)}
+def pack_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two thousand rules over every document in one scan: rule k asks for the number k on its own, outside English."""
+    rules = [{"id": f"n-{k}", "level": "low", "detection": {"sel": {"text": [str(k)]}, "en": {"lang": "en"}, "condition": "sel and not en"}} for k in range(2000)]
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    h = packs.hits(d, rules, {"text": F.col("text"), "lang": F.col("lang")})
+    return h.groupBy("rule_id", "rule_level").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first_doc"))
+
+
+def canonical_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of nested entries whose keys come in another order at every depth."""
+    o = table(spark, sf_dir, "orders")
+    proof = F.struct(F.col("o_orderstatus").alias("status"), F.struct(F.col("o_custkey").alias("z"), F.lit("é").alias("b")).alias("asset"), F.array(F.struct(F.lit(1).alias("k"), F.lit(True).alias("a"))).alias("rules"))
+    text = F.to_json(F.struct(F.col("o_orderkey").alias("seq"), proof.alias("proof")))
+    d = o.select(F.col("o_orderkey").alias("seq"), text.alias("entry"))
+    return d.select("seq", F.sha2(ledger.canonical_text(F.col("entry")), 256).alias("entry_hash"))
+
+
+def fold_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Worst, best and mean scores over five folds of labelled documents, where the opinion is that insults stand in the text."""
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    hit = F.when(F.col("text").rlike(r"(?i)\b(idiot|moron|pathetic|worthless|stupid)\b"), 1).otherwise(0)
+    return triage.spread(triage.fold_scores(d.select(F.pmod("doc_id", F.lit(5)).alias("fold"), F.col("toxic").alias("label"), hit.alias("opinion"))))
+
+
+QUERIES = {f.__name__: f for f in (range_totals, timeline_steps, incident_current, incident_history, rejected_moves, pack_hits, canonical_entries, fold_spread)}
 
 _REC = """r AS (SELECT user_id AS run_id, event_id AS n, CASE WHEN event_id % 11 <> 0 THEN epoch_us(ts) END AS us, event_type,
   CASE event_type WHEN 'signup' THEN '10.0.0.' || (event_id % 3) END AS ip FROM events)"""
@@ -71,6 +95,18 @@ b AS (SELECT *, CASE WHEN t = 'bogus' THEN 'unknown state' WHEN disp = 'weird' T
 v AS (SELECT *, coalesce(lag(t) OVER w, 'new') AS f, t <> 'closed' AS live, count(*) FILTER (WHERE t <> 'closed') OVER (PARTITION BY incident ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM b WHERE bad IS NULL WINDOW w AS (PARTITION BY incident ORDER BY seq)),
 s AS (SELECT incident, g, arg_max(disp, seq) AS disp, arg_max(coalesce(reason, ''), seq) AS reason, arg_max(tm, seq) AS tm, count(*) AS n FROM v WHERE disp IS NOT NULL GROUP BY 1, 2)"""
 ORACLES = {
+    "pack_hits": r"""
+WITH x AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[0-9]+')) AS k FROM documents WHERE NOT contains(lower(coalesce(lang, '')), 'en'))
+SELECT 'n-' || k AS rule_id, 'low' AS rule_level, count(*) AS hits, min(doc_id) AS first_doc FROM x WHERE k IN (SELECT CAST(r AS VARCHAR) FROM range(2000) t(r)) GROUP BY k""",
+    "canonical_entries": """
+SELECT o_orderkey AS seq, sha256('{"proof":{"asset":{"b":"é","z":' || o_custkey || '},"rules":[{"a":true,"k":1}],"status":"' || o_orderstatus || '"},"seq":' || o_orderkey || '}') AS entry_hash FROM orders""",
+    "fold_spread": r"""
+WITH x AS (SELECT doc_id % 5 AS fold, toxic AS a, CAST(regexp_matches(text, '(?i)\b(idiot|moron|pathetic|worthless|stupid)\b') AS INTEGER) AS b FROM documents JOIN labels USING (doc_id)),
+c AS (SELECT fold, k, count(*) FILTER (WHERE a = k AND b = k) AS tp, count(*) FILTER (WHERE a <> k AND b = k) AS fp, count(*) FILTER (WHERE a = k AND b <> k) AS fn FROM x, (VALUES (0), (1)) v(k) GROUP BY 1, 2),
+s AS (SELECT fold, round(avg(2 * tp / (2 * tp + fp + fn)), 4) AS macro_f1 FROM c WHERE tp + fp + fn > 0 GROUP BY 1),
+y AS (SELECT fold, round(sum(CASE WHEN a = b THEN 1 ELSE 0 END) / count(*), 4) AS accuracy FROM x GROUP BY 1),
+m AS (SELECT 'accuracy' AS metric, accuracy AS v FROM y UNION ALL SELECT 'macro_f1', macro_f1 FROM s)
+SELECT metric, min(v) AS min, max(v) AS max, round(avg(v), 4) AS mean FROM m GROUP BY 1""",
     "range_totals": """
 WITH p AS (SELECT CASE WHEN event_type = 'error' THEN 'errors' ELSE 'rest' END AS run_id, event_id AS n FROM events),
 r AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'errors' ELSE 'rest' END AS run_id, o_orderkey AS finding, (o_orderkey * 37) % 12000 AS lo, CASE WHEN o_orderkey % 50 = 0 THEN o_custkey * 7 WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey % 13 END AS w FROM orders)

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
+from loomwatch.sources import growing
 
 
 def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
@@ -28,31 +29,15 @@ def numbered_lines(spark: SparkSession, path: str, encoding: str | None = None)
     )
 
 
-def file_encodings(spark: SparkSession, path: str, prefix: int = 65_536) -> DataFrame:
-    """(run_id, encoding) of each file from its first bytes: mark, NUL density, UTF-8, Windows-1252, Latin-1."""
-
-    def choose(head: bytes) -> str:
-        for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16le"), (b"\xfe\xff", "utf-16be")):
-            if head.startswith(mark):
-                return name
-        if head and head.count(0) > len(head) // 5:
-            return "utf-16le" if head[1::2].count(0) > head[0::2].count(0) else "utf-16be"
-        for name in ("utf-8", "windows-1252"):
-            for cut in range(4):  # the prefix may end inside a character
-                try:
-                    head[: len(head) - cut].decode("cp1252" if name == "windows-1252" else name)
-                    return name
-                except UnicodeDecodeError:
-                    if len(head) < prefix:
-                        break
-        return "iso-8859-1"
+def file_encodings(spark: SparkSession, path: str) -> DataFrame:
+    """(run_id, encoding) of each file that is not empty, from its first bytes, which alone are read: mark, NUL density, UTF-8, Windows-1252, Latin-1."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in it:
-            yield pd.DataFrame({"run_id": pdf["path"], "encoding": [choose(bytes(c)) for c in pdf["head"]]})
+            yield pd.DataFrame({"run_id": pdf["path"], "encoding": [growing.encoding_of(growing.head(p)) for p in pdf["path"]]})
 
-    files = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, prefix).alias("head"))
-    return files.mapInPandas(run, "run_id string, encoding string")
+    names = spark.read.format("binaryFile").load(path).select("path")  # the content column is not read
+    return names.mapInPandas(run, "run_id string, encoding string")
 
 
 #: (format, what a line looks like, least share of the first lines), in order of priority.

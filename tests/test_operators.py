@@ -148,3 +148,15 @@ def test_passage_is_the_best_paragraph(spark):
     docs = spark.createDataFrame([(1, "# Title\n\nfirst about nothing\n\n alpha beta \n\nbeta alpha gamma\n\nalpha beta gamma")], "id long, t string")
     cited, q = spark.createDataFrame([(7, 1)], "query long, doc long"), spark.createDataFrame([(7, "alpha"), (7, "gamma"), (7, "alpha")], "id long, term string")
     assert retrieval.passages(cited, docs, q, "t").first().passage == "beta alpha gamma"
+
+
+def test_canonical_text_at_every_depth(spark):
+    import json
+
+    from loomwatch.operators import ledger
+
+    cases = ['{"b": 1.0, "a": {"z": [{"d": 1, "c": null}], "é": "x\\u00e9\\n"}, "B": 1e5}', '[{"b":-0.0,"a":12345678901234567890}]', '{"a":1,"a":2}', "bad{", "", None]
+    d = spark.createDataFrame([(k, c) for k, c in enumerate(cases)], "k int, t string").select("k", ledger.canonical_text(F.col("t")).alias("c"))
+    got = [r.c for r in d.orderBy("k").collect()]
+    assert got[0] == json.dumps(json.loads(cases[0]), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    assert got[1:] == ['[{"a":12345678901234567890,"b":-0.0}]', '{"a":2}', None, None, None]

@@ -57,3 +57,22 @@ def test_split_around_an_entity_and_restated(spark):
     assert [x.id for x in enrich.restated(model, det).collect()] == [2]
     page, total = enrich.findings_page(spark.createDataFrame([(1, "LOW", "a", "h"), (2, "HIGH", "b", "h")], "seq int, severity string, type string, host string"), limit=1)
     assert page.first().type == "b" and (total.first().total, total.first().truncated) == (2, True)
+
+
+def test_cross_validation_and_importance(spark):
+    d = triage.folds(triage.features(rows(spark)), k=3)
+    p = triage.cross_validate(d, k=3, trees=5, depth=3)
+    got = sorted((r.id, r.fold, r.opinion, r.label) for r in p.collect())
+    assert [g[0] for g in got] == list(range(120))  # every row once
+    scores = {r.fold: r for r in triage.fold_scores(p).collect()}
+    for fold in range(3):
+        mine = [(g[2], g[3]) for g in got if g[1] == fold]
+        assert scores[fold].rows == len(mine) and scores[fold].accuracy == round(sum(a == b for a, b in mine) / len(mine), 4)
+    s = {r.metric: r for r in triage.spread(triage.fold_scores(p)).collect()}
+    assert s["accuracy"].min <= s["accuracy"].mean <= s["accuracy"].max
+    m = triage.fit(d, trees=1, depth=1)
+    i = {r.feature: r.drop for r in triage.importance(m, d, "id").collect()}
+    assert set(i) == {None, *triage.vector_names()} and i[None] == 0
+    assert sum(x > 0 for x in i.values()) <= 1  # a stump reads one feature
+    again = {r.feature: r.drop for r in triage.importance(m, d.repartition(7), "id").collect()}
+    assert i == again
