@@ -138,16 +138,18 @@ class ChunkEncoder:
     pre-tokenizer cuts whatever stands on either side. Texts with separators on which Python and the tokenizer
     disagree are encoded whole. ``plain`` gives the letters of the one pre-token that an all-letter chunk becomes, or None;
     Unknown chunks of this kind go to the tokenizer many at a time;
-    the letters of the tokens that come back say which chunk they belong to. Others go one by one.
+    the letters of the tokens that come back say which chunk they belong to. ``parts`` gives the pre-tokens of any other chunk where it can tell
+    them, else None; those are chunks of their own. What is left goes one by one.
     """
 
-    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 300_000, together: int = 256):
+    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 300_000, together: int = 256, parts=lambda chunk: None):
         """``glue``: white space that parts two chunks, and the letters that it becomes; ``lead``: what a chunk that needs none begins with."""
-        self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = tokenizer, fast, slow, plain, lead, glue, dtype
+        self.parts, self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = parts, tokenizer, fast, slow, plain, lead, glue, dtype
         self.width, self.together = np.dtype(dtype).itemsize, together
         self.known = Memo(memo)
         size = tokenizer.get_vocab_size(with_added_tokens=False)
-        self.letters = np.array([len(tokenizer.id_to_token(k) or "") for k in range(size)], np.int64)
+        end = getattr(tokenizer.model, "end_of_word_suffix", None) or ""
+        self.letters = np.array([len((tokenizer.id_to_token(k) or "").removesuffix(end)) for k in range(size)], np.int64)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
@@ -155,7 +157,8 @@ class ChunkEncoder:
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks that the memo does not hold."""
         plain, known, bases, rest = self.plain, self.known, {}, []
-        led, bare, marked = [], [], []
+        led, bare, marked, parted = [], [], [], []
+        single: set[str] = set()
         for c in chunks:
             if (n := plain(c)) is not None:
                 bases[c] = n
@@ -163,6 +166,14 @@ class ChunkEncoder:
                 marked.append(c)
                 if c[:-1] not in known and c[:-1] not in known.old:
                     bases[c[:-1]] = n
+            elif (parts := self.parts(c)) is not None:
+                parted.append((c, parts))
+                single.update(parts)
+            else:
+                rest.append(c)
+        for c in known.unknown(single):
+            if (n := plain(c)) is not None:
+                bases[c] = n
             else:
                 rest.append(c)
         for c, n in bases.items():
@@ -192,6 +203,8 @@ class ChunkEncoder:
                 known[c] = self._whole(c)
         for c in marked:
             known[c] = known[c[:-1]] + known[c[-1]]
+        for c, parts in parted:
+            known[c] = b"".join([known[x] for x in parts])
 
     def __call__(self, texts: list[str], lot_chars: int = 1 << 20) -> list[bytes]:
         """Texts are taken in lots of about ``lot_chars``: the chunks of one lot are held at a time."""
@@ -230,6 +243,15 @@ def _plain_cased(chunk: str) -> int | None:
     return len(chunk.encode()) if (chunk[1:] if chunk[:1] == " " else chunk).isalpha() else None
 
 
+#: The pre-tokens of ASCII text in lower case, as the word-level vocabularies cut it.
+_ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
+
+
+def _ascii_parts(chunk: str) -> list[str] | None:
+    """None where a special string may stand in the chunk."""
+    return None if "<|" in chunk or not chunk.isascii() else _ASCII_WORDS(chunk.lower())
+
+
 def _plain_lower(chunk: str) -> int | None:
     if not chunk.isalpha():
         return None
@@ -251,4 +273,4 @@ def byte_level_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
 def word_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For BPE that lower-cases and drops white space: runs of ASCII white space are safe cuts."""
     split = lambda t: [c for c in _ASCII_WS.split(t) if c]
-    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, "", (" ", 0), dtype)
+    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, "", (" ", 0), dtype, parts=_ascii_parts)
