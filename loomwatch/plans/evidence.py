@@ -16,8 +16,8 @@ def range_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = F.when(F.pmod("o_orderkey", F.lit(50)) == 0, F.col("o_custkey") * 7).when(F.pmod("o_orderkey", F.lit(3)) == 0, 0).otherwise(F.pmod("o_custkey", F.lit(13)))
     r = table(spark, sf_dir, "orders").select(run(F.col("o_orderstatus") == "F").alias("run_id"), F.col("o_orderkey").alias("finding"), F.pmod(F.col("o_orderkey") * 37, F.lit(12_000)).alias("lo"), wide.alias("w"))
     r = r.withColumn("hi", F.col("lo") + F.col("w")).drop("w")
-    d = ranges.range_join(p, r, ["run_id"], "n", "lo", "hi")
-    return d.groupBy("run_id", "finding").agg(F.count("*").alias("records"), F.min("n").alias("first_n"), F.max("n").alias("last_n"))
+    d = ranges.range_totals(p, r, ["run_id"], "n", "lo", "hi")
+    return d.groupBy("run_id", "finding").agg(F.sum("records").alias("records"), F.min("first").alias("first_n"), F.max("last").alias("last_n"))
 
 
 def timeline_steps(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,31 @@ def test_range_join_equals_plain(spark):
     assert ranges.range_join(p, r.filter("false"), ["run"], "n", "lo", "hi").count() == 0
 
 
+@pytest.mark.parametrize("bits", [8, 17])
+def test_range_totals_equal_counted_join(spark, bits):
+    rnd = random.Random(3)
+    points = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([None, *range(-50, 400)])) for _ in range(300)]
+    spans = [(rnd.choice("abc"), lo := rnd.randint(-60, 400), lo + rnd.choice([0, 0, 1, 7, 60, 300, -1]), k) for k in range(120)]
+    spans += [("a", None, 3, 190), ("a", 3, None, 191), (None, 0, 400, 192), ("a", -(1 << 40), 1 << 40, 194)]
+    p, r = spark.createDataFrame(points, "run string, n int"), spark.createDataFrame(spans, "run string, lo long, hi long, r int")
+    d = ranges.range_totals(p, r, ["run"], "n", "lo", "hi", bits)
+    want = {}
+    for run, lo, hi, k in spans:
+        inside = [n for g, n in points if g == run and None not in (g, n, lo, hi) and lo <= n <= hi]
+        if inside:
+            want[k] = (len(inside), min(inside), max(inside))
+    assert {x.r: (x.records, x["first"], x["last"]) for x in d.collect()} == want and len(want) > 30
+    assert ranges.range_totals(p, r.filter("false"), ["run"], "n", "lo", "hi").count() == 0
+
+
+def test_range_totals_meet_no_pairs(spark):
+    """A hundred thousand ranges that hold a hundred thousand points each: ten thousand million pairs."""
+    p = spark.range(100_000).selectExpr("'r' as run", "id as n")
+    r = spark.range(100_000).selectExpr("'r' as run", "-id as lo", "id + 100000 as hi", "id as f")
+    d = ranges.range_totals(p, r, ["run"], "n", "lo", "hi")
+    assert d.filter("records = 100000 and first = 0 and last = 99999").count() == 100_000
+
+
 def test_range_join_meets_no_run_in_one_key(spark):
     """The equi-join is on bins: a point of a long run has as many rows as there are levels, a range two."""
     p = spark.range(20_000).selectExpr("'r' as run", "id as n")
