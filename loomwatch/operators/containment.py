@@ -13,10 +13,10 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of all literals together up to which they are sent to every task as one automaton.
 SENT_CHARS = 4_000_000
-#: Bytes by which longer literals meet texts beyond that size.
-GRAM = 6
-#: Bits of the filter of first grams that tasks test positions against.
-FILTER_BITS = 1 << 26
+#: Bytes from which literals meet texts by hashes beyond that size.
+GRAM = 4
+#: The filter that tasks test positions against has 2^n bits, at least eight a literal; the least and the greatest n (64 MB).
+LEAST_BITS, MOST_BITS = 20, 29
 
 
 @functools.lru_cache(maxsize=4)
@@ -48,67 +48,111 @@ def _found(texts: DataFrame, ident: str, text: str, literals: tuple[str, ...]) -
     return texts.select(ident, text).mapInArrow(run, f"{ident} {kind.simpleString()}, _lit string")
 
 
-def _grams(raw: bytes) -> np.ndarray:
-    """The first GRAM bytes at every position, as numbers."""
-    a = np.frombuffer(raw, np.uint8).astype(np.int64)
-    out = np.zeros(max(0, len(a) - GRAM + 1), np.int64)
-    for k in range(GRAM if len(out) else 0):
-        out = (out << 8) | a[k : k + len(out)]
-    return out
+def _doubled(raw: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(p, hashes of the p bytes from every position) for p = GRAM, 2 GRAM, ...: each from two halves."""
+    h = raw.astype(np.uint64) + np.uint64(1)
+    p = 1
+    while p <= len(raw):
+        if p >= GRAM:
+            yield p, h
+        h = _mixed(h[: max(0, len(h) - p)], h[p:])
+        p *= 2
 
 
-def _slot(grams: np.ndarray) -> np.ndarray:
-    return ((grams * np.int64(-7046029254386353131)) >> np.int64(20)) & np.int64(FILTER_BITS - 1)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _by_gram(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> DataFrame:
-    """(ident, _lit) for literals of GRAM bytes and more, beyond what can be sent: positions of a text whose gram may begin a literal leave their task as
-    (gram, what follows, as long as the longest literal) and meet the literals of that gram. What every task gets is a filter of fixed size."""
-    kind = texts.schema[ident].dataType
-    spark = texts.sparkSession
+def _slot(h: np.ndarray, size: int | np.ndarray, bits: int) -> np.ndarray:
+    """Where a hash of ``size`` bytes stands in a filter of 2^bits bits."""
+    return ((h ^ (np.asarray(size).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            g = [int(_grams(x.encode()[:GRAM])[0]) for x in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), b.column(0)], ["_gram", "_lit"])
 
-    keyed = literals.select("_lit").mapInArrow(first, "_gram long, _lit string")
-    longest = literals.agg(F.max(F.octet_length("_lit"))).collect()[0][0] or 0
+def _has(filter_: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (filter_[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _slices(texts: list[bytes], most: int, overlap: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Texts (their places, bytes) of about ``most`` bytes together; a longer one goes in parts that share ``overlap`` bytes."""
+    rows, parts, n = [], [], 0
+    for k, t in enumerate(texts):
+        for s in range(0, max(1, len(t) - overlap), most):
+            rows.append(k)
+            parts.append(t[s : s + most + overlap])
+            n += len(parts[-1])
+            if n >= most:
+                yield rows, parts
+                rows, parts, n = [], [], 0
+    if rows:
+        yield rows, parts
+
+
+def _by_hash(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> DataFrame:
+    """(ident, _lit) for literals of GRAM bytes and more, beyond what can be sent: substrings of a text that may be a literal leave their task and meet
+    the literals as equal bytes, so that literals which begin alike are as far apart as others.
+
+    What every task gets is a filter of bounded size: it knows each literal by its first p bytes (p: the greatest GRAM 2^k that fits) and as a whole (from
+    its first and its last p bytes, its length and their hashes). A position is tried against the first of these, then against the lengths that occur."""
+    kind = texts.schema[ident].dataType
+    spark = texts.sparkSession
+    sizes: dict[int, list[int]] = {}
+    total = 0
+    for r in literals.groupBy(F.octet_length("_lit").alias("n")).agg(F.count("*").alias("c")).collect():  # distinct lengths only
+        total += r["c"]
+        sizes.setdefault(GRAM << ((r["n"] // GRAM).bit_length() - 1), []).append(r["n"])
+    longest = max((n for some in sizes.values() for n in some), default=0)
+    log = min(MOST_BITS, max(LEAST_BITS, (8 * total).bit_length()))
+    width = (1 << log) // 8
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(FILTER_BITS // 8, np.uint8)
+        seen = np.zeros(width, np.uint8)
         for b in batches:
-            s = _slot(b.column(0).to_numpy(zero_copy_only=False))
-            np.bitwise_or.at(seen, s >> 3, (1 << (s & 7)).astype(np.uint8))
+            raw = [x.encode() for x in b.column(0).to_pylist()]
+            for _, parts in _slices(raw, 1 << 20, longest):
+                ends = np.cumsum([len(x) for x in parts])
+                length = np.array([len(x) for x in parts])
+                for p, h in _doubled(np.frombuffer(b"".join(parts), np.uint8)):
+                    own = (length >= p) & (length < 2 * p)
+                    first = h[(ends - length)[own]]
+                    for slot in (_slot(first, p, log), _slot(_mixed(first, h[(ends - p)[own]]), length[own], log)):
+                        np.bitwise_or.at(seen, slot >> np.uint64(3), np.left_shift(1, slot & np.uint64(7), dtype=np.uint64).astype(np.uint8))
         for k in np.flatnonzero(seen.reshape(-1, 4096).any(axis=1)).tolist():  # only the parts that are not empty
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([seen[k * 4096 : (k + 1) * 4096].tobytes()], pa.binary())], ["part", "bits"])
 
-    merged = np.zeros(FILTER_BITS // 8, np.uint8)
+    merged = np.zeros(width, np.uint8)
 
     def either(t: pa.Table) -> pa.Table:
         both = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t.column("bits").to_pylist()])
         return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([both.tobytes()], pa.binary())})
 
-    parts = keyed.select("_gram").mapInArrow(bits, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary")
-    for r in parts.collect():  # FILTER_BITS / 8 bytes at most
+    parts = literals.select("_lit").mapInArrow(bits, "part int, bits binary").groupBy("part").applyInArrow(either, "part int, bits binary")
+    for r in parts.collect():  # 2^MOST_BITS / 8 bytes at most
         merged[r["part"] * 4096 : (r["part"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
     sent = spark.sparkContext.broadcast(zlib.compress(merged.tobytes(), 1))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filter_ = np.frombuffer(zlib.decompress(sent.value), np.uint8)
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = (t or "").encode()
-                for s in range(0, max(1, len(raw)), 1 << 20):  # a very long text leaves in parts
-                    g = _grams(raw[s : s + (1 << 20) + GRAM - 1])
-                    slot = _slot(g)
-                    at = np.flatnonzero(filter_[slot >> 3] >> (slot & 7).astype(np.uint8) & 1)
-                    after = [raw[s + k : s + k + longest] for k in at.tolist()]
-                    cols = [pa.array([d] * len(at), to_arrow_type(kind)), pa.array(g[at], pa.int64()), pa.array(after, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(cols, [ident, "_gram", "_after"])
-
-    found = texts.select(ident, text).mapInArrow(places, f"{ident} {kind.simpleString()}, _gram long, _after binary").distinct()
-    return found.join(keyed, "_gram").filter(F.startswith("_after", F.col("_lit").cast("binary"))).select(ident, "_lit")
+            for rows, some in _slices([(t or "").encode() for t in b.column(1).to_pylist()], 1 << 20, max(0, longest - 1)):
+                whole, length = b"".join(some), np.array([len(x) for x in some])
+                of = np.repeat(np.arange(len(some)), length)
+                left = np.repeat(np.cumsum(length), length) - np.arange(len(whole))  # bytes up to the end of the own text
+                at, found = [], []
+                for p, h in _doubled(np.frombuffer(whole, np.uint8)):
+                    if p not in sizes:
+                        continue
+                    may = np.flatnonzero(_has(filter_, _slot(h, p, log)) & (left[: len(h)] >= p))
+                    for n in sizes[p]:
+                        k = may[left[may] >= n]
+                        k = k[_has(filter_, _slot(_mixed(h[k], h[k + (n - p)]), n, log))]
+                        at.append(k)
+                        found += [whole[i : i + n] for i in k.tolist()]
+                where = np.array(rows)[of[np.concatenate(at)]] if found else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where)), pa.array(found, pa.binary())], [ident, "_bytes"])
+
+    found = texts.select(ident, text).mapInArrow(places, f"{ident} {kind.simpleString()}, _bytes binary").distinct()
+    return found.join(literals.select("_lit", F.col("_lit").cast("binary").alias("_bytes")), "_bytes").select(ident, "_lit")
 
 
 def _short(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> DataFrame:
@@ -126,12 +170,12 @@ def contained(texts: DataFrame, literals: DataFrame, ident: str, text: str, lite
     """(ident, literal): each text with each distinct literal that it contains, once. Null and empty literals lie nowhere, null texts hold nothing.
 
     Literals that are no more than ``sent_chars`` characters together go to every task as one automaton; beyond, those of GRAM bytes and more meet the
-    texts by their first bytes, shorter ones as substrings; nothing that grows with them is sent."""
+    substrings that a filter of hashes lets through, shorter ones all substrings of their length; nothing that grows with them is sent."""
     lits = literals.select(F.col(literal).alias("_lit")).filter("_lit <> ''").distinct()
     size = lits.agg(F.coalesce(F.sum(F.length("_lit")), F.lit(0))).collect()[0][0]
     if size <= sent_chars:
         out = _found(texts, ident, text, tuple(sorted(r["_lit"] for r in lits.collect())))
     else:
         short = F.octet_length("_lit") < GRAM
-        out = _by_gram(texts, ident, text, lits.filter(~short)).unionByName(_short(texts, ident, text, lits.filter(short)))
+        out = _by_hash(texts, ident, text, lits.filter(~short)).unionByName(_short(texts, ident, text, lits.filter(short)))
     return out.distinct().withColumnRenamed("_lit", literal)

@@ -77,3 +77,14 @@ def test_long_text_in_parts(spark):
     t = spark.createDataFrame([(1, text)], "id long, text string")
     w = spark.createDataFrame([("needle!",), ("needle?",)], "lit string")
     assert [tuple(r) for r in containment.contained(t, w, "id", "text", "lit", 0).collect()] == [(1, "needle!")]
+
+
+def test_literals_that_begin_alike_do_not_meet_in_one_key(spark):
+    """Substrings leave a task only where a whole literal may stand, though all literals and all texts share their first bytes."""
+    n = 20_000
+    w = spark.range(n).selectExpr("concat('<order line ', id, '>') as lit")
+    t = spark.range(2 * n).selectExpr("id", "concat('seen: <order line ', id, '> and more') as text")
+    d = containment.contained(t, w, "id", "text", "lit", 0)
+    assert d.filter("lit = concat('<order line ', id, '>')").count() == n == d.count()
+    left = containment._by_hash(t, "id", "text", w.withColumnRenamed("lit", "_lit"))._jdf.queryExecution().analyzed().toString()
+    assert "_bytes" in left and "_gram" not in left
