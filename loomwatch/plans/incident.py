@@ -104,8 +104,8 @@ def store_query(spark, sf_dir):
 
 def bm25(spark, sf_dir):
     """Documents ranked for each benchmark passage: the best one that passes the bars."""
-    docs = retrieval.terms(table(spark, sf_dir, "documents"), "doc_id", "text")
-    d = retrieval.cite(retrieval.bm25_best(docs, retrieval.words(table(spark, sf_dir, "benchmark"), "item_id", "text")))
+    q = retrieval.words(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    d = retrieval.cite(retrieval.best_documents(table(spark, sf_dir, "documents"), "doc_id", "text", q))
     return d.select("query", "doc", F.round("score", 6).alias("score"), F.round("coverage", 6).alias("coverage"))
 
 
@@ -113,7 +113,7 @@ def cited_passages(spark, sf_dir):
     """The best document of each benchmark passage's first twenty words, and its paragraph that holds most of them."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     q = retrieval.words(table(spark, sf_dir, "benchmark").withColumn("text", F.substring_index(F.regexp_replace("text", "[^A-Za-z0-9]+", " "), " ", 20)), "item_id", "text")
-    best = retrieval.cite(retrieval.bm25_best(retrieval.terms(d, "id", "text"), q), 0.0, 0.0)
+    best = retrieval.cite(retrieval.best_documents(d, "id", "text", q), 0.0, 0.0)
     return retrieval.passages(best, d, q, "text").select("query", "doc", F.sha2("passage", 256).alias("passage_sha256"))
 
 

@@ -144,6 +144,23 @@ def test_best_by_bound_equals_best_of_all(spark):
         assert a == b and len(a) >= 40
 
 
+def test_best_by_one_scan_equals_best_of_all(spark):
+    import random
+
+    rnd = random.Random(11)
+    word = lambda: rnd.choice(["w", "W", "\u212a", "\u0130x", "é", "longwordoverthesixteen", "abcdefgh"]) + str(min(rnd.randint(0, 30), rnd.randint(0, 30)))
+    texts = [" ".join(word() for _ in range(rnd.randint(0, 40))) for _ in range(120)]
+    docs = spark.createDataFrame([*((k, t) for k, t in enumerate(texts)), *((k + 500, t) for k, t in enumerate(texts[:40])), (900, None), (901, "w1, " * 400_000)], "id long, t string").repartition(3)
+    q = spark.createDataFrame([(k, " ".join(word() for _ in range(rnd.randint(1, 8)))) for k in range(40)] + [(99, "nowhere"), (98, "w0 w0 w1")], "id long, t string")
+    w = retrieval.words(q, "id", "t")
+    a, b, c = ({r.query: (r.doc, round(r.score, 9), r.coverage) for r in retrieval.cite(f, 0.0, 0.0).collect()} for f in (
+        retrieval.bm25(retrieval.terms(docs, "id", "t"), w), retrieval.best_documents(docs, "id", "t", w), retrieval.best_documents(docs, "id", "t", w, 0)))
+    assert a == b == c and len(a) >= 40
+    plan = retrieval.best_documents(docs, "id", "t", w)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert retrieval.best_documents(docs.filter("false"), "id", "t", w).count() == 0 == retrieval.best_documents(docs, "id", "t", w.filter("false")).count()
+
+
 def test_passage_is_the_best_paragraph(spark):
     docs = spark.createDataFrame([(1, "# Title\n\nfirst about nothing\n\n alpha beta \n\nbeta alpha gamma\n\nalpha beta gamma")], "id long, t string")
     cited, q = spark.createDataFrame([(7, 1)], "query long, doc long"), spark.createDataFrame([(7, "alpha"), (7, "gamma"), (7, "alpha")], "id long, term string")
