@@ -22,6 +22,8 @@ MOVES = {"open": ["acknowledged", "resolved"], "acknowledged": ["resolved", "ope
 ANY = {a: list(P.INCIDENT_STATES) for a in P.INCIDENT_STATES}
 #: Stands for what a block found at its entry.
 KEPT = "="
+#: Stands for every entry state, where a block does the same from each of them.
+ANY_ENTRY = "*"
 #: Effects: state; first move away from the start; entry into a final state; disposition with its reason and time.
 ENTRY = "state string, ack long, res long, disposition string, reason string, disposed_at long"
 STEP = f"from_state string, accepted boolean, rejected_for string, history string, cleared string, {ENTRY}"
@@ -94,6 +96,7 @@ def steps(transitions: DataFrame, allowed: dict[str, list[str]] = MOVES, start:
     kind = rows.schema["incident"].dataType
     fresh = {"state": start, "ack": None, "res": None, "disposition": None, "reason": None, "disposed_at": None}
     states = list(allowed)
+    everywhere = {to for to in states if all(to in allowed[s] for s in states)}
     name, arrow = kind.simpleString(), to_arrow_type(kind)
     order = ("seq", "to", "at")
 
@@ -103,20 +106,27 @@ def steps(transitions: DataFrame, allowed: dict[str, list[str]] = MOVES, start:
                 # a stamp or disposition that the block finds at its entry is carried as a mark, so that the exit tells what was kept
                 now = {s: {**fresh, "state": s, "ack": KEPT, "res": KEPT, "disposition": KEPT} for s in states}
                 first_ack, first_res = dict.fromkeys(states), dict.fromkeys(states)
+                moved = False  # until then every entry is as it was
                 for r in some:
-                    for s in states:
+                    if r["bad"] or r["to"] not in allowed:
+                        continue
+                    if not moved and r["to"] in everywhere:  # from here on the entry makes no difference: one stands for all
+                        now = {ANY_ENTRY: now[states[0]]}
+                    moved = True
+                    for s in now:
                         before = now[s]
                         now[s], why, _, _ = move(before, r, allowed, final, start)
                         if why is None:
-                            if first_ack[s] is None and r["to"] != start:
+                            if first_ack.get(s) is None and r["to"] != start:
                                 first_ack[s] = r["at"]
-                            if first_res[s] is None and r["to"] in final:
+                            if first_res.get(s) is None and r["to"] in final:
                                 first_res[s] = r["at"]
-                for s in states:
-                    x = now[s]
+                if not moved:
+                    now = {ANY_ENTRY: {**now[states[0]], "state": KEPT}}
+                for s, x in now.items():
                     said = x["disposition"] != KEPT
-                    res = (False, first_res[s]) if x["res"] == KEPT else (True, x["res"])
-                    yield incident, blk, s, x["state"], first_ack[s], *res, said, x["disposition"] if said else None, x["reason"], x["disposed_at"]
+                    res = (False, first_res.get(s)) if x["res"] == KEPT else (True, x["res"])
+                    yield incident, blk, s, x["state"], first_ack.get(s), *res, said, x["disposition"] if said else None, x["reason"], x["disposed_at"]
 
         return _batches(out(), of_block)
 
@@ -130,11 +140,11 @@ def steps(transitions: DataFrame, allowed: dict[str, list[str]] = MOVES, start:
                 now = dict(fresh)
                 for (blk,), some in _groups(of_incident):
                     yield incident, blk, *now.values()
-                    f = next(x for x in some if x["entry"] == now["state"])
+                    f = next(x for x in some if x["entry"] in (now["state"], ANY_ENTRY))
                     ack = f["ack"] if now["ack"] is None else now["ack"]
                     res = f["res"] if f["res_set"] else f["res"] if now["res"] is None else now["res"]
                     said = f if f["d_set"] else now
-                    now = {"state": f["state"], "ack": ack, "res": res, **{k: said[k] for k in ("disposition", "reason", "disposed_at")}}
+                    now = {"state": now["state"] if f["state"] == KEPT else f["state"], "ack": ack, "res": res, **{k: said[k] for k in ("disposition", "reason", "disposed_at")}}
 
         return _batches(out(), of_entry)
 
@@ -163,7 +173,7 @@ def steps(transitions: DataFrame, allowed: dict[str, list[str]] = MOVES, start:
 
 
 def _groups(rows: Iterator[dict]) -> Iterator[tuple[tuple, list[dict]]]:
-    """Lists of rows of one block: one for each entry state."""
+    """Lists of rows of one block: one for each entry state, or one for all."""
     import itertools
 
     for k, some in itertools.groupby(rows, key=lambda r: r["blk"]):

@@ -62,3 +62,22 @@ def test_small_machine_in_blocks(spark):
     for block in (1, 4, 100):
         got = {r.incident: tuple(r)[1:] for r in L.lifecycle(t, block=block).collect()}
         assert got == {"i": ("resolved", 4, 1, None, 14), "j": ("open", 0, 1, None, None)}
+
+
+def test_a_block_that_does_the_same_from_every_state_is_one_row(spark, monkeypatch):
+    """Where any move is allowed, blocks of one move each leave their tasks once, not once for each state."""
+    seen = []
+    real = L._groups
+
+    def counted(rows):
+        for k, some in real(rows):
+            seen.append(len(some))
+            yield k, some
+
+    monkeypatch.setattr(L, "_groups", counted)
+    rows = [("a", k, to, k, None, None) for k, to in enumerate(["closed", "nowhere", "new", "bogus", "triaged", "closed"])]
+    t = spark.createDataFrame(rows, SCHEMA)
+    blocks = L.steps(t, L.ANY, "new", P.INCIDENT_TERMINAL, 1)
+    assert blocks.count() == 6
+    assert [(r.state, r.acknowledged_at, r.resolved_at, r.rejected) for r in L.current(t, 1).collect()] == [("closed", 0, 5, 2)]
+    assert L.ANY_ENTRY not in L.ANY and L.ANY_ENTRY not in L.MOVES
