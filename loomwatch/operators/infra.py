@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from loomwatch.functions import patterns as P
-from loomwatch.operators.rules import device_type, found, union_pattern
+from loomwatch.operators.rules import device_type, found, opening_pattern, union_pattern
 from loomwatch.sources.envelopes import lookup
 
 
@@ -69,12 +69,14 @@ def servicing(records: DataFrame, steps: int = 50) -> DataFrame:
 
 
 def text_severity(text: Column) -> Column:
-    """The first family with a match, behind one union pattern each."""
+    """The first family with a match, behind one union pattern each; texts without a word with which a rule begins are not tried."""
     out = None
     for sev, rules in (("critical", P.INFRA_CRITICAL), ("high", P.INFRA_HIGH), ("medium", P.INFRA_MEDIUM), ("low", P.INFRA_LOW)):
-        hit = text.rlike(union_pattern(rules).replace("(?is)", "(?i)"))
+        union, opening = union_pattern(rules).replace("(?is)", ""), opening_pattern(rules)
+        hit = text.rlike(f"(?i){union}" if opening is None else f"(?i)(?={opening[4:]})(?:{union})")
         out = F.when(hit, sev) if out is None else out.when(hit, sev)
-    return out
+    opening = opening_pattern(P.INFRA_CRITICAL + P.INFRA_HIGH + P.INFRA_MEDIUM + P.INFRA_LOW)
+    return out if opening is None else F.when(text.rlike(opening), out)
 
 
 def infrastructure(records: DataFrame) -> DataFrame:

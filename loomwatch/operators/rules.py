@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -122,6 +124,20 @@ def union_pattern(rules: list[str]) -> str:
     return "(?is)" + "|".join(f"(?:{r})" for r in rules)
 
 
+def opening_pattern(rules: list[str]) -> str | None:
+    """One pattern that matches wherever one of the rules begins, if each begins with a word of a list: words are tried by their first letter, and only
+    where a word begins. Without a match no rule has one."""
+    words: dict[str, set[str]] = {}
+    for r in rules:
+        head = re.match(r"\\b\(([^()]*)\)", r)
+        for w in head.group(1).split("|") if head else [""]:
+            plain = re.match("[a-z]*", w).group()
+            if not plain:
+                return None
+            words.setdefault(plain[0], set()).add(plain[1:])
+    return "(?i)(?<![a-z0-9_])(?:" + "|".join(f"{a}(?:{'|'.join(sorted(rest))})" for a, rest in sorted(words.items())) + ")(?![a-z0-9_])"
+
+
 def once(value: Column) -> Column:
     """The value, worked out once a row: filter and projection of a dear expression do not each repeat it."""
     return F.explode(F.array(value))

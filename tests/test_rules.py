@@ -1,6 +1,7 @@
 """Golden cases: small logs typed in here, findings compared as (type, severity, entity) sets."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomwatch.operators import canonical as C, rules
 from loomwatch.sources import envelopes as E, lines as L
@@ -103,3 +104,18 @@ def test_windows_and_status_fields(spark):
     assert c[1] == ("auth_fail", "windows_4625", "auth failed for user 'bob' from 203.0.113.5")
     assert c[2][0] is None and c[3][1] == "auth_csv" and c[4][0] is None
     assert {(r.type, r.severity) for r in rules.windows_events(d).collect()} == {("windows_audit_log_cleared", "critical")}
+
+
+def test_opening_words_lose_no_match(spark):
+    """The gate passes every text that a rule matches, and no rule's pattern is tried where none of its words stands."""
+    from loomwatch.functions import patterns as P
+    from loomwatch.operators import infra
+    from loomwatch.operators.rules import opening_pattern, union_pattern
+
+    texts = ["Link DOWN", "the uplink err-disabled", "é-port down", "_port down", "fibre channel path lost", "login attempt x failed", "spanning-tree root change", "clock has drift", "data leak detected", "ransomware", "xransomware", "DLP a violation", "firewall rule removed", "7port up", "nothing", ""]
+    families = [("critical", P.INFRA_CRITICAL), ("high", P.INFRA_HIGH), ("medium", P.INFRA_MEDIUM), ("low", P.INFRA_LOW)]
+    d = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.coalesce(*(F.when(F.col("t").rlike(union_pattern(r).replace("(?is)", "(?i)")), s) for s, r in families))
+    got = d.select("t", infra.text_severity(F.col("t")).alias("a"), plain.alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and sum(r.a is not None for r in got) > 8
+    assert all(opening_pattern(r) for _, r in families) and opening_pattern([r"x\d+"]) is None
