@@ -88,19 +88,20 @@ def _slices(texts: list[bytes], most: int, overlap: int) -> Iterator[tuple[list[
         yield rows, parts
 
 
-def _by_hash(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> DataFrame:
-    """(ident, _lit) for literals of GRAM bytes and more, beyond what can be sent: substrings of a text that may be a literal leave their task and meet
-    the literals as equal bytes, so that literals which begin alike are as far apart as others.
+def _by_hash(texts: DataFrame, ident: str, text: str, literals: DataFrame, lengths: dict[int, int] | None = None) -> DataFrame:
+    """(ident, _lit) for literals of GRAM bytes and more, beyond what can be sent: the substrings of a text that may be a literal (every one that is, and a few
+    that are not) leave their task. Literals which begin alike are as far apart as others. ``lengths``: how many distinct literals have so many bytes.
 
     What every task gets is a filter of bounded size: it knows each literal by its first p bytes (p: the greatest GRAM 2^k that fits) and as a whole (from
     its first and its last p bytes, its length and their hashes). A position is tried against the first of these, then against the lengths that occur."""
     kind = texts.schema[ident].dataType
     spark = texts.sparkSession
+    if lengths is None:
+        lengths = {r["n"]: r["c"] for r in literals.distinct().groupBy(F.octet_length("_lit").alias("n")).agg(F.count("*").alias("c")).collect()}
     sizes: dict[int, list[int]] = {}
-    total = 0
-    for r in literals.groupBy(F.octet_length("_lit").alias("n")).agg(F.count("*").alias("c")).collect():  # distinct lengths only
-        total += r["c"]
-        sizes.setdefault(GRAM << ((r["n"] // GRAM).bit_length() - 1), []).append(r["n"])
+    total = sum(lengths.values())
+    for n in lengths:
+        sizes.setdefault(GRAM << ((n // GRAM).bit_length() - 1), []).append(n)
     longest = max((n for some in sizes.values() for n in some), default=0)
     log = min(MOST_BITS, max(LEAST_BITS, (8 * total).bit_length()))
     width = (1 << log) // 8
@@ -148,11 +149,13 @@ def _by_hash(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> Da
                         k = k[_has(filter_, _slot(_mixed(h[k], h[k + (n - p)]), n, log))]
                         at.append(k)
                         found += [whole[i : i + n] for i in k.tolist()]
-                where = np.array(rows)[of[np.concatenate(at)]] if found else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(where)), pa.array(found, pa.binary())], [ident, "_bytes"])
+                where = np.array(rows)[of[np.concatenate(at)]].tolist() if found else []
+                once = list(dict.fromkeys(zip(where, found)))  # of a text that repeats itself, each substring leaves once a slice
+                ids = b.column(0).take(pa.array([k for k, _ in once], pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([w for _, w in once], pa.binary())], [ident, "_bytes"])
 
-    found = texts.select(ident, text).mapInArrow(places, f"{ident} {kind.simpleString()}, _bytes binary").distinct()
-    return found.join(literals.select("_lit", F.col("_lit").cast("binary").alias("_bytes")), "_bytes").select(ident, "_lit")
+    found = texts.select(ident, text).mapInArrow(places, f"{ident} {kind.simpleString()}, _bytes binary")
+    return found.select(ident, F.col("_bytes").cast("string").alias("_lit"))
 
 
 def _short(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> DataFrame:
@@ -166,16 +169,27 @@ def _short(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> Data
     return out
 
 
+def _candidates(texts: DataFrame, literals: DataFrame, ident: str, text: str, sent_chars: int) -> DataFrame:
+    """(ident, _lit): each text with every literal (``_lit``, not empty) that it contains, and perhaps with other substrings of it: an equi-join with the literals
+    leaves what is right. What was found in one place may come from another again."""
+    sizes = literals.distinct().groupBy(F.octet_length("_lit").alias("n")).agg(F.count("*").alias("c"), F.sum(F.length("_lit")).alias("chars")).collect()
+    if sum(r["chars"] for r in sizes) <= sent_chars:
+        return _found(texts, ident, text, tuple(sorted(r["_lit"] for r in literals.distinct().collect())))
+    lengths = {r["n"]: r["c"] for r in sizes if r["n"] >= GRAM}  # distinct lengths only
+    out = _by_hash(texts, ident, text, literals.filter(F.octet_length("_lit") >= GRAM), lengths)
+    return out.unionByName(_short(texts, ident, text, literals.filter(F.octet_length("_lit") < GRAM).distinct())) if len(lengths) < len(sizes) else out
+
+
 def contained(texts: DataFrame, literals: DataFrame, ident: str, text: str, literal: str, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(ident, literal): each text with each distinct literal that it contains, once. Null and empty literals lie nowhere, null texts hold nothing.
 
     Literals that are no more than ``sent_chars`` characters together go to every task as one automaton; beyond, those of GRAM bytes and more meet the
     substrings that a filter of hashes lets through, shorter ones all substrings of their length; nothing that grows with them is sent."""
-    lits = literals.select(F.col(literal).alias("_lit")).filter("_lit <> ''").distinct()
-    size = lits.agg(F.coalesce(F.sum(F.length("_lit")), F.lit(0))).collect()[0][0]
-    if size <= sent_chars:
-        out = _found(texts, ident, text, tuple(sorted(r["_lit"] for r in lits.collect())))
-    else:
-        short = F.octet_length("_lit") < GRAM
-        out = _by_hash(texts, ident, text, lits.filter(~short)).unionByName(_short(texts, ident, text, lits.filter(short)))
-    return out.distinct().withColumnRenamed("_lit", literal)
+    lits = literals.select(F.col(literal).alias("_lit")).filter("_lit <> ''")
+    return _candidates(texts, lits, ident, text, sent_chars).join(lits, "_lit", "left_semi").select(ident, "_lit").distinct().withColumnRenamed("_lit", literal)
+
+
+def contained_rows(texts: DataFrame, rows: DataFrame, ident: str, text: str, literal: str, sent_chars: int = SENT_CHARS) -> DataFrame:
+    """``contained`` joined with ``rows`` that have the literal as a column, in one join: ident and all columns of ``rows``, perhaps more than once."""
+    rows = rows.filter(F.col(literal) != "")
+    return _candidates(texts, rows.select(F.col(literal).alias("_lit")), ident, text, sent_chars).withColumnRenamed("_lit", literal).join(rows, literal)

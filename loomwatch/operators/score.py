@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from loomwatch.operators.containment import contained
+from loomwatch.operators.containment import contained_rows
 from loomwatch.operators.incidents import severity_rank
 from loomwatch.operators.ranges import range_join
 
@@ -38,11 +38,12 @@ def cited_hits(findings: DataFrame, labelled: DataFrame, on: list[str] | None =
     on = on or []
     r = findings.select(*on, "finding", "lo", "hi").distinct()
     by_range = range_join(labelled.select(*on, "line").distinct(), r, on, "line", "lo", "hi").select(*on, "finding", "line")
-    quoted = labelled.select(*on, "line", F.btrim("raw", F.lit(" \t\r\n")).alias("raw")).filter("raw <> ''")
-    texts = findings.select("evidence").filter("evidence is not null").distinct()
-    inside = contained(texts.select("evidence", F.col("evidence").alias("_text")), quoted, "evidence", "_text", "raw")
-    verbatim = findings.select(*on, "finding", "evidence").join(inside, "evidence").join(quoted, [*on, "raw"]).select(*on, "finding", "line")
-    return by_range.unionByName(verbatim).distinct()
+    quoted = labelled.select(*(F.col(c).alias(f"_of_{c}") for c in on), "line", F.btrim("raw", F.lit(" \t\r\n")).alias("raw"))
+    texts = findings.filter("evidence is not null").select(F.struct(*on, "finding").alias("_f"), "evidence").distinct()
+    verbatim = contained_rows(texts, quoted, "_f", "evidence", "raw")
+    for c in on:
+        verbatim = verbatim.filter(F.col(f"_f.{c}") == F.col(f"_of_{c}"))
+    return by_range.unionByName(verbatim.select("_f.*", "line")).distinct()
 
 
 def scorecard(findings: DataFrame, hits: DataFrame, labelled: DataFrame) -> DataFrame:
@@ -63,9 +64,12 @@ def misses(findings: DataFrame, hits: DataFrame, labelled: DataFrame, by: str, k
     format and in total (by null). ``samples``: the first ``keep`` of each group verbatim; ranks are limited before the shuffle, so a group is never gathered.
 
     In: findings (by, finding, evidence), hits (finding, line), labelled (by, line, raw)."""
-    missed = labelled.join(hits.select("line").distinct(), "line", "left_anti").select(by, F.lit("miss").alias("kind"), F.col("line").alias("_at"), F.col("raw").alias("text"))
-    false = findings.join(hits.select("finding").distinct(), "finding", "left_anti").select(by, F.lit("false positive").alias("kind"), F.col("finding").alias("_at"), F.col("evidence").alias("text"))
-    d = missed.unionByName(false)
+    lines = labelled.select(by, F.lit("miss").alias("kind"), F.col("line").alias("_at"), F.col("raw").alias("text"))
+    both = lines.unionByName(findings.select(by, F.lit("false positive").alias("kind"), F.col("finding").alias("_at"), F.col("evidence").alias("text")))
+    # hits are worked out once for lines and findings
+    at = both.schema["_at"].dataType
+    hit = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast(at).alias("_at")) for k, c in (("miss", "line"), ("false positive", "finding"))))
+    d = both.join(hits.select(F.explode(hit).alias("_h")).select("_h.*").distinct(), ["kind", "_at"], "left_anti")
     counted = d.groupingSets([["kind", by], ["kind"]], "kind", by).agg(F.count("*").alias("n"), F.grouping(by).alias("_all"))
     both = d.withColumn("_all", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<byte>"))).withColumn(by, F.when(F.col("_all") == 0, F.col(by)))
     rank = F.row_number().over(W.partitionBy("_all", "kind", by).orderBy("_at", "text"))

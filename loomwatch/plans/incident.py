@@ -134,11 +134,11 @@ def set_score(spark, sf_dir):
 def _cited(spark, sf_dir):
     """Rules cite ranges of lines (order lines) and quote one more verbatim; labelled lines are those returned."""
     li = table(spark, sf_dir, "lineitem").withColumn("line", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
-    quote = F.format_string("seen: <order line %d> and more", F.col("line") + 5)
+    quote = F.concat(F.lit("seen: <order line "), F.col("line") + 5, F.lit("> and more"))
     f = li.filter("l_quantity > 45").select(
         F.col("l_linestatus").alias("rule_id"), F.col("l_linestatus").alias("format"), F.col("line").alias("finding"), F.col("line").alias("lo"), (F.col("line") + 2).alias("hi"), quote.alias("evidence")
     )
-    return f, li.filter("l_returnflag = 'R'").select(F.col("l_linestatus").alias("format"), "line", F.format_string(" <order line %d>", "line").alias("raw"))
+    return f, li.filter("l_returnflag = 'R'").select(F.col("l_linestatus").alias("format"), "line", F.concat(F.lit(" <order line "), "line", F.lit(">")).alias("raw"))
 
 
 def scorecard(spark, sf_dir):

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from loomwatch.operators import containment, ranges
+from loomwatch.operators import containment, ranges, score
 
 
 def test_range_join_equals_plain(spark):
@@ -88,3 +88,28 @@ def test_literals_that_begin_alike_do_not_meet_in_one_key(spark):
     assert d.filter("lit = concat('<order line ', id, '>')").count() == n == d.count()
     left = containment._by_hash(t, "id", "text", w.withColumnRenamed("lit", "_lit"))._jdf.queryExecution().analyzed().toString()
     assert "_bytes" in left and "_gram" not in left
+
+
+@pytest.mark.parametrize("sent", [1 << 20, 0])
+def test_contained_rows_equal_plain_join(spark, sent):
+    rnd = random.Random(5)
+    word = lambda n: "".join(rnd.choice("abé ") for _ in range(n))
+    rows = [(word(rnd.randint(0, 9)), k) for k in range(150)] + [(None, 900), ("", 901)]
+    texts = [word(rnd.randint(0, 50)) for _ in range(60)] + [None, ""]
+    t = spark.createDataFrame([((k % 2, k), x) for k, x in enumerate(texts)], "f struct<run:long,id:long>, text string").repartition(3)
+    d = containment.contained_rows(t, spark.createDataFrame(rows, "raw string, line long"), "f", "text", "raw", sent)
+    want = {(k, line) for k, x in enumerate(texts) for raw, line in rows if raw and x and raw in x}
+    assert {(r.f.id, r.line) for r in d.collect()} == want and len(want) > 100
+
+
+def test_hits_are_worked_out_once_for_misses(spark):
+    """Lines of two runs; a quote counts only in its own run, and both kinds of misses take one search of the evidence."""
+    f = spark.createDataFrame([("r", "a", 1, 5, 6, "x <l 3> y"), ("r", "a", 2, 50, 60, "nothing"), ("s", "b", 3, 50, 60, "x <l 3> y"), ("s", None, 4, 50, 60, None)], "run string, format string, finding long, lo long, hi long, evidence string")
+    lab = spark.createDataFrame([("r", "a", 3, " <l 3>"), ("r", "a", 6, "<l 6>"), ("r", "b", 7, " "), ("s", "b", 8, None)], "run string, format string, line long, raw string")
+    hits = score.cited_hits(f, lab, ["run"])
+    assert sorted(tuple(r) for r in hits.collect()) == [("r", 1, 3), ("r", 1, 6)]
+    d = score.misses(f, hits, lab, "format", 3)
+    got = {(r.format, r.kind, r.n) for r in d.collect()}
+    assert {("b", "miss", 2), (None, "miss", 2), ("a", "false positive", 1), ("b", "false positive", 1)} <= got and sum(r[2] for r in got) == 2 * 2 + 3 * 2
+    run = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert run.count("MapInArrow") == 1 and "ReusedExchange" in run
