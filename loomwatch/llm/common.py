@@ -8,10 +8,11 @@ import re
 import unicodedata
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loomwatch.session import shared_dir
@@ -134,7 +135,7 @@ class Memo(dict):
 class ChunkEncoder:
     """Token ids of a text (as little-endian bytes) from independent chunks, each distinct chunk encoded once.
 
-    ``fast`` cuts a text without double white space, ``slow`` any other; both cut only where the tokenizer's own
+    ``fast`` marks the cuts of a text without double white space by ``mark``, ``slow`` those of any other; both cut only where the tokenizer's own
     pre-tokenizer cuts whatever stands on either side. Texts with separators on which Python and the tokenizer
     disagree are encoded whole. ``plain`` gives the letters of the one pre-token that an all-letter chunk becomes, or None;
     Unknown chunks of this kind go to the tokenizer many at a time;
@@ -142,9 +143,9 @@ class ChunkEncoder:
     them, else None; those are chunks of their own. What is left goes one by one.
     """
 
-    def __init__(self, tokenizer, fast, slow, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 300_000, together: int = 256, parts=lambda chunk: None):
+    def __init__(self, tokenizer, fast, slow, mark: str, plain, lead: str, glue: tuple[str, int], dtype: str, memo: int = 300_000, together: int = 256, parts=lambda chunk: None):
         """``glue``: white space that parts two chunks, and the letters that it becomes; ``lead``: what a chunk that needs none begins with."""
-        self.parts, self.tk, self.fast, self.slow, self.plain, self.lead, self.glue, self.dtype = parts, tokenizer, fast, slow, plain, lead, glue, dtype
+        self.parts, self.tk, self.fast, self.slow, self.mark, self.plain, self.lead, self.glue, self.dtype = parts, tokenizer, fast, slow, mark, plain, lead, glue, dtype
         self.width, self.together = np.dtype(dtype).itemsize, together
         self.known = Memo(memo)
         size = tokenizer.get_vocab_size(with_added_tokens=False)
@@ -154,9 +155,44 @@ class ChunkEncoder:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tk.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _learn_letters(self, chunks: list[str]) -> list[str]:
+        """Encodes chunks of ASCII letters behind at most one ``lead`` many at a time, and with them those that end in a mark; what is left."""
+        known = self.known
+        all_ = pa.array(chunks, pa.large_string())
+        kind = pc.match_substring_regex(all_, "^ ?[A-Za-z]+$").to_numpy(zero_copy_only=False)
+        ended = pc.match_substring_regex(all_, "^ ?[A-Za-z]{2,}[.,;:!?]$").to_numpy(zero_copy_only=False)
+        ends_in = list(compress(chunks, ended))
+        words = list(compress(chunks, kind))
+        bases = {c[:-1] for c in ends_in}.difference(words)
+        words += [c for c in bases if c not in known and c not in known.old]
+        glue, more = self.glue
+        lost = []
+        for led in (True, False):
+            group = [c for c in words if (c[0] == self.lead) == led]
+            between, extra = ("", 0) if led else (glue, more)
+            lots = [group[k : k + self.together] for k in range(0, len(group), self.together)]
+            for lot, e in zip(lots, self.tk.encode_batch_fast([between.join((*x, "")) for x in lots], add_special_tokens=False)):
+                ids = np.array(e.ids, self.dtype)
+                ends = np.cumsum(self.letters[ids])
+                n = np.fromiter(map(len, lot), np.int64, len(lot))
+                upto = np.cumsum(n + extra) - extra
+                last, first = np.searchsorted(ends, upto), np.searchsorted(ends, upto - n, "right")
+                if not len(ends) or ends[-1] != upto[-1] + extra or (ends[last] != upto).any() or (np.where(first > 0, ends[first - 1], 0) != upto - n).any():
+                    lost += lot  # not cut where expected
+                    continue
+                raw = ids.tobytes()
+                known.update(zip(lot, [raw[a:b] for a, b in zip((first * self.width).tolist(), ((last + 1) * self.width).tolist())]))
+        for c in lost:
+            known[c] = self._whole(c)
+        if ends_in:
+            mark = {c: self._whole(c) for c in MARKS}
+            known.update([(c, known[c[:-1]] + mark[c[-1]]) for c in ends_in])
+        return list(compress(chunks, ~(kind | ended)))
+
     def learn(self, chunks: list[str]) -> None:
         """Encodes chunks that the memo does not hold."""
         plain, known, bases, rest = self.plain, self.known, {}, []
+        chunks = self._learn_letters(chunks)
         led, bare, marked, parted = [], [], [], []
         single: set[str] = set()
         for c in chunks:
@@ -206,7 +242,7 @@ class ChunkEncoder:
         for c, parts in parted:
             known[c] = b"".join([known[x] for x in parts])
 
-    def __call__(self, texts: list[str], lot_chars: int = 1 << 20) -> list[bytes]:
+    def __call__(self, texts: list[str], lot_chars: int = 4 << 20) -> list[bytes]:
         """Texts are taken in lots of about ``lot_chars``: the chunks of one lot are held at a time."""
         out: list[bytes] = []
         first = size = 0
@@ -218,25 +254,34 @@ class ChunkEncoder:
         return out
 
     def _lot(self, texts: list[str]) -> list[bytes]:
+        """Arrow cuts the texts, numbers the distinct chunks and strings their ids together; only distinct chunks are Python objects."""
         self.known.turn()
-        cut = [
-            None if any(c in t for c in UNSAFE) else self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t) for t in texts
-        ]
-        self.learn(self.known.unknown(set(chain.from_iterable(filter(None, cut)))))
+        unsafe = {k for k, t in enumerate(texts) if _UNSAFE(t)}
+        marked = ["" if k in unsafe else self.slow(t) if "  " in t or " \n" in t or _RUN(t) else self.fast(t) for k, t in enumerate(texts)]
+        cut = pc.split_pattern(pa.array(marked, pa.large_string()), self.mark)
+        del marked
+        ends = cut.offsets.to_numpy()
+        each = cut.flatten().dictionary_encode()
+        del cut
+        distinct = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn(self.known.unknown(set(distinct) - {""}))
         get = self.known.__getitem__
-        return [self._whole(t) if c is None else b"".join(map(get, c)) for t, c in zip(texts, cut)]
+        ids = pa.array([get(c) if c else b"" for c in distinct], pa.large_binary()).take(each.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[ends].tolist() if len(ids) else [0] * len(ends)
+        raw = memoryview(ids.buffers()[2]) if at[-1] else b""
+        return [self._whole(t) if k in unsafe else bytes(raw[at[k] : at[k + 1]]) for k, t in enumerate(texts)]
 
 
 #: Separators that Python takes for white space and the tokenizers do not.
-UNSAFE = ("\x1c", "\x1d", "\x1e", "\x1f")
+_UNSAFE = re.compile("[\x1c-\x1f]").search
 MARKS = ".,;:!?"
 _RUN = re.compile(r"\n\s").search
 _BYTE_LEVEL = re.compile(r" ?[^\s]+|\s+(?!\S)|\s+")
 _ASCII_WS = re.compile(r"[\x20\t-\r]+")
 
 
-def _cut_before_space(t: str) -> list[str]:
-    return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f").split("\x1f")
+def _cut_before_space(t: str) -> str:
+    return t.replace(" ", "\x1f ").replace("\n", "\x1f\n\x1f")
 
 
 def _plain_cased(chunk: str) -> int | None:
@@ -266,11 +311,11 @@ def _plain_lower(chunk: str) -> int | None:
 @functools.lru_cache(maxsize=4)
 def byte_level_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For byte-level BPE whose pre-tokenizer keeps one leading space with a word."""
-    return ChunkEncoder(load_tokenizer(path), _cut_before_space, _BYTE_LEVEL.findall, _plain_cased, " ", ("\n", 1), dtype)
+    slow = lambda t: "\x1f".join(_BYTE_LEVEL.findall(t))
+    return ChunkEncoder(load_tokenizer(path), _cut_before_space, slow, "\x1f", _plain_cased, " ", ("\n", 1), dtype)
 
 
 @functools.lru_cache(maxsize=4)
 def word_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For BPE that lower-cases and drops white space: runs of ASCII white space are safe cuts."""
-    split = lambda t: [c for c in _ASCII_WS.split(t) if c]
-    return ChunkEncoder(load_tokenizer(path), lambda t: [c for c in t.replace("\n", " ").split(" ") if c], split, _plain_lower, "", (" ", 0), dtype, parts=_ascii_parts)
+    return ChunkEncoder(load_tokenizer(path), lambda t: t.replace("\n", " "), lambda t: _ASCII_WS.sub(" ", t), " ", _plain_lower, "", (" ", 0), dtype, parts=_ascii_parts)

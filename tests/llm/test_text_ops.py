@@ -409,3 +409,21 @@ def test_classifier_learns_and_defines_edges(spark):
 def test_tiny_texts_share_sequences():
     assert packing.plan_bins({1: 4096})[1] == 1
     assert packing.plan_bins({1: 40_960, 3000: 10})[1] == 18  # 40960 + 30000 tokens in sequences of 4096
+
+
+@pytest.mark.parametrize("path,make", [(BYTE, common.byte_level_encoder), (WORD, common.word_encoder)])
+def test_python_meets_distinct_chunks_only(path, make):
+    class Counting(common.Memo):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counting.asked += 1
+            return super().__getitem__(key)
+
+    encode = make.__wrapped__(path)
+    encode.known = Counting(1000)
+    texts = ["alpha beta. gamma\n" * 5000, "", "x\x1cy z", "naïve co-op Don't! alpha,  beta \n\tgamma..", " ", "a" * 9000 + " b."]
+    tk = common.load_tokenizer(path)
+    want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want == [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
+    assert Counting.asked < 200
