@@ -232,8 +232,10 @@ class ChunkEncoder:
             for (c, _), x in zip(lot, ((at + 1) * self.width).tolist()):
                 known[c] = raw[before:x]
                 before = x
-        for c in rest:
-            known[c] = self._whole(c)
+        for k in range(0, len(rest), self.together):
+            lot = rest[k : k + self.together]
+            for c, e in zip(lot, self.tk.encode_batch_fast(lot, add_special_tokens=False)):
+                known[c] = np.array(e.ids, self.dtype).tobytes()
         for c in MARKS if marked else ():
             if c not in known:
                 known[c] = self._whole(c)
