@@ -8,20 +8,24 @@ number of tokens costs what its marks cost.
 
 from __future__ import annotations
 
+import bisect
+import functools
 import re
 from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from loomwatch.functions import patterns as P
 from loomwatch.functions.prefix import BLOCK
 from loomwatch.operators.containment import automaton
+from loomwatch.session import written
 
 LINE_CAP = P.LINE_CHARS  # of a log line; longer ones are no log lines
 OPEN, CLOSE = "\x01", "\x02"
+CONTROL = r"[\x00-\x08\x0B-\x1F\x7F]"
+MARK = re.compile(f"{OPEN}[^{CLOSE}]*{CLOSE}")
 KINDS = {"I": "IP", "U": "USER", "H": "HOST"}
 #: Known names up to which they go to every task; beyond, texts meet their scope's names in salted groups.
 SENT_NAMES = 200_000
@@ -30,21 +34,31 @@ GROUP_TEXTS = 20_000
 
 def clean(text: Column, cap: int | None = None) -> Column:
     """Control characters out; at most ``cap`` characters, if given (LINE_CAP for log lines)."""
-    t = F.regexp_replace(text, r"[\x00-\x08\x0B-\x1F\x7F]", "")
+    t = F.regexp_replace(text, CONTROL, "")
     return t if cap is None else F.substring(t, 1, cap)
 
 
+def _cues(text: Column) -> tuple[Column, Column, Column]:
+    """Whether a text may hold addresses of either kind, or user names: cheap tests that let most texts pass the patterns by."""
+    names = [F.contains(text, F.lit(c)) for c in P.USER_CUES]
+    return F.rlike(text, F.lit(P.IOC_IP_CUE)), F.rlike(text, F.lit(P.IPV6_CUE)), functools.reduce(Column.__or__, names)
+
+
 def marked(text: Column) -> Column:
-    """The clean text with its addresses and user names between marks, in the order in which kinds are looked for."""
-    t = F.regexp_replace(text, P.IOC_IP, f"{OPEN}I$0{CLOSE}")
-    t = F.regexp_replace(t, P.IPV6, f"{OPEN}I$0{CLOSE}")
+    """The clean text with its addresses and user names between marks, in the order in which kinds are looked for. Names are looked for outside the marks that
+    are there; a name's pattern may begin before a mark and go on behind it."""
+    ip, v6, user = _cues(text)
+    t = F.when(ip, F.regexp_replace(text, P.IOC_IP, f"{OPEN}I$0{CLOSE}")).otherwise(text)
+    named = t = F.when(v6, F.regexp_replace(t, P.IPV6, f"{OPEN}I$0{CLOSE}")).otherwise(t)
     for rx in P.USER_NAMES:
         before, name, after = re.fullmatch(r"(.*?)(\([^?].*?\))(\(\?=.*\))?", rx).groups()
         name = name.replace("[^'", f"[^'{OPEN}{CLOSE}")
         lead = before if before.startswith("(?<=") else f"({before})"
-        keep, pick = ("", "$1") if before.startswith("(?<=") else ("$1", "$2")
-        t = F.regexp_replace(t, f"{lead}{name}{after or ''}", f"{keep}{OPEN}U{pick}{CLOSE}")
-    return t
+        keep, pick = ("$1", "$2") if before.startswith("(?<=") else ("$1$2", "$3")
+        # a mark is stepped over as a match of its own, which leaves an empty mark behind
+        named = F.regexp_replace(named, f"({OPEN}[^{CLOSE}]*{CLOSE})|{lead}{name}{after or ''}", f"{keep}{OPEN}U{pick}{CLOSE}")
+        named = F.replace(named, F.lit(f"{OPEN}U{CLOSE}"), F.lit(""))
+    return F.when(user, named).otherwise(t)
 
 
 def pieces(mark: Column) -> Column:
@@ -55,27 +69,31 @@ def pieces(mark: Column) -> Column:
 def _outside(text: str, names: dict[str, str], find) -> str:
     """``text`` with known names between marks: whole words outside the marks that are there, users before hosts, the longest first."""
     word = lambda c: c.isalnum() or c == "_"
-    parts = re.split(f"({OPEN}[^{CLOSE}]*{CLOSE})", text)
-    for k in range(0, len(parts), 2):
-        p, hits = parts[k], []
-        for end, n in find(p):
-            a, b = end + 1 - len(n), end + 1
-            if (word(p[a]) != (a > 0 and word(p[a - 1]))) and (word(p[b - 1]) != (b < len(p) and word(p[b]))):
-                hits.append((names[n] != "USER", -len(n), n, a, b))
-        taken: list[tuple[int, int, str]] = []
-        for _, _, n, a, b in sorted(hits):
-            if all(b <= x or y <= a for x, y, _ in taken):
-                taken.append((a, b, n))
-        for a, b, n in sorted(taken, reverse=True):
-            p = f"{p[:a]}{OPEN}{names[n][0]}{n}{CLOSE}{p[b:]}"
-        parts[k] = p
-    return "".join(parts)
+    hits, most = [], len(text)
+    for end, n in find(text):
+        a, b = end + 1 - len(n), end + 1
+        if word(text[a]) != (a > 0 and word(text[a - 1])) and word(text[end]) != (b < most and word(text[b])):
+            hits.append((names[n] != "USER", a - b, n, a, b))
+    if not hits:
+        return text
+    taken = [m.span() for m in MARK.finditer(text)] if OPEN in text else []
+    put = []
+    for _, _, n, a, b in sorted(hits):
+        k = bisect.bisect_left(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b))
+            put.append((a, b, n))
+    parts, done = [], 0
+    for a, b, n in sorted(put):
+        parts += (text[done:a], OPEN, names[n][0], n, CLOSE)
+        done = b
+    return "".join(parts) + text[done:]
 
 
 def _with_known(texts: DataFrame, known: DataFrame, sent: int) -> DataFrame:
-    """``texts`` (scope, mark) with names of their scope's list marked too. In: known (scope, kind, value); a null scope means every one."""
+    """``texts`` (scope, mark, others) with names of their scope's list marked too. In: known (scope, kind, value); a null scope means every one."""
     known = known.filter("value is not null and value not in ('', '—')").select("scope", "kind", "value").distinct()
-    kind, back = texts.schema["scope"].dataType, texts.columns
+    back, at = texts.columns, texts.columns.index("mark")
 
     def finder(rows: list[tuple[str, str]]):
         names: dict[str, str] = {}
@@ -101,9 +119,9 @@ def _with_known(texts: DataFrame, known: DataFrame, sent: int) -> DataFrame:
                             made.clear()
                         made[s] = finder([*lists.get(None, []), *(lists[s] if s is not None else [])])
                     out.append(None if t is None else _outside(t, *made[s]))
-                yield pa.RecordBatch.from_arrays([b.column("scope"), pa.array(out, pa.string())], ["scope", "mark"])
+                yield b.set_column(at, "mark", pa.array(out, pa.string()))
 
-        return texts.select("scope", "mark").mapInArrow(run, f"scope {kind.simpleString()}, mark string")
+        return texts.mapInArrow(run, texts.schema)
     if known.filter("scope is null").head(1):
         raise ValueError(f"more than {sent} known names need a scope each")
     sizes = texts.groupBy("scope").agg(F.ceil(F.count("*") / GROUP_TEXTS).cast("int").alias("_salts"))
@@ -113,36 +131,38 @@ def _with_known(texts: DataFrame, known: DataFrame, sent: int) -> DataFrame:
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         names = finder(list(zip(right.column("kind").to_pylist(), right.column("value").to_pylist())))
         out = [None if t is None else _outside(t, *names) for t in left.column("mark").to_pylist()]
-        return pa.table([left.column("scope").cast(to_arrow_type(kind)), pa.array(out, pa.string())], ["scope", "mark"])
+        return left.select(back).set_column(at, "mark", pa.array(out, pa.string()))
+
+    return salted.groupBy("scope", "_salt").cogroup(copies.groupBy("scope", "_salt")).applyInArrow(group, texts.schema)
+
+
+def _cued(text: Column) -> Column:
+    """Whether the clean text may hold a mark, told from the text as it is: what is taken out of it may stand within a cue."""
+    return functools.reduce(Column.__or__, _cues(text), F.rlike(text, F.lit(CONTROL)))
+
 
-    return salted.groupBy("scope", "_salt").cogroup(copies.groupBy("scope", "_salt")).applyInArrow(group, f"scope {kind.simpleString()}, mark string")
+def _marks(texts: DataFrame, known: DataFrame | None, sent: int) -> DataFrame:
+    """``texts`` (scope, key, first, _t) with the marks of the clean text ``_t``: (scope, key, first, mark)."""
+    d = texts.select("scope", "key", "first", marked(F.col("_t")).alias("mark"))
+    return d if known is None else _with_known(d, known, sent)
 
 
-def _marks(rows: DataFrame, scope: str, order: str, text: str, cap: int | None, known: DataFrame | None, sent: int) -> DataFrame:
-    """Each distinct clean text of a scope, once: (scope, key, first, mark). ``key`` is the text's digest, ``first`` the order in which it comes first."""
-    t = clean(F.col(text), cap)
-    d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), t.alias("_t")).filter("_t is not null").withColumn("key", F.sha2("_t", 256))
-    firsts = d.groupBy("scope", "key").agg(F.min("_o").alias("first"), F.any_value("_t").alias("_t"))
-    if known is None:
-        return firsts.select("scope", "key", "first", marked(F.col("_t")).alias("mark"))
-    # the digest and the order ride in front of the text, behind a mark that no name can touch
-    carried = firsts.select("scope", F.concat(F.lit(f"{OPEN}K"), "key", F.lit(CLOSE), marked(F.col("_t"))).alias("mark"))
-    done = _with_known(carried, known, sent).select("scope", F.substring("mark", 3, 64).alias("key"), F.expr("substring(mark, 68)").alias("mark"))
-    done = done.select(F.col("scope").alias("_ts"), F.col("key").alias("_tk"), "mark")
-    return firsts.join(done, F.col("scope").eqNullSafe(F.col("_ts")) & (F.col("key") == F.col("_tk"))).select("scope", "key", "first", "mark")
+def _distinct(rows: DataFrame, scope: str, order: str, text: str, cap: int | None) -> DataFrame:
+    """Each distinct clean text of a scope, once: (scope, key, first, _t). ``key`` is the text's digest, ``first`` the order in which it comes first."""
+    d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), clean(F.col(text), cap).alias("_t")).filter(F.col(text).isNotNull())
+    return d.withColumn("key", F.unhex(F.sha2("_t", 256))).groupBy("scope", "key").agg(F.min("_o").alias("first"), F.any_value("_t").alias("_t"))
 
 
 def _values(marks: DataFrame) -> DataFrame:
     """(scope, key, first, at, kind, value) of every mark; ``at`` counts the marks of a text from 0."""
-    of = F.filter(F.transform(pieces(F.col("mark")), lambda p, k: F.when(k % 2 == 1, p)), lambda p: p.isNotNull())
-    d = marks.select("scope", "key", "first", F.posexplode(of).alias("at", "_v"))
+    d = marks.select("scope", "key", "first", F.posexplode(F.regexp_extract_all("mark", F.lit(f"{OPEN}([^{CLOSE}]*){CLOSE}"), F.lit(1))).alias("at", "_v"))
     kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))
     return d.select("scope", "key", "first", "at", F.element_at(kind, F.substring("_v", 1, 1)).alias("kind"), F.expr("substring(_v, 2)").alias("value"))
 
 
 def _numbered(values: DataFrame) -> DataFrame:
     """(scope, kind, value, token) by first appearance. Ranks are counted in blocks of the order (where it is a number) that hand on their totals."""
-    d = values.groupBy("scope", "kind", "value").agg(F.min(F.struct("first", "at")).alias("_f"))
+    d = written(values.groupBy("scope", "kind", "value").agg(F.min(F.struct("first", "at")).alias("_f")))
     whole = values.schema["first"].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint")
     d = d.withColumn("_blk", F.expr(f"_f.first div {BLOCK}") if whole else F.lit(0))
     inside = F.row_number().over(W.partitionBy("scope", "kind", "_blk").orderBy("_f", "value"))
@@ -155,13 +175,17 @@ def _numbered(values: DataFrame) -> DataFrame:
 
 def token_table(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None, known: DataFrame | None = None, sent: int = SENT_NAMES) -> DataFrame:
     """(scope, kind, value, token): every address, user name and known name of a scope, numbered within its kind by first appearance."""
-    return _numbered(_values(_marks(rows, scope, order, text, cap, known, sent)))
+    if known is not None:
+        return _numbered(_values(_marks(_distinct(rows, scope, order, text, cap), known, sent)))
+    # only values leave the tasks: a copy of a text has the same ones, and most texts have none
+    d = rows.filter(_cued(F.col(text))).select(F.col(scope).alias("scope"), F.lit(None).alias("key"), F.col(order).alias("first"), clean(F.col(text), cap).alias("_t"))
+    return _numbered(_values(_marks(d, None, sent)))
 
 
 def redact(rows: DataFrame, scope: str, order: str, text: str, cap: int | None = None, known: DataFrame | None = None, sent: int = SENT_NAMES) -> DataFrame:
     """Adds ``redacted``. ``known`` (scope, kind ``USER`` or ``HOST``, value) lists names that are masked wherever they stand as whole words, the longest first; a
     null scope means every one. Null texts stay null; a null scope is a scope; a value that is both an address and a name is an address."""
-    marks = _marks(rows, scope, order, text, cap, known, sent)
+    marks = written(_marks(_distinct(rows, scope, order, text, cap), known, sent))
     values = _values(marks)
     tokens = _numbered(values)
     of = tokens.select(F.col("scope").alias("_ts"), F.col("kind").alias("_k"), F.col("value").alias("_v"), "token")
@@ -172,7 +196,7 @@ def redact(rows: DataFrame, scope: str, order: str, text: str, cap: int | None =
     whole = marks.join(of_text, F.col("scope").eqNullSafe(F.col("_ts")) & (F.col("key") == F.col("_tk")), "left").drop("_ts", "_tk")
     put = F.transform(pieces(F.col("mark")), lambda p, k: F.when(k % 2 == 1, F.get("_tokens", F.floor(k / 2).cast("int"))).otherwise(p))
     done = whole.select(F.col("scope").alias("_ts"), F.col("key").alias("_tk"), F.array_join(put, "").alias("redacted"))
-    own = rows.withColumn("_key", F.sha2(clean(F.col(text), cap), 256))
+    own = rows.withColumn("_key", F.unhex(F.sha2(clean(F.col(text), cap), 256)))
     return own.join(done, F.col(scope).eqNullSafe(F.col("_ts")) & (F.col("_key") == F.col("_tk")), "left").select(*rows.columns, "redacted")
 
 

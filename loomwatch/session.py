@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -47,6 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, for what several steps read: the optimiser changes equal plans apart, and would work them out once a step."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/loomwatch-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver found it; a cluster without that path gets the package
     by its own means (a wheel, or spark.submit.pyFiles)."""

@@ -58,3 +58,24 @@ def test_marks_follow_the_patterns(spark):
     got = {(r.kind, r.value) for r in redact.token_table(rows(spark, [text]), "scope", "n", "text").collect()}
     want = {("USER", m.group(1)) for rx in P.USER_NAMES for m in re.finditer(rx, text)}
     assert got == want
+
+
+def test_names_are_not_looked_for_inside_marks(spark):
+    """What one pattern has marked is text to no later one; a cue that control characters part is found."""
+    texts = ["log for 'a user=bob' user=bob", "us\x01er=eve", "user 'invalid user x' invalid user x", "from 1.2.\x033.4", "no cue"]
+    want = ["log for '[USER-1]' user=[USER-2]", "user=[USER-3]", "user '[USER-4]' invalid user [USER-5]", "from [IP-1]", "no cue"]
+    assert run(rows(spark, texts)) == want
+    got = {(r.value, r.token) for r in redact.token_table(rows(spark, texts), "scope", "n", "text").collect()}
+    assert got == {("a user=bob", "[USER-1]"), ("bob", "[USER-2]"), ("eve", "[USER-3]"), ("invalid user x", "[USER-4]"), ("x", "[USER-5]"), ("1.2.3.4", "[IP-1]")}
+
+
+def test_texts_are_marked_once(spark):
+    """Numbering and putting together read what was marked; neither goes over the texts again."""
+    d = rows(spark, ["user=bob from 1.2.3.4", "user=bob from 1.2.3.4", "user=eve"])
+    known = spark.createDataFrame([("s", "HOST", "from")], "scope string, kind string, value string")
+    for table in (redact.token_table(d, "scope", "n", "text"), redact.token_table(d, "scope", "n", "text", known=known)):
+        assert table.count() == (3 if "HOST" not in {r.kind for r in table.collect()} else 4)
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp" not in plan and "MapInArrow" not in plan
+    plan = redact.redact(d, "scope", "n", "text", known=known)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "invalid user" not in plan
