@@ -79,3 +79,11 @@ def test_texts_are_marked_once(spark):
         assert "regexp" not in plan and "MapInArrow" not in plan
     plan = redact.redact(d, "scope", "n", "text", known=known)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and "invalid user" not in plan
+
+
+def test_many_known_names_in_one_text(spark):
+    """A text is put together once, not once a name that stands in it; a place is looked up, not held against all that are taken."""
+    known = spark.createDataFrame([("s", "HOST", "app-01"), ("s", "USER", "app")], "scope string, kind string, value string")
+    words = "app-01 from 1.2.3.4 "
+    want = "[USER-1]-01 from [IP-1] "
+    assert run(rows(spark, [words * 30_000]), known=known) == [want * 30_000]
