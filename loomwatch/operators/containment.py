@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of all literals together up to which they are sent to every task as one automaton.
@@ -17,6 +17,13 @@ SENT_CHARS = 4_000_000
 GRAM = 4
 #: The filter that tasks test positions against has 2^n bits, at least eight a literal; the least and the greatest n (64 MB).
 LEAST_BITS, MOST_BITS = 20, 29
+#: A character of a word, and any other (an ASCII class, which Java looks up; a negated list of ranges takes it several times as long).
+WORD, APART = r"\w", r"\W"
+#: Literals meet texts by their words if their cores have that many counts of words at most (each word of a text begins as many runs), none of them above the
+#: second number, and none of them is shared by more literals of one length than the third.
+CORE_COUNTS, CORE_WORDS, CORE_SHARED = 8, 32, 1000
+#: Characters of a text that are cut into runs at a time.
+PART_CHARS = 1 << 18
 
 
 @functools.lru_cache(maxsize=4)
@@ -169,27 +176,74 @@ def _short(texts: DataFrame, ident: str, text: str, literals: DataFrame) -> Data
     return out
 
 
-def _candidates(texts: DataFrame, literals: DataFrame, ident: str, text: str, sent_chars: int) -> DataFrame:
+def _core(literal: Column) -> Column:
+    """From the first to the last word of a literal that has something else on both sides of it; empty where it has none."""
+    return F.regexp_extract(literal, rf"^{WORD}*+{APART}++({WORD}(?s:.*){WORD}|{WORD}){APART}++{WORD}*+\z", 1)
+
+
+def _by_core(texts: DataFrame, ident: str, text: str, rows: DataFrame, literal: str, counts: list[int], longest: int) -> DataFrame:
+    """ident and all columns of ``rows`` where the text contains the literal, perhaps more than once. Every literal has a core of one of the ``counts`` of words
+    and ``longest`` bytes at most.
+
+    Where a literal stands in a text, the words of its core are whole words of the text: the core is so many words of the text in a row. Each such run of a
+    text meets the literals by its hash, with the words before and behind it, in which the literal must stand. Long texts go in parts that share a literal's length."""
+    cut = F.transform(F.sequence(F.lit(0), F.length(text), F.lit(PART_CHARS)), lambda k: F.substring(text, k + 1, F.lit(PART_CHARS + longest)))
+    parts = F.when(F.octet_length(text) > PART_CHARS, cut).otherwise(F.array(text))
+    d = texts.select(ident, F.explode_outer(parts).alias("_t"))
+    lead = f"{WORD}*+{APART}++"  # a run is looked at from the word before it, and the next one from its own first word
+    runs = [F.regexp_extract_all("_t", F.lit(f"(?=({lead}{WORD}++{f'{APART}++{WORD}++' * (n - 1)}{APART}++{WORD}*+)){lead}"), F.lit(1)) for n in counts]
+    # an outer explode is not looked through for rows that it would drop, which takes the expressions a second time
+    around = d.select(ident, F.explode_outer(F.concat(*runs)).alias("_around")).filter("_around is not null")
+    key = lambda c: F.xxhash64(_core(F.col(c))).alias("_key")
+    return around.select("*", key("_around")).join(rows.select("*", key(literal)), "_key").filter(F.contains("_around", literal)).drop("_key", "_around")
+
+
+def _plan(literals: DataFrame, sent_chars: int) -> tuple[bool, list[int] | None, dict[int, int]]:
+    """Whether the literals (``_lit``) can be sent; else the counts of words of their cores, if these are few and tell literals apart; and how many distinct literals
+    have so many bytes (no fewer than there are). One pass over the literals; distinct lengths and counts of words only reach the driver."""
+    core = _core(F.col("_lit"))
+    own = F.xxhash64("_lit").alias("own")
+    each = literals.select(core.alias("core"), own, F.octet_length("_lit").alias("n"), F.length("_lit").alias("chars"))
+    each = each.select("*", F.when(F.col("core") != "", F.xxhash64("core")).otherwise(F.col("own")).alias("key"), F.when(F.col("core") != "", F.regexp_count("core", F.lit(f"{APART}++")) + 1).otherwise(0).alias("words"))
+    of_key = each.groupBy("key", "words", "n").agg(F.count("*").alias("c"), F.max("chars").alias("chars"), (F.min("own") == F.max("own")).alias("one"))
+    of_key = of_key.withColumn("c", F.when(F.col("one"), 1).otherwise(F.col("c")))
+    sizes = of_key.groupBy("words", "n").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("chars")).alias("chars"), F.max("c").alias("most")).collect()
+    lengths: dict[int, int] = {}
+    for r in sizes:
+        lengths[r["n"]] = lengths.get(r["n"], 0) + r["c"]
+    counts = sorted({r["words"] for r in sizes})
+    told = 0 < len(counts) <= CORE_COUNTS and counts[0] > 0 and counts[-1] <= CORE_WORDS and max(r["most"] for r in sizes) <= CORE_SHARED
+    return sum(r["chars"] for r in sizes) <= sent_chars, counts if told else None, lengths
+
+
+def _candidates(texts: DataFrame, literals: DataFrame, ident: str, text: str, sent: bool, lengths: dict[int, int]) -> DataFrame:
     """(ident, _lit): each text with every literal (``_lit``, not empty) that it contains, and perhaps with other substrings of it: an equi-join with the literals
     leaves what is right. What was found in one place may come from another again."""
-    sizes = literals.distinct().groupBy(F.octet_length("_lit").alias("n")).agg(F.count("*").alias("c"), F.sum(F.length("_lit")).alias("chars")).collect()
-    if sum(r["chars"] for r in sizes) <= sent_chars:
+    if sent:
         return _found(texts, ident, text, tuple(sorted(r["_lit"] for r in literals.distinct().collect())))
-    lengths = {r["n"]: r["c"] for r in sizes if r["n"] >= GRAM}  # distinct lengths only
-    out = _by_hash(texts, ident, text, literals.filter(F.octet_length("_lit") >= GRAM), lengths)
-    return out.unionByName(_short(texts, ident, text, literals.filter(F.octet_length("_lit") < GRAM).distinct())) if len(lengths) < len(sizes) else out
+    of_grams = {n: c for n, c in lengths.items() if n >= GRAM}  # distinct lengths only
+    out = _by_hash(texts, ident, text, literals.filter(F.octet_length("_lit") >= GRAM), of_grams)
+    return out.unionByName(_short(texts, ident, text, literals.filter(F.octet_length("_lit") < GRAM).distinct())) if len(of_grams) < len(lengths) else out
 
 
 def contained(texts: DataFrame, literals: DataFrame, ident: str, text: str, literal: str, sent_chars: int = SENT_CHARS) -> DataFrame:
     """(ident, literal): each text with each distinct literal that it contains, once. Null and empty literals lie nowhere, null texts hold nothing.
 
-    Literals that are no more than ``sent_chars`` characters together go to every task as one automaton; beyond, those of GRAM bytes and more meet the
-    substrings that a filter of hashes lets through, shorter ones all substrings of their length; nothing that grows with them is sent."""
+    Literals that are no more than ``sent_chars`` characters together go to every task as one automaton. Beyond, literals of few shapes meet the texts by their
+    words; else those of GRAM bytes and more meet the substrings that a filter of hashes lets through, shorter ones all substrings of their length. Nothing that
+    grows with the literals is sent."""
     lits = literals.select(F.col(literal).alias("_lit")).filter("_lit <> ''")
-    return _candidates(texts, lits, ident, text, sent_chars).join(lits, "_lit", "left_semi").select(ident, "_lit").distinct().withColumnRenamed("_lit", literal)
+    sent, counts, lengths = _plan(lits, sent_chars)
+    if counts and not sent:
+        return _by_core(texts, ident, text, lits.distinct(), "_lit", counts, max(lengths)).distinct().withColumnRenamed("_lit", literal)
+    return _candidates(texts, lits, ident, text, sent, lengths).join(lits, "_lit", "left_semi").select(ident, "_lit").distinct().withColumnRenamed("_lit", literal)
 
 
 def contained_rows(texts: DataFrame, rows: DataFrame, ident: str, text: str, literal: str, sent_chars: int = SENT_CHARS) -> DataFrame:
     """``contained`` joined with ``rows`` that have the literal as a column, in one join: ident and all columns of ``rows``, perhaps more than once."""
     rows = rows.filter(F.col(literal) != "")
-    return _candidates(texts, rows.select(F.col(literal).alias("_lit")), ident, text, sent_chars).withColumnRenamed("_lit", literal).join(rows, literal)
+    lits = rows.select(F.col(literal).alias("_lit"))
+    sent, counts, lengths = _plan(lits, sent_chars)
+    if counts and not sent:
+        return _by_core(texts, ident, text, rows, literal, counts, max(lengths))
+    return _candidates(texts, lits, ident, text, sent, lengths).withColumnRenamed("_lit", literal).join(rows, literal)

@@ -39,7 +39,7 @@ def cited_hits(findings: DataFrame, labelled: DataFrame, on: list[str] | None =
     r = findings.select(*on, "finding", "lo", "hi").distinct()
     by_range = range_join(labelled.select(*on, "line").distinct(), r, on, "line", "lo", "hi").select(*on, "finding", "line")
     quoted = labelled.select(*(F.col(c).alias(f"_of_{c}") for c in on), "line", F.btrim("raw", F.lit(" \t\r\n")).alias("raw"))
-    texts = findings.filter("evidence is not null").select(F.struct(*on, "finding").alias("_f"), "evidence").distinct()
+    texts = findings.filter("evidence is not null").select(F.struct(*on, "finding").alias("_f"), "evidence")
     verbatim = contained_rows(texts, quoted, "_f", "evidence", "raw")
     for c in on:
         verbatim = verbatim.filter(F.col(f"_f.{c}") == F.col(f"_of_{c}"))
@@ -70,10 +70,12 @@ def misses(findings: DataFrame, hits: DataFrame, labelled: DataFrame, by: str, k
     at = both.schema["_at"].dataType
     hit = F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).cast(at).alias("_at")) for k, c in (("miss", "line"), ("false positive", "finding"))))
     d = both.join(hits.select(F.explode(hit).alias("_h")).select("_h.*").distinct(), ["kind", "_at"], "left_anti")
-    counted = d.groupingSets([["kind", by], ["kind"]], "kind", by).agg(F.count("*").alias("n"), F.grouping(by).alias("_all"))
-    both = d.withColumn("_all", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<byte>"))).withColumn(by, F.when(F.col("_all") == 0, F.col(by)))
-    rank = F.row_number().over(W.partitionBy("_all", "kind", by).orderBy("_at", "text"))
-    some = both.withColumn("_k", rank).filter(F.col("_k") <= keep).groupBy("_all", "kind", by)
+    counted = d.groupBy("kind", by).agg(F.count("*").alias("n")).groupingSets([["kind", by], ["kind"]], "kind", by).agg(F.sum("n").alias("n"), F.grouping(by).alias("_all"))
+    # the first of all are among the first of each format
+    rank = lambda *of: F.row_number().over(W.partitionBy(*of).orderBy("_at", "text"))
+    first = d.withColumn("_k", rank("kind", by)).filter(F.col("_k") <= keep)
+    both = first.withColumn("_all", F.explode(F.array(F.lit(0), F.lit(1)).cast("array<byte>"))).withColumn(by, F.when(F.col("_all") == 0, F.col(by)))
+    some = both.withColumn("_k", rank("_all", "kind", by)).filter(F.col("_k") <= keep).groupBy("_all", "kind", by)
     listed = some.agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "text"))), lambda x: x["text"]).alias("samples"))
     same = (counted["_all"] == listed["_all"]) & (counted["kind"] == listed["kind"]) & counted[by].eqNullSafe(listed[by])
     return counted.join(listed, same).select(counted[by], counted["kind"], "n", "samples")

@@ -113,3 +113,34 @@ def test_hits_are_worked_out_once_for_misses(spark):
     assert {("b", "miss", 2), (None, "miss", 2), ("a", "false positive", 1), ("b", "false positive", 1)} <= got and sum(r[2] for r in got) == 2 * 2 + 3 * 2
     run = d._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert run.count("MapInArrow") == 1 and "ReusedExchange" in run
+
+
+def test_literals_of_one_shape_meet_texts_by_their_words(spark):
+    """Many literals of few counts of words need neither a filter nor Python; equal to a plain search, also at both ends of a text and across its parts."""
+    rnd = random.Random(9)
+    lits = [f"<line {k}>" for k in range(40)] + [f"é {k}-x y {k}" for k in range(40)] + ["_ a_1 é"]
+    pad = lambda: rnd.choice(["", "z", "é", " ", "ab ", " 1 <", "\n"])
+    texts = [pad() + "".join(pad() + rnd.choice(lits) for _ in range(rnd.randint(0, 5))) + pad() for _ in range(120)] + [None, "", " ", "<line 1", "x" * 300]
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)
+    w = spark.createDataFrame([(x, k) for k, x in enumerate([*lits, *lits[:5], "", None])], "lit string, line long")
+    part, containment.PART_CHARS = containment.PART_CHARS, 16
+    try:
+        d = containment.contained_rows(t, w, "id", "text", "lit", 0)
+        got = {(r.id, r.line) for r in d.collect()}
+        once = containment.contained(t, w, "id", "text", "lit", 0)
+        pairs = sorted(tuple(r) for r in once.collect())
+    finally:
+        containment.PART_CHARS = part
+    want = {(k, n) for k, s in enumerate(texts) for n, x in enumerate([*lits, *lits[:5]]) if s and x in s}
+    assert got == want and len(want) > 200
+    assert pairs == sorted({(k, x) for k, s in enumerate(texts) for x in lits if s and x in s})
+    for x in (d, once):
+        assert "MapInArrow" not in x._jdf.queryExecution().analyzed().toString()
+
+
+def test_literals_that_share_their_words_are_not_met_by_them(spark):
+    """Literals that differ only in what stands before and behind the words that they share would all meet in one key."""
+    w = spark.range(1500).selectExpr("concat(lpad(cast(id as string), 4, '0'), ' a b') as _lit")
+    assert containment._plan(w, 0)[:2] == (False, None) and containment._plan(w, 1 << 20)[0]
+    w = spark.range(1500).selectExpr("concat('x ', id, ' a b') as _lit")
+    assert containment._plan(w.union(w), 0)[:2] == (False, [2])
