@@ -299,6 +299,18 @@ def _ascii_parts(chunk: str) -> list[str] | None:
     return None if "<|" in chunk or not chunk.isascii() else _ASCII_WORDS(chunk.lower())
 
 
+#: The pre-tokens of ASCII text, as the byte-level vocabularies cut it.
+_ASCII_CASED = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+").findall
+
+
+def _ascii_cased_parts(chunk: str) -> list[str] | None:
+    """None where a special string or white space that stands for itself may be in the chunk."""
+    if "<|" in chunk or not chunk.isascii():
+        return None
+    parts = _ASCII_CASED(chunk)
+    return parts if len("".join(parts)) == len(chunk) else None
+
+
 def _plain_lower(chunk: str) -> int | None:
     if not chunk.isalpha():
         return None
@@ -314,7 +326,7 @@ def _plain_lower(chunk: str) -> int | None:
 def byte_level_encoder(path: str, dtype: str = "<u4") -> ChunkEncoder:
     """For byte-level BPE whose pre-tokenizer keeps one leading space with a word."""
     slow = lambda t: "\x1f".join(_BYTE_LEVEL.findall(t))
-    return ChunkEncoder(load_tokenizer(path), _cut_before_space, slow, "\x1f", _plain_cased, " ", ("\n", 1), dtype)
+    return ChunkEncoder(load_tokenizer(path), _cut_before_space, slow, "\x1f", _plain_cased, " ", ("\n", 1), dtype, parts=_ascii_cased_parts)
 
 
 @functools.lru_cache(maxsize=4)

@@ -427,3 +427,23 @@ def test_python_meets_distinct_chunks_only(path, make):
     want = [tk.encode(t, add_special_tokens=False).ids for t in texts]
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == want == [np.frombuffer(x, "<u4").tolist() for x in encode(texts)]
     assert Counting.asked < 200
+
+
+def test_odd_ascii_chunks_share_their_pre_tokens():
+    """Chunks of letters, figures and signs are cut like the tokenizer cuts them: it meets each pre-token once, not each chunk."""
+    tk = common.load_tokenizer(BYTE)
+    enc = common.byte_level_encoder.__wrapped__(BYTE)
+    met = []
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(tk, name)
+
+        def encode_batch_fast(self, texts, **more):
+            met.extend(texts)
+            return tk.encode_batch_fast(texts, **more)
+
+    enc.tk = Counting()
+    texts = [f"(a{k % 7}) it's {k % 9}'d x-{k % 5}/{k % 7}<b> \ttab {k}:{k % 3}" for k in range(300)] + ["'tis I'll' 's<|endoftext|>", "''s !'s \r\n 'S a'VE"]
+    assert enc(texts) == [np.array(tk.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert sum("/" in x or ":" in x for x in met) < 10 and any(x == "/" for x in met)
