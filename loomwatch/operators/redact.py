@@ -103,9 +103,10 @@ def _with_known(texts: DataFrame, known: DataFrame, sent: int) -> DataFrame:
         a = automaton(words) if words else None
         return names, (lambda p: [(end, words[n]) for end, n in a.iter(p)]) if a is not None else (lambda p: [])
 
-    if known.count() <= sent:
+    few = known.limit(sent + 1).collect()  # counted and fetched in one pass
+    if len(few) <= sent:
         lists: dict[object, list[tuple[str, str]]] = {}
-        for r in known.collect():
+        for r in few:
             lists.setdefault(r["scope"], []).append((r["kind"], r["value"]))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +151,8 @@ def _marks(texts: DataFrame, known: DataFrame | None, sent: int) -> DataFrame:
 def _distinct(rows: DataFrame, scope: str, order: str, text: str, cap: int | None) -> DataFrame:
     """Each distinct clean text of a scope, once: (scope, key, first, _t). ``key`` is the text's digest, ``first`` the order in which it comes first."""
     d = rows.select(F.col(scope).alias("scope"), F.col(order).alias("_o"), clean(F.col(text), cap).alias("_t")).filter(F.col(text).isNotNull())
-    return d.withColumn("key", F.unhex(F.sha2("_t", 256))).groupBy("scope", "key").agg(F.min("_o").alias("first"), F.any_value("_t").alias("_t"))
+    # the text is a key beside its digest: aggregates that hold strings are sorted, keys are hashed
+    return d.withColumn("key", F.unhex(F.sha2("_t", 256))).groupBy("scope", "key", "_t").agg(F.min("_o").alias("first")).select("scope", "key", "first", "_t")
 
 
 def _values(marks: DataFrame) -> DataFrame:

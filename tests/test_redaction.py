@@ -87,3 +87,21 @@ def test_many_known_names_in_one_text(spark):
     words = "app-01 from 1.2.3.4 "
     want = "[USER-1]-01 from [IP-1] "
     assert run(rows(spark, [words * 30_000]), known=known) == [want * 30_000]
+
+
+def test_distinct_texts_are_hashed_and_names_fetched_once(spark):
+    rows = spark.createDataFrame([("a", 3, "x y\x00"), ("a", 1, "x y"), ("b", 2, "x y"), (None, 5, "x y"), ("a", 4, None)], "s string, n long, t string")
+    d = redact._distinct(rows, "s", "n", "t", None)
+    assert sorted((r.scope or "", r.first, r._t) for r in d.collect()) == [("", 5, "x y"), ("a", 1, "x y"), ("b", 2, "x y")]
+    assert "SortAggregate" not in d._jdf.queryExecution().executedPlan().toString()
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    known = spark.createDataFrame([("a", "USER", "x"), ("b", "HOST", "y")], "scope string, kind string, value string").mapInArrow(counted, "scope string, kind string, value string")
+    got = redact._with_known(d.withColumnRenamed("_t", "mark").select("scope", "key", "first", "mark"), known, 2)
+    assert seen.value == 2
+    assert sorted((r.scope or "", r.mark) for r in got.collect()) == [("", "x y"), ("a", "\x01Ux\x02 y"), ("b", "x \x01Hy\x02")]
